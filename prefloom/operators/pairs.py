@@ -103,7 +103,7 @@ def _pairs_in_row(base: DataFrame) -> DataFrame:
 
 def _pairs_by_blocks(base: DataFrame, block: int) -> DataFrame:
     """Self-join of one prompt's completions on (prompt, block_i, block_j), block_i <= block_j."""
-    nb = F.floor((F.size("s") + block - 1) / block).cast("int")
+    nb = F.expr(f"(size(s) + {block - 1}) div {block}").cast("int")
     flat = base.select("prompt_id", "prompt", nb.alias("nb"), F.explode("s").alias("c")).where(pairable(F.col("c")))
     flat = flat.select(
         "prompt_id",
@@ -112,7 +112,7 @@ def _pairs_by_blocks(base: DataFrame, block: int) -> DataFrame:
         F.col("c.pos").alias("pos"),
         F.col("c.response").alias("response"),
         F.col("c.score").alias("score"),
-        F.floor(F.col("c.pos") / block).cast("int").alias("blk"),
+        F.expr(f"c.pos div {block}").cast("int").alias("blk"),
     )
     left = flat.select(
         "prompt_id",

@@ -141,10 +141,11 @@ def ftext_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = read_table(spark, sf_dir, "benchmark", "item_id", F.col("text").alias("bench_text"))
     # One scalar; the benchmark table is small and its size is not assumed.
     n_items = bench.count()
-    d = docs.join(labels, "doc_id", "left").withColumn("prompt_id", F.floor(F.col("doc_id") / 4).cast("bigint"))
+    d = docs.join(labels, "doc_id", "left").withColumn("prompt_id", F.expr("doc_id div 4").cast("bigint"))
     d = d.join(bench, F.col("item_id") == F.pmod(F.col("prompt_id"), F.lit(n_items)), "left")
     labelled = F.col("labelled").isNotNull()
-    rationale = F.concat(F.lit("from "), F.col("source"))
+    # Two lines, the second starting with "Rating:", to exercise answer parsing.
+    rationale = F.concat(F.lit("from "), F.col("source"), F.lit("\nRating: see scale"))
     ann = annotations_map(
         [
             (HELPFULNESS, F.when(F.col("quality") == 1, "5").otherwise("2"), rationale, labelled),
