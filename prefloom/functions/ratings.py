@@ -31,10 +31,13 @@ def normalize_rating(text: Column) -> Column:
     return F.regexp_replace(t, SIGNED_NAN, "$1")
 
 
+def parse_normalized(t: Column) -> Column:
+    return F.when(t.rlike(FLOAT_GRAMMAR), t.try_cast("double"))
+
+
 def parse_rating(text: Column) -> Column:
     """DOUBLE if Python's float() would accept the text, else NULL."""
-    t = normalize_rating(text)
-    return F.when(t.rlike(FLOAT_GRAMMAR), t.try_cast("double"))
+    return parse_normalized(normalize_rating(text))
 
 
 def rating_class(text: Column) -> Column:
@@ -59,7 +62,10 @@ def mean_rating(annotations: Column) -> Column:
     map is NULL; NaN for an empty map, as numpy's mean of nothing.  Sums run
     left to right in map order and divide once.
     """
-    parsed = F.transform(F.map_values(annotations), lambda v: parse_rating(v["Rating"]))
+    # Normalise once per rating (a lambda result is a value, so the regex
+    # chain is not evaluated a second time for the cast).
+    normalized = F.transform(F.map_values(annotations), lambda v: normalize_rating(v["Rating"]))
+    parsed = F.transform(normalized, parse_normalized)
     total = F.aggregate(parsed, F.lit(0.0), lambda acc, x: acc + x)
     n = F.size(annotations)
     return F.when(annotations.isNull(), F.lit(None).cast("double")).when(n == 0, nan()).otherwise(total / n)

@@ -6,21 +6,34 @@ appended to the responses, the pair is fitted into `max_length` (the
 prompt first, then both responses) and the prompt is prefixed to each
 response with its labels masked.  Written to parquet once instead of being
 recomputed by a data collator every epoch.
+
+Two entry points:
+
+* `encode_pairs(pairs)`: pairs of texts, tokenized per pair (the
+  collator's signature).
+* `encode_prompt_rows(prompts)`: nested prompt rows.  Each prompt and each
+  completion is tokenized once, before pairing, and the ids travel with
+  the pair; a completion that sits in k pairs is not tokenized k times.
+
+Attention masks are elementwise, so they are computed after truncation on
+the kept ids only; the appended EOS keeps mask 1 as in the source.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import head, repeat_int, tail
 from ..functions.tokens import IGNORE_INDEX, CodepointTokenizer, int_array
-from .chatml import SYSTEM_MESSAGE, assistant_segment, attention_mask, system_segment, user_segment
+from .chatml import SYSTEM_MESSAGE, assistant_segment, system_segment, user_segment
+from .pairs import build_pairs, formatted_prompt
 
 TRUNCATION_MODES = ("keep_end", "keep_start")
 SEQ_KEYS = ("input_ids", "labels", "attention_mask")
+KEY_COLS = ("prompt_id", "comp_i", "comp_j")
 
 
 @dataclass(frozen=True)
@@ -38,25 +51,61 @@ class EncodeConfig:
         return EncodeConfig(max_length=n, max_prompt_length=n // 2)
 
 
+def tokenize_prompt_rows(
+    prompts: DataFrame, tok=CodepointTokenizer(), *, format_prompt: bool = True
+) -> DataFrame:
+    """Nested rows with `prompt_x` and a token array `x` inside every completion."""
+    if not isinstance(tok, CodepointTokenizer):
+        raise TypeError("per-completion tokenizing needs a native tokenizer; use encode_pairs")
+    fp = formatted_prompt("prompt", "img_path", format_prompt)
+    comps = F.transform(
+        "completions",
+        lambda c: F.struct(
+            c["comp_idx"].alias("comp_idx"),
+            c["response"].alias("response"),
+            c["annotations"].alias("annotations"),
+            tok.encode(c["response"]).alias("x"),
+        ),
+    )
+    return prompts.select("prompt_id", fp.alias("prompt"), comps.alias("completions")).withColumn(
+        "prompt_x", tok.encode(F.col("prompt"))
+    )
+
+
+def _mask(ids: Column, pad: int, eos: int, keep_one_at: Column | None = None) -> Column:
+    """1 unless the id is padding or EOS; position `keep_one_at` (0-based) stays 1."""
+
+    def rule(x: Column, i: Column) -> Column:
+        m = F.when((x == F.lit(pad)) | (x == F.lit(eos)), 0).otherwise(1)
+        return m if keep_one_at is None else F.when(i == keep_one_at, 1).otherwise(m)
+
+    return F.transform(ids, rule).cast("array<int>")
+
+
 def _encoded_parts(pairs: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
     """Untruncated segments plus lengths; keeps the key and text columns."""
     if cfg.truncation_mode not in TRUNCATION_MODES:
         raise ValueError(f"Unknown truncation mode: {cfg.truncation_mode}")
     sys_ids, sys_lab = system_segment(tok, cfg.system_message)
-    pad, eos = tok.pad_token_id, tok.eos_token_id
-    keys = [c for c in ("prompt_id", "comp_i", "comp_j") if c in pairs.columns]
+    eos = tok.eos_token_id
+    keys = [c for c in KEY_COLS if c in pairs.columns]
+
+    def ids_of(col: str) -> Column:
+        return F.col(f"{col}_x") if f"{col}_x" in pairs.columns else tok.encode(F.col(col))
+
     x = pairs.select(
         *keys,
         "prompt",
         "chosen",
         "rejected",
-        tok.encode(F.col("prompt")).alias("_px"),
-        tok.encode(F.col("chosen")).alias("_cx"),
-        tok.encode(F.col("rejected")).alias("_rx"),
+        ids_of("prompt").alias("_px"),
+        ids_of("chosen").alias("_cx"),
+        ids_of("rejected").alias("_rx"),
     )
     u_ids, u_lab = user_segment(F.col("_px"), tok)
     c_ids, c_lab = assistant_segment(F.col("_cx"), tok)
     r_ids, r_lab = assistant_segment(F.col("_rx"), tok)
+    eos_arr = int_array([eos])
     x = x.select(
         *keys,
         "prompt",
@@ -64,60 +113,50 @@ def _encoded_parts(pairs: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
         "rejected",
         F.concat(int_array(sys_ids), u_ids).alias("p_input_ids"),
         F.concat(int_array(sys_lab), u_lab).alias("p_labels"),
-        c_ids.alias("c_input_ids"),
-        c_lab.alias("c_labels"),
-        r_ids.alias("r_input_ids"),
-        r_lab.alias("r_labels"),
-    )
-    # attention masks (padding, then EOS positions), EOS appended to responses
-    eos_arr, one = int_array([eos]), int_array([1])
-    x = x.select(
-        *keys,
-        "prompt",
-        "chosen",
-        "rejected",
-        "p_input_ids",
-        "p_labels",
-        attention_mask(F.col("p_input_ids"), pad, eos).alias("p_attention_mask"),
-        *[
-            e
-            for s in ("c", "r")
-            for e in (
-                F.concat(F.col(f"{s}_input_ids"), eos_arr).alias(f"{s}_input_ids"),
-                F.concat(F.col(f"{s}_labels"), eos_arr).alias(f"{s}_labels"),
-                F.concat(attention_mask(F.col(f"{s}_input_ids"), pad, eos), one).alias(f"{s}_attention_mask"),
-            )
-        ],
+        F.concat(c_ids, eos_arr).alias("c_input_ids"),
+        F.concat(c_lab, eos_arr).alias("c_labels"),
+        F.concat(r_ids, eos_arr).alias("r_input_ids"),
+        F.concat(r_lab, eos_arr).alias("r_labels"),
     )
     return x.withColumn("prompt_len", F.size("p_input_ids")).withColumn(
         "response_len", F.greatest(F.size("c_input_ids"), F.size("r_input_ids"))
     )
 
 
-def _truncated(parts: DataFrame, cfg: EncodeConfig) -> DataFrame:
+def _truncated(parts: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
     mpl = cfg.max_prompt_length
+    pad, eos = tok.pad_token_id, tok.eos_token_id
     over1 = (F.col("prompt_len") + F.col("response_len")) > cfg.max_length
     cut_prompt = (lambda a: tail(a, mpl)) if cfg.truncation_mode == "keep_end" else (lambda a: head(a, mpl))
     t = parts.select(
         "*",
         over1.alias("prompt_over"),
-        *[F.when(over1, cut_prompt(F.col(f"p_{k}"))).otherwise(F.col(f"p_{k}")).alias(f"tp_{k}") for k in SEQ_KEYS],
-    ).drop(*[f"p_{k}" for k in SEQ_KEYS])
+        *[F.when(over1, cut_prompt(F.col(f"p_{k}"))).otherwise(F.col(f"p_{k}")).alias(f"tp_{k}") for k in ("input_ids", "labels")],
+        # position of the appended EOS in each response (it keeps mask 1)
+        (F.size("c_input_ids") - 1).alias("c_eos_pos"),
+        (F.size("r_input_ids") - 1).alias("r_eos_pos"),
+    ).drop("p_input_ids", "p_labels")
     t = t.withColumn("prompt_len_after", F.size("tp_input_ids"))
     over2 = (F.col("prompt_len_after") + F.col("response_len")) > cfg.max_length
     keep = cfg.max_length - mpl
-    return t.select(
+    t = t.select(
         "*",
         over2.alias("response_over"),
         *[
             F.when(over2, head(F.col(f"{s}_{k}"), keep)).otherwise(F.col(f"{s}_{k}")).alias(f"t{s}_{k}")
             for s in ("c", "r")
-            for k in SEQ_KEYS
+            for k in ("input_ids", "labels")
         ],
-    ).drop(*[f"{s}_{k}" for s in ("c", "r") for k in SEQ_KEYS])
+    ).drop(*[f"{s}_{k}" for s in ("c", "r") for k in ("input_ids", "labels")])
+    return t.select(
+        "*",
+        _mask(F.col("tp_input_ids"), pad, eos).alias("tp_attention_mask"),
+        _mask(F.col("tc_input_ids"), pad, eos, F.col("c_eos_pos")).alias("tc_attention_mask"),
+        _mask(F.col("tr_input_ids"), pad, eos, F.col("r_eos_pos")).alias("tr_attention_mask"),
+    )
 
 
-def truncation_case(prompt_over, response_over):
+def truncation_case(prompt_over: Column, response_over: Column) -> Column:
     return (
         F.when(response_over, F.lit("responses_truncated"))
         .when(prompt_over, F.lit("prompt_truncated"))
@@ -125,10 +164,7 @@ def truncation_case(prompt_over, response_over):
     )
 
 
-def encode_pairs(pairs: DataFrame, tok=CodepointTokenizer(), cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
-    """Pairs -> `{prompt,chosen,rejected}_{input_ids,labels,attention_mask}` and texts."""
-    t = _truncated(_encoded_parts(pairs, tok, cfg), cfg)
-    keys = [c for c in ("prompt_id", "comp_i", "comp_j") if c in pairs.columns]
+def _final(t: DataFrame, cfg: EncodeConfig, keys: list[str]) -> DataFrame:
     plen = F.col("prompt_len_after")
     out = []
     for side, s in (("chosen", "c"), ("rejected", "r")):
@@ -149,10 +185,30 @@ def encode_pairs(pairs: DataFrame, tok=CodepointTokenizer(), cfg: EncodeConfig =
     )
 
 
+def encode_pairs(pairs: DataFrame, tok=CodepointTokenizer(), cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
+    """Pairs -> `{prompt,chosen,rejected}_{input_ids,labels,attention_mask}` and texts.
+
+    Uses `prompt_x` / `chosen_x` / `rejected_x` token arrays when present.
+    """
+    keys = [c for c in KEY_COLS if c in pairs.columns]
+    return _final(_truncated(_encoded_parts(pairs, tok, cfg), tok, cfg), cfg, keys)
+
+
+def pairs_with_ids(prompts: DataFrame, tok=CodepointTokenizer(), *, format_prompt: bool = True) -> DataFrame:
+    """Nested prompt rows -> pairs carrying `prompt_x`, `chosen_x`, `rejected_x`."""
+    pre = tokenize_prompt_rows(prompts, tok, format_prompt=format_prompt)
+    return build_pairs(pre, img_path=None, format_prompt=False, carry=("x",), prompt_carry=("prompt_x",))
+
+
+def encode_prompt_rows(prompts: DataFrame, tok=CodepointTokenizer(), cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
+    """Nested prompt rows -> encoded pairs, tokenizing every text once."""
+    return encode_pairs(pairs_with_ids(prompts, tok), tok, cfg)
+
+
 def truncate_pairs(pairs: DataFrame, tok=CodepointTokenizer(), cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
     """Per pair: lengths before and after fitting into the budget, and the case."""
-    t = _truncated(_encoded_parts(pairs, tok, cfg), cfg)
-    keys = [c for c in ("prompt_id", "comp_i", "comp_j") if c in pairs.columns]
+    t = _truncated(_encoded_parts(pairs, tok, cfg), tok, cfg)
+    keys = [c for c in KEY_COLS if c in pairs.columns]
     return t.select(
         *keys,
         F.col("prompt_len").cast("bigint").alias("prompt_len"),

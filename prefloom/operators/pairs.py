@@ -11,14 +11,16 @@ Plans
   scored once, then an `explode` over the completions and a second
   `explode` over the *filtered* tail of the array emit only the surviving
   pairs.  No shuffle, no Python worker.
-* Prompts with more than `max_inline` completions are not paired inside one
-  task: their completions are exploded and self-joined on
-  (prompt, left block, right block), so the pairs of one hot prompt are
+* Optionally (`max_inline`), prompts with very many completions are not
+  paired inside one task: their completions are exploded and self-joined
+  on (prompt, left block, right block), so the pairs of one hot prompt are
   spread over many join keys (and tasks).  Each completion is copied once
   per block it meets, never once per partner.
 * Flat input (one row per completion): an equi self-join on the prompt key
-  with `i < j` and unequal scores as the join condition.  Both sides come
-  from the same exchange; AQE splits a skewed key's partition.
+  with `i < j` and unequal scores as the join condition.  Both sides read
+  one exchange; a prompt holding a large share of the rows makes its
+  shuffle partition skewed, and AQE's skew-join rule splits that partition
+  on both sides, so its pairs are produced by many tasks.
 """
 
 from __future__ import annotations
@@ -32,14 +34,15 @@ from ..functions.text import image_prompt
 PAIR_COLUMNS = ("prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected")
 
 
-def scored_completions(completions: Column) -> Column:
-    """array<struct<pos, response, score>> with one mean rating per completion."""
+def scored_completions(completions: Column, carry: tuple[str, ...] = ()) -> Column:
+    """array<struct<pos, response, score, carry...>> with one mean rating per completion."""
     return F.transform(
         completions,
         lambda c, k: F.struct(
             k.cast("bigint").alias("pos"),
             c["response"].alias("response"),
             mean_rating(c["annotations"]).alias("score"),
+            *[c[f].alias(f) for f in carry],
         ),
     )
 
@@ -69,27 +72,46 @@ def build_pairs(
     img_path: str | None = "img_path",
     completions: str = "completions",
     format_prompt: bool = True,
-    max_inline: int = 256,
+    max_inline: int | None = None,
     block: int = 64,
+    carry: tuple[str, ...] = (),
+    prompt_carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Nested prompts -> (prompt_id, comp_i, comp_j, prompt, chosen, rejected)."""
+    """Nested prompts -> (prompt_id, comp_i, comp_j, prompt, chosen, rejected).
+
+    `max_inline=None` pairs every row where it is read (one narrow stage).
+    With `max_inline=n`, rows holding more than n completions are paired by
+    the block self-join instead; this reads the input a second time, so it
+    is for sources known to carry very large completion sets.
+    """
     base = prompts.select(
         F.col(key).alias("prompt_id"),
         formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
-        scored_completions(F.col(completions)).alias("s"),
+        *prompt_carry,
+        scored_completions(F.col(completions), carry).alias("s"),
     )
+    if max_inline is None:
+        return _pairs_in_row(base, carry, prompt_carry)
     n = F.size("s")
-    inline = _pairs_in_row(base.where(n <= max_inline))
-    hot = _pairs_by_blocks(base.where(n > max_inline), block)
+    inline = _pairs_in_row(base.where(n <= max_inline), carry, prompt_carry)
+    hot = _pairs_by_blocks(base.where(n > max_inline), block, carry, prompt_carry)
     return inline.unionByName(hot)
 
 
-def _pairs_in_row(base: DataFrame) -> DataFrame:
-    a = base.select("prompt_id", "prompt", "s", F.explode("s").alias("a")).where(pairable(F.col("a")))
+def _carried(a_score: Column, b_score: Column, a: str, b: str, carry, prompt_carry) -> list[Column]:
+    out = [F.col(c) for c in prompt_carry]
+    for f in carry:
+        ch, rj = _choose(a_score, F.col(f"{a}{f}"), b_score, F.col(f"{b}{f}"))
+        out += [ch.alias(f"chosen_{f}"), rj.alias(f"rejected_{f}")]
+    return out
+
+
+def _pairs_in_row(base: DataFrame, carry=(), prompt_carry=()) -> DataFrame:
+    a = base.select("prompt_id", "prompt", *prompt_carry, "s", F.explode("s").alias("a")).where(pairable(F.col("a")))
     a_score = F.col("a.score")
     tail = F.slice("s", (F.col("a.pos") + 2).cast("int"), (F.size("s") - F.col("a.pos") - 1).cast("int"))
     partners = F.filter(tail, lambda b: pairable(b) & (b["score"] != a_score))
-    p = a.select("prompt_id", "prompt", "a", F.explode(partners).alias("b"))
+    p = a.select("prompt_id", "prompt", *prompt_carry, "a", F.explode(partners).alias("b"))
     chosen, rejected = _choose(a_score, F.col("a.response"), F.col("b.score"), F.col("b.response"))
     return p.select(
         "prompt_id",
@@ -98,28 +120,35 @@ def _pairs_in_row(base: DataFrame) -> DataFrame:
         "prompt",
         chosen.alias("chosen"),
         rejected.alias("rejected"),
+        *_carried(a_score, F.col("b.score"), "a.", "b.", carry, prompt_carry),
     )
 
 
-def _pairs_by_blocks(base: DataFrame, block: int) -> DataFrame:
+def _pairs_by_blocks(base: DataFrame, block: int, carry=(), prompt_carry=()) -> DataFrame:
     """Self-join of one prompt's completions on (prompt, block_i, block_j), block_i <= block_j."""
     nb = F.expr(f"(size(s) + {block - 1}) div {block}").cast("int")
-    flat = base.select("prompt_id", "prompt", nb.alias("nb"), F.explode("s").alias("c")).where(pairable(F.col("c")))
+    flat = base.select("prompt_id", "prompt", *prompt_carry, nb.alias("nb"), F.explode("s").alias("c")).where(
+        pairable(F.col("c"))
+    )
     flat = flat.select(
         "prompt_id",
         "prompt",
+        *prompt_carry,
         "nb",
         F.col("c.pos").alias("pos"),
         F.col("c.response").alias("response"),
         F.col("c.score").alias("score"),
+        *[F.col(f"c.{f}").alias(f"l_{f}") for f in carry],
         F.expr(f"c.pos div {block}").cast("int").alias("blk"),
     )
     left = flat.select(
         "prompt_id",
         "prompt",
+        *prompt_carry,
         "pos",
         "response",
         "score",
+        *[f"l_{f}" for f in carry],
         F.col("blk").alias("lb"),
         F.explode(F.sequence(F.col("blk"), F.col("nb") - 1)).alias("rb"),
     ).alias("l")
@@ -128,6 +157,7 @@ def _pairs_by_blocks(base: DataFrame, block: int) -> DataFrame:
         F.col("pos").alias("pos_r"),
         F.col("response").alias("response_r"),
         F.col("score").alias("score_r"),
+        *[F.col(f"l_{f}").alias(f"r_{f}") for f in carry],
         F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("lb"),
         F.col("blk").alias("rb"),
     )
@@ -142,6 +172,7 @@ def _pairs_by_blocks(base: DataFrame, block: int) -> DataFrame:
         "prompt",
         chosen.alias("chosen"),
         rejected.alias("rejected"),
+        *_carried(F.col("score"), F.col("score_r"), "l_", "r_", carry, prompt_carry),
     )
 
 
@@ -162,20 +193,26 @@ def build_pairs_join(
         mean_rating(F.col("annotations")).alias("score"),
         formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
     ).where(usable(F.col("score")) & F.col("response").isNotNull())
-    left = v
-    right = v.select(
-        "prompt_id",
-        F.col("pos").alias("pos_r"),
-        F.col("response").alias("response_r"),
-        F.col("score").alias("score_r"),
+    # Both sides keep the same columns, so they are one shuffle (the second
+    # side is a ReusedExchange).  Neither side is broadcast: both grow with
+    # the data (AQE may still switch to a broadcast when the measured
+    # shuffle is small).
+    left = v.alias("l").hint("merge")
+    right = v.alias("r")
+    j = left.join(
+        right,
+        (F.col("l.prompt_id") == F.col("r.prompt_id"))
+        & (F.col("l.pos") < F.col("r.pos"))
+        & (F.col("l.score") != F.col("r.score")),
     )
-    j = left.join(right, "prompt_id").where((F.col("pos") < F.col("pos_r")) & (F.col("score") != F.col("score_r")))
-    chosen, rejected = _choose(F.col("score"), F.col("response"), F.col("score_r"), F.col("response_r"))
+    chosen, rejected = _choose(F.col("l.score"), F.col("l.response"), F.col("r.score"), F.col("r.response"))
     return j.select(
-        "prompt_id",
-        F.col("pos").alias("comp_i"),
-        F.col("pos_r").alias("comp_j"),
-        "prompt",
+        F.col("l.prompt_id").alias("prompt_id"),
+        F.col("l.pos").alias("comp_i"),
+        F.col("r.pos").alias("comp_j"),
+        # equal on both sides within a prompt; reading both keeps the two
+        # sides' columns identical
+        F.coalesce(F.col("l.prompt"), F.col("r.prompt")).alias("prompt"),
         chosen.alias("chosen"),
         rejected.alias("rejected"),
     )

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 PREFIX_DIGITS = 4
 EXACT_RANK_LIMIT = 100_000
 
@@ -36,9 +38,16 @@ def split_exact(
     test_size: float = 0.005,
     seed: int = 42,
     exact_rank_limit: int = EXACT_RANK_LIMIT,
+    materialize: bool = True,
 ) -> DataFrame:
     h = hash_key(seed, *keys)
+    # The counting passes read only (key, hash).  Materialise that narrow
+    # projection once in the shared checkpoint folder so each pass does not
+    # recompute the caller's whole plan.
     hashed = df.select(*keys, h.alias("_h"))
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        hashed = hashed.checkpoint(eager=True)
     region_prefix = ""
     test_cond = F.lit(False)
     remaining = None
@@ -85,8 +94,9 @@ def split_exact(
             .collect()[0]["m"]
         )
         test_cond = test_cond | (F.col("_h").startswith(region_prefix) & tuple_le(order, list(last)))
-    # Re-evaluate the hash on the caller's rows: a narrow projection.
-    out = df.withColumn("_h", h)
+    # Label the caller's rows (a narrow projection); when they are just the
+    # keys, the materialised projection already holds them.
+    out = hashed if materialize and list(df.columns) == list(keys) else df.withColumn("_h", h)
     return out.withColumn("split", F.when(test_cond, F.lit("test")).otherwise(F.lit("train"))).drop("_h")
 
 

@@ -184,8 +184,13 @@ def q_encode_labels(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ pair encoding (E5-E12)
 
 
+def _pairs_ids(spark: SparkSession, d: str) -> DataFrame:
+    """F-TEXT pairs carrying token ids (each text tokenized once, before pairing)."""
+    return encode.pairs_with_ids(fx.ftext_prompts(spark, d))
+
+
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_pairs(_text_pairs(spark, d))
+    return encode.encode_pairs(_pairs_ids(spark, d))
 
 
 SEQS = [f"{s}_{k}" for s in ("prompt", "chosen", "rejected") for k in ("input_ids", "labels", "attention_mask")]
@@ -213,11 +218,11 @@ def q_encode_masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_truncate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return encode.truncate_pairs(_text_pairs(spark, d))
+    return encode.truncate_pairs(_pairs_ids(spark, d))
 
 
 def q_length_report(spark: SparkSession, d: str) -> DataFrame:
-    return encode.length_report(_text_pairs(spark, d))
+    return encode.length_report(_pairs_ids(spark, d))
 
 
 PAD_BATCH_SIZE = 8

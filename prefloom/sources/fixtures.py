@@ -93,11 +93,14 @@ def fline_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat F-LINE: one row per completion, `comp_idx` by the four-column line order."""
     li = read_table(spark, sf_dir, "lineitem", *_LINE_COLS)
     w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
+    # Number the lines first, so the shuffle carries six numeric columns;
+    # the text and map columns are built after it.
+    li = li.withColumn("comp_idx", (F.row_number().over(w) - 1).cast("bigint"))
     p = _fline_prompt(F.col("l_orderkey"))
     c = _fline_completion(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_quantity"))
     return li.select(
         F.col("l_orderkey").alias("prompt_id"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("comp_idx"),
+        "comp_idx",
         p["prompt"].alias("prompt"),
         p["img_path"].alias("img_path"),
         c["model"].alias("model"),
