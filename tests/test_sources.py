@@ -43,3 +43,33 @@ def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.columns == ["prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected"]
     assert df.count() == 7810
+
+
+def test_preference_table_layouts(spark):
+    from prefloom.sources.preferences import read_preference_table, write_table
+
+    nested = fx.fline_prompts(spark, SF001)
+    p1 = scratch_path(spark, "t-nested")
+    write_table(nested, p1)
+    assert pairs.build_pairs(read_preference_table(spark, p1)).count() == 7810
+    p2 = scratch_path(spark, "t-parallel")
+    write_table(schemas.to_parallel_lists(nested), p2)
+    back = read_preference_table(spark, p2, layout="parallel")
+    assert pairs.build_pairs(back).count() == 7810
+
+
+def test_arrow_tokenizer_plugin(spark):
+    """An external tokenizer runs in an Arrow-batched pandas UDF."""
+    from pyspark.sql import functions as F
+
+    from prefloom.functions.tokens import ArrowTokenizer
+
+    class Bytes:
+        def encode(self, texts):
+            return [list(t.encode("utf-8")) for t in texts]
+
+    tok = ArrowTokenizer(Bytes, lambda t, texts: t.encode(texts), 256, 257, 258)
+    df = spark.createDataFrame([("aé",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(tok.encode(F.col("t"))).collect()]
+    assert got == [[97, 195, 169], None, []]
+    assert tok.role_ids("user") == [256, 117, 115, 101, 114]
