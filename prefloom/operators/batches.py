@@ -36,6 +36,7 @@ def pad_batches(
     keys: tuple[str, ...] = ("prompt_id", "comp_i", "comp_j"),
     padding_value: int = CP_EOD,
     label_pad_token_id: int = IGNORE_INDEX,
+    mask_padding_value: int = 0,
 ) -> DataFrame:
     h = hash_key(seed, *keys)
     x = encoded.withColumn("_h", h).withColumn("bucket", bucket_of(F.col("_h"), n_buckets))
@@ -47,7 +48,7 @@ def pad_batches(
     cols = []
     for side in SIDES:
         width = F.col(f"{side}_width")
-        for k, value in (("input_ids", padding_value), ("labels", label_pad_token_id), ("attention_mask", 0)):
+        for k, value in (("input_ids", padding_value), ("labels", label_pad_token_id), ("attention_mask", mask_padding_value)):
             a = F.col(f"{side}_{k}")
             fill = repeat_int(value, width - F.size(a))
             padded = F.concat(fill, a) if side == "prompt" else F.concat(a, fill)

@@ -207,6 +207,17 @@ def q_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_stream_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = pairs_stream.pairs_via_stream(spark, fx.ftext_prompts(spark, d), transform=encode.encode_prompt_rows)
+    return e.select(
+        *KEYS,
+        *[F.size(c).cast("bigint").alias(f"{c}_len") for c in SEQS if c.endswith("input_ids")],
+        *[digest(F.col(c)).alias(f"{c}_md5") for c in SEQS],
+        F.md5("chosen").alias("chosen_md5"),
+        F.md5("rejected").alias("rejected_md5"),
+    )
+
+
 def q_encode_masks(spark: SparkSession, d: str) -> DataFrame:
     e = _encoded(spark, d)
     masks = [c for c in SEQS if c.endswith("attention_mask")]
@@ -307,4 +318,5 @@ QUERIES: dict[str, Query] = {
     "sample_models": q_sample_models,
     "sample_by_domain": q_sample_by_domain,
     "stream_pairs": q_stream_pairs,
+    "stream_encode_pairs": q_stream_encode_pairs,
 }

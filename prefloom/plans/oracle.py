@@ -494,6 +494,7 @@ ORACLE_SQL: dict[str, str] = {
     "turn_answers": turn_answers_sql(),
     "encode_labels": encode_labels_sql(),
     "encode_pairs": encode_pairs_sql(),
+    "stream_encode_pairs": encode_pairs_sql(),
     "encode_masks": encode_masks_sql(),
     "truncate_pairs": truncate_pairs_sql(),
     "length_report": length_report_sql(),

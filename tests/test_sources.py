@@ -73,3 +73,17 @@ def test_arrow_tokenizer_plugin(spark):
     got = [r[0] for r in df.select(tok.encode(F.col("t"))).collect()]
     assert got == [[97, 195, 169], None, []]
     assert tok.role_ids("user") == [256, 117, 115, 101, 114]
+
+
+def test_stream_encode_equals_batch(spark):
+    from pyspark.sql import functions as F
+
+    from prefloom.operators import encode
+
+    prompts = fx.ftext_prompts(spark, SF001)
+    s = pairs_stream.pairs_via_stream(spark, prompts, transform=encode.encode_prompt_rows)
+    b = encode.encode_prompt_rows(prompts)
+    cols = ["prompt_id", "comp_i", "comp_j", "chosen_input_ids", "rejected_labels", "prompt_attention_mask"]
+    js = lambda df: df.select(*[F.to_json(F.array(c)).alias(c) for c in cols])
+    assert s.count() == b.count() == 271
+    assert js(s).exceptAll(js(b)).count() == 0
