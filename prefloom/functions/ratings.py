@@ -42,7 +42,11 @@ def parse_rating(text: Column) -> Column:
 
 def rating_class(text: Column) -> Column:
     """Why a rating parses or not: number, nan, inf, null, spark_only, rejected."""
-    t = normalize_rating(text)
+    return class_of_normalized(text, normalize_rating(text))
+
+
+def class_of_normalized(text: Column, t: Column) -> Column:
+    """`rating_class` given the already normalised text `t` (a column)."""
     ok = t.rlike(FLOAT_GRAMMAR)
     v = t.try_cast("double")
     return (

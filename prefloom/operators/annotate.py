@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ratings import parse_rating
+from ..functions.ratings import normalize_rating, parse_normalized
 from ..sources.fixtures import ASPECTS
 
 # The annotation template (instruction, four texts, three
@@ -286,8 +286,10 @@ def to_annotation_map(parsed: DataFrame, *, key: str = "prompt_id") -> DataFrame
 
 def rating_domain_check(completions: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
     """Counts per aspect of ratings in the scale, outside it, NaN and unparseable."""
-    e = completions.select(F.explode("annotations").alias("aspect", "a")).select(
-        "aspect", parse_rating(F.col("a.Rating")).alias("v")
+    e = (
+        completions.select(F.explode("annotations").alias("aspect", "a"))
+        .select("aspect", normalize_rating(F.col("a.Rating")).alias("t"))
+        .select("aspect", parse_normalized(F.col("t")).alias("v"))
     )
     status = (
         F.when(F.col("v").isNull(), F.lit("unparseable"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import digest
-from ..functions.ratings import rating_class
+from ..functions.ratings import class_of_normalized, normalize_rating
 from ..operators import annotate, batches, chatml, encode, pairs, prompts, sampling, split
 from ..sources import fixtures as fx
 from ..sources import jsonl, schemas
@@ -63,9 +63,10 @@ def q_unnest_completions(spark: SparkSession, d: str) -> DataFrame:
 
 def q_rating_quality(spark: SparkSession, d: str) -> DataFrame:
     e = fx.fline_completions(spark, d).select(F.explode("annotations").alias("aspect", "a"))
-    return e.groupBy("aspect", rating_class(F.col("a.Rating")).alias("rating_class")).agg(
-        F.count("*").cast("bigint").alias("n_ratings")
-    )
+    # normalise once (its own projection), then classify from that column
+    n = e.select("aspect", F.col("a.Rating").alias("r"), normalize_rating(F.col("a.Rating")).alias("t"))
+    c = n.select("aspect", class_of_normalized(F.col("r"), F.col("t")).alias("rating_class"))
+    return c.groupBy("aspect", "rating_class").agg(F.count("*").cast("bigint").alias("n_ratings"))
 
 
 def q_rating_domain_check(spark: SparkSession, d: str) -> DataFrame:
@@ -196,8 +197,7 @@ def _encoded(spark: SparkSession, d: str) -> DataFrame:
 SEQS = [f"{s}_{k}" for s in ("prompt", "chosen", "rejected") for k in ("input_ids", "labels", "attention_mask")]
 
 
-def q_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = _encoded(spark, d)
+def _encoded_report(e: DataFrame) -> DataFrame:
     return e.select(
         *KEYS,
         *[F.size(c).cast("bigint").alias(f"{c}_len") for c in SEQS if c.endswith("input_ids")],
@@ -207,14 +207,15 @@ def q_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded_report(_encoded(spark, d))
+
+
 def q_stream_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = pairs_stream.pairs_via_stream(spark, fx.ftext_prompts(spark, d), transform=encode.encode_prompt_rows)
-    return e.select(
-        *KEYS,
-        *[F.size(c).cast("bigint").alias(f"{c}_len") for c in SEQS if c.endswith("input_ids")],
-        *[digest(F.col(c)).alias(f"{c}_md5") for c in SEQS],
-        F.md5("chosen").alias("chosen_md5"),
-        F.md5("rejected").alias("rejected_md5"),
+    # each micro-batch encodes its prompt rows and lands the same report as
+    # `encode_pairs` (lengths and fingerprints, not the raw id arrays)
+    return pairs_stream.pairs_via_stream(
+        spark, fx.ftext_prompts(spark, d), transform=lambda b: _encoded_report(encode.encode_prompt_rows(b))
     )
 
 

@@ -36,11 +36,15 @@ def get_session(
     app_name: str = "prefloom",
     shuffle_partitions: int | None = None,
     extra_conf: dict[str, str] | None = None,
+    driver_memory: str | None = "8g",
 ) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(SCALE_CONF)
+    if master and master.startswith("local") and driver_memory:
+        # local mode: the driver JVM is the only executor (applies at JVM start)
+        conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
