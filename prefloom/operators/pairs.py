@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratings import mean_rating, usable
+from ..functions.rows import computed_once
 from ..functions.text import image_prompt
 
 PAIR_COLUMNS = ("prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected")
@@ -84,17 +85,20 @@ def build_pairs(
     the block self-join instead; this reads the input a second time, so it
     is for sources known to carry very large completion sets.
     """
-    base = prompts.select(
-        F.col(key).alias("prompt_id"),
-        formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
-        *prompt_carry,
-        scored_completions(F.col(completions), carry).alias("s"),
-    )
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col(key).alias("prompt_id"),
+            formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
+            *prompt_carry,
+            scored_completions(F.col(completions), carry).alias("s"),
+        )
+
     if max_inline is None:
-        return _pairs_in_row(base, carry, prompt_carry)
-    n = F.size("s")
-    inline = _pairs_in_row(base.where(n <= max_inline), carry, prompt_carry)
-    hot = _pairs_by_blocks(base.where(n > max_inline), block, carry, prompt_carry)
+        return _pairs_in_row(scored(prompts), carry, prompt_carry)
+    # split on the raw array's size, before scoring
+    n = F.size(completions)
+    inline = _pairs_in_row(scored(prompts.where(n <= max_inline)), carry, prompt_carry)
+    hot = _pairs_by_blocks(scored(prompts.where(n > max_inline)), block, carry, prompt_carry)
     return inline.unionByName(hot)
 
 
@@ -186,12 +190,15 @@ def build_pairs_join(
     format_prompt: bool = True,
 ) -> DataFrame:
     """Flat completions -> the same pairs as `build_pairs`, by an equi self-join."""
+    # The rating parser runs once per completion (not once per filter term).
     v = completions.select(
-        F.col(key).alias("prompt_id"),
-        F.col(idx).cast("bigint").alias("pos"),
-        F.col("response"),
-        mean_rating(F.col("annotations")).alias("score"),
-        formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
+        computed_once(
+            F.col(key).alias("prompt_id"),
+            F.col(idx).cast("bigint").alias("pos"),
+            F.col("response").alias("response"),
+            mean_rating(F.col("annotations")).alias("score"),
+            formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
+        )
     ).where(usable(F.col("score")) & F.col("response").isNotNull())
     # Both sides keep the same columns, so they are one shuffle (the second
     # side is a ReusedExchange).  Neither side is broadcast: both grow with

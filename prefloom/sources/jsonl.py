@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import computed_once
+
 CORRUPT = "_corrupt_record"
 
 
@@ -33,7 +35,9 @@ def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     reason = F.when(blank, F.lit("blank_line")).when(
         F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull(), F.lit("malformed")
     )
-    return lines.select("_line", "_file", rec.alias("_r")).withColumn("_reason", reason)
+    # parse once; the bad-line filters then read the parsed column
+    parsed = lines.select(computed_once(F.col("_line").alias("_line"), F.col("_file").alias("_file"), rec.alias("_r")))
+    return parsed.withColumn("_reason", reason)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, on_bad: str = "error") -> DataFrame:
