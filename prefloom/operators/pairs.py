@@ -191,14 +191,16 @@ def build_pairs_join(
 ) -> DataFrame:
     """Flat completions -> the same pairs as `build_pairs`, by an equi self-join."""
     # The rating parser runs once per completion (not once per filter term).
+    # The key passes through the generator unchanged, so an input already
+    # partitioned by it is not shuffled again.
     v = completions.select(
+        F.col(key).alias("prompt_id"),
+        F.col(idx).cast("bigint").alias("pos"),
         computed_once(
-            F.col(key).alias("prompt_id"),
-            F.col(idx).cast("bigint").alias("pos"),
             F.col("response").alias("response"),
             mean_rating(F.col("annotations")).alias("score"),
             formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
-        )
+        ),
     ).where(usable(F.col("score")) & F.col("response").isNotNull())
     # Both sides keep the same columns, so they are one shuffle (the second
     # side is a ReusedExchange).  Neither side is broadcast: both grow with
