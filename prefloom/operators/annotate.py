@@ -270,9 +270,23 @@ def parse_annotations(answers: DataFrame, *, key: str = "prompt_id") -> DataFram
     return p.where(F.col("status") == "ok").drop("status")
 
 
-def parse_quarantine(answers: DataFrame, *, key: str = "prompt_id") -> DataFrame:
+def parse_quarantine(
+    answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[str, ...] = ASPECTS
+) -> DataFrame:
+    """Blocks without a rating line, and expected aspect sections an answer lacks."""
     p = parse_answers(answers, key=key)
-    return p.where(F.col("status") != "ok")
+    bad_blocks = p.where(F.col("status") != "ok")
+    found = F.regexp_extract_all(F.col("answer"), F.lit(_SECTION_HEAD), 1)
+    expected = F.array(*[F.lit(a) for a in aspects])
+    missing = answers.select(key, F.explode(F.array_except(expected, found)).alias("aspect")).select(
+        key,
+        F.lit(None).cast("bigint").alias("text_idx"),
+        "aspect",
+        F.lit(None).cast("string").alias("rating"),
+        F.lit(None).cast("string").alias("rationale"),
+        F.lit("missing_section").alias("status"),
+    )
+    return bad_blocks.unionByName(missing)
 
 
 def to_annotation_map(parsed: DataFrame, *, key: str = "prompt_id") -> DataFrame:

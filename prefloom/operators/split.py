@@ -2,11 +2,11 @@
 
 `split_exact` holds out exactly `ceil(test_size * n)` rows: those with the
 smallest `md5("{seed}:{key...}")`, ties broken by the key.  It never sorts
-the whole table.  Each pass counts rows per 4-hex-digit hash prefix inside
-the current region (at most 65,536 groups, so the collected result is
-bounded), moves whole buckets below the cutoff to the test side and
-narrows the region to the cutoff bucket; once that bucket is small, the
-last few rows are ranked exactly.  The result is a narrow filter, so the
+the whole table.  Each pass counts rows per 2-byte (4-hex-digit) hash
+prefix inside the current region (at most 65,536 groups, so the collected
+result is bounded), moves whole buckets below the cutoff to the test side
+and narrows the region to the cutoff bucket; once that bucket is small,
+the last few rows are ranked exactly.  The result is a narrow filter, so the
 output keeps the input's partitioning.
 
 `split_by_prompt` keeps a whole prompt on one side (no leakage of a prompt
@@ -40,7 +40,9 @@ def split_exact(
     exact_rank_limit: int = EXACT_RANK_LIMIT,
     materialize: bool = True,
 ) -> DataFrame:
-    h = hash_key(seed, *keys)
+    # The md5 is kept as 16 raw bytes: bytewise order equals the order of
+    # its hex text, at half the size.
+    h = F.unhex(hash_key(seed, *keys))
     # The counting passes read only (key, hash).  Materialise that narrow
     # projection once in the shared checkpoint folder so each pass does not
     # recompute the caller's whole plan.
@@ -48,22 +50,23 @@ def split_exact(
     if materialize:
         checkpoint_dir(df.sparkSession)
         hashed = hashed.checkpoint(eager=True)
-    region_prefix = ""
+
+    def in_prefix(prefix: bytes) -> Column:
+        return F.substring("_h", 1, len(prefix)) == F.lit(bytearray(prefix)) if prefix else F.lit(True)
+
+    step = PREFIX_DIGITS // 2  # bytes per level
+    prefix = b""
     test_cond = F.lit(False)
     remaining = None
-    n_total = None
     while True:
-        depth = len(region_prefix)
-        region = hashed.where(F.col("_h").startswith(region_prefix)) if region_prefix else hashed
+        depth = len(prefix)
+        region = hashed.where(in_prefix(prefix)) if prefix else hashed
         counts = sorted(
-            (r["b"], r["n"])
-            for r in region.groupBy(F.substring("_h", depth + 1, PREFIX_DIGITS).alias("b"))
-            .agg(F.count("*").alias("n"))
-            .collect()
+            (bytes(r["b"]), r["n"])
+            for r in region.groupBy(F.substring("_h", depth + 1, step).alias("b")).agg(F.count("*").alias("n")).collect()
         )
-        if n_total is None:
-            n_total = sum(n for _, n in counts)
-            remaining = math.ceil(test_size * n_total)
+        if remaining is None:
+            remaining = math.ceil(test_size * sum(n for _, n in counts))
         if remaining <= 0:
             break
         cum = 0
@@ -73,27 +76,26 @@ def split_exact(
                 cut_bucket, cut_count = b, n
                 break
             cum += n
-        in_region = F.col("_h").startswith(region_prefix) if region_prefix else F.lit(True)
-        below = in_region & (F.substring("_h", depth + 1, PREFIX_DIGITS) < F.lit(cut_bucket))
+        below = in_prefix(prefix) & (F.substring("_h", depth + 1, step) < F.lit(bytearray(cut_bucket)))
         test_cond = test_cond | below
         remaining -= cum
-        region_prefix += cut_bucket
+        prefix += cut_bucket
         if remaining == cut_count:
-            test_cond = test_cond | F.col("_h").startswith(region_prefix)
+            test_cond = test_cond | in_prefix(prefix)
             remaining = 0
             break
-        if cut_count <= exact_rank_limit or len(region_prefix) >= 32:
+        if cut_count <= exact_rank_limit or len(prefix) >= 16:
             break
     if remaining and remaining > 0:
         order = [F.col("_h")] + [F.col(k) for k in keys]
         last = (
-            hashed.where(F.col("_h").startswith(region_prefix))
+            hashed.where(in_prefix(prefix))
             .orderBy(*order)
             .limit(remaining)
             .agg(F.max(F.struct(*order)).alias("m"))
             .collect()[0]["m"]
         )
-        test_cond = test_cond | (F.col("_h").startswith(region_prefix) & tuple_le(order, list(last)))
+        test_cond = test_cond | (in_prefix(prefix) & tuple_le(order, list(last)))
     # Label the caller's rows (a narrow projection); when they are just the
     # keys, the materialised projection already holds them.
     out = hashed if materialize and list(df.columns) == list(keys) else df.withColumn("_h", h)
@@ -102,9 +104,10 @@ def split_exact(
 
 def tuple_le(cols: list[Column], values: list) -> Column:
     """Lexicographic `(c1, c2, ...) <= (v1, v2, ...)`."""
-    acc = cols[-1] <= F.lit(values[-1])
-    for c, v in reversed(list(zip(cols[:-1], values[:-1]))):
-        acc = (c < F.lit(v)) | ((c == F.lit(v)) & acc)
+    lit = [F.lit(bytearray(v)) if isinstance(v, (bytes, bytearray)) else F.lit(v) for v in values]
+    acc = cols[-1] <= lit[-1]
+    for c, v in reversed(list(zip(cols[:-1], lit[:-1]))):
+        acc = (c < v) | ((c == v) & acc)
     return acc
 
 

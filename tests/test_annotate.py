@@ -49,8 +49,8 @@ def test_malformed_blocks_quarantined(spark):
         (9, 1, "Helpfulness", "4", "ok\nRating: 1 inside"),
         (9, 1, "Visual Faithfulness", "5", "line one\nline two"),
     ]
-    bad = annotate.parse_quarantine(df).collect()
-    assert [(r.text_idx, r.status) for r in bad] == [(2, "no_rating_line")]
+    bad = sorted((r.text_idx or 0, r.aspect, r.status) for r in annotate.parse_quarantine(df).collect())
+    assert bad == [(0, "Ethical Considerations", "missing_section"), (2, "Helpfulness", "no_rating_line")]
 
 
 def test_rating_domain_check(spark):
