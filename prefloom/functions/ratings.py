@@ -8,6 +8,9 @@ rejects `1_0` and `+nan`, and Spark orders NaN above every number.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +27,20 @@ def nan() -> Column:
     return F.lit(float("nan"))
 
 
+@lru_cache(maxsize=1)
+def decimal_digit_map() -> tuple[str, str]:
+    """Every Unicode decimal digit (category Nd) and its ASCII digit, by rule.
+
+    Python's float() reads these as ASCII digits.
+    """
+    src = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd" and c > 0x7F)
+    return src, "".join(str(unicodedata.decimal(ch)) for ch in src)
+
+
 def normalize_rating(text: Column) -> Column:
-    """Strip Python whitespace and digit-group underscores."""
-    t = F.regexp_replace(text, PY_STRIP_PATTERN, "")
+    """Map Unicode digits to ASCII; strip Python whitespace and digit-group underscores."""
+    src, dst = decimal_digit_map()
+    t = F.regexp_replace(F.translate(text, src, dst), PY_STRIP_PATTERN, "")
     t = F.regexp_replace(t, DIGIT_UNDERSCORE, "")
     return F.regexp_replace(t, SIGNED_NAN, "$1")
 
