@@ -17,6 +17,7 @@ narrow pass.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,45 @@ def hash_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def split_exact(
+@dataclass
+class ExactSplitRule:
+    """The test side of an exact split as a condition on the key columns.
+
+    `below`: (prefix, bucket) steps whose smaller buckets are all test;
+    `whole`: a prefix whose rows are all test; `last`: (prefix, boundary
+    row) for the ranked remainder.
+    """
+
+    keys: tuple[str, ...]
+    seed: int
+    below: list[tuple[bytes, bytes]] = field(default_factory=list)
+    whole: bytes | None = None
+    last: tuple[bytes, tuple] | None = None
+
+    def hash_col(self) -> Column:
+        return F.unhex(hash_key(self.seed, *self.keys))
+
+    def condition(self, h: Column | None = None) -> Column:
+        h = self.hash_col() if h is None else h
+        cond = F.lit(False)
+        for prefix, bucket in self.below:
+            cond = cond | (_in_prefix(h, prefix) & (F.substring(h, len(prefix) + 1, len(bucket)) < F.lit(bytearray(bucket))))
+        if self.whole is not None:
+            cond = cond | _in_prefix(h, self.whole)
+        if self.last is not None:
+            prefix, row = self.last
+            cond = cond | (_in_prefix(h, prefix) & tuple_le([h] + [F.col(k) for k in self.keys], list(row)))
+        return cond
+
+    def label(self, h: Column | None = None) -> Column:
+        return F.when(self.condition(h), F.lit("test")).otherwise(F.lit("train"))
+
+
+def _in_prefix(h: Column, prefix: bytes) -> Column:
+    return F.substring(h, 1, len(prefix)) == F.lit(bytearray(prefix)) if prefix else F.lit(True)
+
+
+def exact_split_rule(
     df: DataFrame,
     keys: tuple[str, ...] = ("prompt_id", "comp_i", "comp_j"),
     *,
@@ -39,36 +78,32 @@ def split_exact(
     seed: int = 42,
     exact_rank_limit: int = EXACT_RANK_LIMIT,
     materialize: bool = True,
-) -> DataFrame:
+) -> tuple[ExactSplitRule, DataFrame]:
+    """Count passes over (key, hash); returns the rule and the (key, hash) rows used."""
+    rule = ExactSplitRule(tuple(keys), seed)
     # The md5 is kept as 16 raw bytes: bytewise order equals the order of
-    # its hex text, at half the size.
-    h = F.unhex(hash_key(seed, *keys))
-    # The counting passes read only (key, hash).  Materialise that narrow
-    # projection once in the shared checkpoint folder so each pass does not
-    # recompute the caller's whole plan.
-    hashed = df.select(*keys, h.alias("_h"))
+    # its hex text, at half the size.  The counting passes read only
+    # (key, hash); that narrow projection is materialised once in the shared
+    # checkpoint folder so each pass does not recompute the caller's plan.
+    hashed = df.select(*keys, rule.hash_col().alias("_h"))
     if materialize:
         checkpoint_dir(df.sparkSession)
         hashed = hashed.checkpoint(eager=True)
-
-    def in_prefix(prefix: bytes) -> Column:
-        return F.substring("_h", 1, len(prefix)) == F.lit(bytearray(prefix)) if prefix else F.lit(True)
-
+    h = F.col("_h")
     step = PREFIX_DIGITS // 2  # bytes per level
     prefix = b""
-    test_cond = F.lit(False)
     remaining = None
     while True:
         depth = len(prefix)
-        region = hashed.where(in_prefix(prefix)) if prefix else hashed
+        region = hashed.where(_in_prefix(h, prefix)) if prefix else hashed
         counts = sorted(
             (bytes(r["b"]), r["n"])
-            for r in region.groupBy(F.substring("_h", depth + 1, step).alias("b")).agg(F.count("*").alias("n")).collect()
+            for r in region.groupBy(F.substring(h, depth + 1, step).alias("b")).agg(F.count("*").alias("n")).collect()
         )
         if remaining is None:
             remaining = math.ceil(test_size * sum(n for _, n in counts))
         if remaining <= 0:
-            break
+            return rule, hashed
         cum = 0
         cut_bucket, cut_count = None, 0
         for b, n in counts:
@@ -76,30 +111,43 @@ def split_exact(
                 cut_bucket, cut_count = b, n
                 break
             cum += n
-        below = in_prefix(prefix) & (F.substring("_h", depth + 1, step) < F.lit(bytearray(cut_bucket)))
-        test_cond = test_cond | below
+        rule.below.append((prefix, cut_bucket))
         remaining -= cum
         prefix += cut_bucket
         if remaining == cut_count:
-            test_cond = test_cond | in_prefix(prefix)
-            remaining = 0
-            break
+            rule.whole = prefix
+            return rule, hashed
         if cut_count <= exact_rank_limit or len(prefix) >= 16:
             break
-    if remaining and remaining > 0:
-        order = [F.col("_h")] + [F.col(k) for k in keys]
-        last = (
-            hashed.where(in_prefix(prefix))
-            .orderBy(*order)
-            .limit(remaining)
-            .agg(F.max(F.struct(*order)).alias("m"))
-            .collect()[0]["m"]
-        )
-        test_cond = test_cond | (in_prefix(prefix) & tuple_le(order, list(last)))
+    order = [h] + [F.col(k) for k in keys]
+    last = (
+        hashed.where(_in_prefix(h, prefix))
+        .orderBy(*order)
+        .limit(remaining)
+        .agg(F.max(F.struct(*order)).alias("m"))
+        .collect()[0]["m"]
+    )
+    rule.last = (prefix, tuple(last))
+    return rule, hashed
+
+
+def split_exact(
+    df: DataFrame,
+    keys: tuple[str, ...] = ("prompt_id", "comp_i", "comp_j"),
+    *,
+    test_size: float = 0.005,
+    seed: int = 42,
+    exact_rank_limit: int = EXACT_RANK_LIMIT,
+    materialize: bool = True,
+) -> DataFrame:
+    rule, hashed = exact_split_rule(
+        df, keys, test_size=test_size, seed=seed, exact_rank_limit=exact_rank_limit, materialize=materialize
+    )
     # Label the caller's rows (a narrow projection); when they are just the
     # keys, the materialised projection already holds them.
-    out = hashed if materialize and list(df.columns) == list(keys) else df.withColumn("_h", h)
-    return out.withColumn("split", F.when(test_cond, F.lit("test")).otherwise(F.lit("train"))).drop("_h")
+    if materialize and list(df.columns) == list(keys):
+        return hashed.withColumn("split", rule.label(F.col("_h"))).drop("_h")
+    return df.withColumn("split", rule.label())
 
 
 def tuple_le(cols: list[Column], values: list) -> Column:
