@@ -73,12 +73,16 @@ def class_of_normalized(text: Column, t: Column) -> Column:
     )
 
 
-def mean_rating(annotations: Column) -> Column:
+ON_NULL = ("drop", "error")
+
+
+def mean_rating(annotations: Column, on_null: str = "drop") -> Column:
     """Mean of the parsed ratings over whichever aspects the map holds.
 
-    NULL when any rating (or aspect value) is missing or unparseable, or the
-    map is NULL; NaN for an empty map, as numpy's mean of nothing.  Sums run
-    left to right in map order and divide once.
+    NULL when any rating is unparseable or the map is NULL; NaN for an empty
+    map, as numpy's mean of nothing.  A present aspect whose value or rating
+    is NULL counts as unparseable (`on_null="drop"`) or fails the job
+    (`on_null="error"`).  Sums run left to right in map order and divide once.
     """
     # Normalise once per rating (a lambda result is a value, so the regex
     # chain is not evaluated a second time for the cast).
@@ -86,7 +90,16 @@ def mean_rating(annotations: Column) -> Column:
     parsed = F.transform(normalized, parse_normalized)
     total = F.aggregate(parsed, F.lit(0.0), lambda acc, x: acc + x)
     n = F.size(annotations)
-    return F.when(annotations.isNull(), F.lit(None).cast("double")).when(n == 0, nan()).otherwise(total / n)
+    score = F.when(annotations.isNull(), F.lit(None).cast("double")).when(n == 0, nan()).otherwise(total / n)
+    if on_null == "drop":
+        return score
+    if on_null != "error":
+        raise ValueError(f"on_null must be one of {ON_NULL}")
+    has_null = F.exists(F.map_values(annotations), lambda v: v.isNull() | v["Rating"].isNull())
+    return F.when(
+        F.coalesce(has_null, F.lit(False)),
+        F.raise_error(F.lit("annotation with a null aspect value or rating")).cast("double"),
+    ).otherwise(score)
 
 
 def usable(score: Column) -> Column:

@@ -35,14 +35,14 @@ from ..functions.text import image_prompt
 PAIR_COLUMNS = ("prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected")
 
 
-def scored_completions(completions: Column, carry: tuple[str, ...] = ()) -> Column:
+def scored_completions(completions: Column, carry: tuple[str, ...] = (), on_null: str = "drop") -> Column:
     """array<struct<pos, response, score, carry...>> with one mean rating per completion."""
     return F.transform(
         completions,
         lambda c, k: F.struct(
             k.cast("bigint").alias("pos"),
             c["response"].alias("response"),
-            mean_rating(c["annotations"]).alias("score"),
+            mean_rating(c["annotations"], on_null).alias("score"),
             *[c[f].alias(f) for f in carry],
         ),
     )
@@ -77,6 +77,7 @@ def build_pairs(
     block: int = 64,
     carry: tuple[str, ...] = (),
     prompt_carry: tuple[str, ...] = (),
+    on_null: str = "drop",
 ) -> DataFrame:
     """Nested prompts -> (prompt_id, comp_i, comp_j, prompt, chosen, rejected).
 
@@ -90,7 +91,7 @@ def build_pairs(
             F.col(key).alias("prompt_id"),
             formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
             *prompt_carry,
-            scored_completions(F.col(completions), carry).alias("s"),
+            scored_completions(F.col(completions), carry, on_null).alias("s"),
         )
 
     if max_inline is None:
@@ -188,6 +189,7 @@ def build_pairs_join(
     prompt: str = "prompt",
     img_path: str | None = "img_path",
     format_prompt: bool = True,
+    on_null: str = "drop",
 ) -> DataFrame:
     """Flat completions -> the same pairs as `build_pairs`, by an equi self-join."""
     # The rating parser runs once per completion (not once per filter term).
@@ -198,7 +200,7 @@ def build_pairs_join(
         F.col(idx).cast("bigint").alias("pos"),
         computed_once(
             F.col("response").alias("response"),
-            mean_rating(F.col("annotations")).alias("score"),
+            mean_rating(F.col("annotations"), on_null).alias("score"),
             formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
         ),
     ).where(usable(F.col("score")) & F.col("response").isNotNull())

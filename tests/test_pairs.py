@@ -159,3 +159,13 @@ def test_skewed_prompt_is_split(spark):
     ref = pairs.build_pairs_join(hot).count()
     assert n == ref and n > 0
     assert "skew=true" in plan
+
+
+def test_on_null_policy(spark):
+    rows = [(["a", "b"], [{"H": "5"}, {"H": "3", "E": None}])]
+    df = nested_df(spark, rows)
+    assert spark_pairs(df) == []  # the null aspect makes completion 1 unparseable
+    with pytest.raises(Exception):
+        pairs.build_pairs(df, on_null="error").collect()
+    ok = nested_df(spark, [(["a", "b"], [{"H": "5"}, {"H": "3"}])])
+    assert pairs.build_pairs(ok, on_null="error").count() == 1
