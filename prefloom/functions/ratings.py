@@ -40,7 +40,9 @@ def decimal_digit_map() -> tuple[str, str]:
 def normalize_rating(text: Column) -> Column:
     """Map Unicode digits to ASCII; strip Python whitespace and digit-group underscores."""
     src, dst = decimal_digit_map()
-    t = F.regexp_replace(F.translate(text, src, dst), PY_STRIP_PATTERN, "")
+    # only non-ASCII text can hold such digits (char count = byte count otherwise)
+    ascii_digits = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.translate(text, src, dst))
+    t = F.regexp_replace(ascii_digits, PY_STRIP_PATTERN, "")
     t = F.regexp_replace(t, DIGIT_UNDERSCORE, "")
     return F.regexp_replace(t, SIGNED_NAN, "$1")
 

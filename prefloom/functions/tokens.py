@@ -13,7 +13,7 @@ message), never the joined string.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +48,10 @@ class CodepointTokenizer:
     def encode_const(self, text: str) -> list[int]:
         return [ord(ch) for ch in text]
 
+    def encode_many(self, texts: Column) -> Column:
+        """array<string> -> array<array<int>>."""
+        return F.transform(texts, lambda t: self.encode(t))
+
     def role_ids(self, role: str) -> list[int]:
         """Ids of the header `<|im_start|>{role}`: the special token, then the name."""
         return [self.im_start_id] + self.encode_const(role)
@@ -74,7 +78,6 @@ class ArrowTokenizer:
     im_start_id: int
     im_end_id: int
     eod_id: int
-    _udf: object = field(default=None, compare=False, repr=False)
 
     def _pandas_udf(self):
         factory, encode_fn = self.factory, self.encode_fn
@@ -99,6 +102,35 @@ class ArrowTokenizer:
     def encode(self, text: Column) -> Column:
         return self._pandas_udf()(text)
 
+    def encode_many(self, texts: Column) -> Column:
+        """array<string> -> array<array<int>>, one UDF call per Arrow batch of rows."""
+        factory, encode_fn = self.factory, self.encode_fn
+        holder: dict[str, object] = {}
+
+        @F.pandas_udf("array<array<int>>")
+        def _enc_many(lists):  # pandas.Series of arrays -> pandas.Series of arrays of arrays
+            import pandas as pd
+
+            tok = holder.get("tok")
+            if tok is None:
+                tok = holder["tok"] = factory()
+            flat, sizes = [], []
+            for lst in lists:
+                items = [] if lst is None else list(lst)
+                sizes.append(None if lst is None else len(items))
+                flat.extend("" if x is None else x for x in items)
+            ids = encode_fn(tok, flat) if flat else []
+            out, i = [], 0
+            for n in sizes:
+                if n is None:
+                    out.append(None)
+                    continue
+                out.append([list(map(int, x)) for x in ids[i : i + n]])
+                i += n
+            return pd.Series(out, index=lists.index, dtype=object)
+
+        return _enc_many(texts)
+
     def encode_const(self, text: str) -> list[int]:
         tok = self.factory()
         return [int(x) for x in self.encode_fn(tok, [text])[0]]

@@ -55,19 +55,27 @@ def tokenize_prompt_rows(
     prompts: DataFrame, tok=CodepointTokenizer(), *, format_prompt: bool = True
 ) -> DataFrame:
     """Nested rows with `prompt_x` and a token array `x` inside every completion."""
-    if not isinstance(tok, CodepointTokenizer):
-        raise TypeError("per-completion tokenizing needs a native tokenizer; use encode_pairs")
     fp = formatted_prompt("prompt", "img_path", format_prompt)
-    comps = F.transform(
+    # one call per row for all its responses (natively a transform; for a
+    # Python tokenizer one Arrow batch per call), zipped back by position
+    xs = prompts.select(
+        "prompt_id",
+        fp.alias("prompt"),
         "completions",
-        lambda c: F.struct(
-            c["comp_idx"].alias("comp_idx"),
-            c["response"].alias("response"),
-            c["annotations"].alias("annotations"),
-            tok.encode(c["response"]).alias("x"),
+        tok.encode_many(F.transform("completions", lambda c: c["response"])).alias("_xs"),
+    )
+    # zip outside the lambda: a column referenced inside a lambda may be
+    # inlined there by the optimizer and then evaluated once per element
+    comps = F.transform(
+        F.arrays_zip(F.col("completions"), F.col("_xs")),
+        lambda z: F.struct(
+            z["completions"]["comp_idx"].alias("comp_idx"),
+            z["completions"]["response"].alias("response"),
+            z["completions"]["annotations"].alias("annotations"),
+            F.when(z["completions"]["response"].isNotNull(), z["_xs"]).alias("x"),
         ),
     )
-    return prompts.select("prompt_id", fp.alias("prompt"), comps.alias("completions")).withColumn(
+    return xs.select("prompt_id", "prompt", comps.alias("completions")).withColumn(
         "prompt_x", tok.encode(F.col("prompt"))
     )
 

@@ -87,3 +87,25 @@ def test_stream_encode_equals_batch(spark):
     js = lambda df: df.select(*[F.to_json(F.array(c)).alias(c) for c in cols])
     assert s.count() == b.count() == 271
     assert js(s).exceptAll(js(b)).count() == 0
+
+
+def test_arrow_tokenizer_in_nested_encoding(spark):
+    """A Python tokenizer drives the tokenize-once path: same pairs, its own ids."""
+    from pyspark.sql import functions as F
+
+    from prefloom.functions.tokens import ArrowTokenizer
+    from prefloom.operators import encode
+
+    class Bytes:
+        def encode(self, texts):
+            return [list(t.encode("utf-8")) for t in texts]
+
+    tok = ArrowTokenizer(Bytes, lambda t, texts: t.encode(texts), 256, 257, 258)
+    prompts = fx.ftext_prompts(spark, SF001)
+    cfg = encode.EncodeConfig(max_length=4096, max_prompt_length=2048)
+    a = encode.encode_prompt_rows(prompts, tok, cfg)
+    b = encode.encode_pairs(pairs.build_pairs(prompts), tok, cfg)
+    cols = ["prompt_id", "comp_i", "comp_j", "chosen_input_ids", "rejected_labels", "prompt_attention_mask"]
+    js = lambda df: df.select(*[F.to_json(F.array(c)).alias(c) for c in cols])
+    assert a.count() == 271
+    assert js(a).exceptAll(js(b)).count() == 0
