@@ -56,28 +56,42 @@ def tokenize_prompt_rows(
 ) -> DataFrame:
     """Nested rows with `prompt_x` and a token array `x` inside every completion."""
     fp = formatted_prompt("prompt", "img_path", format_prompt)
-    # one call per row for all its responses (natively a transform; for a
-    # Python tokenizer one Arrow batch per call), zipped back by position
-    xs = prompts.select(
-        "prompt_id",
-        fp.alias("prompt"),
-        "completions",
-        tok.encode_many(F.transform("completions", lambda c: c["response"])).alias("_xs"),
-    )
-    # zip outside the lambda: a column referenced inside a lambda may be
-    # inlined there by the optimizer and then evaluated once per element
-    comps = F.transform(
-        F.arrays_zip(F.col("completions"), F.col("_xs")),
-        lambda z: F.struct(
-            z["completions"]["comp_idx"].alias("comp_idx"),
-            z["completions"]["response"].alias("response"),
-            z["completions"]["annotations"].alias("annotations"),
-            F.when(z["completions"]["response"].isNotNull(), z["_xs"]).alias("x"),
-        ),
-    )
-    return xs.select("prompt_id", "prompt", comps.alias("completions")).withColumn(
-        "prompt_x", tok.encode(F.col("prompt"))
-    )
+
+    def completion(c: Column, x: Column) -> Column:
+        return F.struct(
+            c["comp_idx"].alias("comp_idx"),
+            c["response"].alias("response"),
+            c["annotations"].alias("annotations"),
+            F.when(c["response"].isNotNull(), x).alias("x"),
+        )
+
+    if isinstance(tok, CodepointTokenizer):
+        # native: tokenize inside the per-completion transform
+        rows = prompts.select(
+            "prompt_id",
+            fp.alias("prompt"),
+            F.transform("completions", lambda c: completion(c, tok.encode(c["response"]))).alias("completions"),
+        )
+    else:
+        # Python tokenizer: one UDF call per row for all its responses (one
+        # Arrow batch per call), zipped back outside the lambda (a column
+        # referenced inside a lambda may be inlined there and then evaluated
+        # once per element)
+        xs = prompts.select(
+            "prompt_id",
+            fp.alias("prompt"),
+            "completions",
+            tok.encode_many(F.transform("completions", lambda c: c["response"])).alias("_xs"),
+        )
+        rows = xs.select(
+            "prompt_id",
+            "prompt",
+            F.transform(
+                F.arrays_zip(F.col("completions"), F.col("_xs")),
+                lambda z: completion(z["completions"], z["_xs"]),
+            ).alias("completions"),
+        )
+    return rows.withColumn("prompt_x", tok.encode(F.col("prompt")))
 
 
 def _mask(ids: Column, pad: int, eos: int, keep_one_at: Column | None = None) -> Column:
