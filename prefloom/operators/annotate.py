@@ -24,7 +24,7 @@ from ..sources.fixtures import ASPECTS
 
 # The annotation template (instruction, four texts, three
 # aspects rated 1 to 5), verbatim.  Lines ending in a space keep it.
-ANNOTATION_TEMPLATE = """# Assessment Guidelines
+JUDGE_TEMPLATE = """# Assessment Guidelines
 ## Helpfulness Assessment
 
 **Definition**: 
@@ -179,7 +179,7 @@ ASPECT_HEADINGS = {
 }
 
 
-def template_parts(template: str = ANNOTATION_TEMPLATE) -> list[str]:
+def template_parts(template: str = JUDGE_TEMPLATE) -> list[str]:
     """The template cut at its five placeholders (six literal parts)."""
     parts, rest = [], template
     for ph in (INSTRUCTION_PLACEHOLDER, *TEXT_PLACEHOLDERS):
@@ -191,7 +191,7 @@ def template_parts(template: str = ANNOTATION_TEMPLATE) -> list[str]:
     return parts
 
 
-def fill_template(instruction: Column, texts: Column, template: str = ANNOTATION_TEMPLATE) -> Column:
+def fill_template(instruction: Column, texts: Column, template: str = JUDGE_TEMPLATE) -> Column:
     """One concat of literal parts and values; missing slots are empty."""
     parts = template_parts(template)
     pieces: list[Column] = [F.lit(parts[0]), F.coalesce(instruction, F.lit(""))]
