@@ -7,12 +7,17 @@ a bucket they are ordered by the same hash and cut into batches of
 sequences are padded on the left, responses on the right.
 
 The bucket window and the per-batch width window share one hash
-partitioning (on the bucket), so this is one shuffle; the number of
-buckets, not the data, fixes the largest task.
+partitioning (on the bucket), so this is one shuffle.  A bucket is sorted
+by one task, so the number of buckets must grow with the data: by default
+it is derived from the row count (about `rows_per_bucket` rows each, from
+a count that reads only the keys), and it can be fixed explicitly to make
+the batching independent of the data size.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +36,16 @@ def pad_batches(
     encoded: DataFrame,
     *,
     batch_size: int = 8,
-    n_buckets: int = 256,
+    n_buckets: int | None = None,
+    rows_per_bucket: int = 1_000_000,
     seed: int = 42,
     keys: tuple[str, ...] = ("prompt_id", "comp_i", "comp_j"),
     padding_value: int = CP_EOD,
     label_pad_token_id: int = IGNORE_INDEX,
     mask_padding_value: int = 0,
 ) -> DataFrame:
+    if n_buckets is None:
+        n_buckets = max(1, math.ceil(encoded.select(*keys).count() / rows_per_bucket))
     h = hash_key(seed, *keys)
     x = encoded.withColumn("_h", h).withColumn("bucket", bucket_of(F.col("_h"), n_buckets))
     w = Window.partitionBy("bucket").orderBy("_h", *keys)

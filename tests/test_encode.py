@@ -108,3 +108,10 @@ def test_length_report(spark):
     assert sum(r.n_pairs for r in got.values()) == 271
     for r in got.values():
         assert r.max_total_after <= 512 or r["case"] != "responses_truncated"
+
+
+def test_pad_batches_default_buckets_follow_data(spark):
+    e = encode.encode_prompt_rows(fx.ftext_prompts(spark, SF001), cfg=encode.EncodeConfig(max_length=128, max_prompt_length=64))
+    p = batches.pad_batches(e, batch_size=4, rows_per_bucket=100)
+    assert p.select("bucket").distinct().count() <= 3  # ceil(271 / 100) buckets
+    assert p.count() == 271
