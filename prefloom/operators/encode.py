@@ -124,11 +124,25 @@ def _encoded_parts(pairs: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
         ids_of("chosen").alias("_cx"),
         ids_of("rejected").alias("_rx"),
     )
-    u_ids, u_lab = user_segment(F.col("_px"), tok)
-    c_ids, c_lab = assistant_segment(F.col("_cx"), tok)
-    r_ids, r_lab = assistant_segment(F.col("_rx"), tok)
+    # Lengths come from the full token counts; the arrays themselves are cut
+    # to the budget first.  A sequence longer than `bound` tokens is always
+    # truncated to at most `bound`, so the cut never changes the result, and
+    # no array longer than the budget is built.  (keep_end with a prompt
+    # budget of 0 keeps the whole prompt, so that prompt is not cut.)
+    nl = tok.encode_const("\n")
+    user_fixed = len(tok.role_ids("user")) + len(nl) + 1 + len(nl)
+    asst_fixed = len(tok.role_ids("assistant")) + len(nl) + 1 + len(nl) + 1  # + EOS
+    bound = max(cfg.max_length, cfg.max_prompt_length)
+    keep_end = cfg.truncation_mode == "keep_end"
+    if keep_end and cfg.max_prompt_length == 0:
+        px = F.col("_px")
+    else:
+        px = tail(F.col("_px"), bound) if keep_end else head(F.col("_px"), bound)
+    u_ids, u_lab = user_segment(px, tok)
+    c_ids, c_lab = assistant_segment(head(F.col("_cx"), bound), tok)
+    r_ids, r_lab = assistant_segment(head(F.col("_rx"), bound), tok)
     eos_arr = int_array([eos])
-    x = x.select(
+    return x.select(
         *keys,
         "prompt",
         "chosen",
@@ -139,10 +153,9 @@ def _encoded_parts(pairs: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
         F.concat(c_lab, eos_arr).alias("c_labels"),
         F.concat(r_ids, eos_arr).alias("r_input_ids"),
         F.concat(r_lab, eos_arr).alias("r_labels"),
-    )
-    return x.withColumn("prompt_len", F.size("p_input_ids")).withColumn(
-        "response_len", F.greatest(F.size("c_input_ids"), F.size("r_input_ids"))
-    )
+        (F.size("_px") + len(sys_ids) + user_fixed).alias("prompt_len"),
+        F.greatest(F.size("_cx"), F.size("_rx")).alias("_rmax"),
+    ).withColumn("response_len", F.col("_rmax") + asst_fixed).drop("_rmax")
 
 
 def _truncated(parts: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
@@ -154,7 +167,8 @@ def _truncated(parts: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
         "*",
         over1.alias("prompt_over"),
         *[F.when(over1, cut_prompt(F.col(f"p_{k}"))).otherwise(F.col(f"p_{k}")).alias(f"tp_{k}") for k in ("input_ids", "labels")],
-        # position of the appended EOS in each response (it keeps mask 1)
+        # position of the appended EOS in each response (it keeps mask 1);
+        # when the response was cut, it is beyond the kept ids
         (F.size("c_input_ids") - 1).alias("c_eos_pos"),
         (F.size("r_input_ids") - 1).alias("r_eos_pos"),
     ).drop("p_input_ids", "p_labels")

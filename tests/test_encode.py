@@ -36,6 +36,9 @@ def boundary_rows(cfg):
                 rows.append((pid, 0, 1, "p" * plen, "é" * resp, "x" * other))
                 pid += 1
     rows.append((pid, 0, 1, "  emoji 😀 ", "", "a\nb"))
+    # far over the budget on every side
+    rows.append((pid + 1, 0, 1, "q" * (3 * cfg.max_length), "é" * (3 * cfg.max_length), "x" * (2 * cfg.max_length)))
+    rows.append((pid + 2, 0, 1, "q" * 5, "é" * (3 * cfg.max_length), "x"))
     return rows
 
 
