@@ -109,3 +109,10 @@ def test_arrow_tokenizer_in_nested_encoding(spark):
     js = lambda df: df.select(*[F.to_json(F.array(c)).alias(c) for c in cols])
     assert a.count() == 271
     assert js(a).exceptAll(js(b)).count() == 0
+
+
+def test_stream_of_nothing(spark):
+    nested = fx.fline_prompts(spark, SF001).limit(0)
+    s = pairs_stream.pairs_via_stream(spark, nested)
+    assert s.count() == 0
+    assert s.columns == ["prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected"]
