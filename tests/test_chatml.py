@@ -59,3 +59,49 @@ def test_plan_one_shuffle(spark):
     turns = chatml.encode_turns(chatml.drop_leading_nonuser(fx.conversations(spark, SF001)))
     plan = chatml.turn_prompts(turns)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def model_conversation(turns):
+    """Prompts (cumulative prefix at each user turn) and answers (own segment), per the semantics."""
+    if turns and turns[0][0] != "user":
+        turns = turns[1:]
+    sys_ids, sys_lab = system_segment()
+    ids, labels = list(sys_ids), list(sys_lab)
+    prompts, answers = {}, {}
+    for turn, (role, text) in enumerate(turns):
+        s_ids, s_lab = segment(role, text)
+        ids += s_ids
+        labels += s_lab
+        if role == "user":
+            prompts[turn] = (list(ids), list(labels))
+        else:
+            answers[turn] = (s_ids, s_lab)
+    return prompts, answers
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.text(alphabet="ab é😀\n", max_size=12)), min_size=1, max_size=6),
+        min_size=1,
+        max_size=4,
+    )
+)
+def test_random_conversations_against_model(spark, convs):
+    rows = [(cid, t, role, text) for cid, turns in enumerate(convs) for t, (role, text) in enumerate(turns)]
+    df = conv_df(spark, rows)
+    turns = chatml.encode_turns(chatml.drop_leading_nonuser(df))
+    got_p = {(r.conv_id, r.turn): (list(r.input_ids), list(r.labels)) for r in chatml.turn_prompts(turns).collect()}
+    got_a = {(r.conv_id, r.turn): (list(r.input_ids), list(r.labels)) for r in chatml.turn_answers(turns).collect()}
+    want_p, want_a = {}, {}
+    for cid, conv in enumerate(convs):
+        offset = 1 if conv and conv[0][0] != "user" else 0
+        p, a = model_conversation(conv)
+        want_p.update({(cid, t + offset): v for t, v in p.items()})
+        want_a.update({(cid, t + offset): v for t, v in a.items()})
+    assert got_p == want_p
+    assert got_a == want_a
