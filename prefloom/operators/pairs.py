@@ -268,15 +268,24 @@ def pair_outcomes(prompts: DataFrame, *, completions: str = "completions") -> Da
     """
     s = scored_completions(F.col(completions))
     base = prompts.select(s.alias("s"))
-    valid = F.filter("s", lambda x: usable(x["score"]))
-    valid_r = F.filter(valid, lambda x: x["response"].isNotNull())
-    per = base.select(
+    # the filtered arrays get their own projection, so each is built once
+    v = base.select(
         F.size("s").alias("n"),
         F.size(F.filter("s", lambda x: x["score"].isNull())).alias("u"),
-        F.size(valid).alias("m"),
-        F.size(valid_r).alias("mp"),
-        _tie_pairs(F.transform(valid, lambda x: x["score"])).alias("t"),
-        _tie_pairs(F.transform(valid_r, lambda x: x["score"])).alias("tp"),
+        F.transform(F.filter("s", lambda x: usable(x["score"])), lambda x: x["score"]).alias("vs"),
+        F.transform(
+            F.filter("s", lambda x: usable(x["score"]) & x["response"].isNotNull()), lambda x: x["score"]
+        ).alias("vrs"),
+    )
+    v = v.select("n", "u", "vs", "vrs", _tie_pairs(F.col("vs")).alias("t"))
+    per = v.select(
+        "n",
+        "u",
+        F.size("vs").alias("m"),
+        F.size("vrs").alias("mp"),
+        "t",
+        # no response missing (the usual case): the same runs
+        F.when(F.size("vrs") == F.size("vs"), F.col("t")).otherwise(_tie_pairs(F.col("vrs"))).alias("tp"),
     )
     n, u, m, mp, t, tp = (F.col(c) for c in ("n", "u", "m", "mp", "t", "tp"))
     tot = per.agg(
