@@ -74,7 +74,8 @@ def build_pairs(
     completions: str = "completions",
     format_prompt: bool = True,
     max_inline: int | None = None,
-    block: int = 64,
+    min_block: int = 64,
+    max_blocks: int = 256,
     carry: tuple[str, ...] = (),
     prompt_carry: tuple[str, ...] = (),
     on_null: str = "drop",
@@ -84,7 +85,10 @@ def build_pairs(
     `max_inline=None` pairs every row where it is read (one narrow stage).
     With `max_inline=n`, rows holding more than n completions are paired by
     the block self-join instead; this reads the input a second time, so it
-    is for sources known to carry very large completion sets.
+    is for sources known to carry very large completion sets.  A hot row is
+    cut into min(ceil(n / min_block), max_blocks) position-ordered blocks:
+    each completion is copied at most `max_blocks` times per side (linear in
+    n), and its pairs spread over up to max_blocks*(max_blocks+1)/2 keys.
     """
     def scored(rows: DataFrame) -> DataFrame:
         return rows.select(
@@ -99,7 +103,7 @@ def build_pairs(
     # split on the raw array's size, before scoring
     n = F.size(completions)
     inline = _pairs_in_row(scored(prompts.where(n <= max_inline)), carry, prompt_carry)
-    hot = _pairs_by_blocks(scored(prompts.where(n > max_inline)), block, carry, prompt_carry)
+    hot = _pairs_by_blocks(scored(prompts.where(n > max_inline)), min_block, max_blocks, carry, prompt_carry)
     return inline.unionByName(hot)
 
 
@@ -129,12 +133,12 @@ def _pairs_in_row(base: DataFrame, carry=(), prompt_carry=()) -> DataFrame:
     )
 
 
-def _pairs_by_blocks(base: DataFrame, block: int, carry=(), prompt_carry=()) -> DataFrame:
+def _pairs_by_blocks(base: DataFrame, min_block: int, max_blocks: int, carry=(), prompt_carry=()) -> DataFrame:
     """Self-join of one prompt's completions on (prompt, block_i, block_j), block_i <= block_j."""
-    nb = F.expr(f"(size(s) + {block - 1}) div {block}").cast("int")
-    flat = base.select("prompt_id", "prompt", *prompt_carry, nb.alias("nb"), F.explode("s").alias("c")).where(
-        pairable(F.col("c"))
-    )
+    nb = F.expr(f"least({max_blocks}, (size(s) + {min_block - 1}) div {min_block})").cast("int")
+    flat = base.select(
+        "prompt_id", "prompt", *prompt_carry, nb.alias("nb"), F.size("s").alias("n"), F.explode("s").alias("c")
+    ).where(pairable(F.col("c")))
     flat = flat.select(
         "prompt_id",
         "prompt",
@@ -144,7 +148,8 @@ def _pairs_by_blocks(base: DataFrame, block: int, carry=(), prompt_carry=()) ->
         F.col("c.response").alias("response"),
         F.col("c.score").alias("score"),
         *[F.col(f"c.{f}").alias(f"l_{f}") for f in carry],
-        F.expr(f"c.pos div {block}").cast("int").alias("blk"),
+        # even, position-ordered blocks: i < j implies block(i) <= block(j)
+        F.expr("(c.pos * nb) div n").cast("int").alias("blk"),
     )
     left = flat.select(
         "prompt_id",
