@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import encode, split
 from .operators.pairs import build_pairs
@@ -40,11 +41,25 @@ def prepare(
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Two passes over the source: the split keys, then the encoded pairs.
+
+    `pairs/` is written from the written `encoded/` table (it holds the
+    prompt and both response texts), reading only those columns back.
+    """
     prompts = read_preference_table(spark, args.input, layout=args.layout, fmt=args.format)
     cfg = encode.EncodeConfig.for_model_max_length(args.model_max_length)
-    pairs, encoded = prepare(prompts, cfg=cfg, test_size=args.test_size, seed=args.seed)
-    write_table(pairs, f"{args.output}/pairs", mode=args.mode, partition_by=("split",))
+    rule, _ = split.exact_split_rule(build_pairs(prompts).select(*KEYS), KEYS, test_size=args.test_size, seed=args.seed)
+    encoded = encode.encode_pairs(encode.pairs_with_ids(prompts), cfg=cfg).withColumn("split", rule.label())
     write_table(encoded, f"{args.output}/encoded", mode=args.mode, partition_by=("split",))
+    written = spark.read.parquet(f"{args.output}/encoded")
+    pairs = written.select(
+        *KEYS,
+        "prompt",
+        F.col("chosen_response_only").alias("chosen"),
+        F.col("rejected_response_only").alias("rejected"),
+        "split",
+    )
+    write_table(pairs, f"{args.output}/pairs", mode=args.mode, partition_by=("split",))
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:

@@ -18,3 +18,18 @@ def test_prepare_end_to_end(spark):
     assert pairs.where("split = 'test'").count() == math.ceil(0.05 * 271)
     assert enc.where("split = 'test'").count() == math.ceil(0.05 * 271)
     assert enc.selectExpr("max(size(chosen_input_ids))").first()[0] <= 512
+
+
+def test_job_pairs_equal_built_pairs(spark):
+    from prefloom.operators import pairs as P
+
+    src = scratch_path(spark, "t-job-in2")
+    out = scratch_path(spark, "t-job-out2")
+    prompts = fx.ftext_prompts(spark, SF001).select("prompt_id", "prompt", "img_path", "completions")
+    write_table(prompts, src)
+    jobs.run(spark, jobs.parse_args(["--input", src, "--output", out]))
+    got = spark.read.parquet(f"{out}/pairs").drop("split")
+    want = P.build_pairs(spark.read.parquet(src))
+    cols = ["prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected"]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
