@@ -24,9 +24,13 @@ def sample_per_group(
     return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).where(F.col(rank_col) <= k)
 
 
-def sample_models(completions: DataFrame, k: int = 4, *, seed: int = 42) -> DataFrame:
-    """Pick k responses per prompt out of its pool (the template has four slots)."""
-    return sample_per_group(completions, "prompt_id", "comp_idx", k, seed=seed)
+def sample_models(completions: DataFrame, k: int = 4, *, seed: int = 42, key: str = "comp_idx") -> DataFrame:
+    """Pick k responses per prompt out of its pool (the template has four slots).
+
+    `key` is the per-prompt unique column the seeded hash ranks (a
+    completion index, or a model name when each model answers once).
+    """
+    return sample_per_group(completions, "prompt_id", key, k, seed=seed)
 
 
 def sample_by_domain(docs: DataFrame, k: int, *, domain: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
