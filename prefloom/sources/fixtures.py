@@ -142,7 +142,8 @@ def ftext_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One scalar; the benchmark table is small and its size is not assumed.
     n_items = bench.count()
     d = docs.join(labels, "doc_id", "left").withColumn("prompt_id", F.expr("doc_id div 4").cast("bigint"))
-    d = d.join(bench, F.col("item_id") == F.pmod(F.col("prompt_id"), F.lit(n_items)), "left")
+    # an empty benchmark leaves the prompt NULL (no item matches) instead of dividing by zero
+    d = d.join(bench, F.col("item_id") == F.pmod(F.col("prompt_id"), F.lit(max(n_items, 1))), "left")
     labelled = F.col("labelled").isNotNull()
     # Two lines, the second starting with "Rating:", to exercise answer parsing.
     rationale = F.concat(F.lit("from "), F.col("source"), F.lit("\nRating: see scale"))
