@@ -116,3 +116,25 @@ def test_stream_of_nothing(spark):
     s = pairs_stream.pairs_via_stream(spark, nested)
     assert s.count() == 0
     assert s.columns == ["prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected"]
+
+
+def test_stream_restart_processes_new_files_once(spark):
+    """A restarted query resumes from its checkpoint: new files only, no duplicates."""
+    nested = fx.fline_prompts(spark, SF001)
+    src = scratch_path(spark, "t-restart-src")
+    out = scratch_path(spark, "t-restart-out")
+    ckpt = scratch_path(spark, "t-restart-ckpt")
+    from pyspark.sql import functions as F
+
+    mid = nested.agg(F.percentile_approx("prompt_id", 0.5)).first()[0]
+    first, second = nested.where(F.col("prompt_id") < mid), nested.where(F.col("prompt_id") >= mid)
+    first.write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    pairs_stream.start_pairs_stream(spark, src, schema, out, ckpt).awaitTermination()
+    n_first = spark.read.parquet(out).count()
+    second.write.mode("append").parquet(src)
+    pairs_stream.start_pairs_stream(spark, src, schema, out, ckpt).awaitTermination()
+    got = spark.read.parquet(out).drop("batch_id")
+    want = pairs.build_pairs(nested)
+    assert 0 < n_first < got.count() == 7810
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
