@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate, host_rules, ngram_join
+from prefloom.llm import bpe, decontaminate, host_rules, line_dedup, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(found)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True)
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge_documents(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -43,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op7_host_rules": op7_host_rules,
 }
