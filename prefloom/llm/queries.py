@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate, host_rules, line_dedup, ngram_join, pii_bootstrap
+from prefloom.llm import bpe, decontaminate, host_rules, line_dedup, ngram_join, passage_dedup, pii_bootstrap, wrapper_extract
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_text(_table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge_documents(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -44,6 +48,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.personal_data_digest(pii_bootstrap.find_personal_data(_table(spark, sf_dir, "documents")))
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_host_rules": op7_host_rules,
+    "op9_wrapper_extract": op9_wrapper_extract,
     "op10_personal_data": op10_personal_data,
 }
