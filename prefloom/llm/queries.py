@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate, host_rules, line_dedup, ngram_join, passage_dedup, pii_bootstrap, wrapper_extract
+from prefloom.llm import (
+    bpe,
+    decontaminate,
+    host_rules,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    passage_dedup,
+    pii_bootstrap,
+    wrapper_extract,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +58,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_summary(license_scan.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op9_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -63,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_passage_dedup": op6_passage_dedup,
     "op7_host_rules": op7_host_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_wrapper_extract": op9_wrapper_extract,
     "op10_personal_data": op10_personal_data,
 }
