@@ -16,6 +16,7 @@ from prefloom.llm import (
     ngram_join,
     passage_dedup,
     pii_bootstrap,
+    tool_calls,
     wrapper_extract,
 )
 
@@ -28,6 +29,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.derived_calls(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +78,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_tool_calls": op2_tool_calls,
     "op3_bpe": op3_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
