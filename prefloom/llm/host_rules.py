@@ -37,16 +37,18 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_GAP), "")
 
 
-def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """n_words, word_chars, n_symbols, n_stutter, n_lines, n_dup_lines, n_repeat_words per row.
+def document_figures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (the `keep` columns as a struct) and n_words, word_chars, n_symbols,
+    n_stutter, n_lines, n_dup_lines, n_repeat_words of each row's text.
 
     A null or empty text has zeros.  `n_repeat_words` hashes the 8-word
     windows of the row and sorts them only where one occurs twice.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(*(keep or [id_col]), computed_once(_words(text).alias("w"), text.alias("t")))
+    row = F.struct(*(docs.columns if keep is None else keep)).alias("row")
+    d = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = d.select("row", computed_once(_words(F.col("t")).alias("w"), F.col("t").alias("t")))
     d = d.select(
-        *(keep or [id_col]),
+        "row",
         computed_once(
             F.size("w").cast("long").alias("n_words"),
             F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -107,13 +109,13 @@ def failed_weight() -> Column:
     return total
 
 
-def host_verdicts(figures: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """host, n_docs, n_failing, rate (shrunk), strict.
+def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """(host, base_failed, failed_weight) rows -> host, n_docs, n_failing, rate (shrunk), strict.
 
     The beta prior's mean and strength come from the hosts themselves by
     moments; with no spread between hosts, the rate is the overall mean.
     """
-    hosts = figures.groupBy(F.col(host_col).alias("host")).agg(
+    hosts = judged.groupBy("host").agg(
         F.count("*").alias("n_docs"), F.sum(F.when((F.col("failed_weight") > 0) | F.col("base_failed"), 1).otherwise(0)).alias("n_failing")
     )
     hosts = written(hosts, "hosts")
@@ -134,25 +136,35 @@ def host_verdicts(figures: DataFrame, host_col: str = "source", limit: float = H
     return hosts.select("host", "n_docs", "n_failing", rate.alias("rate"), (rate > limit).alias("strict"))
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Per document row: the figures, base_failed, failed_weight, strict_host and kept.
+def _judged(docs: DataFrame, text_col: str, host_col: str, keep: list[str], store: bool) -> DataFrame:
+    """row, figures, base_failed, failed_weight, strict_host, kept."""
+    figures = document_figures(docs, text_col, list(dict.fromkeys([*keep, host_col])))
+    figures = figures.select("*", computed_once(base_failed().alias("base_failed"), failed_weight().alias("failed_weight")))
+    figures = written(figures, "figures") if store else figures
+    host = F.col("row").getField(host_col)
+    verdicts = host_verdicts(figures.select(host.alias("host"), "base_failed", "failed_weight"))
+    verdicts = written(verdicts.select("host", F.col("strict").alias("strict_host")), "verdicts")
+    judged = figures.join(verdicts, host.eqNullSafe(F.col("host")), "left").drop("host")
+    limit = F.when(F.coalesce("strict_host", F.lit(False)), STRICT).otherwise(LENIENT)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("failed_weight") < limit))
+
+
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Per document row: the id, the figures, base_failed, failed_weight, strict_host and kept.
 
     A document without a failed rule is kept whatever its host.  A heavy
-    failure rejects it anywhere, a light one only on a strict host.  Null hosts form
-    one host.  Repeated rows are judged alike; an empty table gives none.
+    failure rejects it anywhere, a light one only on a strict host.  Null
+    hosts form one host.  Repeated rows are judged alike; an empty table gives
+    none; further columns are ignored, whatever their names.
     """
-    cols = list(dict.fromkeys([id_col, host_col, *(keep or [])]))
-    figures = document_figures(docs, id_col, text_col, cols).select(
-        "*", computed_once(base_failed().alias("base_failed"), failed_weight().alias("failed_weight"))
-    )
-    table = written(figures, "figures") if not keep else figures
-    verdicts = written(host_verdicts(table.select(host_col, "base_failed", "failed_weight"), host_col).select("host", "strict"), "verdicts")
-    judged = table.join(verdicts, F.col(host_col).eqNullSafe(F.col("host")), "left")
-    limit = F.when(F.coalesce("strict", F.lit(False)), STRICT).otherwise(LENIENT)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("failed_weight") < limit)).drop("host").withColumnRenamed("strict", "strict_host")
+    judged = _judged(docs, text_col, host_col, [id_col], store=True)
+    return judged.select(F.col("row").getField(id_col).alias(id_col), *[c for c in judged.columns if c != "row"])
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with their columns as they were."""
-    judged = judge_documents(docs, id_col, text_col, host_col, keep=docs.columns)
-    return judged.filter("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents that the rules keep, with their columns as they were.
+
+    Texts are too large to write twice, so the figures are computed once for
+    the hosts and again with the verdicts; nothing is shuffled but host sums.
+    """
+    return _judged(docs, text_col, host_col, docs.columns, store=False).filter("kept").select("row.*")

@@ -24,11 +24,11 @@ from prefloom.llm.common import connected_components, remove, settle, written
 
 SHINGLE = 8
 THRESHOLD = 0.8
-ROWS, BANDS = 4, 8  # a pair at 0.8 meets with probability 0.985, at 0.85 with 0.997
-PER_BIN = 8  # hashes kept per bin and line; an empty bin is then rarer than 1 in 2000
-ALWAYS = 32  # first shingles of a line kept whatever their hash, for long lines of few different ones
-SMALL_BUCKET = 32  # up to this size all pairs with a failed member are compared
-PIVOTS = 16  # pivots of a larger bucket, about
+ROWS, BANDS = 3, 6  # a pair at 0.8 meets with probability 0.987, at 0.85 with 0.997
+PER_BIN = 5  # hashes kept per bin and line; an empty bin (1 in 150) borrows from the next
+ALWAYS = 16  # first shingles of a line kept whatever their hash, for long lines of few different ones
+SMALL_BUCKET = 8  # up to this size all pairs with a failed member are compared
+PIVOTS = 4  # pivots of a larger bucket, about
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -44,12 +44,12 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """h1, h2, first_doc, last_doc, times, bands array<long>: a row for each different line."""
+    """h1, h2, first_doc, last_doc, id, bands array<long>: a row for each different line."""
     bins = rows * bands
-    wide = lines.select("doc", "h1", "h2", F.encode("line", "UTF-32").alias("b"))
-    wide = wide.withColumn("n", F.expr(f"greatest(length(b) div 4 - {shingle - 1}, 1)"))
+    wide = lines.select("doc", "h1", "h2", F.encode("line", "UTF-16BE").alias("b"))
+    wide = wide.withColumn("n", F.expr(f"greatest(length(b) div 2 - {shingle - 1}, 1)"))
     one = wide.select("doc", "h1", "h2", "n", "b", F.expr("explode(sequence(0, n - 1))").alias("i"))
-    one = one.select("doc", "h1", "h2", "n", "i", F.expr(f"xxhash64(substring(b, i * 4 + 1, {4 * shingle}))").alias("h"))
+    one = one.select("doc", "h1", "h2", "n", "i", F.expr(f"xxhash64(substring(b, i * 2 + 1, {2 * shingle}))").alias("h"))
     value = "cast(shiftrightunsigned(h, 33) as int)"
     one = one.select("doc", "h1", "h2", "n", "i", F.expr(value).alias("v"), F.expr(f"cast(pmod(h & 2147483647, {bins}) as int)").alias("bin"))
     # only a line's least hashes can be the least of a bin
@@ -57,20 +57,24 @@ def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFra
     least = [F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"m{k}") for k in range(bins)]
     sig = one.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("times"), *least)
     a = F.array(*[F.coalesce(F.col(f"m{k}"), F.lit(-1)) for k in range(bins)])
-    sig = sig.select("h1", "h2", "first_doc", "last_doc", "times", a.alias("m"))
+    # a line's id sorts before those of rarer lines (by powers of two), then by hash
+    rare = F.lit(15) - F.least(F.floor(F.log2("times")), F.lit(15))
+    line_id = F.shiftleft(rare.cast("long"), 59).bitwiseOR(F.shiftrightunsigned("h1", 5))
+    sig = sig.select("h1", "h2", "first_doc", "last_doc", line_id.alias("id"), a.alias("m"))
     # an empty bin borrows from the bins after it, in a circle
     bands_of = [
         F.expr(f"xxhash64({j}, slice(array_remove(concat(slice(m, {j * rows + 1}, {bins}), m), -1), 1, {rows}))") for j in range(bands)
     ]
-    return sig.select("h1", "h2", "first_doc", "last_doc", "times", F.array(*bands_of).alias("bands"))
+    return sig.select("h1", "h2", "first_doc", "last_doc", "id", F.array(*bands_of).alias("bands"))
 
 
-def similarity(a: str, b: str, shingle: int) -> Column:
-    """Jaccard similarity of the shingle sets of two text columns."""
+def shingle_pair(a: str, b: str, shingle: int) -> Column:
+    """x, y: the shingles of two text columns, each computed once."""
 
     def grams(c: str) -> Column:
-        every = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1))
-        return F.when(F.length(c) <= shingle, F.array(F.col(c))).otherwise(F.array_distinct(every))
+        # the matches that follow each other, from each of the first `shingle` places on
+        each = [F.regexp_extract_all(F.expr(f"substr({c}, {k})"), F.lit(f"(?s).{{{shingle}}}"), F.lit(0)) for k in range(1, shingle + 1)]
+        return F.when(F.length(c) <= shingle, F.array(F.col(c))).otherwise(F.flatten(F.array(*each)))
 
     x, y = grams(a), grams(b)
     return F.inline(F.array(F.struct(x.alias("x"), y.alias("y"))))
@@ -78,20 +82,20 @@ def similarity(a: str, b: str, shingle: int) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """(a, b) pairs -> a, b, similar."""
-    left = texts.select(F.col("h1").alias("a"), F.col("line").alias("ta"))
-    right = texts.select(F.col("h1").alias("b"), F.col("line").alias("tb"))
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
-    sets = both.select("a", "b", similarity("ta", "tb", shingle))
-    sizes = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return sizes.select("a", "b", (F.col("c") >= threshold * (F.col("nx") + F.col("ny") - F.col("c"))).alias("similar"))
+    sets = both.select("a", "b", shingle_pair("ta", "tb", shingle))
+    common, every = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    return sets.select("a", "b", (common >= threshold * every).alias("similar"))
 
 
 def _pivot_pairs(left: DataFrame) -> DataFrame:
     """Pairs (a, b) of the members left of large buckets with their pivots."""
-    sizes = left.groupBy("band").agg(F.count("*").alias("m"), F.min("h1").alias("least"))
-    chosen = (F.col("h1") == F.col("least")) | (F.pmod(F.xxhash64("h1", "band"), F.ceil(F.col("m") / PIVOTS)) == 0)
-    pivots = left.join(sizes, "band").filter(chosen).select("band", F.col("h1").alias("b"))
-    return left.select("band", F.col("h1").alias("a")).join(pivots, "band").filter("a <> b")
+    sizes = left.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("least"))
+    chosen = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("m") / PIVOTS)) == 0)
+    pivots = left.join(sizes, "band").filter(chosen).select("band", F.col("id").alias("b"))
+    return left.select("band", F.col("id").alias("a")).join(pivots, "band").filter("a <> b")
 
 
 def line_verdicts(
@@ -113,32 +117,28 @@ def line_verdicts(
     lines = line_table(docs, id_col, text_col)
     sig = written(signatures(lines, shingle, rows, bands), "line-signatures")
     settle(spark)
-    member = sig.select("h1", "times", F.explode("bands").alias("band"))
-    # the most frequent line, of equally frequent ones the least hash
-    most = F.max("times").alias("times")
-    tops = member.groupBy("band").agg(most, F.count("*").alias("m")).filter("m > 1")
-    hubs = member.join(tops, ["band", "times"]).groupBy("band").agg(F.min("h1").alias("hub"), F.first("m").alias("m"))
-    buckets = written(member.select("band", "h1").join(hubs, "band").filter("h1 <> hub"), "line-buckets")
+    member = sig.select("id", F.explode("bands").alias("band"))
+    hubs = member.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("m")).filter("hub <> other")
+    buckets = written(member.join(hubs.drop("other"), "band").filter("id <> hub"), "line-buckets")
     settle(spark)
-    star = buckets.select(F.col("h1").alias("a"), F.col("hub").alias("b")).distinct()
-    star = written(star, "line-star")
-    wanted = star.select(F.col("a").alias("h1")).unionByName(star.select(F.col("b").alias("h1"))).distinct()
+    star = written(buckets.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line-star")
+    wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     # equal lines stand in many documents: the first one's copy is enough
-    first = sig.join(wanted, "h1", "left_semi").select("h1", "h2", F.col("first_doc").alias("doc"))
-    texts = written(lines.join(first, ["doc", "h1", "h2"], "left_semi").select("h1", "line"), "line-texts")
+    first = sig.join(wanted, "id", "left_semi").select("h1", "h2", F.col("first_doc").alias("doc"), "id")
+    texts = written(lines.join(first, ["doc", "h1", "h2"]).select("id", "line"), "line-texts")
     settle(spark)
     checked = written(_verified(star, texts, shingle, threshold), "line-checked")
-    failed = checked.filter("not similar").select(F.col("a").alias("h1"), F.col("b").alias("hub"))
-    failed = written(buckets.join(failed, ["h1", "hub"]).select("band", "h1", "m"), "line-failed")
-    few = failed.filter(F.col("m") <= SMALL_BUCKET).select("band", F.col("h1").alias("a"))
-    rest = few.join(buckets.select("band", F.col("h1").alias("b")), "band").filter("a <> b")
-    rest = rest.unionByName(_pivot_pairs(failed.filter(F.col("m") > SMALL_BUCKET).select("band", "h1")))
+    failed = checked.filter("not similar").select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    failed = written(buckets.join(failed, ["id", "hub"]).select("band", "id", "m"), "line-failed")
+    few = failed.filter(F.col("m") <= SMALL_BUCKET).select("band", F.col("id").alias("a"))
+    rest = few.join(buckets.select("band", F.col("id").alias("b")), "band").filter("a <> b")
+    rest = rest.unionByName(_pivot_pairs(failed.filter(F.col("m") > SMALL_BUCKET).select("band", "id")))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = checked.unionByName(_verified(rest, texts, shingle, threshold)).filter("similar").select("a", "b")
     links = written(links, "line-links")
     settle(spark)
-    comps = connected_components(links, "line-components").withColumnRenamed("node", "h1")
-    comps = sig.select("h1", "h2", "first_doc").join(comps, "h1")
+    comps = connected_components(links, "line-components").withColumnRenamed("node", "id")
+    comps = sig.select("h1", "h2", "first_doc", "id").join(comps, "id")
     keepers = comps.groupBy("root").agg(F.min(F.struct("first_doc", "h1", "h2")).alias("k"))
     joined = comps.join(keepers, "root")
     similar = joined.filter("k.h1 <> h1 or k.h2 <> h2").select("h1", "h2", F.lit(None).cast("long").alias("keep_doc"))

@@ -102,13 +102,13 @@ class _Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def links_within(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def links_within(sets: list[np.ndarray], left: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, whose sets' Jaccard similarity reaches the threshold.
 
-    `left` marks the members of the first block: a pair must have an end in
-    it, and unless all members are in it, only one.  Shared n-grams are
-    counted by products of 0/1 matrices over slices of the vocabulary, so
-    memory stays at members x slice whatever the set sizes.
+    Where two blocks meet, `left` marks the members of the first, and a pair
+    must have one end in each.  Shared n-grams are counted by products of 0/1
+    matrices over slices of the vocabulary, so memory stays at members x slice
+    whatever the set sizes.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
@@ -138,7 +138,7 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, threshold: float) ->
             shared += x @ x.T
     ok = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
     ok &= np.triu(np.ones((m, m), bool), 1)
-    if not left.all():
+    if left is not None:
         ok &= left[:, None] != left[None, :]
     return np.nonzero(ok)
 
@@ -150,7 +150,7 @@ def _verify(threshold: float):
         def done() -> pa.RecordBatch | None:
             if len(ids) < 2:
                 return None
-            i, j = links_within(sets, np.array(side), threshold)
+            i, j = links_within(sets, None if key[1] == key[2] else np.array(side), threshold)
             if not len(i):
                 return None
             weight = np.array(weights, np.int64)
