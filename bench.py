@@ -39,7 +39,7 @@ def _encode(spark, d):
 
 
 def _pad(spark, d):
-    return batches.pad_batches(_encode(spark, d), batch_size=catalog.PAD_BATCH_SIZE, n_buckets=catalog.PAD_BUCKETS)
+    return batches.pad_batches(_encode(spark, d), batch_size=catalog.PAD_BATCH_SIZE)
 
 
 def _turn_prompts(spark, d):

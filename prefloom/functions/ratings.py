@@ -14,11 +14,11 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PY_STRIP_PATTERN
-
 # The number grammar of Python's float() (ASCII digits), after
 # whitespace stripping and removal of single underscores between digits.
 FLOAT_GRAMMAR = r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
+# float() strips what str.strip() does except U+001C-U+001F: those make it fail.
+FLOAT_STRIP_PATTERN = r"(?U)^\s+|\s+$"
 DIGIT_UNDERSCORE = r"(?<=[0-9])_(?=[0-9])"
 SIGNED_NAN = r"(?i)^[+-](nan)$"
 
@@ -42,7 +42,7 @@ def normalize_rating(text: Column) -> Column:
     src, dst = decimal_digit_map()
     # only non-ASCII text can hold such digits (char count = byte count otherwise)
     ascii_digits = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.translate(text, src, dst))
-    t = F.regexp_replace(ascii_digits, PY_STRIP_PATTERN, "")
+    t = F.regexp_replace(ascii_digits, FLOAT_STRIP_PATTERN, "")
     t = F.regexp_replace(t, DIGIT_UNDERSCORE, "")
     return F.regexp_replace(t, SIGNED_NAN, "$1")
 

@@ -2,9 +2,9 @@
 
 `CodepointTokenizer` maps text to its Unicode code points with native Spark
 expressions, so an encoding job stays in the JVM and has an exact SQL
-oracle.  `ArrowTokenizer` plugs in any Python tokenizer (tiktoken,
-sentencepiece, tokenizers ...) through an Arrow-batched pandas UDF; the
-tokenizer object is built once per Python worker, not per row.
+oracle.  `ArrowTokenizer` plugs in any Python tokenizer through an
+Arrow-batched pandas UDF; the tokenizer object is built once per Python
+worker process, whatever the number of tasks it runs.
 
 Each piece of text is tokenized on its own (role name, message, system
 message), never the joined string.
@@ -12,8 +12,9 @@ message), never the joined string.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +66,16 @@ class CodepointTokenizer:
         return self.eod_id
 
 
+_built: dict[str, object] = {}
+
+
+def built_once(key: str, factory: Callable[[], object]) -> object:
+    """The tokenizer of this process: module state outlives a task, a UDF's closure does not."""
+    if key not in _built:
+        _built[key] = factory()
+    return _built[key]
+
+
 @dataclass(frozen=True)
 class ArrowTokenizer:
     """Wrap a Python tokenizer built by `factory()` on each worker.
@@ -78,18 +89,16 @@ class ArrowTokenizer:
     im_start_id: int
     im_end_id: int
     eod_id: int
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def _pandas_udf(self):
-        factory, encode_fn = self.factory, self.encode_fn
-        holder: dict[str, object] = {}
+        key, factory, encode_fn = self.key, self.factory, self.encode_fn
 
         @F.pandas_udf("array<int>")
         def _enc(texts):  # pandas.Series -> pandas.Series
             import pandas as pd
 
-            tok = holder.get("tok")
-            if tok is None:
-                tok = holder["tok"] = factory()
+            tok = built_once(key, factory)
             mask = texts.notna()
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             if mask.any():
@@ -104,16 +113,13 @@ class ArrowTokenizer:
 
     def encode_many(self, texts: Column) -> Column:
         """array<string> -> array<array<int>>, one UDF call per Arrow batch of rows."""
-        factory, encode_fn = self.factory, self.encode_fn
-        holder: dict[str, object] = {}
+        key, factory, encode_fn = self.key, self.factory, self.encode_fn
 
         @F.pandas_udf("array<array<int>>")
         def _enc_many(lists):  # pandas.Series of arrays -> pandas.Series of arrays of arrays
             import pandas as pd
 
-            tok = holder.get("tok")
-            if tok is None:
-                tok = holder["tok"] = factory()
+            tok = built_once(key, factory)
             flat, sizes = [], []
             for lst in lists:
                 items = [] if lst is None else list(lst)
@@ -132,7 +138,7 @@ class ArrowTokenizer:
         return _enc_many(texts)
 
     def encode_const(self, text: str) -> list[int]:
-        tok = self.factory()
+        tok = built_once(self.key, self.factory)
         return [int(x) for x in self.encode_fn(tok, [text])[0]]
 
     def role_ids(self, role: str) -> list[int]:
@@ -145,18 +151,3 @@ class ArrowTokenizer:
     @property
     def eos_token_id(self) -> int:
         return self.eod_id
-
-
-def tiktoken_tokenizer(encoding: str = "cl100k_base") -> ArrowTokenizer:
-    """Example plug-in; special ids are placed after the vocabulary."""
-
-    def factory():
-        import tiktoken
-
-        return tiktoken.get_encoding(encoding)
-
-    def encode_fn(tok, texts):
-        return tok.encode_ordinary_batch(texts)
-
-    n = factory().n_vocab
-    return ArrowTokenizer(factory, encode_fn, n + 1, n + 2, n + 3)

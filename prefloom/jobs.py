@@ -1,7 +1,7 @@
 """End-to-end preparation job: preference table -> split, encoded pairs.
 
     spark-submit -m prefloom.jobs --input <path> --output <dir> [--layout nested|parallel]
-        [--format parquet|jsonl] [--model-max-length 2048] [--test-size 0.005] [--seed 42]
+        [--format parquet|jsonl] [--ids long|string|derive] [--model-max-length 2048] [--test-size 0.005] [--seed 42]
 
 Reads the table with an explicit schema, builds pairs, holds out an exact
 share of them, encodes both sides and writes `pairs/` and `encoded/`, each
@@ -12,8 +12,9 @@ split are checkpointed in the cluster's `spark.checkpoint.dir`.
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import encode, split
@@ -23,32 +24,16 @@ from .sources.preferences import read_preference_table, write_table
 KEYS = ("prompt_id", "comp_i", "comp_j")
 
 
-def prepare(
-    prompts: DataFrame,
-    *,
-    cfg: encode.EncodeConfig = encode.EncodeConfig(),
-    test_size: float = 0.005,
-    seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """Nested prompt rows -> (pairs with `split`, encoded pairs with `split`)."""
-    pairs = build_pairs(prompts)
-    # The split is decided once, over the pair keys; the resulting rule is a
-    # condition on the keys, so both outputs are labelled by a narrow
-    # projection (no join, no shuffle of the encoded arrays).
-    rule, _ = split.exact_split_rule(pairs.select(*KEYS), KEYS, test_size=test_size, seed=seed)
-    encoded = encode.encode_pairs(encode.pairs_with_ids(prompts), cfg=cfg)
-    return pairs.withColumn("split", rule.label()), encoded.withColumn("split", rule.label())
-
-
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     """Two passes over the source: the split keys, then the encoded pairs.
 
     `pairs/` is written from the written `encoded/` table (it holds the
     prompt and both response texts), reading only those columns back.
     """
-    prompts = read_preference_table(spark, args.input, layout=args.layout, fmt=args.format)
-    cfg = encode.EncodeConfig.for_model_max_length(args.model_max_length)
-    rule, _ = split.exact_split_rule(build_pairs(prompts).select(*KEYS), KEYS, test_size=args.test_size, seed=args.seed)
+    prompts = read_preference_table(spark, args.input, layout=args.layout, fmt=args.format, on_bad=args.on_bad, ids=args.ids)
+    cfg = replace(encode.EncodeConfig.for_model_max_length(args.model_max_length), truncation_mode=args.truncation_mode)
+    keys = build_pairs(prompts, on_null=args.on_null).select(*KEYS)
+    rule, _ = split.exact_split_rule(keys, KEYS, test_size=args.test_size, seed=args.seed)
     encoded = encode.encode_pairs(encode.pairs_with_ids(prompts), cfg=cfg).withColumn("split", rule.label())
     write_table(encoded, f"{args.output}/encoded", mode=args.mode, partition_by=("split",))
     written = spark.read.parquet(f"{args.output}/encoded")
@@ -73,6 +58,10 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--test-size", type=float, default=0.005)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--mode", default="errorifexists")
+    p.add_argument("--ids", default="long", choices=("long", "string", "derive"))
+    p.add_argument("--on-bad", default="error", choices=("error", "quarantine"), help="broken JSON lines")
+    p.add_argument("--on-null", default="drop", choices=("drop", "error"), help="null aspect values and ratings")
+    p.add_argument("--truncation-mode", default="keep_end", choices=encode.TRUNCATION_MODES)
     return p.parse_args(argv)
 
 

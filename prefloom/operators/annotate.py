@@ -1,7 +1,7 @@
 """Judge prompts and judge answers.
 
 * `annotation_prompts`: fill the annotation template with an instruction
-  and up to four responses.  The template is split once at its
+  and four responses, as often as a prompt's responses need.  The template is split once at its
   placeholders and re-assembled with one `concat`, so a response that
   itself contains a placeholder is inserted verbatim.
 * `render_answers`: write ratings in the template's output format (used to
@@ -9,8 +9,8 @@
 * `parse_annotations`: judge answers back to one row per
   (prompt, text slot, aspect) with the rating and rationale.  Sections are
   found by their headings, not by `Rating:` lines, so a rationale may span
-  lines and even contain `Rating:`.  Blocks without a rating line go to the
-  quarantine with a reason.
+  lines and even contain `Rating:`.  Whatever does not parse, is unknown,
+  repeated or missing goes to the quarantine with a reason.
 * `rating_domain_check`: ratings against the 1-5 scale, counted per aspect.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratings import normalize_rating, parse_normalized
+from ..functions.rows import computed_once
 from ..sources.fixtures import ASPECTS
 
 # The annotation template (instruction, four texts, three
@@ -201,19 +202,40 @@ def fill_template(instruction: Column, texts: Column, template: str = JUDGE_TEMP
     return F.concat(*pieces)
 
 
+def _groups(prompts: DataFrame, field: str, *cols: Column) -> DataFrame:
+    """One row per group of four completions of a prompt, with one of their fields as `_f`.
+
+    The last group may be smaller.  Only that field is read from a stored table.
+    """
+    values = F.col(f"completions.{field}")
+    n = F.greatest(F.ceil(F.size(values) / N_SLOTS).cast("int"), F.lit(1))
+    return prompts.select("prompt_id", *cols, values.alias("_f"), F.explode(F.sequence(F.lit(0), n - 1)).alias("group_idx"))
+
+
+def _slots(a: Column) -> Column:
+    return F.slice(a, F.col("group_idx") * N_SLOTS + 1, N_SLOTS)
+
+
 def annotation_prompts(prompts: DataFrame, *, instruction: str = "prompt") -> DataFrame:
-    """One judge prompt per prompt row, from its first four completions."""
-    texts = F.transform(F.slice("completions", 1, N_SLOTS), lambda c: c["response"])
-    return prompts.select(
+    """Judge prompts of four responses each: every response of a prompt reaches one.
+
+    To have only some judged, sample them first (`sampling.sample_models`).
+    A prompt without completions gives one judge prompt without texts.
+    """
+    g = _groups(prompts, "response", F.col(instruction).alias("_i"))
+    texts = _slots(F.col("_f"))
+    return g.select(
         "prompt_id",
-        F.least(F.size("completions"), F.lit(N_SLOTS)).cast("bigint").alias("n_texts"),
-        fill_template(F.col(instruction), texts).alias("annotation_prompt"),
+        F.col("group_idx").cast("bigint").alias("group_idx"),
+        F.size(texts).cast("bigint").alias("n_texts"),
+        fill_template(F.col("_i"), texts).alias("annotation_prompt"),
     )
 
 
 def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
-    """Write each prompt's ratings in the output format (absent rating: `N/A`)."""
-    slots = F.slice("completions", 1, N_SLOTS)
+    """Write each group's ratings in the output format (absent rating: `N/A`)."""
+    g = _groups(prompts, "annotations")
+    slots = _slots(F.col("_f"))
 
     def section(aspect: str) -> Column:
         blocks = F.transform(
@@ -222,15 +244,16 @@ def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS) -> Da
                 F.lit("##### Output for Text "),
                 (i + 1).cast("string"),
                 F.lit("\nRating: "),
-                F.coalesce(c["annotations"][aspect]["Rating"], F.lit("N/A")),
+                F.coalesce(c[aspect]["Rating"], F.lit("N/A")),
                 F.lit("\nRationale: "),
-                F.coalesce(c["annotations"][aspect]["Rationale"], F.lit("")),
+                F.coalesce(c[aspect]["Rationale"], F.lit("")),
                 F.lit("\n"),
             ),
         )
         return F.concat(F.lit(ASPECT_HEADINGS[aspect] + "\n"), F.array_join(blocks, ""))
 
-    return prompts.select("prompt_id", F.concat_ws("\n", *[section(a) for a in aspects]).alias("answer"))
+    answer = F.concat_ws("\n", *[section(a) for a in aspects])
+    return g.select("prompt_id", F.col("group_idx").cast("bigint").alias("group_idx"), F.size(slots).cast("bigint").alias("n_texts"), answer.alias("answer"))
 
 
 _SECTION_HEAD = r"(?m)^#### (.+?) Assessment[ \t]*$"
@@ -238,64 +261,94 @@ _BLOCK_HEAD = r"(?m)^##### Output for Text (\d+)[ \t]*$"
 _BLOCK_BODY = r"(?s)^\r?\nRating:[ \t]*([^\r\n]*?)[ \t]*\r?\nRationale:[ \t]?(.*)$"
 
 
-def parse_answers(answers: DataFrame, *, key: str = "prompt_id") -> DataFrame:
-    """All blocks with their parse status: `ok`, or why not."""
-    answer_col = F.col("answer")
+def parse_answers(answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
+    """Every block of every answer, and every (text, aspect) that an answer lacks, with a status.
+
+    ok                one rated block of an expected text and aspect
+    no_rating_line    an expected block without a rating line
+    duplicate         a further block of the same text and aspect
+    unknown_text      a text number that was not asked for, or no number that fits
+    unknown_aspect    an aspect that was not asked for
+    missing_block     expected, in a section that the answer has
+    missing_section   expected, in a section that it lacks
+    null_answer       expected, but there is no answer
+
+    Texts are 1 to `n_texts` where the table has that column, else 1 to 4.
+    `key` may come with `group_idx`.  All columns are from one row: no shuffle.
+    """
+    keys = [key] + [c for c in ("group_idx",) if c in answers.columns]
+    n = F.coalesce(F.col("n_texts"), F.lit(N_SLOTS)).cast("int") if "n_texts" in answers.columns else F.lit(N_SLOTS)
+    answer_col = F.coalesce("answer", F.lit(""))
+
+    def parts(text: Column, pattern: str) -> Column:
+        cut = F.split(text, pattern)
+        return F.slice(cut, 2, F.size(cut))
+
     sections = F.arrays_zip(
         F.regexp_extract_all(answer_col, F.lit(_SECTION_HEAD), 1).alias("aspect"),
-        F.slice(F.split(answer_col, _SECTION_HEAD.replace("(.+?)", ".+?")), 2, 1_000_000).alias("body"),
+        parts(answer_col, _SECTION_HEAD.replace("(.+?)", ".+?")).alias("body"),
     )
-    s = answers.select(key, F.inline(sections))
-    blocks = F.arrays_zip(
-        F.regexp_extract_all(F.col("body"), F.lit(_BLOCK_HEAD), 1).alias("slot"),
-        F.slice(F.split(F.col("body"), _BLOCK_HEAD.replace(r"(\d+)", r"\d+")), 2, 1_000_000).alias("block"),
+
+    def blocks(s: Column) -> Column:
+        heads = F.regexp_extract_all(s["body"], F.lit(_BLOCK_HEAD), 1)
+        cut = parts(s["body"], _BLOCK_HEAD.replace(r"(\d+)", r"\d+"))
+        return F.zip_with(heads, cut, lambda slot, block: F.struct(s["aspect"].alias("aspect"), slot.try_cast("bigint").alias("text_idx"), block.alias("block")))
+
+    a = answers.select(*keys, computed_once(F.col("answer").alias("_t"), n.alias("_n"), F.flatten(F.transform(sections, blocks)).alias("_b")))
+    quoted = ", ".join("'" + x.replace("'", "\\'") + "'" for x in aspects)
+    wanted = ", ".join(f"transform(filter(sequence(0, _n), i -> i > 0), i -> struct({x} as aspect, cast(i as bigint) as text_idx))" for x in quoted.split(", "))
+    a = a.select(
+        "*",
+        computed_once(
+            F.expr("transform(_b, b -> concat_ws('|', b.aspect, cast(b.text_idx as string)))").alias("_names"),
+            F.regexp_extract_all(F.coalesce(F.col("_t"), F.lit("")), F.lit(_SECTION_HEAD), 1).alias("_heads"),
+        ),
+    )
+    found = "transform(_b, (b, p) -> struct(b.text_idx as text_idx, b.aspect as aspect, b.block as block, p as place))"
+    lacking = (
+        f"transform(filter(flatten(array({wanted})), e -> not array_contains(_names, concat_ws('|', e.aspect, cast(e.text_idx as string)))),"
+        " e -> struct(e.text_idx as text_idx, e.aspect as aspect, cast(null as string) as block, -1 as place))"
+    )
+    b = a.select(*keys, "_t", "_n", "_names", "_heads", F.expr(f"inline(concat({found}, {lacking}))"))
+    first = F.expr("array_position(_names, concat_ws('|', aspect, cast(text_idx as string)))") - 1
+    matched = F.col("block").rlike(_BLOCK_BODY)
+    status = (
+        F.when((F.col("place") < 0) & F.col("_t").isNull(), F.lit("null_answer"))
+        .when((F.col("place") < 0) & F.array_contains("_heads", F.col("aspect")), F.lit("missing_block"))
+        .when(F.col("place") < 0, F.lit("missing_section"))
+        .when(~F.col("aspect").isin(*aspects), F.lit("unknown_aspect"))
+        .when(F.col("text_idx").isNull() | ~F.col("text_idx").between(1, F.col("_n")), F.lit("unknown_text"))
+        .when(first < F.col("place"), F.lit("duplicate"))
+        .when(matched, F.lit("ok"))
+        .otherwise(F.lit("no_rating_line"))
     )
-    b = s.select(key, "aspect", F.inline(blocks))
     rating = F.regexp_extract("block", _BLOCK_BODY, 1)
     rationale = F.regexp_replace(F.regexp_extract("block", _BLOCK_BODY, 2), r"(\r?\n)+$", "")
-    matched = F.col("block").rlike(_BLOCK_BODY)
     return b.select(
-        key,
-        F.col("slot").cast("bigint").alias("text_idx"),
-        "aspect",
-        F.when(matched, rating).alias("rating"),
-        F.when(matched, rationale).alias("rationale"),
-        F.when(matched, F.lit("ok")).otherwise(F.lit("no_rating_line")).alias("status"),
+        *keys, "text_idx", "aspect", computed_once(F.when(matched, rating).alias("rating"), F.when(matched, rationale).alias("rationale"), status.alias("status"))
     )
 
 
-def parse_annotations(answers: DataFrame, *, key: str = "prompt_id") -> DataFrame:
-    """Parsed ratings, one row per (prompt, text slot, aspect)."""
-    p = parse_answers(answers, key=key)
+def parse_annotations(answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
+    """Parsed ratings, one row per (prompt, group, text slot, aspect)."""
+    p = parse_answers(answers, key=key, aspects=aspects)
     return p.where(F.col("status") == "ok").drop("status")
 
 
-def parse_quarantine(
-    answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[str, ...] = ASPECTS
-) -> DataFrame:
-    """Blocks without a rating line, and expected aspect sections an answer lacks."""
-    p = parse_answers(answers, key=key)
-    bad_blocks = p.where(F.col("status") != "ok")
-    found = F.regexp_extract_all(F.col("answer"), F.lit(_SECTION_HEAD), 1)
-    expected = F.array(*[F.lit(a) for a in aspects])
-    missing = answers.select(key, F.explode(F.array_except(expected, found)).alias("aspect")).select(
-        key,
-        F.lit(None).cast("bigint").alias("text_idx"),
-        "aspect",
-        F.lit(None).cast("string").alias("rating"),
-        F.lit(None).cast("string").alias("rationale"),
-        F.lit("missing_section").alias("status"),
-    )
-    return bad_blocks.unionByName(missing)
+def parse_quarantine(answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
+    """What did not parse and what is missing, with the reason (see `parse_answers`).
+
+    Parsed and quarantined rows together hold each expected text and aspect
+    exactly once, besides duplicates and unknown blocks.
+    """
+    return parse_answers(answers, key=key, aspects=aspects).where(F.col("status") != "ok")
 
 
 def to_annotation_map(parsed: DataFrame, *, key: str = "prompt_id") -> DataFrame:
-    """Regroup parsed rows into the aspect map of one completion slot."""
-    return parsed.groupBy(key, "text_idx").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("aspect", F.struct(F.col("rating").alias("Rating"), F.col("rationale").alias("Rationale"))))
-        ).alias("annotations")
-    )
+    """Regroup parsed rows into the aspect map of one completion slot, aspects in order."""
+    keys = [key] + [c for c in ("group_idx",) if c in parsed.columns]
+    entry = F.struct("aspect", F.struct(F.col("rating").alias("Rating"), F.col("rationale").alias("Rationale")))
+    return parsed.groupBy(*keys, "text_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("annotations"))
 
 
 def rating_domain_check(completions: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:

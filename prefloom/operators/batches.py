@@ -1,58 +1,62 @@
 """Batch assignment and padding of encoded pairs.
 
-Rows are spread over `n_buckets` hash buckets (md5 of the pair key); inside
-a bucket they are ordered by the same hash and cut into batches of
-`batch_size`.  Each batch is padded to its own longest sequence: ids with
-`padding_value`, labels with `label_pad_token_id`, masks with 0; prompt
-sequences are padded on the left, responses on the right.
+Rows are ordered by the md5 of their pair key (ties by the key) and cut into
+batches of `batch_size`; only the last batch is short.  Each batch is padded
+to its own longest sequence: ids with `padding_value`, labels with
+`label_pad_token_id`, masks with 0; prompt sequences are padded on the left,
+responses on the right.
 
-The bucket window and the per-batch width window share one hash
-partitioning (on the bucket), so this is one shuffle.  A bucket is sorted
-by one task, so the number of buckets must grow with the data: by default
-it is derived from the row count (about `rows_per_bucket` rows each, from
-a count that reads only the keys), and it can be fixed explicitly to make
-the batching independent of the data size.
+The order needs no global sort and no wide shuffle: narrow rows (key, hash,
+three lengths) are counted per hash prefix, a prefix's offset is the running
+sum of the counts before it, and a row's rank is that offset plus its place
+within the prefix.  The prefix only spreads the work; its length changes no
+result.  Batch numbers and widths are then attached to the arrays by key.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import repeat_int
 from ..functions.tokens import CP_EOD, IGNORE_INDEX
-from .split import hash_key
+from .split import hash_key, require_unique_keys
 
 SIDES = ("prompt", "chosen", "rejected")
+PREFIX_DIGITS = 4  # 65,536 prefixes: at 10^10 rows a prefix ranks about 150,000 narrow rows
 
 
-def bucket_of(h: Column, n_buckets: int) -> Column:
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(n_buckets))
+def assign_batches(
+    lengths: DataFrame, *, batch_size: int, keys: tuple[str, ...], seed: int = 42, prefix_digits: int = PREFIX_DIGITS
+) -> DataFrame:
+    """(keys, prompt_len, chosen_len, rejected_len) -> keys, batch, prompt_width, chosen_width, rejected_width."""
+    x = lengths.withColumn("_h", hash_key(seed, *keys)).withColumn("_p", F.substring("_h", 1, prefix_digits))
+    counts = x.groupBy("_p").agg(F.count("*").alias("_n"))
+    # at most 16^prefix_digits rows, whatever the data: one task adds them up
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *keys)) - 1
+    ranked = x.withColumn("_place", place).join(offsets, "_p")
+    ranked = ranked.withColumn("batch", F.floor((F.col("_before") + F.col("_place")) / batch_size).cast("bigint"))
+    widths = ranked.groupBy("batch").agg(*[F.max(f"{s}_len").cast("bigint").alias(f"{s}_width") for s in SIDES])
+    return ranked.select(*keys, "batch").join(widths, "batch")
 
 
 def pad_batches(
     encoded: DataFrame,
     *,
     batch_size: int = 8,
-    n_buckets: int | None = None,
-    rows_per_bucket: int = 1_000_000,
     seed: int = 42,
     keys: tuple[str, ...] = ("prompt_id", "comp_i", "comp_j"),
     padding_value: int = CP_EOD,
     label_pad_token_id: int = IGNORE_INDEX,
     mask_padding_value: int = 0,
+    prefix_digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    if n_buckets is None:
-        n_buckets = max(1, math.ceil(encoded.select(*keys).count() / rows_per_bucket))
-    h = hash_key(seed, *keys)
-    x = encoded.withColumn("_h", h).withColumn("bucket", bucket_of(F.col("_h"), n_buckets))
-    w = Window.partitionBy("bucket").orderBy("_h", *keys)
-    x = x.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint"))
-    wb = Window.partitionBy("bucket", "batch")
-    for side in SIDES:
-        x = x.withColumn(f"{side}_width", F.max(F.size(f"{side}_input_ids")).over(wb).cast("bigint"))
+    """Padded rows with `batch` and the batch's widths.  Keys must be unique and not null."""
+    lengths = encoded.select(*keys, *[F.size(f"{s}_input_ids").alias(f"{s}_len") for s in SIDES])
+    require_unique_keys(lengths, keys)
+    x = encoded.join(assign_batches(lengths, batch_size=batch_size, keys=keys, seed=seed, prefix_digits=prefix_digits), list(keys))
     cols = []
     for side in SIDES:
         width = F.col(f"{side}_width")
@@ -62,4 +66,4 @@ def pad_batches(
             padded = F.concat(fill, a) if side == "prompt" else F.concat(a, fill)
             cols.append(padded.alias(f"{side}_{k}"))
     rest = [c for c in encoded.columns if c not in {f"{s}_{k}" for s in SIDES for k in ("input_ids", "labels", "attention_mask")}]
-    return x.select(*rest, "bucket", "batch", *[f"{s}_width" for s in SIDES], *cols)
+    return x.select(*rest, "batch", *[f"{s}_width" for s in SIDES], *cols)

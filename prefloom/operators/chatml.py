@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import repeat_int
+from ..functions.rows import computed_once
 from ..functions.tokens import IGNORE_INDEX, CodepointTokenizer, int_array
 
 # Default system message, chat roles and ChatML markers.
@@ -104,9 +105,21 @@ def drop_leading_nonuser(conversations: DataFrame, unknown_role: str = "drop_con
     return df.where(~lead).select("conv_id", "turn", "role", "text")
 
 
-def encode_turns(conversations: DataFrame, tok=CodepointTokenizer()) -> DataFrame:
-    """Per turn: ChatML segment text, ids and labels (input already normalised)."""
-    x = conversations.select("conv_id", "turn", "role", "text", tok.encode(F.col("text")).alias("_x"))
+ON_NULL_TEXT = ("error", "empty")
+
+
+def encode_turns(conversations: DataFrame, tok=CodepointTokenizer(), on_null: str = "error") -> DataFrame:
+    """Per turn: ChatML segment text, ids and labels (input already normalised).
+
+    A turn whose text is null fails the job (`on_null="error"`, as in the
+    source) or counts as empty; it never drops out of the later prompts.
+    """
+    if on_null not in ON_NULL_TEXT:
+        raise ValueError(f"on_null must be one of {ON_NULL_TEXT}")
+    missing = F.raise_error(F.concat(F.lit("turn without text in conversation "), F.col("conv_id").cast("string"))).cast("string")
+    text = F.coalesce(F.col("text"), F.lit("") if on_null == "empty" else missing)
+    x = conversations.select("conv_id", "turn", "role", computed_once(text.alias("text")))
+    x = x.select("*", tok.encode(F.col("text")).alias("_x"))
     u_ids, u_lab = user_segment(F.col("_x"), tok)
     a_ids, a_lab = assistant_segment(F.col("_x"), tok)
     is_user = F.col("role") == USER
@@ -137,18 +150,42 @@ def turn_prompts(turns: DataFrame, tok=CodepointTokenizer(), system_message: str
         )
         .where(F.col("role") == USER)
         .drop("role")
+        .withColumn("attention_mask", attention_mask(F.col("input_ids"), tok.pad_token_id, tok.eos_token_id))
     )
 
 
-def turn_answers(turns: DataFrame) -> DataFrame:
+def turn_answers(turns: DataFrame, tok=CodepointTokenizer()) -> DataFrame:
     """Each assistant turn's own segment as an answer."""
-    return turns.where(F.col("role") == ASSISTANT).select("conv_id", "turn", F.col("ids").alias("input_ids"), "labels")
+    answers = turns.where(F.col("role") == ASSISTANT).select("conv_id", "turn", F.col("ids").alias("input_ids"), "labels")
+    return answers.withColumn("attention_mask", attention_mask(F.col("input_ids"), tok.pad_token_id, tok.eos_token_id))
 
 
 def attention_mask(ids: Column, pad_id: int, eos_id: int) -> Column:
-    """1 where the id is not padding, then 0 at every EOS position."""
-    mask = F.transform(ids, lambda x: F.when(x != F.lit(pad_id), 1).otherwise(0))
-    return F.zip_with(ids, mask, lambda i, m: F.when(i == F.lit(eos_id), 0).otherwise(m)).cast("array<int>")
+    """0 at padding and at every EOS, else 1."""
+    plain = ~F.array_contains(ids, F.lit(pad_id)) & ~F.array_contains(ids, F.lit(eos_id))
+    each = F.transform(ids, lambda x: F.when((x == F.lit(pad_id)) | (x == F.lit(eos_id)), 0).otherwise(1)).cast("array<int>")
+    return F.when(plain, repeat_int(1, F.size(ids))).otherwise(each)
+
+
+def conversation_report(conversations: DataFrame) -> DataFrame:
+    """What `drop_leading_nonuser` does to each conversation: turns in all, by kind, and rendered.
+
+    `n_other` turns have a role other than user and assistant; `n_leading` is
+    the assistant turn dropped at the front once those are gone.
+    """
+    known = F.col("role").isin(USER, ASSISTANT)
+    per = conversations.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"),
+        F.sum(F.when(F.col("role") == USER, 1).otherwise(0)).alias("n_user"),
+        F.sum(F.when(F.col("role") == ASSISTANT, 1).otherwise(0)).alias("n_assistant"),
+        F.sum(F.when(known, 0).otherwise(1)).alias("n_other"),
+        F.sum(F.when(F.col("text").isNull(), 1).otherwise(0)).alias("n_null_text"),
+        F.min(F.when(known, F.col("turn"))).alias("_first"),
+        F.min(F.when(F.col("role") == USER, F.col("turn"))).alias("_user"),
+    )
+    leading = F.when(F.col("_first").isNotNull() & ((F.col("_user") > F.col("_first")) | F.col("_user").isNull()), 1).otherwise(0)
+    per = per.withColumn("n_leading", leading.cast("bigint"))
+    return per.withColumn("n_rendered", F.col("n_user") + F.col("n_assistant") - F.col("n_leading")).drop("_first", "_user")
 
 
 def chatml_render(turns: DataFrame, tok=CodepointTokenizer(), system_message: str = SYSTEM_MESSAGE) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import head, repeat_int, tail
 from ..functions.tokens import IGNORE_INDEX, CodepointTokenizer, int_array
 from .chatml import SYSTEM_MESSAGE, assistant_segment, system_segment, user_segment
-from .pairs import build_pairs, formatted_prompt
+from .pairs import build_pairs, fields_of, formatted_prompt
 
 TRUNCATION_MODES = ("keep_end", "keep_start")
 SEQ_KEYS = ("input_ids", "labels", "attention_mask")
@@ -56,10 +56,10 @@ def tokenize_prompt_rows(
 ) -> DataFrame:
     """Nested rows with `prompt_x` and a token array `x` inside every completion."""
     fp = formatted_prompt("prompt", "img_path", format_prompt)
+    needed = fields_of(F.col("completions"), "response", "annotations")
 
     def completion(c: Column, x: Column) -> Column:
         return F.struct(
-            c["comp_idx"].alias("comp_idx"),
             c["response"].alias("response"),
             c["annotations"].alias("annotations"),
             F.when(c["response"].isNotNull(), x).alias("x"),
@@ -70,7 +70,7 @@ def tokenize_prompt_rows(
         rows = prompts.select(
             "prompt_id",
             fp.alias("prompt"),
-            F.transform("completions", lambda c: completion(c, tok.encode(c["response"]))).alias("completions"),
+            F.transform(needed, lambda c: completion(c, tok.encode(c["response"]))).alias("completions"),
         )
     else:
         # Python tokenizer: one UDF call per row for all its responses (one
@@ -80,8 +80,8 @@ def tokenize_prompt_rows(
         xs = prompts.select(
             "prompt_id",
             fp.alias("prompt"),
-            "completions",
-            tok.encode_many(F.transform("completions", lambda c: c["response"])).alias("_xs"),
+            needed.alias("completions"),
+            tok.encode_many(F.col("completions.response")).alias("_xs"),
         )
         rows = xs.select(
             "prompt_id",
@@ -101,13 +101,18 @@ def _mask(ids: Column, pad: int, eos: int, keep_one_at: Column | None = None) ->
         m = F.when((x == F.lit(pad)) | (x == F.lit(eos)), 0).otherwise(1)
         return m if keep_one_at is None else F.when(i == keep_one_at, 1).otherwise(m)
 
-    return F.transform(ids, rule).cast("array<int>")
+    # the usual case, no such id before the kept EOS, needs no per-id rule
+    body = ids if keep_one_at is None else F.slice(ids, 1, F.greatest(keep_one_at, F.lit(0)))
+    plain = ~F.array_contains(body, F.lit(pad)) & ~F.array_contains(body, F.lit(eos))
+    return F.when(plain, repeat_int(1, F.size(ids))).otherwise(F.transform(ids, rule).cast("array<int>"))
 
 
 def _encoded_parts(pairs: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
     """Untruncated segments plus lengths; keeps the key and text columns."""
     if cfg.truncation_mode not in TRUNCATION_MODES:
-        raise ValueError(f"Unknown truncation mode: {cfg.truncation_mode}")
+        raise ValueError(f"truncation_mode must be one of {TRUNCATION_MODES}, not {cfg.truncation_mode!r}")
+    if cfg.max_prompt_length > cfg.max_length:
+        raise ValueError("max_prompt_length must not exceed max_length")
     sys_ids, sys_lab = system_segment(tok, cfg.system_message)
     eos = tok.eos_token_id
     keys = [c for c in KEY_COLS if c in pairs.columns]
@@ -194,7 +199,8 @@ def _truncated(parts: DataFrame, tok, cfg: EncodeConfig) -> DataFrame:
 
 def truncation_case(prompt_over: Column, response_over: Column) -> Column:
     return (
-        F.when(response_over, F.lit("responses_truncated"))
+        F.when(response_over.isNull(), F.lit("null_text"))
+        .when(response_over, F.lit("responses_truncated"))
         .when(prompt_over, F.lit("prompt_truncated"))
         .otherwise(F.lit("fits"))
     )

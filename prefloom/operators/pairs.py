@@ -11,11 +11,6 @@ Plans
   scored once, then an `explode` over the completions and a second
   `explode` over the *filtered* tail of the array emit only the surviving
   pairs.  No shuffle, no Python worker.
-* Optionally (`max_inline`), prompts with very many completions are not
-  paired inside one task: their completions are exploded and self-joined
-  on (prompt, left block, right block), so the pairs of one hot prompt are
-  spread over many join keys (and tasks).  Each completion is copied once
-  per block it meets, never once per partner.
 * Flat input (one row per completion): an equi self-join on the prompt key
   with `i < j` and unequal scores as the join condition.  Both sides read
   one exchange; a prompt holding a large share of the rows makes its
@@ -35,10 +30,15 @@ from ..functions.text import image_prompt
 PAIR_COLUMNS = ("prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected")
 
 
+def fields_of(completions: Column, *names: str) -> Column:
+    """The named fields of an array of structs, zipped: a stored table is read without the others."""
+    return F.arrays_zip(*[completions[f].alias(f) for f in names])
+
+
 def scored_completions(completions: Column, carry: tuple[str, ...] = (), on_null: str = "drop") -> Column:
     """array<struct<pos, response, score, carry...>> with one mean rating per completion."""
     return F.transform(
-        completions,
+        fields_of(completions, "response", "annotations", *carry),
         lambda c, k: F.struct(
             k.cast("bigint").alias("pos"),
             c["response"].alias("response"),
@@ -73,38 +73,23 @@ def build_pairs(
     img_path: str | None = "img_path",
     completions: str = "completions",
     format_prompt: bool = True,
-    max_inline: int | None = None,
-    min_block: int = 64,
-    max_blocks: int = 256,
     carry: tuple[str, ...] = (),
     prompt_carry: tuple[str, ...] = (),
     on_null: str = "drop",
 ) -> DataFrame:
     """Nested prompts -> (prompt_id, comp_i, comp_j, prompt, chosen, rejected).
 
-    `max_inline=None` pairs every row where it is read (one narrow stage).
-    With `max_inline=n`, rows holding more than n completions are paired by
-    the block self-join instead; this reads the input a second time, so it
-    is for sources known to carry very large completion sets.  A hot row is
-    cut into min(ceil(n / min_block), max_blocks) position-ordered blocks:
-    each completion is copied at most `max_blocks` times per side (linear in
-    n), and its pairs spread over up to max_blocks*(max_blocks+1)/2 keys.
+    Every row is paired where it is read (one narrow stage), by its position
+    in the array, so neither a null nor a repeated id mixes prompts.  A row is
+    one record, so its size is bounded; huge prompts belong in the flat layout.
     """
-    def scored(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            F.col(key).alias("prompt_id"),
-            formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
-            *prompt_carry,
-            scored_completions(F.col(completions), carry, on_null).alias("s"),
-        )
-
-    if max_inline is None:
-        return _pairs_in_row(scored(prompts), carry, prompt_carry)
-    # split on the raw array's size, before scoring
-    n = F.size(completions)
-    inline = _pairs_in_row(scored(prompts.where(n <= max_inline)), carry, prompt_carry)
-    hot = _pairs_by_blocks(scored(prompts.where(n > max_inline)), min_block, max_blocks, carry, prompt_carry)
-    return inline.unionByName(hot)
+    scored = prompts.select(
+        F.col(key).alias("prompt_id"),
+        formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
+        *prompt_carry,
+        scored_completions(F.col(completions), carry, on_null).alias("s"),
+    )
+    return _pairs_in_row(scored, carry, prompt_carry)
 
 
 def _carried(a_score: Column, b_score: Column, a: str, b: str, carry, prompt_carry) -> list[Column]:
@@ -133,59 +118,6 @@ def _pairs_in_row(base: DataFrame, carry=(), prompt_carry=()) -> DataFrame:
     )
 
 
-def _pairs_by_blocks(base: DataFrame, min_block: int, max_blocks: int, carry=(), prompt_carry=()) -> DataFrame:
-    """Self-join of one prompt's completions on (prompt, block_i, block_j), block_i <= block_j."""
-    nb = F.expr(f"least({max_blocks}, (size(s) + {min_block - 1}) div {min_block})").cast("int")
-    flat = base.select(
-        "prompt_id", "prompt", *prompt_carry, nb.alias("nb"), F.size("s").alias("n"), F.explode("s").alias("c")
-    ).where(pairable(F.col("c")))
-    flat = flat.select(
-        "prompt_id",
-        "prompt",
-        *prompt_carry,
-        "nb",
-        F.col("c.pos").alias("pos"),
-        F.col("c.response").alias("response"),
-        F.col("c.score").alias("score"),
-        *[F.col(f"c.{f}").alias(f"l_{f}") for f in carry],
-        # even, position-ordered blocks: i < j implies block(i) <= block(j)
-        F.expr("(c.pos * nb) div n").cast("int").alias("blk"),
-    )
-    left = flat.select(
-        "prompt_id",
-        "prompt",
-        *prompt_carry,
-        "pos",
-        "response",
-        "score",
-        *[f"l_{f}" for f in carry],
-        F.col("blk").alias("lb"),
-        F.explode(F.sequence(F.col("blk"), F.col("nb") - 1)).alias("rb"),
-    ).alias("l")
-    right = flat.select(
-        "prompt_id",
-        F.col("pos").alias("pos_r"),
-        F.col("response").alias("response_r"),
-        F.col("score").alias("score_r"),
-        *[F.col(f"l_{f}").alias(f"r_{f}") for f in carry],
-        F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("lb"),
-        F.col("blk").alias("rb"),
-    )
-    j = left.join(right, ["prompt_id", "lb", "rb"]).where(
-        (F.col("pos") < F.col("pos_r")) & (F.col("score") != F.col("score_r"))
-    )
-    chosen, rejected = _choose(F.col("score"), F.col("response"), F.col("score_r"), F.col("response_r"))
-    return j.select(
-        "prompt_id",
-        F.col("pos").alias("comp_i"),
-        F.col("pos_r").alias("comp_j"),
-        "prompt",
-        chosen.alias("chosen"),
-        rejected.alias("rejected"),
-        *_carried(F.col("score"), F.col("score_r"), "l_", "r_", carry, prompt_carry),
-    )
-
-
 def build_pairs_join(
     completions: DataFrame,
     *,
@@ -200,7 +132,9 @@ def build_pairs_join(
     # The rating parser runs once per completion (not once per filter term).
     # The key passes through the generator unchanged, so an input already
     # partitioned by it is not shuffled again.
-    v = completions.select(
+    # A null or repeated (key, position) would lose or mix rows: a null fails here.
+    known = F.when(F.col(key).isNull() | F.col(idx).isNull(), F.raise_error(F.lit("completion without a prompt id or position")))
+    v = completions.where(known.isNull()).select(
         F.col(key).alias("prompt_id"),
         F.col(idx).cast("bigint").alias("pos"),
         computed_once(

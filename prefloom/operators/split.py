@@ -5,8 +5,10 @@ smallest `md5("{seed}:{key...}")`, ties broken by the key.  It never sorts
 the whole table.  Each pass counts rows per 2-byte (4-hex-digit) hash
 prefix inside the current region (at most 65,536 groups, so the collected
 result is bounded), moves whole buckets below the cutoff to the test side
-and narrows the region to the cutoff bucket; once that bucket is small,
-the last few rows are ranked exactly.  The result is a narrow filter, so the
+and narrows the region to the cutoff bucket, until a bucket ends exactly at
+the cutoff or the hash is used up.  Keys must be unique and not null (checked:
+otherwise the count could not be exact), so that at most the rows of one
+16-byte hash are left to rank.  The result is a narrow filter, so the
 output keeps the input's partitioning.
 
 `split_by_prompt` keeps a whole prompt on one side (no leakage of a prompt
@@ -25,13 +27,22 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 PREFIX_DIGITS = 4
-EXACT_RANK_LIMIT = 100_000
 
 
 def hash_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def require_unique_keys(df: DataFrame, keys: tuple[str, ...]) -> None:
+    """Fail when a key column is null or a key occurs twice (one aggregation by key)."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    bad = df.groupBy(*keys).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | null).limit(1).collect()
+    if bad:
+        raise ValueError(f"keys {keys} must be unique and not null; found {tuple(bad[0])[:-1]} in {bad[0]['_n']} row(s)")
+
+
 @dataclass
 class ExactSplitRule:
     """The test side of an exact split as a condition on the key columns.
@@ -76,7 +87,6 @@ def exact_split_rule(
     *,
     test_size: float = 0.005,
     seed: int = 42,
-    exact_rank_limit: int = EXACT_RANK_LIMIT,
     materialize: bool = True,
 ) -> tuple[ExactSplitRule, DataFrame]:
     """Count passes over (key, hash); returns the rule and the (key, hash) rows used."""
@@ -89,6 +99,7 @@ def exact_split_rule(
     if materialize:
         checkpoint_dir(df.sparkSession)
         hashed = hashed.checkpoint(eager=True)
+    require_unique_keys(hashed, tuple(keys))
     h = F.col("_h")
     step = PREFIX_DIGITS // 2  # bytes per level
     prefix = b""
@@ -117,7 +128,7 @@ def exact_split_rule(
         if remaining == cut_count:
             rule.whole = prefix
             return rule, hashed
-        if cut_count <= exact_rank_limit or len(prefix) >= 16:
+        if len(prefix) >= 16:
             break
     order = [h] + [F.col(k) for k in keys]
     last = (
@@ -137,11 +148,10 @@ def split_exact(
     *,
     test_size: float = 0.005,
     seed: int = 42,
-    exact_rank_limit: int = EXACT_RANK_LIMIT,
     materialize: bool = True,
 ) -> DataFrame:
     rule, hashed = exact_split_rule(
-        df, keys, test_size=test_size, seed=seed, exact_rank_limit=exact_rank_limit, materialize=materialize
+        df, keys, test_size=test_size, seed=seed, materialize=materialize
     )
     # Label the caller's rows (a narrow projection); when they are just the
     # keys, the materialised projection already holds them.

@@ -16,7 +16,8 @@ from ..functions.arrays import digest
 from ..functions.ratings import class_of_normalized, normalize_rating
 from ..operators import annotate, batches, chatml, encode, pairs, prompts, sampling, split
 from ..sources import fixtures as fx
-from ..sources import jsonl, schemas
+from ..session import scratch_path
+from ..sources import jsonl, preferences, schemas
 from ..streaming import pairs_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +31,15 @@ def q_build_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.build_pairs(fx.fline_prompts(spark, d))
 
 
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The fixture as the written table that a job would read."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def q_build_pairs_join(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.build_pairs_join(fx.fline_completions(spark, d))
+    return pairs.build_pairs_join(_stored(spark, fx.fline_completions(spark, d), "completions"))
 
 
 def q_build_pairs_text(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +121,6 @@ def q_split_by_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    from ..session import scratch_path
-
     path = scratch_path(spark, "jsonl")
     src = fx.ftext_prompts(spark, d).select(*[f.name for f in schemas.PROMPT_ROW.fields])
     jsonl.write_jsonl(src, path)
@@ -122,16 +128,71 @@ def q_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _flat_annotations(pairs.unnest_completions(back))
 
 
+def q_jsonl_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Whole F-TEXT as JSON lines, some broken by prompt id, read back strictly: good and bad lines counted."""
+    src = fx.ftext_prompts(spark, d).select(*[f.name for f in schemas.PROMPT_ROW.fields])
+    line, k = F.col("line"), F.col("prompt_id") % 7
+    broken = (
+        F.when(k == 1, F.concat(line, line))
+        .when(k == 2, F.concat(line, F.lit(" junk")))
+        .when(k == 3, F.translate(line, '"', "'"))
+        .when(k == 4, F.expr("substr(line, 1, length(line) - 1)"))
+        .when(k == 5, F.lit("  "))
+        .otherwise(line)
+    )
+    path = scratch_path(spark, "jsonl-broken")
+    src.select("prompt_id", F.to_json(F.struct(*src.columns)).alias("line")).select(broken.alias("value")).write.text(path)
+    good = jsonl.read_jsonl(spark, path, schemas.PROMPT_ROW, on_bad="quarantine").select("prompt_id", F.lit("ok").alias("reason"))
+    bad = jsonl.read_jsonl_quarantine(spark, path, schemas.PROMPT_ROW).select(F.lit(None).cast("bigint").alias("prompt_id"), "reason")
+    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("n_lines"), F.coalesce(F.sum("prompt_id"), F.lit(0)).alias("id_sum"))
+
+
+def q_preference_table(spark: SparkSession, d: str) -> DataFrame:
+    """F-TEXT written and read back in both layouts."""
+    src = fx.ftext_prompts(spark, d).select(*[f.name for f in schemas.PROMPT_ROW.fields])
+    out = []
+    for layout, df in (("nested", src), ("parallel", schemas.to_parallel_lists(src))):
+        path = scratch_path(spark, f"preferences-{layout}")
+        preferences.write_table(df, path)
+        back = preferences.read_preference_table(spark, path, layout=layout)
+        out.append(_flat_annotations(pairs.unnest_completions(back)).withColumn("layout", F.lit(layout)))
+    return out[0].unionByName(out[1])
+
+
+def q_split_without_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A table without ids and with every third row twice: reader, pairs in both forms, exact split, counted."""
+    src = fx.ftext_prompts(spark, d)
+    twice = src.unionByName(src.where("prompt_id % 3 = 0")).select("prompt", "img_path", "completions")
+    path = scratch_path(spark, "no-ids")
+    preferences.write_table(twice, path)
+    prompts_ = preferences.read_preference_table(spark, path, ids="derive")
+    nested = pairs.build_pairs(prompts_)
+    flat = pairs.build_pairs_join(pairs.unnest_completions(prompts_))
+    parts = []
+    for form, df in (("nested", nested), ("flat", flat)):  # the ids are hashes, so SQL checks the counts and lengths
+        s = split.split_exact(df, tuple(KEYS), materialize=False)
+        chars = F.sum(F.length("prompt") + F.length("chosen") + 2 * F.length("rejected"))
+        parts.append(s.groupBy("split").agg(F.count("*").alias("n_pairs"), chars.alias("n_chars")).withColumn("form", F.lit(form)))
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("form").agg(
+        F.sum("n_pairs").alias("n_pairs"), F.sum(F.when(F.col("split") == "test", F.col("n_pairs")).otherwise(0)).alias("n_test"), F.sum("n_chars").alias("n_chars")
+    )
+
+
 # ------------------------------------------------------------ conversations (E1-E4)
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    conv = chatml.drop_leading_nonuser(fx.conversations(spark, d), unknown_role="drop_conversation")
+    conv = chatml.drop_leading_nonuser(fx.conversations(spark, d), unknown_role="drop_turn")
     return chatml.encode_turns(conv)
 
 
 def q_drop_leading_nonuser(spark: SparkSession, d: str) -> DataFrame:
-    return chatml.drop_leading_nonuser(fx.conversations(spark, d), unknown_role="drop_conversation")
+    return chatml.drop_leading_nonuser(fx.conversations(spark, d), unknown_role="drop_turn")
+
+
+def q_conversation_report(spark: SparkSession, d: str) -> DataFrame:
+    return chatml.conversation_report(fx.conversations(spark, d))
 
 
 def q_chatml_render(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +216,7 @@ def q_turn_prompts(spark: SparkSession, d: str) -> DataFrame:
         F.size("input_ids").cast("bigint").alias("n_ids"),
         digest(F.col("input_ids")).alias("ids_md5"),
         digest(F.col("labels")).alias("labels_md5"),
+        digest(F.col("attention_mask")).alias("mask_md5"),
     )
 
 
@@ -166,6 +228,7 @@ def q_turn_answers(spark: SparkSession, d: str) -> DataFrame:
         F.size("input_ids").cast("bigint").alias("n_ids"),
         digest(F.col("input_ids")).alias("ids_md5"),
         digest(F.col("labels")).alias("labels_md5"),
+        digest(F.col("attention_mask")).alias("mask_md5"),
     )
 
 
@@ -238,14 +301,12 @@ def q_length_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAD_BATCH_SIZE = 8
-PAD_BUCKETS = 16
 
 
 def q_pad_batches(spark: SparkSession, d: str) -> DataFrame:
-    p = batches.pad_batches(_encoded(spark, d), batch_size=PAD_BATCH_SIZE, n_buckets=PAD_BUCKETS)
+    p = batches.pad_batches(_encoded(spark, d), batch_size=PAD_BATCH_SIZE)
     return p.select(
         *KEYS,
-        F.col("bucket").cast("bigint").alias("bucket"),
         "batch",
         "prompt_width",
         "chosen_width",
@@ -266,6 +327,28 @@ def q_parse_annotations(spark: SparkSession, d: str) -> DataFrame:
     return annotate.parse_annotations(answers)
 
 
+def q_parse_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Every expected and found block of F-TEXT's answers, damaged by prompt id, with its status."""
+    a = annotate.render_answers(fx.ftext_prompts(spark, d))
+    k, t = F.col("prompt_id") % 8, F.col("answer")
+    damaged = (
+        F.when(k == 1, F.lit(None).cast("string"))
+        .when(k == 2, F.regexp_replace(t, "Output for Text 2", "Output for Text 9"))
+        .when(k == 3, F.regexp_replace(t, "(?m)^Rating: ", "Score: "))
+        .when(k == 4, F.regexp_replace(t, "#### Helpfulness", "#### Foo"))
+        .when(k == 5, F.concat(t, F.lit("\n"), t))
+        .when(k == 6, F.regexp_replace(t, "Output for Text 3", "Output for Text 33333333333333333333"))
+        .otherwise(t)
+    )
+    return annotate.parse_answers(a.withColumn("answer", damaged)).select("prompt_id", "group_idx", "text_idx", "aspect", "status")
+
+
+def q_annotation_prompts_line(spark: SparkSession, d: str) -> DataFrame:
+    """F-LINE prompts hold up to 17 responses: each of them reaches a judge prompt."""
+    p = annotate.annotation_prompts(fx.fline_prompts(spark, d))
+    return p.select("prompt_id", "group_idx", "n_texts", F.md5("annotation_prompt").alias("prompt_md5"))
+
+
 SAMPLE_MODELS_K = 4
 SAMPLE_DOMAIN_K = 5
 
@@ -304,6 +387,10 @@ QUERIES: dict[str, Query] = {
     "split_exact": q_split_exact,
     "split_by_prompt": q_split_by_prompt,
     "jsonl_roundtrip": q_jsonl_roundtrip,
+    "jsonl_quarantine": q_jsonl_quarantine,
+    "preference_table": q_preference_table,
+    "split_without_ids": q_split_without_ids,
+    "conversation_report": q_conversation_report,
     "drop_leading_nonuser": q_drop_leading_nonuser,
     "chatml_render": q_chatml_render,
     "turn_prompts": q_turn_prompts,
@@ -315,7 +402,9 @@ QUERIES: dict[str, Query] = {
     "length_report": q_length_report,
     "pad_batches": q_pad_batches,
     "annotation_prompts": q_annotation_prompts,
+    "annotation_prompts_line": q_annotation_prompts_line,
     "parse_annotations": q_parse_annotations,
+    "parse_quarantine": q_parse_quarantine,
     "sample_models": q_sample_models,
     "sample_by_domain": q_sample_by_domain,
     "stream_pairs": q_stream_pairs,

@@ -18,6 +18,8 @@ CFG = encode.EncodeConfig()
 
 # Python str.isspace() characters as an RE2 class.
 _SPACE = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# what float() strips: the same without U+001C-U+001F
+_FLOAT_SPACE = _SPACE.replace(r"\x1c-\x20", r"\x20")
 _GRAMMAR = r"(?i)[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)"
 _JAVA_ONLY = r"(?i)[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?[fd]|0x[0-9a-f]*(\.[0-9a-f]*)?p[+-]?\d+[fd]?)"
 
@@ -32,7 +34,8 @@ def strip_sql(x: str) -> str:
 
 
 def norm_sql(x: str) -> str:
-    u = f"regexp_replace({strip_sql(x)}, '([0-9])_([0-9])', '\\1\\2', 'g')"
+    t = f"regexp_replace({x}, '^{_FLOAT_SPACE}+|{_FLOAT_SPACE}+$', '', 'g')"
+    u = f"regexp_replace({t}, '([0-9])_([0-9])', '\\1\\2', 'g')"
     u = f"regexp_replace({u}, '([0-9])_([0-9])', '\\1\\2', 'g')"
     return f"regexp_replace({u}, '(?i)^[+-](nan)$', '\\1')"
 
@@ -234,10 +237,9 @@ def digest_sql(x: str) -> str:
 
 CONV_NORM = """conv_norm AS (
   SELECT conv_id, turn, role, text FROM (
-    SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn,
-      sum(CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id) AS n_unknown
-    FROM conversations) t
-  WHERE n_unknown = 0 AND NOT (turn = first_turn AND role <> 'user'))"""
+    SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn
+    FROM conversations WHERE role IN ('user', 'assistant')) t
+  WHERE NOT (turn = first_turn AND role <> 'user'))"""
 
 TURNS = f"""{CONV_NORM},
 turns AS (
@@ -267,13 +269,15 @@ r AS (SELECT conv_id, turn, role,
   list_concat({arr(SYS_IDS)}, flatten(list(ids) {w})) AS ids,
   list_concat({arr(SYS_LAB)}, flatten(list(labels) {w})) AS labels
   FROM turns)
-SELECT conv_id, turn, prompt_text, CAST(len(ids) AS BIGINT) AS n_ids, {digest_sql('ids')} AS ids_md5, {digest_sql('labels')} AS labels_md5
+SELECT conv_id, turn, prompt_text, CAST(len(ids) AS BIGINT) AS n_ids, {digest_sql('ids')} AS ids_md5, {digest_sql('labels')} AS labels_md5,
+  {digest_sql(_mask_sql('ids'))} AS mask_md5
 FROM r WHERE role = 'user'"""
 
 
 def turn_answers_sql() -> str:
     return f"""WITH {TURNS}
-SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n_ids, {digest_sql('ids')} AS ids_md5, {digest_sql('labels')} AS labels_md5
+SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n_ids, {digest_sql('ids')} AS ids_md5, {digest_sql('labels')} AS labels_md5,
+  {digest_sql(_mask_sql('ids'))} AS mask_md5
 FROM turns WHERE role = 'assistant'"""
 
 
@@ -386,7 +390,7 @@ FROM ({inner}) t GROUP BY "case\""""
 
 
 def pad_batches_sql() -> str:
-    bs, nb = catalog.PAD_BATCH_SIZE, catalog.PAD_BUCKETS
+    bs = catalog.PAD_BATCH_SIZE
     h = "md5('42:' || CAST(prompt_id AS VARCHAR) || ':' || CAST(comp_i AS VARCHAR) || ':' || CAST(comp_j AS VARCHAR))"
     pads = {"input_ids": CP_EOD, "labels": IGNORE_INDEX, "attention_mask": 0}
     cols = []
@@ -398,14 +402,13 @@ def pad_batches_sql() -> str:
             cols.append(f"{digest_sql(padded)} AS {a}_md5")
     return (
         ENC
-        + f""", b0 AS (SELECT *, {h} AS h FROM final),
-b1 AS (SELECT *, CAST(('0x' || substr(h, 1, 8))::BIGINT % {nb} AS BIGINT) AS bucket FROM b0),
-b2 AS (SELECT *, CAST((row_number() OVER (PARTITION BY bucket ORDER BY h, prompt_id, comp_i, comp_j) - 1) // {bs} AS BIGINT) AS batch FROM b1),
+        + f""", b1 AS (SELECT *, {h} AS h FROM final),
+b2 AS (SELECT *, CAST((row_number() OVER (ORDER BY h, prompt_id, comp_i, comp_j) - 1) // {bs} AS BIGINT) AS batch FROM b1),
 b3 AS (SELECT *,
-  CAST(max(len(prompt_input_ids)) OVER (PARTITION BY bucket, batch) AS BIGINT) AS prompt_width,
-  CAST(max(len(chosen_input_ids)) OVER (PARTITION BY bucket, batch) AS BIGINT) AS chosen_width,
-  CAST(max(len(rejected_input_ids)) OVER (PARTITION BY bucket, batch) AS BIGINT) AS rejected_width FROM b2)
-SELECT prompt_id, comp_i, comp_j, bucket, batch, prompt_width, chosen_width, rejected_width, {", ".join(cols)} FROM b3"""
+  CAST(max(len(prompt_input_ids)) OVER (PARTITION BY batch) AS BIGINT) AS prompt_width,
+  CAST(max(len(chosen_input_ids)) OVER (PARTITION BY batch) AS BIGINT) AS chosen_width,
+  CAST(max(len(rejected_input_ids)) OVER (PARTITION BY batch) AS BIGINT) AS rejected_width FROM b2)
+SELECT prompt_id, comp_i, comp_j, batch, prompt_width, chosen_width, rejected_width, {", ".join(cols)} FROM b3"""
     )
 
 
@@ -429,16 +432,66 @@ def full_texts_sql() -> str:
   chosen AS chosen_response_only, rejected AS rejected_response_only FROM pairs"""
 
 
-def annotation_prompts_sql() -> str:
+def annotation_prompts_sql(src: str = "ftext", cte: str = FTEXT, out: str = "annotation_prompt") -> str:
     parts = annotate.template_parts()
-    texts = [f"max(CASE WHEN comp_idx = {i} THEN response END)" for i in range(annotate.N_SLOTS)]
+    n = annotate.N_SLOTS
+    texts = [f"max(CASE WHEN comp_idx % {n} = {i} THEN response END)" for i in range(n)]
     pieces = [q(parts[0]), "coalesce(any_value(prompt), '')"]
-    for i in range(annotate.N_SLOTS):
+    for i in range(n):
         pieces += [q(parts[i + 1]), f"coalesce({texts[i]}, '')"]
     pieces.append(q(parts[-1]))
-    return f"""WITH {FTEXT}
-SELECT prompt_id, CAST(least(count(*), {annotate.N_SLOTS}) AS BIGINT) AS n_texts, {" || ".join(pieces)} AS annotation_prompt
-FROM ftext GROUP BY prompt_id"""
+    text = " || ".join(pieces)
+    filled = text if out == "annotation_prompt" else f"md5({text})"
+    return f"""WITH {cte}
+SELECT prompt_id, CAST(comp_idx // {n} AS BIGINT) AS group_idx, CAST(count(*) AS BIGINT) AS n_texts, {filled} AS {out}
+FROM {src} GROUP BY prompt_id, comp_idx // {n}"""
+
+
+def conversation_report_sql() -> str:
+    return """WITH c AS (
+  SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user,
+    count(*) FILTER (WHERE role = 'assistant') AS n_assistant,
+    count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS n_other, count(*) FILTER (WHERE text IS NULL) AS n_null_text,
+    arg_min(role, turn) FILTER (WHERE role IN ('user', 'assistant')) AS lead
+  FROM conversations GROUP BY conv_id)
+SELECT *  EXCLUDE (lead), CAST(coalesce(lead = 'assistant', false) AS BIGINT) AS n_leading,
+  n_user + n_assistant - CAST(coalesce(lead = 'assistant', false) AS BIGINT) AS n_rendered FROM c"""
+
+
+def parse_quarantine_sql() -> str:
+    """Enumerates the expected blocks and what each damage does to them."""
+    aspects = ", ".join(q(a) for a in annotate.ASPECT_HEADINGS)
+    return f"""WITH {FTEXT},
+e AS (SELECT prompt_id, prompt_id % 8 AS k, comp_idx + 1 AS i, unnest([{aspects}]) AS aspect FROM ftext),
+own AS (
+  SELECT prompt_id, i AS text_idx, aspect,
+    CASE WHEN k = 1 THEN 'null_answer' WHEN k = 2 AND i = 2 THEN 'missing_block' WHEN k = 3 THEN 'no_rating_line'
+         WHEN k = 4 AND aspect = 'Helpfulness' THEN 'missing_section' WHEN k = 6 AND i = 3 THEN 'missing_block' ELSE 'ok' END AS status FROM e),
+more AS (
+  SELECT prompt_id, CASE k WHEN 2 THEN 9 WHEN 6 THEN NULL ELSE i END AS text_idx, CASE WHEN k = 4 THEN 'Foo' ELSE aspect END AS aspect,
+    CASE k WHEN 4 THEN 'unknown_aspect' WHEN 5 THEN 'duplicate' ELSE 'unknown_text' END AS status
+  FROM e WHERE k = 5 OR k = 4 AND aspect = 'Helpfulness' OR k = 2 AND i = 2 OR k = 6 AND i = 3)
+SELECT CAST(prompt_id AS BIGINT) AS prompt_id, CAST(0 AS BIGINT) AS group_idx, CAST(text_idx AS BIGINT) AS text_idx, aspect, status
+FROM (SELECT * FROM own UNION ALL SELECT * FROM more)"""
+
+
+def jsonl_quarantine_sql() -> str:
+    return f"""WITH {FTEXT}, p AS (SELECT DISTINCT prompt_id, prompt_id % 7 AS k FROM ftext)
+SELECT CASE WHEN k IN (0, 6) THEN 'ok' WHEN k = 5 THEN 'blank_line' ELSE 'malformed' END AS reason, count(*) AS n_lines,
+  CAST(sum(CASE WHEN k IN (0, 6) THEN prompt_id ELSE 0 END) AS BIGINT) AS id_sum FROM p GROUP BY 1"""
+
+
+def preference_table_sql() -> str:
+    flat = flat_annotations_sql("ftext")
+    return f"WITH {FTEXT}, f AS ({flat})\nSELECT *, unnest(['nested', 'parallel']) AS layout FROM f"
+
+
+def split_without_ids_sql() -> str:
+    return f"""{FTEXT_PAIRS.rstrip()},
+twice AS (SELECT * FROM pairs UNION ALL SELECT * FROM pairs WHERE prompt_id % 3 = 0)
+SELECT unnest(['nested', 'flat']) AS form, n_pairs, n_test, n_chars FROM (
+  SELECT count(*) AS n_pairs, CAST(ceil(0.005 * count(*)) AS BIGINT) AS n_test,
+    CAST(sum(length(prompt) + length(chosen) + 2 * length(rejected)) AS BIGINT) AS n_chars FROM twice)"""
 
 
 def parse_annotations_sql() -> str:
@@ -446,9 +499,9 @@ def parse_annotations_sql() -> str:
     for aspect, col in (("Helpfulness", "r_help"), ("Ethical Considerations", "r_eth"), ("Visual Faithfulness", "r_vis")):
         ratio = "CASE WHEN {c} IS NULL THEN '' ELSE rationale END".format(c=col)
         parts.append(
-            f"SELECT prompt_id, comp_idx + 1 AS text_idx, {q(aspect)} AS aspect, coalesce({col}, 'N/A') AS rating, {ratio} AS rationale FROM ftext"
+            f"SELECT prompt_id, 0 AS group_idx, comp_idx + 1 AS text_idx, {q(aspect)} AS aspect, coalesce({col}, 'N/A') AS rating, {ratio} AS rationale FROM ftext"
         )
-    return f"WITH {FTEXT}\nSELECT CAST(prompt_id AS BIGINT) AS prompt_id, CAST(text_idx AS BIGINT) AS text_idx, aspect, rating, rationale FROM (\n" + "\nUNION ALL\n".join(parts) + ") t"
+    return f"WITH {FTEXT}\nSELECT CAST(prompt_id AS BIGINT) AS prompt_id, CAST(group_idx AS BIGINT) AS group_idx, CAST(text_idx AS BIGINT) AS text_idx, aspect, rating, rationale FROM (\n" + "\nUNION ALL\n".join(parts) + ") t"
 
 
 def sample_models_sql() -> str:
@@ -498,6 +551,12 @@ ORACLE_SQL: dict[str, str] = {
     "encode_masks": encode_masks_sql(),
     "truncate_pairs": truncate_pairs_sql(),
     "length_report": length_report_sql(),
+    "conversation_report": conversation_report_sql(),
+    "jsonl_quarantine": jsonl_quarantine_sql(),
+    "preference_table": preference_table_sql(),
+    "split_without_ids": split_without_ids_sql(),
+    "parse_quarantine": parse_quarantine_sql(),
+    "annotation_prompts_line": annotation_prompts_sql("fline", FLINE, "prompt_md5"),
     "pad_batches": pad_batches_sql(),
     "annotation_prompts": annotation_prompts_sql(),
     "parse_annotations": parse_annotations_sql(),

@@ -11,23 +11,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from . import schemas
 from .jsonl import read_jsonl
 
 LAYOUTS = {"nested": schemas.PROMPT_ROW, "parallel": schemas.PARALLEL_ROW}
 
 
+IDS = ("long", "string", "derive")
+
+
+def derive_ids(df: DataFrame, key: str = "prompt_id") -> DataFrame:
+    """Ids for a table that has none: a hash of the row's content and its number among equal rows.
+
+    Equal rows are interchangeable, so the ids do not depend on the layout.
+    """
+    cols = [c for c in df.columns if c != key]
+    # to_json leaves out null fields, so a field's name stands for its being there
+    df = df.select(*cols, F.sha2(F.to_json(F.struct(*cols)), 256).alias("_h"))
+    nth = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))
+    return df.select(F.concat_ws("-", F.substring("_h", 1, 32), nth.cast("string")).alias(key), *cols)
+
+
 def read_preference_table(
-    spark: SparkSession, path: str, *, layout: str = "nested", fmt: str = "parquet", on_bad: str = "error"
+    spark: SparkSession, path: str, *, layout: str = "nested", fmt: str = "parquet", on_bad: str = "error", ids: str = "long"
 ) -> DataFrame:
+    """A preference table in the nested layout.
+
+    `ids`: the table's `prompt_id` is a "long" or a "string", or it has none
+    and one is derived ("derive").  A parquet table that lacks the column
+    fails unless it is derived, instead of reading as all null.
+    """
+    if ids not in IDS:
+        raise ValueError(f"ids must be one of {IDS}")
     schema = LAYOUTS[layout]
+    if ids == "derive":
+        schema = T.StructType([f for f in schema.fields if f.name != "prompt_id"])
+    elif ids == "string":
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "prompt_id" else f for f in schema.fields])
     if fmt == "parquet":
+        if ids != "derive" and "prompt_id" not in spark.read.parquet(path).columns:
+            raise ValueError(f"{path} has no prompt_id column; pass ids='derive'")
         df = spark.read.schema(schema).parquet(path)
     elif fmt in ("json", "jsonl"):
         df = read_jsonl(spark, path, schema, on_bad=on_bad)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
-    return schemas.from_parallel_lists(df) if layout == "parallel" else df
+    df = schemas.from_parallel_lists(df) if layout == "parallel" else df
+    return derive_ids(df) if ids == "derive" else df
 
 
 def write_table(

@@ -87,11 +87,11 @@ def test_nested_path_equals_text_path(spark):
 
 def test_pad_batches(spark):
     e = encode.encode_prompt_rows(fx.ftext_prompts(spark, SF001), cfg=encode.EncodeConfig(max_length=256, max_prompt_length=128))
-    p = batches.pad_batches(e, batch_size=4, n_buckets=4).collect()
+    p = batches.pad_batches(e, batch_size=4).collect()
     by_batch = {}
     for r in p:
-        by_batch.setdefault((r.bucket, r.batch), []).append(r)
-    assert max(len(v) for v in by_batch.values()) <= 4
+        by_batch.setdefault(r.batch, []).append(r)
+    assert sorted(by_batch) == list(range(68)) and [len(v) for _, v in sorted(by_batch.items())] == [4] * 67 + [3]
     for rows in by_batch.values():
         for side in ("prompt", "chosen", "rejected"):
             widths = {len(r[f"{side}_input_ids"]) for r in rows} | {len(r[f"{side}_labels"]) for r in rows}
@@ -113,8 +113,47 @@ def test_length_report(spark):
         assert r.max_total_after <= 512 or r["case"] != "responses_truncated"
 
 
-def test_pad_batches_default_buckets_follow_data(spark):
-    e = encode.encode_prompt_rows(fx.ftext_prompts(spark, SF001), cfg=encode.EncodeConfig(max_length=128, max_prompt_length=64))
-    p = batches.pad_batches(e, batch_size=4, rows_per_bucket=100)
-    assert p.select("bucket").distinct().count() <= 3  # ceil(271 / 100) buckets
-    assert p.count() == 271
+def test_batches_do_not_depend_on_layout_or_prefix(spark):
+    e = encode.encode_prompt_rows(fx.ftext_prompts(spark, SF001), cfg=encode.EncodeConfig(max_length=64, max_prompt_length=32))
+    keys = ["prompt_id", "comp_i", "comp_j"]
+    want = None
+    for parts, digits in ((1, 4), (17, 4), (5, 0), (5, 2)):
+        p = batches.pad_batches(e.repartition(parts), batch_size=8, prefix_digits=digits)
+        got = sorted(map(tuple, p.select(*keys, "batch", "prompt_width", "chosen_width", "rejected_width").collect()))
+        want = want or got
+        assert got == want
+
+
+def test_prompt_budget_over_length_is_rejected(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="max_prompt_length"):
+        encode.encode_prompt_rows(fx.ftext_prompts(spark, SF001), cfg=encode.EncodeConfig(max_length=40, max_prompt_length=60))
+
+
+def test_null_prompt_is_reported(spark):
+    df = spark.createDataFrame([(1, 0, 1, None, "a", "b"), (2, 0, 1, "p", "a", "b")], "prompt_id long, comp_i long, comp_j long, prompt string, chosen string, rejected string")
+    assert {r["case"]: r.n_pairs for r in encode.length_report(df).collect()} == {"null_text": 1, "fits": 1}
+
+
+def test_tokenizer_is_built_once_per_worker(spark, tmp_path):
+    from prefloom.functions.tokens import ArrowTokenizer
+
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return None
+
+    tok = ArrowTokenizer(factory, lambda t, texts: [[len(x)] for x in texts], 1, 2, 3)
+    df = spark.range(0, 240, numPartitions=12).selectExpr("cast(id as string) t")
+    from pyspark.sql import functions as F
+
+    assert df.select(F.explode(tok.encode(F.col("t")))).count() == 240
+    import os
+
+    made = [x.split("-")[0] for x in os.listdir(folder)]
+    assert len(made) == len(set(made)) <= 12

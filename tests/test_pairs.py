@@ -52,7 +52,7 @@ def test_forms_agree(spark):
     nested = fx.fline_prompts(spark, SF001)
     a = pairs.build_pairs(nested)
     b = pairs.build_pairs_join(fx.fline_completions(spark, SF001))
-    c = pairs.build_pairs(nested, max_inline=3, min_block=2, max_blocks=3)
+    c = pairs.build_pairs(nested)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
 

@@ -88,3 +88,28 @@ def test_image_prompt(spark):
     got = df.select(image_prompt(F.col("p"), F.col("imgs"))).first()[0]
     want = "Picture 1: <img>a.jpg</img>\nPicture 2: <img>None</img>\nPicture 3: <img>c.png</img>\nhi"
     assert got == want
+
+
+def test_random_texts_against_python_float(spark):
+    """Every class of white space and control character around and inside numbers."""
+    import random
+
+    r = random.Random(17)
+    odd = [chr(c) for c in range(0x21)] + ["\x7f", "\x85", "\xa0", "\u1680", "\u2000", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff"]
+    core = ["3", "4.5", "-1", "+nan", "inf", "1_0", "1__0", "1e3", ".5", "5.", "e5", "4d", "", "\u0663", "0x1p3"]
+    texts = sorted({"".join(r.choices(odd, k=r.randrange(3))) + r.choice(core) + "".join(r.choices(odd, k=r.randrange(3))) for _ in range(24000)})
+
+    def python(t):
+        try:
+            return repr(float(t))
+        except ValueError:
+            return None
+
+    from pyspark.sql import functions as F
+
+    from prefloom.functions.ratings import parse_rating
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {x.i: None if x.v is None else repr(x.v) for x in df.select("i", parse_rating(F.col("t")).alias("v")).collect()}
+    bad = [(texts[i], v) for i, v in got.items() if v != python(texts[i])]
+    assert not bad and len(texts) > 10000

@@ -38,8 +38,9 @@ def test_stream_equals_batch(spark):
 
 def test_entry_contract(spark):
     import __spark_entry__ as entry
+    from prefloom.plans.catalog import QUERIES
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.columns == ["prompt_id", "comp_i", "comp_j", "prompt", "chosen", "rejected"]
     assert df.count() == 7810
@@ -138,3 +139,70 @@ def test_stream_restart_processes_new_files_once(spark):
     want = pairs.build_pairs(nested)
     assert 0 < n_first < got.count() == 7810
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_strict_lines(spark, tmp_path):
+    """Only lines that hold one object and nothing else pass, as json.loads has it."""
+    import json
+
+    import pytest
+    from pyspark.sql import types as T
+
+    from prefloom.sources import jsonl
+
+    schema = T.StructType([T.StructField("prompt_id", T.LongType()), T.StructField("prompt", T.StringType())])
+    lines = [
+        '{"prompt_id": 1, "prompt": "a"}', '{"prompt_id": 2}{"prompt_id": 3}', '{"prompt_id": 7} junk', "{'prompt_id': 4}", '{"prompt_id": 5}]',
+        '{"prompt_id": 6},"end":"x"}', '{"prompt_id": 8} ', '  {"prompt": "b} ", "prompt_id": 9}', "", "null", "[1]",
+    ]
+    path = tmp_path / "x.jsonl"
+    path.write_text("\n".join(lines) + "\n")
+
+    def good(t):
+        try:
+            return isinstance(json.loads(t), dict)
+        except ValueError:
+            return False
+
+    want = [json.loads(t)["prompt_id"] for t in lines if good(t)]
+    got = jsonl.read_jsonl(spark, str(path), schema, on_bad="quarantine").collect()
+    assert sorted(r.prompt_id for r in got) == sorted(want) == [1, 8, 9]
+    assert jsonl.read_jsonl_quarantine(spark, str(path), schema).count() == len(lines) - len(want)
+    with pytest.raises(Exception, match="bad JSON line"):
+        jsonl.read_jsonl(spark, str(path), schema).collect()
+
+
+def test_tables_without_ids(spark, tmp_path):
+    import pytest
+
+    from prefloom.sources import preferences
+
+    src = fx.ftext_prompts(spark, SF001).select("prompt", "img_path", "completions")
+    twice = src.unionByName(src)
+    twice.write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="derive"):
+        preferences.read_preference_table(spark, str(tmp_path / "t"))
+    a = preferences.read_preference_table(spark, str(tmp_path / "t"), ids="derive")
+    ids = {r.prompt_id for r in a.select("prompt_id").collect()}
+    assert len(ids) == 100
+    twice.repartition(7).write.parquet(str(tmp_path / "u"))
+    b = preferences.read_preference_table(spark, str(tmp_path / "u"), ids="derive")
+    assert {r.prompt_id for r in b.select("prompt_id").collect()} == ids
+
+
+def test_stored_nested_table_is_pruned(spark, tmp_path):
+    """Pairing, encoding and judge prompts read only the completion fields that they use."""
+    from conftest import plan_text
+    from prefloom.operators import annotate, encode, pairs
+
+    fx.ftext_prompts(spark, SF001).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+
+    def schema_of(df):
+        p = plan_text(df)
+        return p[p.index("ReadSchema") :]
+
+    assert "model" not in schema_of(pairs.build_pairs(t)) and "comp_idx" not in schema_of(pairs.build_pairs(t))
+    assert "response" in schema_of(pairs.build_pairs(t))
+    assert "model" not in schema_of(encode.encode_prompt_rows(t))
+    assert "annotations" not in schema_of(annotate.annotation_prompts(t)) and "model" not in schema_of(annotate.annotation_prompts(t))

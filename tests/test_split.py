@@ -29,7 +29,7 @@ def test_multi_level_refinement_and_layout(spark):
     p = pairs.build_pairs(fx.fline_prompts(spark, SF001)).select(*KEYS)
     want = brute_force(p, test_size=0.3)
     for parts in (1, 17):
-        s = split.split_exact(p.repartition(parts), KEYS, test_size=0.3, exact_rank_limit=1)
+        s = split.split_exact(p.repartition(parts), KEYS, test_size=0.3, )
         got = {tuple(r[:3]) for r in s.where("split = 'test'").collect()}
         assert got == want
 
@@ -48,3 +48,12 @@ def test_split_by_prompt_no_leakage(spark):
     assert both == 0
     frac = s.where("split = 'test'").select("prompt_id").distinct().count() / p.select("prompt_id").distinct().count()
     assert 0.03 < frac < 0.07
+
+
+def test_repeated_or_null_keys_fail(spark):
+    import pytest
+
+    for rows in ([(1, 0, 1), (1, 0, 1)], [(None, 0, 1), (2, 0, 1)]):
+        df = spark.createDataFrame(rows, "prompt_id long, comp_i long, comp_j long")
+        with pytest.raises(ValueError, match="unique"):
+            split.split_exact(df, KEYS)
