@@ -132,9 +132,10 @@ def build_pairs_join(
     # The rating parser runs once per completion (not once per filter term).
     # The key passes through the generator unchanged, so an input already
     # partitioned by it is not shuffled again.
-    # A null or repeated (key, position) would lose or mix rows: a null fails here.
-    known = F.when(F.col(key).isNull() | F.col(idx).isNull(), F.raise_error(F.lit("completion without a prompt id or position")))
-    v = completions.where(known.isNull()).select(
+    # A row without a key would silently match nothing (the check reads only the keys).
+    if not completions.where(F.col(key).isNull() | F.col(idx).isNull()).select(key).isEmpty():
+        raise ValueError("completion without a prompt id or position")
+    v = completions.select(
         F.col(key).alias("prompt_id"),
         F.col(idx).cast("bigint").alias("pos"),
         computed_once(

@@ -303,8 +303,13 @@ def q_length_report(spark: SparkSession, d: str) -> DataFrame:
 PAD_BATCH_SIZE = 8
 
 
+def padded_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of the encoded pairs as the job stores them: ranking reads the table, not the encoder, again."""
+    return batches.pad_batches(_stored(spark, _encoded(spark, d), "encoded"), batch_size=PAD_BATCH_SIZE)
+
+
 def q_pad_batches(spark: SparkSession, d: str) -> DataFrame:
-    p = batches.pad_batches(_encoded(spark, d), batch_size=PAD_BATCH_SIZE)
+    p = padded_pairs(spark, d)
     return p.select(
         *KEYS,
         "batch",

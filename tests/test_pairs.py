@@ -169,3 +169,28 @@ def test_on_null_policy(spark):
         pairs.build_pairs(df, on_null="error").collect()
     ok = nested_df(spark, [(["a", "b"], [{"H": "5"}, {"H": "3"}])])
     assert pairs.build_pairs(ok, on_null="error").count() == 1
+
+
+def test_null_and_repeated_ids_do_not_mix_prompts(spark):
+    import pytest
+
+    a = [("r1", "1"), ("r2", "2"), ("r3", "3")]
+    comps = lambda tag: [(i, "m", f"{tag}-{r}", {"H": (v, "")}) for i, (r, v) in enumerate(a)]
+    rows = [(5, "p", None, comps("x")), (5, "q", None, comps("y")), (None, "z", None, comps("w"))]
+    from prefloom.sources import schemas
+
+    df = spark.createDataFrame(rows, schemas.PROMPT_ROW)
+    out = pairs.build_pairs(df, format_prompt=False).collect()
+    assert len(out) == 9 and all(r.chosen[0] == r.rejected[0] for r in out)
+    with pytest.raises(Exception, match="without a prompt id"):
+        pairs.build_pairs_join(pairs.unnest_completions(df), format_prompt=False).collect()
+
+
+def test_registered_flat_join_can_be_split(spark):
+    """Nothing stands between the exchange and the join's sort, so AQE can split a hot prompt."""
+    from prefloom.plans.catalog import QUERIES
+
+    plan = plan_text(QUERIES["build_pairs_join"](spark, SF001))
+    import re
+
+    assert len(re.findall(r"Sort \[prompt_id[^\n]*\n[^\n]*Exchange hashpartitioning\(prompt_id", plan)) == 2
