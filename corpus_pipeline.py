@@ -49,7 +49,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     import public_tokenizers
 
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
+    keep = [c for c in docs.columns if c not in ("text", "n_chars")]  # ids and n_tokens are replaced
     return encode_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
 
 

@@ -194,10 +194,9 @@ def encode_bpe(
     Ids are binary (little-endian unsigned 32-bit), or array<int> with
     `as_array`.  Special tokens are never produced.  A null or empty text has
     no ids.  One narrow pass over whole texts; rows keep their multiplicity.
+    Input columns named as the new ones are replaced.
     """
-    keep = docs.columns if keep is None else keep
-    if {ids_col, count_col} & set(keep):
-        raise ValueError("the result's columns clash with those of the input; choose other names")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, count_col)]
     d = docs.select(*dict.fromkeys([*keep, text_col]))
     fields = [f for f in d.schema.fields if f.name in keep]
     out = StructType(list(fields)).add(count_col, "long").add(ids_col, ArrayType(IntegerType()) if as_array else "binary")
@@ -225,10 +224,11 @@ def encode_bpe(
 
 
 def decode_bpe(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (default: all) and the bytes of the ids (binary or array<int>); null ids give no bytes."""
-    keep = encoded.columns if keep is None else keep
-    if out_col in keep:
-        raise ValueError("the result's column clashes with one of the input; choose another name")
+    """`keep` columns (default: all) and the bytes of the ids (binary or array<int>); null ids give no bytes.
+
+    An input column named as the new one is replaced.
+    """
+    keep = [c for c in (encoded.columns if keep is None else keep) if c != out_col]
     d = encoded.select(*dict.fromkeys([*keep, ids_col]))
     fields = [f for f in d.schema.fields if f.name in keep]
     out = StructType(list(fields)).add(out_col, "binary")

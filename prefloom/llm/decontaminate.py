@@ -229,9 +229,12 @@ def remove_contamination(
         ids = docs.mapInArrow(_cleaner(shared, text_col, max_share), docs.schema)
         return ids.select(*cols)
     found = find_contamination(docs, benchmark, id_col, text_col, max_broadcast_bytes=max_broadcast_bytes)
-    bad = found.filter("n_hit > 0").groupBy(id_col).agg(F.first("n_words").alias("_n"), F.first("n_hit").alias("_h"), F.first("spans").alias("_s"))
-    out = docs.join(bad, id_col, "left").filter(F.col("_h").isNull() | (F.col("_h") <= F.col("_n") * max_share))
-    return out.withColumn(text_col, _word_cutter()(text_col, "_s")).select(*cols)
+    bad = found.filter("n_hit > 0").groupBy(F.col(id_col).alias("id")).agg(F.first("n_words").alias("n"), F.first("n_hit").alias("hit"), F.first("spans").alias("spans"))
+    row = F.col("row")
+    out = docs.select(F.struct(*cols).alias("row")).join(bad, row.getField(id_col) == F.col("id"), "left")
+    out = out.filter(F.col("hit").isNull() | (F.col("hit") <= F.col("n") * max_share))
+    text = _word_cutter()(row.getField(text_col), "spans")
+    return out.select(*[text.alias(c) if c == text_col else row.getField(c).alias(c) for c in cols])
 
 
 def _cleaner(index_bytes, text_col: str, max_share: float):

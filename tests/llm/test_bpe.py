@@ -40,6 +40,14 @@ def test_tree_equals_library_at_any_leaf_size(codec, monkeypatch, leaf):
         assert own.decode(ids) == t.encode()
 
 
+def test_white_space_equals_library(codec):
+    r = random.Random(4)
+    white = [" ", "  ", "\n", " \n", "\n ", "\t \n", "\u00a0", "\u3000 ", "\x1c ", ""]
+    for _ in range(20000):
+        t = "".join(r.choice(["a", "b's", "c'll", "d1", "é.", "!", "'", "x"]) * r.randrange(2) + r.choice(white) for _ in range(r.randrange(7)))
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == LIB.encode_ordinary(t), repr(t)
+
+
 def test_long_matches_and_long_texts(codec):
     r = random.Random(1)
     for t in ["a" * 5000, "ab" * 3000, " " * 40000, "x " * 30000, "".join(r.choice("abcdefgh") for _ in range(20000)), "é" * 9000, "'" * 20000 + "ll"]:
@@ -68,8 +76,8 @@ def test_edge_rows(spark):
     assert got == [(1, 0, ()), (2, 0, ()), (2, 0, ()), (3, len(want), tuple(want))]
     assert {x.doc_id: bytes(x.decoded) for x in bpe.decode_bpe(a, PATH, P.PATTERN).collect()}[3] == b"hi there <|endoftext|>"
     assert bpe.encode_bpe(df.limit(0), PATH, P.PATTERN).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode_bpe(df.withColumnRenamed("ids2", "ids"), PATH, P.PATTERN)
+    clash = bpe.encode_bpe(df.withColumnRenamed("ids2", "ids"), PATH, P.PATTERN)
+    assert clash.columns == ["doc_id", "text", "n_tokens", "ids"] and clash.count() == 4
 
 
 def test_query_digests(spark):

@@ -63,3 +63,19 @@ def test_empty_table(spark):
     for name, stage in cp.STAGES:
         docs = written(stage(spark, docs, SF), name.replace(" ", "-"))
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls, repeated rows and columns named like the stages' own: no stage fails or changes the columns."""
+    extra = ["row", "n", "kept", "gone", "doc", "t", "w", "id", "spans", "host", "ids", "n_tokens", "class_id", "strict_host"]
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, good, "en", "s"), (1, good, "en", "s"), (2, None, None, None), (3, "", "en", None), (4, good + "\n" + good, None, "s"), (None, good + " more", "en", "s")]
+    rows += [(10 + i, f"{good} and {i} " + " ".join(f"z{i}x{k}" for k in range(30)), "de", "s") for i in range(4)]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "cast(length(text) as int) n_chars", *[f"'x' as {c}" for c in extra])
+    cols = docs.columns
+    for name, stage in cp.STAGES:
+        assert docs.columns == cols
+        docs = written(stage(spark, docs, SF), name.replace(" ", "-"))
+    ids = {r.doc_id for r in docs.collect()}
+    assert ids == {None, 1, 10, 11, 12, 13} and {"ids", "n_tokens", "row"} <= set(docs.columns)
