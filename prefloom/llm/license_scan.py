@@ -219,8 +219,11 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     """
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("t")).filter(F.length("t").between(8, 400))
     order = F.xxhash64("t")
+    # only lines whose hash can be among the least, so that what tasks send does not grow with their number
+    total = max(lines.count(), 1)
+    low = order <= F.lit(min(8 * sample_rows * 2**64 // total - 2**63, 2**63 - 1))
     cue = [r.t for r in lines.filter(F.col("t").rlike(CUE)).groupBy("t").agg(F.lit(1)).orderBy(order, "t").limit(sample_rows).collect()]
-    plain = [r.t for r in lines.filter(~F.col("t").rlike(CUE)).orderBy(order, "t").limit(sample_rows).collect()]
+    plain = [r.t for r in lines.filter(low & ~F.col("t").rlike(CUE)).orderBy(order, "t").limit(sample_rows).collect()]
     templates = template_words()
     rows = [(t, NONE) for t in plain]
     for t in cue:
