@@ -374,7 +374,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """host, tree (the exemplar's skeleton as JSON), nodes (ids of its template text)."""
-    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
+    first = written(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first-pages")
     exemplars = pages.join(first, ["host", "page_id"], "left_semi").select("host", "html").dropDuplicates(["host"])
     trees = written(exemplars.mapInArrow(_skeletons, "host string, tree string"), "exemplars")
     counted = pages.join(trees, "host").select("host", "tree", "html").mapInArrow(_count, "host string, node int, n_match long, n_equal long")
