@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.functions.rows import computed_once
 from prefloom.llm.common import connected_components, remove, settle, written
 
 SHINGLE = 8
@@ -165,24 +166,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal lines the first of the least document id stays.  A text that
     loses a line loses its lines without a word too; a text that loses none is
     unchanged.  Documents without a line left are dropped, unless `counts` is
-    set: then every row stays, with n_lines (lines with a word) and n_removed.
+    set: then every row stays, with n_lines (lines with a word) and n_removed
+    (in place of columns of these names).
     A null or empty text has no lines and stays as it is.  A row with a null
     id is left alone.  Rows that share an id count as one document.
     """
     gone = written(removed_lines(docs, id_col, text_col, **options), "line-removed")
     settle(docs.sparkSession)
-    cols = docs.columns
-    d = docs.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.col(id_col).cast("long") == F.col("_doc"), "left")
-    with_word = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: x.rlike(HAS_WORD))
-    none = F.lit(None).cast("array<bigint>")
-    d = d.withColumn("_n", F.size(with_word)).withColumn("_distinct", word_lines(F.col(text_col)))
-    gone_or_none = F.when(F.size(F.coalesce("_gone", F.array().cast("array<bigint>"))) > 0, F.col("_gone")).otherwise(none)
-    left = F.when(gone_or_none.isNull(), F.col("_distinct")).otherwise(F.filter("_distinct", lambda x: ~F.array_contains("_gone", F.xxhash64(x))))
-    d = d.withColumn("_left", left)
-    changed = (F.size("_left") < F.col("_n")) & F.col(id_col).isNotNull()
-    text = F.when(changed, F.array_join("_left", "\n")).otherwise(F.col(text_col))
+    docs = docs.drop("n_lines", "n_removed") if counts else docs
+    row, none = F.col("row"), F.lit(None).cast("array<bigint>")
+    text, doc = row.getField(text_col), row.getField(id_col)
+    d = docs.select(F.struct(*docs.columns).alias("row"))
+    d = d.join(gone, doc.cast("long") == F.col("doc"), "left")
+    with_word = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(HAS_WORD))
+    d = d.select("row", computed_once(F.size(with_word).alias("n"), word_lines(text).alias("different"), F.coalesce("gone", none).alias("gone")))
+    kept = F.filter("different", lambda x: ~F.array_contains("gone", F.xxhash64(x)))
+    d = d.select("row", "n", computed_once(F.when(F.col("gone").isNull(), F.col("different")).otherwise(kept).alias("kept")))
+    changed = (F.size("kept") < F.col("n")) & doc.isNotNull()
+    new = F.when(changed, F.array_join("kept", "\n")).otherwise(text)
+    out = [new.alias(c) if c == text_col else row.getField(c).alias(c) for c in docs.columns]
     if counts:
-        removed = F.when(changed, F.col("_n") - F.size("_left")).otherwise(0)
-        return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in cols], F.col("_n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
-    d = d.filter((F.size("_left") > 0) | (F.col("_n") == 0) | F.col(id_col).isNull())
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in cols])
+        removed = F.when(changed, F.col("n") - F.size("kept")).otherwise(0)
+        return d.select(*out, F.col("n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return d.filter((F.size("kept") > 0) | (F.col("n") == 0) | doc.isNull()).select(*out)
