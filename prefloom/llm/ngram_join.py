@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import connected_components, written
+from prefloom.llm.common import connected_components, remove, settle, written
 from prefloom.llm.words import Words, blocks, mix, shingles
 
 U = np.uint64
@@ -203,6 +203,7 @@ def ngram_join(
     columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    spark = docs.sparkSession
     signed = written(d.mapInArrow(_signer(n, rows, bands), "id long, c1 long, c2 long, n_words long, bands array<long>"), "signed")
     classes = written(
         signed.filter("n_words > 0 and id is not null").groupBy("c1", "c2").agg(
@@ -210,8 +211,8 @@ def ngram_join(
         ),
         "classes",
     )
-    found = _verified_links(d, classes, n, threshold, block_shingles)
-    links = written(found, "links")
+    settle(spark)
+    links = _verified_links(d, classes, n, threshold, block_shingles)
     roots = connected_components(links.select("a", "b"), "classes-of-links")
     total = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("others"))
     result = (
@@ -221,6 +222,9 @@ def ngram_join(
         .select("c1", "c2", F.coalesce("root", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
     result = written(result, "class-table")
+    for t in (classes, links):
+        remove(spark, t)
+    settle(spark)
     named = signed.select("id", F.when((F.col("n_words") > 0) & F.col("id").isNotNull(), F.col("c1")).alias("c1"), "c2")
     out = named.join(result, ["c1", "c2"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -228,24 +232,28 @@ def ngram_join(
 
 def _verified_links(d: DataFrame, classes: DataFrame, n: int, threshold: float, block_shingles: int) -> DataFrame:
     """a, b, n_links: each class with links in a group, the least class it reaches there, and the rows it links to."""
+    spark = d.sparkSession
     member = classes.select("rep", F.explode("bands").alias("band"))
     hubs = member.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("band", "hub")
-    star = member.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    # both sides of this join and the next grow with the documents: the same plan at every size
+    star = member.join(hubs.hint("merge"), "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     comps = connected_components(star, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("root", "comp")
+    settle(spark)
     comps = written(comps.join(classes.select("rep", "size", "n_words"), "rep"), "candidates")
     sizes = comps.groupBy("comp").agg(F.ceil(F.sum("n_words") / block_shingles).cast("int").alias("n_blocks"))
     wanted = written(comps.join(sizes, "comp").select("comp", "n_blocks", "rep", F.col("size").alias("weight")), "wanted")
     # rows that share an id: the first of them stands for it
-    texts = d.join(wanted, d.id == wanted.rep).select("comp", "n_blocks", "rep", "weight", "t")
+    texts = d.join(wanted.hint("merge"), d.id == wanted.rep).select("comp", "n_blocks", "rep", "weight", "t")
     sets = texts.mapInArrow(lambda b: _sets(b, n), "comp long, n_blocks int, rep long, weight long, grams binary")
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "weight", "grams")
-    return (
-        dealt.repartition("comp", "x", "y")
-        .sortWithinPartitions("comp", "x", "y")
-        .mapInArrow(_verify(threshold), "a long, b long, n_links long")
-    )
+    grouped = dealt.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    links = written(grouped.mapInArrow(_verify(threshold), "a long, b long, n_links long"), "links")
+    for t in (comps, wanted):
+        remove(spark, t)
+    settle(spark)
+    return links
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ blocks of the n-gram join, with bands tuned for paragraphs.
 
 Passages that repeat inside otherwise different paragraphs are found by the
 least hash of each run of `SPAN` consecutive 16-word windows (a one-row MinHash
-of every passage of 39 words, whatever its place): two texts that share 39
+of every passage of 50 words, whatever its place): two texts that share 50
 words in a row share such a window, so no repeat of over 50 words is missed.
 The windows meet in a shuffle on 128 bits of hash of their 16 words; those
 found in several documents are merged into passages, and passages that share
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import connected_components, settle, written
+from prefloom.llm.common import connected_components, remove, settle, written
 from prefloom.llm.ngram_join import ngram_join
 from prefloom.llm.words import Words, blocks, mix
 
 U = np.uint64
 GRAM = 16
-SPAN = 24
+SPAN = 35
 MIN_WORDS = 20
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 10  # a pair of paragraphs at 0.8 meets with probability 0.995
@@ -89,23 +89,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = d.mapInArrow(_windows, "doc long, pos int, g1 long, g2 long")
     found = written(found, "windows")
     shared = found.groupBy("g1", "g2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
-    hits = written(found.join(shared.drop("last"), ["g1", "g2"]), "shared-windows")
+    hits = written(found.join(shared.drop("last").hint("merge"), ["g1", "g2"]), "shared-windows")
+    remove(spark, found)
     settle(spark)
     order = Window.partitionBy("doc").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(order)
     runs = hits.withColumn("new", F.when(gap <= GRAM + SPAN, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     runs = written(runs.select("doc", "pos", "g1", "g2", "first", "run"), "passage-windows")
+    remove(spark, hits)
     settle(spark)
     passages = runs.groupBy("doc", "run").agg(F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("stop"), F.min("first").alias("keeper"))
     passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "passages")
     place = runs.join(passages.select("doc", "run", "passage"), ["doc", "run"]).select("g1", "g2", "doc", "first", "passage")
     place = written(place, "passage-places")
+    remove(spark, runs)
+    settle(spark)
     home = place.filter("doc = first").groupBy("g1", "g2").agg(F.min("passage").alias("home"))
     links = place.join(home, ["g1", "g2"]).filter("passage <> home").select(F.col("passage").alias("a"), F.col("home").alias("b")).distinct()
     comps = connected_components(links, "passage-components").select(F.col("node").alias("passage"), "root")
     out = passages.join(comps, "passage", "left").select("doc", "start", "stop", "keeper", F.coalesce("root", "passage").alias("cluster"))
-    return written(out, "passage-clusters")
+    out = written(out, "passage-clusters")
+    for t in (place, passages):
+        remove(spark, t)
+    settle(spark)
+    return out
 
 
 def similar_paragraphs(
@@ -125,6 +133,8 @@ def similar_paragraphs(
     settle(spark)
     found = written(lines.select("id", "doc", "line", "n_words").join(classes, "id"), "paragraph-clusters")
     first = found.groupBy("cluster").agg(F.min(F.struct("doc", "line", "id")).alias("k"))
+    for t in (lines, classes):
+        remove(spark, t)
     out = found.join(first, "cluster")
     return out.select("doc", "line", "n_words", "cluster", F.col("k.doc").alias("keeper"), (F.col("k.id") == F.col("id")).alias("first"))
 
@@ -138,14 +148,14 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null ids and null or empty texts give no rows; rows that share an id count
     as one document; further columns are ignored.
     """
-    paragraphs = similar_paragraphs(docs, id_col, text_col).select(
-        F.col("doc").alias(id_col), F.lit("paragraph").alias("kind"), F.col("line").cast("long").alias("start"),
-        (F.col("line") + 1).cast("long").alias("stop"), "cluster", "keeper", (~F.col("first")).alias("removed"),
-    )
     passages = repeated_passages(docs, id_col, text_col).select(
         F.col("doc").alias(id_col), F.lit("passage").alias("kind"), F.col("start").cast("long").alias("start"),
         F.col("stop").cast("long").alias("stop"), "cluster", "keeper", (F.col("doc") != F.col("keeper")).alias("removed"),
     )
+    paragraphs = similar_paragraphs(docs, id_col, text_col).select(
+        F.col("doc").alias(id_col), F.lit("paragraph").alias("kind"), F.col("line").cast("long").alias("start"),
+        (F.col("line") + 1).cast("long").alias("stop"), "cluster", "keeper", (~F.col("first")).alias("removed"),
+    )
     return paragraphs.unionByName(passages)
 
 
