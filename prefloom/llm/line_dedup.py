@@ -9,15 +9,16 @@
    its most frequent line; every member is verified against it by the exact
    Jaccard similarity of the shingle sets.
 3. Members that fail against their hub are compared with every member of a
-   small bucket; in a larger one, whose pairs are never all made, with a few
-   pivots from among themselves (see the README for what this finds).
+   small bucket.  A larger one is regrouped by the rarest shingles of its
+   members (an exact prefix filter: similar lines share one of them), and
+   every pair of a group whose ends are not linked yet is verified.
 4. Connected components of the verified links; the line of the least document
    id stays, all others go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions.rows import computed_once
@@ -28,8 +29,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 3, 6  # a pair at 0.8 meets with probability 0.987, at 0.85 with 0.997
 PER_BIN = 5  # hashes kept per bin and line; an empty bin (1 in 150) borrows from the next
 ALWAYS = 16  # first shingles of a line kept whatever their hash, for long lines of few different ones
-SMALL_BUCKET = 8  # up to this size all pairs with a failed member are compared
-PIVOTS = 4  # pivots of a larger bucket, about
+SMALL_BUCKET = 32  # up to this size all pairs with a failed member are compared
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -69,16 +69,16 @@ def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFra
     return sig.select("h1", "h2", "first_doc", "last_doc", "id", F.array(*bands_of).alias("bands"))
 
 
-def shingle_pair(a: str, b: str, shingle: int) -> Column:
-    """x, y: the shingles of two text columns, each computed once."""
+def grams(c: str, shingle: int) -> Column:
+    """The shingles of a text column, repeats included."""
+    # the matches that follow each other, from each of the first `shingle` places on
+    each = [F.regexp_extract_all(F.expr(f"substr({c}, {k})"), F.lit(f"(?s).{{{shingle}}}"), F.lit(0)) for k in range(1, shingle + 1)]
+    return F.when(F.length(c) <= shingle, F.array(F.col(c))).otherwise(F.flatten(F.array(*each)))
 
-    def grams(c: str) -> Column:
-        # the matches that follow each other, from each of the first `shingle` places on
-        each = [F.regexp_extract_all(F.expr(f"substr({c}, {k})"), F.lit(f"(?s).{{{shingle}}}"), F.lit(0)) for k in range(1, shingle + 1)]
-        return F.when(F.length(c) <= shingle, F.array(F.col(c))).otherwise(F.flatten(F.array(*each)))
 
-    x, y = grams(a), grams(b)
-    return F.inline(F.array(F.struct(x.alias("x"), y.alias("y"))))
+def shingle_pair(a: str, b: str, shingle: int) -> Column:
+    """x, y: the shingles of two text columns, each computed once."""
+    return F.inline(F.array(F.struct(grams(a, shingle).alias("x"), grams(b, shingle).alias("y"))))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -91,12 +91,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float
     return sets.select("a", "b", (common >= threshold * every).alias("similar"))
 
 
-def _pivot_pairs(left: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members left of large buckets with their pivots."""
-    sizes = left.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("least"))
-    chosen = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("m") / PIVOTS)) == 0)
-    pivots = left.join(sizes, "band").filter(chosen).select("band", F.col("id").alias("b"))
-    return left.select("band", F.col("id").alias("a")).join(pivots, "band").filter("a <> b")
+def _prefixes(members: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(band, id, similar) -> the same with n, s: each member's prefix, the rarest of its n shingles in the bucket.
+
+    Sets of n shingles that reach the threshold share at least threshold * n,
+    so in any one order of the shingles they share one of the first
+    n - ceil(threshold * n) + 1.  Shingles of one member only join nothing.
+    """
+    sets = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", F.array_distinct(grams("line", shingle)).alias("x"))
+    one = sets.select("id", F.size("x").alias("n"), F.explode("x").alias("x")).select("id", "n", F.xxhash64("x").alias("s"))
+    placed = members.join(one, "id")
+    often = placed.groupBy("band", "s").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("band", "id").orderBy("df", "s")
+    ranked = placed.join(often, ["band", "s"]).withColumn("place", F.row_number().over(order))
+    first = ranked.filter((F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-6) + 1) & (F.col("df") > 1))
+    return first.select("band", "s", "id", "n", "similar")
+
+
+def _regrouped_links(members: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """a, b: links that join, with `links`, all similar members of the buckets whose hub some fail against.
+
+    A group of more than SMALL_BUCKET members is first compared with its least
+    one, so that its near copies are linked; then all pairs of a group with a
+    failed member and two unlinked ends are verified.
+    """
+    spark = texts.sparkSession
+    prefix = written(_prefixes(members, texts, shingle, threshold), "line-prefixes")
+    settle(spark)
+    groups = prefix.groupBy("band", "s").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.min("similar").alias("all_similar"))
+    groups = groups.filter("m > 1 and not all_similar")
+    large = prefix.join(groups.filter(F.col("m") > SMALL_BUCKET), ["band", "s"]).filter("id <> least")
+    star = large.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    near = written(_verified(star, texts, shingle, threshold).filter("similar").select("a", "b"), "line-group-links")
+    known = links.unionByName(near)
+    comps = connected_components(known, "line-known").withColumnRenamed("node", "id")
+    side = prefix.join(groups.select("band", "s"), ["band", "s"], "left_semi").join(comps, "id", "left")
+    side = written(side.select("band", "s", "id", "n", "similar", F.coalesce("root", "id").alias("root")), "line-group-members")
+    settle(spark)
+    left = side.filter("not similar").select("band", "s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = side.select("band", "s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    size = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
+    pairs = left.join(right, ["band", "s"]).filter("ra <> rb").filter(size)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = _verified(pairs, texts, shingle, threshold).filter("similar").select("a", "b")
+    out = written(near.unionByName(found), "line-regrouped")
+    for t in (prefix, near, side):
+        remove(spark, t)
+    settle(spark)
+    return out
 
 
 def line_verdicts(
@@ -133,12 +175,16 @@ def line_verdicts(
     failed = written(buckets.join(failed, ["id", "hub"]).select("band", "id", "m"), "line-failed")
     few = failed.filter(F.col("m") <= SMALL_BUCKET).select("band", F.col("id").alias("a"))
     rest = few.join(buckets.select("band", F.col("id").alias("b")), "band").filter("a <> b")
-    rest = rest.unionByName(_pivot_pairs(failed.filter(F.col("m") > SMALL_BUCKET).select("band", "id")))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = checked.unionByName(_verified(rest, texts, shingle, threshold)).filter("similar").select("a", "b")
     links = written(links, "line-links")
     settle(spark)
-    comps = connected_components(links, "line-components").withColumnRenamed("node", "id")
+    hot = failed.filter(F.col("m") > SMALL_BUCKET).select("band").distinct()
+    tested = checked.select(F.col("a").alias("id"), F.col("b").alias("hub"), "similar")
+    members = buckets.filter(F.col("m") > SMALL_BUCKET).join(hot, "band", "left_semi").join(tested, ["id", "hub"]).select("band", "id", "similar")
+    members = written(members, "line-hot-members")
+    regrouped = _regrouped_links(members, texts, links, shingle, threshold)
+    comps = connected_components(links.unionByName(regrouped), "line-components").withColumnRenamed("node", "id")
     comps = sig.select("h1", "h2", "first_doc", "id").join(comps, "id")
     keepers = comps.groupBy("root").agg(F.min(F.struct("first_doc", "h1", "h2")).alias("k"))
     joined = comps.join(keepers, "root")
@@ -146,7 +192,7 @@ def line_verdicts(
     repeated = sig.filter("first_doc <> last_doc").select("h1", "h2", F.col("first_doc").alias("keep_doc"))
     similar = written(similar, "line-similar")
     out = written(similar.unionByName(repeated.join(similar.select("h1", "h2"), ["h1", "h2"], "left_anti")), "line-verdicts")
-    for t in (buckets, star, texts, checked, failed, links, similar):
+    for t in (buckets, star, texts, checked, failed, links, members, regrouped, similar):
         remove(spark, t)
     settle(spark)
     return out

@@ -216,6 +216,38 @@ def test_line_recall(spark):
     assert all(i in left for i in range(len(lines)) if i not in linked)
 
 
+def test_every_similar_pair_of_a_hot_bucket_is_linked(spark):
+    """Lines that meet in a band end in one class exactly where a chain of pairs at the threshold joins them."""
+    r = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    common, lines = "".join(r.choice(letters, 160)), []
+    for _ in range(120):
+        base = common + "".join(r.choice(letters, 40))
+        lines += [base + "".join(r.choice(letters, 8)) for _ in range(3)]
+    lines = [lines[i] for i in r.permutation(len(lines))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sig = line_dedup.signatures(line_dedup.line_table(docs, "doc_id", "text"), line_dedup.SHINGLE, line_dedup.ROWS, line_dedup.BANDS)
+    buckets = collections.defaultdict(list)
+    for row in sig.collect():
+        for b in row.bands:
+            buckets[b].append(row.first_doc)
+    assert max(map(len, buckets.values())) > 3 * line_dedup.SMALL_BUCKET
+    sets = [{x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)} for x in lines]
+    up = list(range(len(lines)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in {(min(i, j), max(i, j)) for b in buckets.values() for i in b for j in b if i != j}:
+        if len(sets[i] & sets[j]) >= line_dedup.THRESHOLD * len(sets[i] | sets[j]):
+            i, j = find(i), find(j)
+            up[max(i, j)] = min(i, j)
+    left = {x.doc_id for x in line_dedup.dedup_lines(docs, counts=True).filter("n_removed = 0").collect()}
+    assert left == {i for i in range(len(lines)) if find(i) == i}
+
+
 # --- passages ---------------------------------------------------------------------------
 
 
