@@ -1,22 +1,24 @@
 """HTML extraction by wrapper induction: pages of a host aligned by simple tree matching.
 
-1. Each host's exemplar is its page of the least id.  Every page of the host
-   is parsed and its tree is aligned with the exemplar's by simple tree
-   matching; partial sums count, per exemplar node, the pages that match it
-   and those that have its very text there.
+1. Each host's exemplar is its page of the least id.  Pages of a host with the
+   same texts in the same order are copies and count once.  Every different
+   page of the host is parsed and its tree is aligned with the exemplar's by
+   simple tree matching; partial sums count, per exemplar node, the pages that
+   match it and those that have its very text there.
 2. A node that most pages share with equal text is template; nodes whose text
    varies are slots.
 3. A second pass aligns each page again, drops the template and what is
    boilerplate by its element or class (menus, adverts, forms ...), and joins
    the remaining blocks.
 
-Pages are never shuffled: exemplars and templates, one small row per host, are
-written tables that Spark broadcasts below its size threshold and joins by a
-skew-aware sort-merge join beyond it.
+Pages are shuffled once, to find the different ones.  Exemplars and templates,
+one small row per host, are written tables that Spark broadcasts below its size
+threshold and joins by a skew-aware sort-merge join beyond it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import written
+from prefloom.llm.common import remove, written
 
-TEMPLATE_SHARE = 0.5  # of a host's pages with equal text at a node
+TEMPLATE_SHARE = 0.5  # of a host's different pages with equal text at a node
 TEMPLATE_PAGES = 3  # at the least
 
 # fixed values: element names and class words
@@ -190,8 +192,6 @@ def own_text(x: Node) -> str:
     if x.tag != "#":
         return ""
     t = SPACE.sub(" ", x.text).strip()
-    import hashlib
-
     return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if t else ""
 
 
@@ -330,6 +330,24 @@ class _Hosts:
         return x
 
 
+def text_key(root: Node) -> bytes:
+    """A key of the page's texts in order, which copies of a page share."""
+    key, stack = hashlib.blake2b(digest_size=16), [root]
+    while stack:
+        x = stack.pop()
+        if x.tag == "#" and (t := SPACE.sub(" ", x.text).strip()):
+            key.update(t.encode("utf-8", "surrogatepass") + b"\n")
+        stack.extend(reversed(x.kids))
+    return key.digest()
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [text_key(parse(t or "")) for t in batch.column("html").to_pylist()]
+        cols = [batch.column(c) for c in ("host", "page_id", "html")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary())], names=["host", "page_id", "html", "key"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, node, n_match, n_equal: sums over each batch of pages."""
     hosts = _Hosts()
@@ -374,6 +392,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """host, tree (the exemplar's skeleton as JSON), nodes (ids of its template text)."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    keyed = pages.select("host", "page_id", "html").mapInArrow(_keyed, f"host string, page_id {kind}, html string, key binary")
+    one = keyed.groupBy("host", "key").agg(F.min(F.struct("page_id", "html")).alias("page"))
+    pages = different = written(one.select("host", "page.page_id", "page.html"), "different-pages")
     first = written(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first-pages")
     exemplars = pages.join(first, ["host", "page_id"], "left_semi").select("host", "html").dropDuplicates(["host"])
     trees = written(exemplars.mapInArrow(_skeletons, "host string, tree string"), "exemplars")
@@ -383,7 +405,9 @@ def host_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int =
     totals = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     fixed = sums.filter("node > 0").join(totals, "host").filter((F.col("n_equal") >= least) & (F.col("n_equal") >= share * F.col("n_pages")))
     nodes = fixed.groupBy("host").agg(F.collect_list("node").alias("nodes"))
-    return written(trees.join(nodes, "host", "left"), "templates")
+    out = written(trees.join(nodes, "host", "left"), "templates")
+    remove(pages.sparkSession, different)
+    return out
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

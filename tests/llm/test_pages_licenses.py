@@ -52,6 +52,22 @@ def test_template_of_a_host_goes(spark):
     assert we.extract_pages(df).count() == len(rows) and we.extract_pages(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Equal pages count once: they keep their text, and real boilerplate of the host still goes."""
+
+    def page(i, extra=""):
+        return f"<html><body><div>Site motto here</div><article><p>Story {i} has its own long text.</p></article>{extra}</body></html>"
+
+    rows = [(i, "http://a.org/x", page(0)) for i in range(6)] + [(6 + i, "http://a.org/y", page(i + 1)) for i in range(3)]
+    rows += [(20 + i, None, page(9, f"<!-- {i} -->")) for i in range(5)] + [(30 + i, "http://b.org/", f"<div>Same line</div><p>Item {i}</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in we.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "Story 0 has its own long text." for i in range(6))
+    assert [got[6 + i] for i in range(3)] == [f"Story {i + 1} has its own long text." for i in range(3)]
+    assert all(got[20 + i] == "Story 9 has its own long text." for i in range(5))
+    assert [got[30 + i] for i in range(4)] == [f"Item {i}" for i in range(4)]
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20000 + "x" + "</div>" * 20000
     root = we.parse(deep)
