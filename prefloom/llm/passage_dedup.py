@@ -6,11 +6,14 @@ blocks of the n-gram join, with bands tuned for paragraphs.
 
 Passages that repeat inside otherwise different paragraphs are found by the
 least hash of each run of `SPAN` consecutive 16-word windows (a one-row MinHash
-of every passage of 50 words, whatever its place): two texts that share 50
-words in a row share such a window, so no repeat of over 50 words is missed.
-The windows meet in a shuffle on 128 bits of hash of their 16 words; those
-found in several documents are merged into passages, and passages that share
-a window are one cluster (connected components).
+of every passage of 39 words, whatever its place): two texts that share 39
+words in a row share such a window, so no repeat of 39 words or more is missed.
+The windows meet in a shuffle on 128 bits of hash of their 16 words.  Each one
+found in several documents is extended word by word against its home, the least
+of these documents; a passage's windows are at most `SPAN` apart, so `SPAN` - 1
+words on each side reach its ends.  Extended windows that touch are merged into
+passages, and passages that share a window are one cluster (connected
+components).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from prefloom.llm.words import Words, blocks, mix
 
 U = np.uint64
 GRAM = 16
-SPAN = 35
+SPAN = 24
 MIN_WORDS = 20
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 10  # a pair of paragraphs at 0.8 meets with probability 0.995
@@ -78,11 +81,57 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each hit of a document with the SPAN - 1 words before and after it, fewer at the ends of the text."""
+    for batch in batches:
+        ids, hits = batch.column("id").to_pylist(), batch.column("hits")
+        for lo, hi, data, offs in blocks(batch.column("t")):
+            w = Words(data, offs)
+            g = w.grams(GRAM)[0].view(np.int64)
+            out: list[tuple] = []
+            for r, found in enumerate(hits.slice(lo, hi - lo).to_pylist()):
+                begin, end = int(w.first[r]), int(w.first[r + 1])
+                for h in found:
+                    at = begin + h["pos"]
+                    # rows that share an id: the hit may be in another one
+                    if at + GRAM <= end and g[at] == h["g1"]:
+                        before = w.text(max(begin, at - SPAN + 1), at)
+                        after = w.text(at + GRAM, min(end, at + GRAM + SPAN - 1))
+                        out.append((ids[lo + r], h["pos"], h["g1"], h["g2"], h["first"], before, after))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "pos", "g1", "g2", "first", "before", "after"]
+            )
+
+
+def _same(x: list[bytes], y: list[bytes]) -> int:
+    """How many words two lists have in common from their start."""
+    n = 0
+    for a, b in zip(x, y, strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits with their home's words -> how many words more are equal on each side."""
+    for batch in batches:
+        before, home_before, after, home_after = (batch.column(c).to_pylist() for c in ("before", "home_before", "after", "home_after"))
+        left = [_same(x.split()[::-1], y.split()[::-1]) for x, y in zip(before, home_before, strict=True)]
+        right = [_same(x.split(), y.split()) for x, y in zip(after, home_after, strict=True)]
+        names = ["doc", "pos", "g1", "g2", "first", "home_pos"]
+        cols = [*(batch.column(c) for c in names), pa.array(left, pa.int32()), pa.array(right, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*names, "left", "right"])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop (words), cluster, keeper: passages found in several documents.
 
-    A passage runs from its first shared window to its last; `keeper` is the
-    least document id of its cluster's windows in it.
+    A passage is made of shared windows that touch once they are extended to
+    the ends of what each shares; `keeper` is the least document id of its
+    cluster's windows in it.
     """
     spark = docs.sparkSession
     d = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -92,14 +141,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hits = written(found.join(shared.drop("last").hint("merge"), ["g1", "g2"]), "shared-windows")
     remove(spark, found)
     settle(spark)
-    order = Window.partitionBy("doc").orderBy("pos")
-    gap = F.col("pos") - F.lag("pos").over(order)
-    runs = hits.withColumn("new", F.when(gap <= GRAM + SPAN, 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    runs = written(runs.select("doc", "pos", "g1", "g2", "first", "run"), "passage-windows")
+    in_doc = hits.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("pos", "g1", "g2", "first")).alias("hits"))
+    around = d.join(in_doc.hint("merge"), "id").select("id", "t", "hits")
+    kinds = "doc long, pos int, g1 long, g2 long, first long"
+    around = written(around.mapInArrow(_contexts, f"{kinds}, before binary, after binary"), "window-contexts")
     remove(spark, hits)
     settle(spark)
-    passages = runs.groupBy("doc", "run").agg(F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("stop"), F.min("first").alias("keeper"))
+    home = around.filter("doc = first").groupBy("g1", "g2").agg(F.min(F.struct("pos", "before", "after")).alias("home"))
+    home = home.select("g1", "g2", F.col("home.pos").alias("home_pos"), F.col("home.before").alias("home_before"), F.col("home.after").alias("home_after"))
+    copies = around.join(home.hint("merge"), ["g1", "g2"]).filter("doc <> first or pos <> home_pos")
+    copies = written(copies.mapInArrow(_extended, f"{kinds}, home_pos int, left int, right int"), "extended-windows")
+    remove(spark, around)
+    settle(spark)
+    # the home's own passage goes as far as any copy of it
+    homes = copies.groupBy("g1", "g2", "first", "home_pos").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    homes = homes.select(F.col("first").alias("doc"), F.col("home_pos").alias("pos"), "g1", "g2", "first", "left", "right")
+    spans = copies.select("doc", "pos", "g1", "g2", "first", "left", "right").unionByName(homes)
+    spans = spans.select("doc", "g1", "g2", "first", F.expr("pos - left").alias("lo"), F.expr(f"pos + {GRAM} + right").alias("hi"))
+    order = Window.partitionBy("doc").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    runs = written(runs.select("doc", "lo", "hi", "g1", "g2", "first", "run"), "passage-windows")
+    remove(spark, copies)
+    settle(spark)
+    passages = runs.groupBy("doc", "run").agg(F.min("lo").alias("start"), F.max("hi").alias("stop"), F.min("first").alias("keeper"))
     passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "passages")
     place = runs.join(passages.select("doc", "run", "passage"), ["doc", "run"]).select("g1", "g2", "doc", "first", "passage")
     place = written(place, "passage-places")

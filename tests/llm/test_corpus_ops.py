@@ -279,3 +279,21 @@ def test_every_shared_passage_is_found(spark):
     need = {d for x in owners.values() if len(x) > 1 for d in x}
     have = {r.doc_id for r in passage_dedup.repeated_passages(docs).select("doc").withColumnRenamed("doc", "doc_id").collect()}
     assert need and need <= have
+
+
+def test_passages_reach_their_true_ends(spark):
+    """Every shared passage of 39 words is found, from its first word to its last."""
+    r = np.random.default_rng(8)
+    n, rows, true = 0, [], {}
+    for k in range(60):
+        length = 39 + k % 12
+        shared = [f"s{k}x{i}" for i in range(length)]
+        for doc in (2 * k, 2 * k + 1):
+            a, b = (int(x) for x in r.integers(0, 60, 2))
+            own = [f"o{n + i}" for i in range(a + b)]
+            n += a + b
+            rows.append((doc, " ".join(own[:a] + shared + own[a:])))
+            true[doc] = (a, a + length)
+    got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {x.doc: (x.start, x.stop) for x in got} == true
+    assert all(x.keeper == x.doc // 2 * 2 for x in got)
