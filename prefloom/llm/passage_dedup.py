@@ -11,9 +11,9 @@ words in a row share such a window, so no repeat of 39 words or more is missed.
 The windows meet in a shuffle on 128 bits of hash of their 16 words.  Each one
 found in several documents is extended word by word against its home, the least
 of these documents; a passage's windows are at most `SPAN` apart, so `SPAN` - 1
-words on each side reach its ends.  Extended windows that touch are merged into
-passages, and passages that share a window are one cluster (connected
-components).
+words on each side reach its ends.  Extended windows of one home that touch are
+merged into passages, so the kept occurrence is decided for each home apart, and
+passages that share a window are one cluster (connected components).
 """
 
 from __future__ import annotations
@@ -129,9 +129,11 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop (words), cluster, keeper: passages found in several documents.
 
-    A passage is made of shared windows that touch once they are extended to
-    the ends of what each shares; `keeper` is the least document id of its
-    cluster's windows in it.
+    A passage is made of shared windows of one home, the least document that
+    has them, which touch once they are extended to the ends of what is shared;
+    `keeper` is this home.  Passages of different homes can overlap.  A word
+    that is removed stands in its keeper too, kept or removed for a lesser one,
+    so one occurrence of it always stays.
     """
     spark = docs.sparkSession
     d = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -158,16 +160,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     homes = homes.select(F.col("first").alias("doc"), F.col("home_pos").alias("pos"), "g1", "g2", "first", "left", "right")
     spans = copies.select("doc", "pos", "g1", "g2", "first", "left", "right").unionByName(homes)
     spans = spans.select("doc", "g1", "g2", "first", F.expr("pos - left").alias("lo"), F.expr(f"pos + {GRAM} + right").alias("hi"))
-    order = Window.partitionBy("doc").orderBy("lo", "hi")
+    order = Window.partitionBy("doc", "first").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     runs = written(runs.select("doc", "lo", "hi", "g1", "g2", "first", "run"), "passage-windows")
     remove(spark, copies)
     settle(spark)
-    passages = runs.groupBy("doc", "run").agg(F.min("lo").alias("start"), F.max("hi").alias("stop"), F.min("first").alias("keeper"))
+    passages = runs.groupBy("doc", "first", "run").agg(F.min("lo").alias("start"), F.max("hi").alias("stop")).withColumn("keeper", F.col("first"))
     passages = written(passages.withColumn("passage", F.monotonically_increasing_id()), "passages")
-    place = runs.join(passages.select("doc", "run", "passage"), ["doc", "run"]).select("g1", "g2", "doc", "first", "passage")
+    place = runs.join(passages.select("doc", "first", "run", "passage"), ["doc", "first", "run"]).select("g1", "g2", "doc", "first", "passage")
     place = written(place, "passage-places")
     remove(spark, runs)
     settle(spark)

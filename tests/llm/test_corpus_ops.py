@@ -297,3 +297,16 @@ def test_passages_reach_their_true_ends(spark):
     got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and {x.doc: (x.start, x.stop) for x in got} == true
     assert all(x.keeper == x.doc // 2 * 2 for x in got)
+
+
+def test_close_passages_keep_one_copy_each(spark):
+    """Shared passages with few words between them: each keeps one occurrence, the words between stay."""
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    texts = {1: f"one {p} end1", 5: f"{p} only five has this {q}", 9: f"nine {q} end9", 12: f"{p} {q}"}
+    got = passage_dedup.repeated_text(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).filter("kind = 'passage'").collect()
+    left = {d: t.split() for d, t in texts.items()}
+    for x in got:
+        if x.removed:
+            left[x.doc_id][x.start : x.stop] = [None] * (x.stop - x.start)
+    left = {d: " ".join(w for w in t if w) for d, t in left.items()}
+    assert left == {1: texts[1], 5: f"only five has this {q}", 9: "nine end9", 12: ""}
