@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import connected_components, remove, settle, written
@@ -28,6 +28,8 @@ N = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 20  # a pair at 0.8 meets with probability 1 - (1 - 0.8^5)^20 = 0.9996
 BLOCK_SHINGLES = 1 << 20
+BLOCK_MEMBERS = 2000  # about; a pair of blocks then takes 64 MB for its counts, however short the texts
+STRIPE = 256  # rows of the counts compared at a time
 SEED = 20240229
 
 _rng = np.random.default_rng(SEED)
@@ -107,8 +109,9 @@ def links_within(sets: list[np.ndarray], left: np.ndarray | None, threshold: flo
 
     Where two blocks meet, `left` marks the members of the first, and a pair
     must have one end in each.  Shared n-grams are counted by products of 0/1
-    matrices over slices of the vocabulary, so memory stays at members x slice
-    whatever the set sizes.
+    matrices over slices of the vocabulary and compared in stripes of rows, so
+    memory stays at members x (members + slice) whatever the set sizes; blocks
+    are bounded by members too.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
@@ -136,11 +139,16 @@ def links_within(sets: list[np.ndarray], left: np.ndarray | None, threshold: flo
             x = np.zeros((m, step), np.float32)
             x[owner[a:b], gram[a:b] - lo] = 1
             shared += x @ x.T
-    ok = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
-    ok &= np.triu(np.ones((m, m), bool), 1)
-    if left is not None:
-        ok &= left[:, None] != left[None, :]
-    return np.nonzero(ok)
+    found = []
+    for lo in range(0, m, STRIPE):
+        part = shared[lo : lo + STRIPE]
+        ok = part >= threshold * (size[lo : lo + STRIPE, None] + size[None, :] - part) - 1e-6
+        ok &= np.arange(m)[None, :] > np.arange(lo, lo + len(part))[:, None]
+        if left is not None:
+            ok &= left[lo : lo + STRIPE, None] != left[None, :]
+        i, j = np.nonzero(ok)
+        found.append((i + lo, j))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _verify(threshold: float):
@@ -156,8 +164,9 @@ def _verify(threshold: float):
             weight = np.array(weights, np.int64)
             total = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
             forest = _Forest(len(ids))
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                forest.join(a, b)
+            for lo in range(0, len(i), 1 << 16):
+                for a, b in zip(i[lo : lo + (1 << 16)].tolist(), j[lo : lo + (1 << 16)].tolist(), strict=True):
+                    forest.join(a, b)
             at = np.flatnonzero(total > 0)
             roots = [ids[forest.find(x)] for x in at.tolist()]
             return pa.RecordBatch.from_arrays(
@@ -183,6 +192,11 @@ def _verify(threshold: float):
     return run
 
 
+def block_count(block_shingles: int = BLOCK_SHINGLES) -> Column:
+    """Blocks of a component: bounded by words and by members."""
+    return F.greatest(F.ceil(F.sum("n_words") / block_shingles), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int")
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -240,7 +254,7 @@ def _verified_links(d: DataFrame, classes: DataFrame, n: int, threshold: float,
     comps = connected_components(star, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("root", "comp")
     settle(spark)
     comps = written(comps.join(classes.select("rep", "size", "n_words"), "rep"), "candidates")
-    sizes = comps.groupBy("comp").agg(F.ceil(F.sum("n_words") / block_shingles).cast("int").alias("n_blocks"))
+    sizes = comps.groupBy("comp").agg(block_count(block_shingles).alias("n_blocks"))
     wanted = written(comps.join(sizes, "comp").select("comp", "n_blocks", "rep", F.col("size").alias("weight")), "wanted")
     # rows that share an id: the first of them stands for it
     texts = d.join(wanted.hint("merge"), d.id == wanted.rep).select("comp", "n_blocks", "rep", "weight", "t")

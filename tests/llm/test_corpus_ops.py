@@ -2,6 +2,7 @@
 
 import collections
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -159,6 +160,23 @@ def test_ngram_join_planted(spark, block):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_blocks_of_many_short_texts_stay_small(spark):
+    """Many members of few words make more blocks, and a block's comparison takes stripes, not whole matrices."""
+    sizes = spark.range(50_000).selectExpr("22L as n_words").agg(ngram_join.block_count().alias("n")).first()
+    assert sizes.n == 25
+    m = 3000
+    sets = [np.arange(i // 3 * 100, i // 3 * 100 + 20 + i % 3, dtype=np.uint64) for i in range(m)]
+    tracemalloc.start()
+    i, j = ngram_join.links_within(sets, None, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(3 * k + a, 3 * k + b) for k in range(m // 3) for a, b in ((0, 1), (0, 2), (1, 2))]
+    assert peak < 3.5 * 4 * m * m
+    side = np.arange(m) % 2 == 0
+    i, j = ngram_join.links_within(sets, side, 0.8)
+    assert len(i) == m // 3 * 2 and (side[i] != side[j]).all()
+
+
 def test_shingles_of_short_texts():
     raw = b"a b c d e f" + b"a b" + b"" + b"x"
     g, doc = shingles(Words(np.frombuffer(raw, np.uint8), np.array([0, 11, 14, 14, 15])), 5)
