@@ -17,6 +17,7 @@ from prefloom.llm import (
     passage_dedup,
     pii_bootstrap,
     tool_calls,
+    whitening,
     wrapper_extract,
 )
 
@@ -76,6 +77,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.personal_data_digest(pii_bootstrap.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.component_rows(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_tool_calls": op2_tool_calls,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_wrapper_extract": op9_wrapper_extract,
     "op10_personal_data": op10_personal_data,
+    "op12_whitening": op12_whitening,
 }
