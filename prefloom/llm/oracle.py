@@ -65,4 +65,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.host
 """
 
-ORACLE_SQL = {"op4_decontaminate": OP4, "op7_host_rules": OP7}
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+item AS (SELECT row_number() OVER () AS iid, item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark),
+p AS (
+  SELECT rid, doc_id, CAST(n AS BIGINT) AS n, t, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM item) GROUP BY rid, doc_id, n, t),
+df AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+v AS (
+  SELECT rid, doc_id, t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) AS x
+  FROM p JOIN df USING (t), s),
+r AS (SELECT iid, item_id, rid, doc_id, CAST(sum(x) AS BIGINT) AS score FROM item JOIN v USING (t) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLE_SQL = {"op4_decontaminate": OP4, "op7_host_rules": OP7, "op13_ranked_search": OP13}

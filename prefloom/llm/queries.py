@@ -16,6 +16,7 @@ from prefloom.llm import (
     ngram_join,
     passage_dedup,
     pii_bootstrap,
+    ranked_search,
     tool_calls,
     whitening,
     wrapper_extract,
@@ -81,6 +82,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_tool_calls": op2_tool_calls,
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wrapper_extract": op9_wrapper_extract,
     "op10_personal_data": op10_personal_data,
     "op12_whitening": op12_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
