@@ -8,20 +8,21 @@ query's terms.  A search
 1. bounds every block of a query's lists from the summaries,
 2. scores the documents of the best blocks of each query; the k-th best of
    these scores is a threshold no result can fall below,
-3. scores the documents of the blocks whose bound reaches the threshold (equal
-   bounds only if the block's least id could still win the tie) and ranks them.
+3. skips every block whose bound does not reach the threshold (or reaches it
+   while its least id cannot win the tie), and scores the documents that are in
+   no skipped block.
 
-A block is skipped only when its exact bound says so, so the result is that of
-scoring all documents.
+A document is left out only when an exact bound says so, so the result is that
+of scoring all documents.
 
 On Spark: one pass over the texts counts query terms and writes a table with a
 row per document (term numbers and counts); its aggregates give the collection
-figures.  A second pass builds the blocks of a run of documents inside each
-task, without a shuffle, and writes them as the index.  Bounds are computed
-where the blocks are read; only (query, block, bound) rows and, for the blocks
-that stay, (document, query) rows are shuffled.  The query side alone is held
-by tasks; queries are dealt to groups of bounded size (`MAX_QUERY_TERMS`), and
-the groups are searched in turn.
+figures.  A second pass writes the index: a row per run of documents with their
+vectors and the blocks of the run's posting lists, built inside the task without a
+shuffle.  Both search steps read the index run by run, bound, skip and score where
+the run is, and hand on the k best of a task per query.  The query side alone is
+held by tasks; queries are dealt to groups of bounded size (`MAX_QUERY_TERMS`),
+and the groups are searched in turn.
 
 Edge cases: null and empty texts have no terms; such documents never appear and
 such queries have no rows.  Repeated document rows are ranked as rows of their
@@ -43,11 +44,11 @@ from prefloom.llm.common import remove, settle, written
 from prefloom.llm.words import Words, blocks
 
 MAX_QUERY_TERMS = 200_000  # (query, term) pairs of a group of queries, held by every task
-RUN_DOCS = 8192  # documents whose posting lists are cut together
-RUN_POSTINGS = 2_000_000
-BLOCK_DOCS = 128
-FIRST_BLOCKS = 6  # blocks of a query that are scored for the threshold
-DENSE = 1 << 22  # entries of a matrix held by a task
+RUN_DOCS = 1024  # documents whose posting lists are cut together, a row of the index
+RUN_POSTINGS = 200_000
+BLOCK_DOCS = 32
+FIRST_BLOCKS = 4  # blocks of a query and run that are scored for the threshold
+DENSE = 1 << 21  # entries of a matrix held by a task
 LAST_ID = (1 << 63) - 1
 
 # ---- queries -------------------------------------------------------------
@@ -148,19 +149,19 @@ def groups_of_queries(found: DataFrame) -> Iterator[list]:
 
 
 def _count_terms(vocabulary: list[bytes]):
-    """(row id, text) -> (row id, all terms with repeats, term numbers, counts)."""
+    """(id, text) -> (id, all terms with repeats, term numbers, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, k = Vocabulary(vocabulary), max(1, len(vocabulary))
         for b in batches:
-            for lo, hi, data, offs in blocks(b.column(b.num_columns - 1), 1 << 22):
+            for lo, hi, data, offs in blocks(b.column(b.num_columns - 1)):
                 w = Words(data, offs)
                 at, term = known.find(w)
                 key, tf = np.unique(w.doc[at] * k + term, return_counts=True)
                 doc = key // k
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (key % k, tf)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), pa.array(w.count(), pa.int64()), *lists], ["rid", "id", "n", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), pa.array(w.count(), pa.int64()), *lists], ["id", "n", "terms", "tfs"])
 
     return run
 
@@ -197,8 +198,8 @@ def term_parts(tf: np.ndarray, n: np.ndarray, n_docs: int, total: int) -> np.nda
 class Run:
     """Some documents as sparse vectors of term parts, and their blocks."""
 
-    def __init__(self, rid, ids, sizes, terms, parts, weights, together):
-        self.rid, self.ids, self.sizes, self.terms, self.parts = rid, ids, sizes, terms, parts
+    def __init__(self, ids, sizes, terms, parts, weights, together=None):
+        self.ids, self.sizes, self.terms, self.parts = ids, sizes, terms, parts
         self.together = together
         self.start = np.cumsum(sizes) - sizes
         self.weights = weights
@@ -209,15 +210,15 @@ class Run:
         Similar vectors share signs.  A Gray order of the codes puts documents
         next to each other that differ in few of them.
         """
-        doc = np.repeat(np.arange(len(self.rid)), self.sizes)
+        doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         value = self.parts * self.weights[self.terms].astype(np.float64)
-        length = np.sqrt(np.bincount(doc, value * value, len(self.rid)))
+        length = np.sqrt(np.bincount(doc, value * value, len(self.ids)))
         value /= np.maximum(length, 1)[doc]
-        code = np.zeros(len(self.rid), np.int64)
+        code = np.zeros(len(self.ids), np.int64)
         r = np.random.default_rng(12)
         for _ in range(dims):
             axis = r.standard_normal(len(self.weights))
-            p = np.bincount(doc, value * axis[self.terms], len(self.rid))
+            p = np.bincount(doc, value * axis[self.terms], len(self.ids))
             code = 2 * code + (p > np.median(p))
         gray = code.copy()
         for shift in (1, 2, 4, 8):
@@ -231,9 +232,9 @@ class Run:
         into even blocks of at most BLOCK_DOCS.  A summary holds the terms that
         a query of the list can ask for.
         """
-        doc = np.repeat(np.arange(len(self.rid)), self.sizes)
-        near = np.empty(len(self.rid), np.int64)
-        near[np.lexsort((self.ids, self.geometry()))] = np.arange(len(self.rid))
+        doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        near = np.empty(len(self.ids), np.int64)
+        near[np.lexsort((self.ids, self.geometry()))] = np.arange(len(self.ids))
         order = np.lexsort((near[doc], self.terms))
         owner, term = doc[order], self.terms[order]
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
@@ -262,31 +263,34 @@ class Run:
             lo = hi
 
 
+RUN_ROW = "ids array<{kind}>, least array<long>, sizes array<int>, terms array<int>, parts array<int>, list array<int>, docs array<int>, members array<int>, keys array<int>, summary array<int>, most array<int>"
+
+
 def _build(q: Queries, weights: np.ndarray, n_docs: int, total: int):
-    """Document rows -> block rows: term, documents, least id, summary terms and maxima."""
-    names = ["term", "least", "docs", "terms", "most"]
+    """Document rows -> a row per run: its documents' vectors, and list, documents and summary of each block."""
+    names = [c.split()[0] for c in RUN_ROW.split(", ")]
 
     def emit(held: list[tuple], together) -> Iterator[pa.RecordBatch]:
-        rid, ids, sizes, terms, parts = (np.concatenate(x) for x in zip(*held, strict=True))
-        for term, members, n_docs_of, keys, n_keys, most in Run(rid, ids, sizes, terms, parts, weights, together).blocks():
-            least = np.minimum.reduceat(ids[members], np.cumsum(n_docs_of) - n_docs_of)
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(v, kind))
-                for n, v, kind in ((n_docs_of, rid[members], pa.int64()), (n_keys, keys, pa.int32()), (n_keys, most, pa.int32()))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(least, pa.int64()), *lists], names)
+        ids = pa.chunked_array([h[0] for h in held]).combine_chunks()
+        number, sizes, terms, parts = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
+        blocks_ = [np.concatenate(x) for x in zip(*Run(number, sizes, terms, parts, weights, together).blocks(), strict=True)]
+        lists, members, docs, summary, keys, most = blocks_ or [np.zeros(0, np.int64)] * 6
+        values = [ids, pa.array(number, pa.int64()), *(pa.array(v, pa.int32()) for v in (sizes, terms, parts, lists, docs, members, keys, summary, most))]
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, postings, together = [], 0, 0, q.together()
-        for b in batches:
-            rid, ids, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            terms, sizes = _lists(b.column(3))
-            tfs, _ = _lists(b.column(4))
-            held.append((rid, ids, sizes, terms, term_parts(tfs, np.repeat(n, sizes), n_docs, total)))
-            docs, postings = docs + len(rid), postings + len(terms)
-            if docs >= RUN_DOCS or postings >= RUN_POSTINGS:
-                yield from emit(held, together)
-                held, docs, postings = [], 0, 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                number, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                terms, sizes = _lists(b.column(3))
+                tfs, _ = _lists(b.column(4))
+                held.append((b.column(0), number, sizes, terms, term_parts(tfs, np.repeat(n, sizes), n_docs, total)))
+                docs, postings = docs + len(n), postings + len(terms)
+                if docs >= RUN_DOCS or postings >= RUN_POSTINGS:
+                    yield from emit(held, together)
+                    held, docs, postings = [], 0, 0
         if docs:
             yield from emit(held, together)
 
@@ -296,87 +300,109 @@ def _build(q: Queries, weights: np.ndarray, n_docs: int, total: int):
 # ---- search --------------------------------------------------------------
 
 
-def _dense(weights: np.ndarray, rows: np.ndarray, terms: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sparse vectors as rows of a matrix, weighted."""
-    out = np.zeros((n, len(weights)), np.int64)
-    out[rows, terms] = values.astype(np.int64) * weights[terms]
-    return out
+def _sums(q: Queries, weights: np.ndarray, sizes: np.ndarray, keys: np.ndarray, values: np.ndarray, asked: Iterator | list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Weighted sums of sparse rows over the terms of queries.
 
-
-def _slices(n: int, width: int) -> Iterator[tuple[int, int]]:
-    step = max(1, DENSE // max(1, width))
+    `asked` holds (query, rows) pairs; a row's values come in order of the rows.
+    """
+    n, k = len(sizes), len(weights)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = {i: [] for i, _ in asked}
+    step = max(1, DENSE // max(1, k))
     for lo in range(0, n, step):
-        yield lo, min(n, lo + step)
-
-
-def _grouped(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-    for lo, hi in zip(heads, [*heads[1:], len(keys)], strict=True):
-        yield int(keys[lo]), values[lo:hi]
-
-
-def _bounds(q: Queries, weights: np.ndarray, limits: dict[int, tuple[int, int]] | None):
-    """Block rows -> (query, block, bound) rows, of the blocks in the query's own lists.
-
-    With limits, a query's (threshold, id of the result there), only blocks
-    that can hold a better result, with their documents instead.
+        hi = min(n, lo + step)
+        table = np.zeros((hi - lo, k), np.int32)
+        part = slice(at[lo], at[hi])
+        table[np.repeat(np.arange(hi - lo), sizes[lo:hi]), keys[part]] = values[part]
+        for i, rows in asked:
+            own = rows[np.searchsorted(rows, lo) : np.searchsorted(rows, hi)] - lo
+            if len(own):
+                out[i].append(table[own[:, None], q.of[i]] @ weights[q.of[i]])
+    for i, rows in asked:
+        yield i, rows, np.concatenate(out[i]) if out[i] else np.zeros(0, np.int64)
+
+
+class Best:
+    """The k best (score, id number, id) of each query seen so far."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def add(self, i: int, score: np.ndarray, number: np.ndarray, ids: pa.Array) -> None:
+        old = self.held.get(i)
+        if old is not None:
+            score, number, ids = np.concatenate([old[0], score]), np.concatenate([old[1], number]), pa.concat_arrays([old[2], ids])
+        if len(score) > self.k:
+            if number.min() < 0:  # ids that are no numbers: keep all ties of the k-th score
+                order = np.flatnonzero(score >= np.partition(score, -self.k)[-self.k])
+            else:
+                order = np.lexsort((number, -score))[: self.k]
+            score, number, ids = score[order], number[order], ids.take(pa.array(order))
+        self.held[i] = score, number, ids
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for i, (score, _, ids) in self.held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), i), pa.int32()), ids, pa.array(score)], ["query", "id", "score"])
+
+
+def _search(q: Queries, weights: np.ndarray, k: int, limits: dict[int, tuple[int, int]] | None):
+    """Runs -> (query, id, score): the k best of a task.
+
+    Without limits only the documents of the FIRST_BLOCKS best blocks of each
+    query and run are scored.  With limits, a query's (threshold, id of the result
+    there), all documents that are in no block that the limit rules out.
     """
     asks = np.concatenate(q.of)
     order = np.argsort(asks, kind="stable")
     asking = np.repeat(np.arange(q.n), [len(t) for t in q.of])[order]  # queries by term
     at_term = np.searchsorted(asks[order], np.arange(len(weights) + 1))
 
+    def one(row: pa.RecordBatch, best: Best) -> None:
+        ids = row.column(0).flatten()
+        number, sizes, terms, parts, lists, docs, members, keys, summary, most = (row.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(1, 11))
+        first = np.cumsum(docs) - docs
+        least = np.minimum.reduceat(number[members], first) if len(first) else first
+        times = at_term[lists + 1] - at_term[lists]
+        queries = asking[_spans(at_term[lists], times)]
+        wanted = []
+        for i, blocks_, bound in _sums(q, weights, keys, summary, most, list(_grouped(queries, np.repeat(np.arange(len(lists)), times)))):
+            if limits is None:
+                stay = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+                chosen = np.unique(members[_spans(first[blocks_[stay]], docs[blocks_[stay]])])
+            else:
+                floor, last = limits.get(i, (1, LAST_ID))
+                stay = (bound > floor) | (bound == floor) & (least[blocks_] <= last)
+                state = np.zeros(len(sizes), np.int8)
+                for block_set, mark in ((blocks_[stay], 1), (blocks_[~stay], 2)):
+                    state[members[_spans(first[block_set], docs[block_set])]] = mark
+                chosen = np.flatnonzero(state == 1)
+            if len(chosen):
+                wanted.append((i, chosen))
+        for i, rows, score in _sums(q, weights, sizes, terms, parts, wanted):
+            keep = score > 0
+            if limits is not None:
+                floor, last = limits.get(i, (1, LAST_ID))
+                keep = (score > floor) | (score == floor) & (number[rows] <= last)
+            if keep.any():
+                best.add(i, score[keep], number[rows[keep]], ids.take(pa.array(rows[keep])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo, hi in _slices(whole.num_rows, len(weights)):
-                b = whole.slice(lo, hi - lo)
-                block, term, least = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                terms, sizes = _lists(b.column(4))
-                most, _ = _lists(b.column(5))
-                table = _dense(weights, np.repeat(np.arange(len(sizes)), sizes), terms, most, len(sizes))
-                times = at_term[term + 1] - at_term[term]
-                queries = asking[_spans(at_term[term], times)]
-                found = [[], [], []]
-                for i, rows in _grouped(queries, np.repeat(np.arange(len(term)), times)):
-                    bound = table[rows[:, None], q.of[i]].sum(axis=1)
-                    if limits is not None:
-                        floor, last = limits.get(i, (1, LAST_ID))
-                        stay = (bound > floor) | (bound == floor) & (least[rows] <= last)
-                        rows, bound = rows[stay], bound[stay]
-                    found[0].append(np.full(len(rows), i))
-                    found[1].append(rows)
-                    found[2].append(bound)
-                if not found[0]:
-                    continue
-                query, rows, bound = (np.concatenate(x) for x in found)
-                if limits is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(block[rows], pa.int64()), pa.array(bound)], ["query", "block", "bound"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), b.column(3).take(pa.array(rows))], ["query", "docs"])
+        best = Best(k)
+        for b in batches:
+            for r in range(b.num_rows):
+                one(b.slice(r, 1), best)
+        yield from best.rows()
 
     return run
 
 
-def _score(q: Queries, weights: np.ndarray, n_docs: int, total: int):
-    """(id, n, terms, tfs, queries) rows -> (query, id, score) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo, hi in _slices(whole.num_rows, len(weights)):
-                b = whole.slice(lo, hi - lo)
-                n = b.column(1).to_numpy(zero_copy_only=False)
-                terms, sizes = _lists(b.column(2))
-                tfs, _ = _lists(b.column(3))
-                asked, times = _lists(b.column(4))
-                parts = term_parts(tfs, np.repeat(n, sizes), n_docs, total)
-                table = _dense(weights, np.repeat(np.arange(len(n)), sizes), terms, parts, len(n))
-                for i, rows in _grouped(asked, np.repeat(np.arange(len(n)), times)):
-                    score = table[rows[:, None], q.of[i]].sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i), pa.int32()), b.column(0).take(pa.array(rows)), pa.array(score)], ["query", "id", "score"])
-
-    return run
+def _grouped(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key with its values, rising."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+    for lo, hi in zip(heads, [*heads[1:], len(keys)], strict=True):
+        yield int(keys[lo]), values[lo:hi]
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -390,8 +416,8 @@ class Index:
     def __init__(self, documents: DataFrame, text: str, id_column: str, q: Queries):
         self.q = q
         kind = documents.schema[id_column].dataType.simpleString()
-        rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("id"), F.col(text).alias("text"))
-        counted = rows.mapInArrow(_count_terms(q.words), f"rid long, id {kind}, n long, terms array<int>, tfs array<int>").filter("n > 0")
+        rows = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+        counted = rows.mapInArrow(_count_terms(q.words), f"id {kind}, n long, terms array<int>, tfs array<int>").filter("n > 0")
         self.docs = written(counted, "search-docs")
         figures = self.docs.agg(F.count("*").alias("n"), F.sum("n").alias("total")).first()
         self.n_docs, self.total = figures.n, int(figures.total or 0)
@@ -399,31 +425,19 @@ class Index:
         self.weights = q.weights(self.n_docs, {r.t: r["count"] for r in df.collect()})
         # ids order ties only where they are numbers; other kinds never skip an equal bound
         number = F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)) if kind in ("bigint", "int", "smallint", "tinyint") else F.lit(-LAST_ID)
-        vectors = self.docs.filter(F.size("terms") > 0).select("rid", number.alias("id"), "n", "terms", "tfs")
-        built = vectors.mapInArrow(_build(q, self.weights, self.n_docs, self.total), "term int, least long, docs array<long>, terms array<int>, most array<int>")
-        self.blocks = written(built.withColumn("block", F.monotonically_increasing_id()).select("block", "term", "least", "docs", "terms", "most"), "search-blocks")
-
-    def score(self, wanted: DataFrame) -> DataFrame:
-        """Exact scores of (query, rid) pairs."""
-        asked = wanted.groupBy("rid").agg(F.collect_set("query").alias("queries"))
-        rows = self.docs.join(asked, "rid").select("id", "n", "terms", "tfs", "queries")
-        kind = self.docs.schema["id"].dataType.simpleString()
-        return rows.mapInArrow(_score(self.q, self.weights, self.n_docs, self.total), f"query int, id {kind}, score long")
+        vectors = self.docs.filter(F.size("terms") > 0).select("id", number.alias("least"), "n", "terms", "tfs")
+        self.runs = written(vectors.mapInArrow(_build(q, self.weights, self.n_docs, self.total), RUN_ROW.format(kind=kind)), "search-index")
 
     def search(self, k: int) -> DataFrame:
-        """(query, rank, id, score) of the k best documents of each query."""
-        bounds = self.blocks.mapInArrow(_bounds(self.q, self.weights, None), "query int, block long, bound long")
-        best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-        first = bounds.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= FIRST_BLOCKS).select("query", "block")
-        members = self.blocks.select("block", "docs").join(first, "block").select("query", F.explode("docs").alias("rid"))
-        tried = _top(self.score(members.distinct()), k).filter(F.col("rank") == k)
+        """(query, id, score, rank) of the k best documents of each query."""
+        shape = f"query int, id {self.docs.schema['id'].dataType.simpleString()}, score long"
+        tried = _top(self.runs.mapInArrow(_search(self.q, self.weights, k, None), shape), k).filter(F.col("rank") == k)
         number = F.coalesce(F.expr("try_cast(id as bigint)"), F.lit(LAST_ID))
         limits = {r.query: (r.score, r.id) for r in tried.select("query", "score", number.alias("id")).collect()}
-        stay = self.blocks.mapInArrow(_bounds(self.q, self.weights, limits), "query int, docs array<long>")
-        return _top(self.score(stay.select("query", F.explode("docs").alias("rid")).distinct()), k)
+        return _top(self.runs.mapInArrow(_search(self.q, self.weights, k, limits), shape), k)
 
     def drop(self) -> None:
-        for t in (self.docs, self.blocks):
+        for t in (self.docs, self.runs):
             remove(t.sparkSession, t)
         settle(self.docs.sparkSession)
 

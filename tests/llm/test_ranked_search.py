@@ -95,7 +95,7 @@ def test_summaries_bound_every_document():
     parts = r.integers(1, 1000, len(terms))
     weights = r.integers(1, 50, 30)
     seen = Counter()
-    run = rs.Run(np.arange(300), np.arange(300), sizes, terms, parts, weights, None)
+    run = rs.Run(np.arange(300), sizes, terms, parts, weights)
     start = np.cumsum(sizes) - sizes
     for term, members, n_docs, keys, n_keys, most in run.blocks():
         d = k = 0
