@@ -18,6 +18,7 @@ from prefloom.llm import (
     pii_bootstrap,
     ranked_search,
     tool_calls,
+    toxicity,
     whitening,
     wrapper_extract,
 )
@@ -78,6 +79,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.personal_data_digest(pii_bootstrap.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.fit_toxicity(documents, _table(spark, sf_dir, "labels")))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_wrapper_extract": op9_wrapper_extract,
     "op10_personal_data": op10_personal_data,
+    "op11_toxicity": op11_toxicity,
     "op12_whitening": op12_whitening,
     "op13_ranked_search": op13_ranked_search,
 }

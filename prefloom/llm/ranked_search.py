@@ -42,11 +42,13 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.common import remove, settle, written
 from prefloom.llm.words import Words, blocks
+from prefloom.session import scratch_path
 
 MAX_QUERY_TERMS = 200_000  # (query, term) pairs of a group of queries, held by every task
-RUN_DOCS = 1024  # documents whose posting lists are cut together, a row of the index
-RUN_POSTINGS = 200_000
+RUN_DOCS = 512  # documents whose posting lists are cut together, a row of the index
+RUN_POSTINGS = 100_000
 BLOCK_DOCS = 32
+RUNS_PER_FILE = 16  # readers decode a file's runs together
 FIRST_BLOCKS = 4  # blocks of a query and run that are scored for the threshold
 DENSE = 1 << 21  # entries of a matrix held by a task
 LAST_ID = (1 << 63) - 1
@@ -426,7 +428,10 @@ class Index:
         # ids order ties only where they are numbers; other kinds never skip an equal bound
         number = F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)) if kind in ("bigint", "int", "smallint", "tinyint") else F.lit(-LAST_ID)
         vectors = self.docs.filter(F.size("terms") > 0).select("id", number.alias("least"), "n", "terms", "tfs")
-        self.runs = written(vectors.mapInArrow(_build(q, self.weights, self.n_docs, self.total), RUN_ROW.format(kind=kind)), "search-index")
+        built = vectors.mapInArrow(_build(q, self.weights, self.n_docs, self.total), RUN_ROW.format(kind=kind))
+        path = scratch_path(documents.sparkSession, "search-index")
+        built.write.option("maxRecordsPerFile", RUNS_PER_FILE).parquet(path)
+        self.runs = documents.sparkSession.read.schema(built.schema).parquet(path)
 
     def search(self, k: int) -> DataFrame:
         """(query, id, score, rank) of the k best documents of each query."""
