@@ -5,10 +5,10 @@
    likelihood ratio of a pattern must be one that few of as many random ones reach.
 2. Votes.  Every voter is asked about every document; equal vote patterns are
    counted together.
-3. Label model.  A generative model with a hidden label per document: expectation
-   maximisation first gives each voter's rates of firing on toxic and on clean
+3. Label model.  A generative model with a label per document, known for the
+   labelled sample (whose texts count again) and else hidden: expectation maximisation first gives each voter's rates of firing on toxic and on clean
    texts, taking voters as independent.  Voters whose votes still correlate
-   given the hidden label are then joined into groups, the number of a
+   given the label are then joined into groups, the number of a
    group's voters that fire (0 to 3 or more) takes the place of its single votes,
    and the rates are estimated again.  Toxic texts are of one kind for each group.
 4. Classifier.  A logistic regression on words and word beginnings, fitted on
@@ -50,6 +50,7 @@ MAX_VOTERS, MAX_FEATURES = 256, 4096
 THRESHOLD = 0.3
 BAR = 2.0  # a feature's likelihood ratio must exceed this many logs of the number of features
 BEGINNINGS = (3, 4, 5, 6, 7)  # bytes
+TIMES = (1, 2, 4)  # a feature is a word or beginning that a text has at least so often
 STATES = 4  # 0, 1, 2, 3 or more voters of a group fire
 
 # fixed values: insults
@@ -72,8 +73,8 @@ def _word_key(h: np.ndarray) -> np.ndarray:
 def keys_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text number, key) of every word and word beginning, with repeats.
 
-    The key of a beginning is its bytes with their number in the top byte; that
-    of a word is 56 bits of its hash.
+    The key of a beginning is its bytes with their number in the bits above; that
+    of a word is 56 bits of its hash.  Four more bits say which of TIMES is meant.
     """
     size = w.end - w.start
     padded = np.concatenate([w.low, np.zeros(8, np.uint8)])
@@ -97,10 +98,15 @@ def sketch(w: Words) -> np.ndarray:
 
 
 def beginning(key: int) -> bytes | None:
-    n = key >> 56
+    n = key >> 56 & 15
     return (key & ((1 << 8 * n) - 1)).to_bytes(n, "little") if n else None
 
 
+def described(key: int, text: bytes) -> str:
+    times = TIMES[key >> 60]
+    return ("beginning " if key >> 56 & 15 else "word ") + text.decode(errors="replace") + (f" {times} times" if times > 1 else "")
+
+
 def lexicon_keys(words: list[str]) -> np.ndarray:
     data = " ".join(words).encode()
     return _word_key(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)], np.int64)).hash)
@@ -111,11 +117,11 @@ class Finder:
 
     def __init__(self, keys: np.ndarray):
         keys = keys.astype(np.uint64)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.lengths = {int(k) for k in np.unique(keys >> np.uint64(56))}
+        self.keys, where = np.unique(keys & np.uint64((1 << 60) - 1), return_inverse=True)
+        self.number = np.full((len(TIMES), len(self.keys)), -1)
+        self.number[(keys >> np.uint64(60)).astype(np.int64), where] = np.arange(len(keys))
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[self._slot(keys)] = True
+        self.maybe[self._slot(self.keys)] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -132,8 +138,13 @@ class Finder:
         slot = np.searchsorted(self.keys, key)
         slot[slot == len(self.keys)] = 0
         ok = self.keys[slot] == key
-        pair = np.unique(doc[ok] * len(self.keys) + self.order[slot[ok]])
-        return pair // len(self.keys), pair % len(self.keys)
+        pair, seen = np.unique(doc[ok] * len(self.keys) + slot[ok], return_counts=True)
+        doc, slot = pair // len(self.keys), pair % len(self.keys)
+        number = np.concatenate([np.where(seen >= t, self.number[i][slot], -1) for i, t in enumerate(TIMES)])
+        doc = np.tile(doc, len(TIMES))[number >= 0]
+        number = number[number >= 0]
+        order = np.lexsort((number, doc))
+        return doc[order], number[order]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +162,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, key = keys_of(Words(data, offs))
             order = np.lexsort((doc, key))
             doc, key = doc[order], key[order]
-            new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)]
-            doc, key = doc[new], key[new]
+            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
+            seen = np.diff(np.r_[heads, len(key)])
+            often = [heads[seen >= t] for t in TIMES]
+            key = np.concatenate([key[h] | np.uint64(i << 60) for i, h in enumerate(often)])
+            doc = doc[np.concatenate(often)]
             held.append((key, np.ones(len(key)), share[lo + doc]))
             size += len(key)
             if size > 3_000_000:
@@ -209,10 +223,10 @@ def choose_voters(labelled: DataFrame) -> Voters:
         rate = {r.key: ((r.toxic + 0.5) / (total_toxic + 1), (r.n - r.toxic + 0.5) / (total - total_toxic + 1)) for r in best}
         rates |= {k: rate[k] for k in found if k in rate}
         chosen = _cover(labelled, [r.key for r in best], found, bar)
-        spelled = spell(labelled, [k for k in chosen if not k >> 56])
+        spelled = spell(labelled, [k for k in chosen if not k >> 56 & 15])
         for k in chosen:
             found.append(k)
-            names.append(("beginning " if k >> 56 else "word ") + (beginning(k) or spelled[k]).decode(errors="replace"))
+            names.append(described(k, beginning(k) or spelled[k]))
             rates[k] = rate[k]
     a, b = (np.array([rates[k][i] for k in found]) for i in (0, 1))
     return Voters(np.array(found, np.uint64), names, a, b)
@@ -272,26 +286,27 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.nda
 
 def _rows_of(rows: DataFrame, keys: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
     """Numbers of the keys in each of a bounded number of (text, share) rows, and the shares."""
-    out = rows.select("text", "share").mapInArrow(_presence(keys), "keys array<int>, share double").toArrow()
-    return out.column("keys").combine_chunks(), out.column("share").to_numpy()
+    out = rows.select("text", "share").mapInArrow(_presence(keys), "votes array<int>, share double").toArrow()
+    return out.column("votes").combine_chunks(), out.column("share").to_numpy()
 
 
 def spell(rows: DataFrame, words: list[int]) -> dict[int, bytes]:
     """The words behind word keys."""
-    finder = Finder(np.array(words, np.uint64))
+    hashes = np.array(words, np.uint64) & np.uint64((1 << 56) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, bytes] = {}
         for b in batches:
             for _, _, data, offs in blocks(b.column(0)):
                 w = Words(data, offs)
-                at = np.flatnonzero(np.isin(_word_key(w.hash), finder.keys))
+                at = np.flatnonzero(np.isin(_word_key(w.hash), hashes))
                 k, first = np.unique(_word_key(w.hash[at]), return_index=True)
                 seen |= {int(x): w.text(i, i + 1) for x, i in zip(k, at[first], strict=True)}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], ["key", "word"])
 
     found = rows.select("text").mapInArrow(run, "key long, word binary").groupBy("key").agg(F.min("word").alias("word"))
-    return {r.key: bytes(r.word) for r in found.collect()}
+    by_hash = {r.key: bytes(r.word) for r in found.collect()}
+    return {k: by_hash[k & ((1 << 56) - 1)] for k in words}
 
 
 # ---- label model ---------------------------------------------------------
@@ -302,8 +317,8 @@ class LabelModel:
     """Rates of each group's states, shares of the kinds of toxic texts, and the share of toxic texts.
 
     A toxic text is of one kind: the voters of the kind's group fire at their
-    rates for toxic texts, all others as on clean texts.  So voters that never
-    fire together (of two languages, say) do not speak against each other.
+    rates for toxic texts, and what other voters do says nothing.  So voters that
+    never fire together (of two languages, say) do not speak against each other.
     """
 
     groups: list[int]  # group of each voter
@@ -345,20 +360,24 @@ def _joined(n: int, links: list[tuple[int, int]]) -> list[int]:
 
 
 def _estimate(patterns: DataFrame, model: LabelModel, steps: int) -> LabelModel:
-    """Expectation maximisation over (votes, n) rows; each step reads one sum per group and state."""
+    """Expectation maximisation over (votes, n, share) rows, share null where the label is hidden.
+
+    Each step reads one sum per group and state.
+    """
     n_groups = len(model.kinds)
     for _ in range(steps):
         votes = F.col("votes")
         # p: toxic; u: toxic, over the likelihood ratio, so that kind g has kinds[g] * toxic / clean * u of a text
-        p = patterns.select("n", (F.col("n") * model.posterior(votes)).alias("p"), (F.col("n") * model.posterior(votes) / model.ratio(votes)).alias("u"), model.states(votes).alias("states"))
+        likely = F.coalesce(F.col("share"), model.posterior(votes))
+        p = patterns.select("n", (F.col("n") * likely).alias("p"), (F.col("n") * likely / model.ratio(votes)).alias("u"), model.states(votes).alias("states"))
         total, toxic, all_u = (float(x or 0) for x in p.agg(F.sum("n"), F.sum("p"), F.sum("u")).first())
-        sums = p.select("n", "u", F.explode("states").alias("s")).groupBy("s").agg(F.sum("n").alias("n"), F.sum("u").alias("u")).collect()
-        n, u = np.zeros((2, n_groups, STATES))
-        for r in sums:
-            n[divmod(r.s, STATES)], u[divmod(r.s, STATES)] = r.n, r.u
-        n[:, 0], u[:, 0] = total - n[:, 1:].sum(axis=1), np.maximum(all_u - u[:, 1:].sum(axis=1), 0)
+        one = p.select((F.col("n") - F.col("p")).alias("c"), "u", F.explode("states").alias("s"))
+        rest, u = np.zeros((2, n_groups, STATES))
+        for r in one.groupBy("s").agg(F.sum("c").alias("c"), F.sum("u").alias("u")).collect():
+            rest[divmod(r.s, STATES)], u[divmod(r.s, STATES)] = r.c, r.u
+        for of, whole in ((rest, total - toxic), (u, all_u)):
+            of[:, 0] = np.maximum(whole - of[:, 1:].sum(axis=1), 0)
         own = u * model.kinds[:, None] * model.toxic / model.clean
-        rest = np.maximum(n - own, 0)
         # a prior worth two texts with the first rates holds voters that hardly ever fire
         new = [(c + 2 * first) / (c.sum(axis=1, keepdims=True) + 2) for c, first in ((own, model.toxic), (rest, model.clean))]
         model.kinds = (own.sum(axis=1) + 0.1) / (own.sum() + 0.1 * n_groups)
@@ -368,7 +387,7 @@ def _estimate(patterns: DataFrame, model: LabelModel, steps: int) -> LabelModel:
 
 
 def fit_label_model(patterns: DataFrame, voters: Voters, prior: float, link: float = 0.1) -> LabelModel:
-    """Accuracies and correlations of voters from (votes, n) rows."""
+    """Accuracies and correlations of voters from (votes, n, share) rows."""
     n = len(voters.keys)
 
     def single(rate: np.ndarray) -> np.ndarray:
@@ -377,10 +396,11 @@ def fit_label_model(patterns: DataFrame, voters: Voters, prior: float, link: flo
     sure = np.full(n, 0.8)  # a kind's own voter fires on most of its texts
     model = LabelModel(list(range(n)), single(sure), single(voters.clean_rate), voters.toxic_rate / voters.toxic_rate.sum(), prior)
     model = _estimate(patterns, model, 4)
-    p = patterns.filter(F.size("votes") > 0).select("votes", (F.col("n") * model.posterior(F.col("votes"))).alias("p"), "n")
+    likely = F.col("n") * F.coalesce(F.col("share"), model.posterior(F.col("votes")))
+    p = patterns.filter(F.size("votes") > 0).select("votes", likely.alias("p"), "n")
     i = p.select("p", "n", "votes", F.explode("votes").alias("i"))
     both = i.select("p", "n", "i", F.explode("votes").alias("j")).filter("i <= j").groupBy("i", "j").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()
-    total, toxic = (float(x or 0) for x in patterns.agg(F.sum("n"), F.sum(F.col("n") * model.posterior(F.col("votes")))).first())
+    total, toxic = (float(x or 0) for x in patterns.agg(F.sum("n"), F.sum(likely)).first())
     pair = {(r.i, r.j): (r.p, r.n - r.p) for r in both}
     correlated = {}
     for (a, b), seen in pair.items():
@@ -482,7 +502,7 @@ def _presence(keys: np.ndarray):
             for lo, hi, data, offs in blocks(b.column(0)):
                 doc, k = finder.find(Words(data, offs))
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(k, pa.int32())), b.column(1).slice(lo, hi - lo)], ["keys", "share"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(k, pa.int32())), b.column(1).slice(lo, hi - lo)], ["votes", "share"])
 
     return run
 
@@ -562,7 +582,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, n_labels: int = LABELS
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     voted = written(documents.select("text", "doc_id").mapInArrow(vote, f"doc_id {kind}, sketch long, votes array<int>"), "toxicity-votes")
-    patterns = written(voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")), "toxicity-patterns")
+    open_votes = voted.select("votes", F.lit(None).cast("double").alias("share"))
+    known_votes = labelled.select("text", "share").mapInArrow(_presence(voters.keys), "votes array<int>, share double")
+    patterns = written(open_votes.unionByName(known_votes).groupBy("votes", "share").agg(F.count("*").cast("double").alias("n")), "toxicity-patterns")
     seen = labelled.agg(F.avg("share")).first()[0]
     model = fit_label_model(patterns, voters, min(max(seen or 0.05, 0.01), 0.5))
 
