@@ -48,7 +48,7 @@ MAX_QUERY_TERMS = 200_000  # (query, term) pairs of a group of queries, held by
 RUN_DOCS = 512  # documents whose posting lists are cut together, a row of the index
 RUN_POSTINGS = 100_000
 BLOCK_DOCS = 32
-RUNS_PER_FILE = 16  # readers decode a file's runs together
+RUNS_PER_FILE = 4  # readers decode a file's runs together
 FIRST_BLOCKS = 4  # blocks of a query and run that are scored for the threshold
 DENSE = 1 << 21  # entries of a matrix held by a task
 LAST_ID = (1 << 63) - 1
