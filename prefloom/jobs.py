@@ -6,7 +6,9 @@
 Reads the table with an explicit schema, builds pairs, holds out an exact
 share of them, encodes both sides and writes `pairs/` and `encoded/`, each
 partitioned by `split`.  Each text is tokenized once; the pair keys of the
-split are checkpointed in the cluster's `spark.checkpoint.dir`.
+split are checkpointed in the cluster's `spark.checkpoint.dir`.  `report/`
+counts the pairs of each split and those that could not be encoded because
+a text is null; with `--on-bad quarantine`, `quarantine/` holds the broken lines.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .operators import encode, split
 from .operators.pairs import build_pairs
-from .sources.preferences import read_preference_table, write_table
+from .sources.jsonl import read_jsonl_quarantine
+from .sources.preferences import read_preference_table, table_schema, write_table
 
 KEYS = ("prompt_id", "comp_i", "comp_j")
 
@@ -45,6 +48,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         "split",
     )
     write_table(pairs, f"{args.output}/pairs", mode=args.mode, partition_by=("split",))
+    sides = F.least(*[F.col(f"{s}_input_ids").isNotNull().cast("int") for s in ("prompt", "chosen", "rejected")])
+    report = written.groupBy("split").agg(F.count("*").alias("n_pairs"), F.count(F.when(sides == 0, 1)).alias("n_null_text"))
+    bad_lines = F.lit(None).cast("bigint")
+    if args.format == "jsonl" and args.on_bad == "quarantine":
+        write_table(read_jsonl_quarantine(spark, args.input, table_schema(args.layout, args.ids)), f"{args.output}/quarantine", mode=args.mode)
+        bad_lines = F.lit(spark.read.parquet(f"{args.output}/quarantine").count())
+    write_table(report.withColumn("n_bad_lines", bad_lines), f"{args.output}/report", mode=args.mode)
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:

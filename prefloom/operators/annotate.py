@@ -232,8 +232,15 @@ def annotation_prompts(prompts: DataFrame, *, instruction: str = "prompt") -> Da
     )
 
 
-def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
-    """Write each group's ratings in the output format (absent rating: `N/A`)."""
+def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS, absent: str = "na") -> DataFrame:
+    """Write each group's ratings in the output format.
+
+    An aspect that a completion's map lacks is written as the rating `N/A`, or
+    with `absent="omit"` its block is left out, so that it can be told from a
+    rating that is `N/A`.
+    """
+    if absent not in ("na", "omit"):
+        raise ValueError("absent must be 'na' or 'omit'")
     g = _groups(prompts, "annotations")
     slots = _slots(F.col("_f"))
 
@@ -250,6 +257,9 @@ def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS) -> Da
                 F.lit("\n"),
             ),
         )
+        if absent == "omit":
+            has = F.transform(slots, lambda c: F.coalesce(F.map_contains_key(c, F.lit(aspect)), F.lit(False)))
+            blocks = F.transform(F.filter(F.arrays_zip(blocks.alias("b"), has.alias("h")), lambda x: x["h"]), lambda x: x["b"])
         return F.concat(F.lit(ASPECT_HEADINGS[aspect] + "\n"), F.array_join(blocks, ""))
 
     answer = F.concat_ws("\n", *[section(a) for a in aspects])

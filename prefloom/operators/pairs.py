@@ -127,8 +127,13 @@ def build_pairs_join(
     img_path: str | None = "img_path",
     format_prompt: bool = True,
     on_null: str = "drop",
+    score: str | None = None,
 ) -> DataFrame:
-    """Flat completions -> the same pairs as `build_pairs`, by an equi self-join."""
+    """Flat completions -> the same pairs as `build_pairs`, by an equi self-join.
+
+    `score`: a column that holds the scores already (see `long_ratings`); else
+    they are computed from the annotation maps.
+    """
     # The rating parser runs once per completion (not once per filter term).
     # The key passes through the generator unchanged, so an input already
     # partitioned by it is not shuffled again.
@@ -140,7 +145,7 @@ def build_pairs_join(
         F.col(idx).cast("bigint").alias("pos"),
         computed_once(
             F.col("response").alias("response"),
-            mean_rating(F.col("annotations"), on_null).alias("score"),
+            (F.col(score) if score else mean_rating(F.col("annotations"), on_null)).alias("score"),
             formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
         ),
     ).where(usable(F.col("score")) & F.col("response").isNotNull())

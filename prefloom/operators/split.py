@@ -19,6 +19,7 @@ narrow pass.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -100,21 +101,25 @@ def exact_split_rule(
         checkpoint_dir(df.sparkSession)
         hashed = hashed.checkpoint(eager=True)
     require_unique_keys(hashed, tuple(keys))
-    h = F.col("_h")
-    step = PREFIX_DIGITS // 2  # bytes per level
+    counts = _prefix_counts(hashed, b"")
+    remaining = math.ceil(test_size * sum(n for _, n in counts))
+    return refine_rule(rule, counts, remaining, lambda prefix: hashed.where(_in_prefix(F.col("_h"), prefix))), hashed
+
+
+def _prefix_counts(region: DataFrame, prefix: bytes) -> list[tuple[bytes, int]]:
+    """Rows of each next 2-byte step of the hash below `prefix` (at most 65,536 results)."""
+    b = F.substring("_h", len(prefix) + 1, PREFIX_DIGITS // 2).alias("b")
+    return sorted((bytes(r["b"]), r["n"]) for r in region.groupBy(b).agg(F.count("*").alias("n")).collect())
+
+
+def refine_rule(rule: ExactSplitRule, counts: list[tuple[bytes, int]], remaining: int, region: Callable[[bytes], DataFrame]) -> ExactSplitRule:
+    """Narrow the cut from the counts of the first hash bytes down to rows.
+
+    `region(prefix)` gives the (key, `_h`) rows below a prefix; only the prefixes
+    in which the cut falls are asked for.
+    """
     prefix = b""
-    remaining = None
-    while True:
-        depth = len(prefix)
-        region = hashed.where(_in_prefix(h, prefix)) if prefix else hashed
-        counts = sorted(
-            (bytes(r["b"]), r["n"])
-            for r in region.groupBy(F.substring(h, depth + 1, step).alias("b")).agg(F.count("*").alias("n")).collect()
-        )
-        if remaining is None:
-            remaining = math.ceil(test_size * sum(n for _, n in counts))
-        if remaining <= 0:
-            return rule, hashed
+    while remaining > 0:
         cum = 0
         cut_bucket, cut_count = None, 0
         for b, n in counts:
@@ -127,19 +132,14 @@ def exact_split_rule(
         prefix += cut_bucket
         if remaining == cut_count:
             rule.whole = prefix
-            return rule, hashed
+            return rule
         if len(prefix) >= 16:
-            break
-    order = [h] + [F.col(k) for k in keys]
-    last = (
-        hashed.where(_in_prefix(h, prefix))
-        .orderBy(*order)
-        .limit(remaining)
-        .agg(F.max(F.struct(*order)).alias("m"))
-        .collect()[0]["m"]
-    )
-    rule.last = (prefix, tuple(last))
-    return rule, hashed
+            order = [F.col("_h")] + [F.col(k) for k in rule.keys]
+            last = region(prefix).orderBy(*order).limit(remaining).agg(F.max(F.struct(*order)).alias("m")).collect()[0]["m"]
+            rule.last = (prefix, tuple(last))
+            return rule
+        counts = _prefix_counts(region(prefix), prefix)
+    return rule
 
 
 def split_exact(

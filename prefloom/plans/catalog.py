@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import digest
 from ..functions.ratings import class_of_normalized, normalize_rating
-from ..operators import annotate, batches, chatml, encode, pairs, prompts, sampling, split
+from ..operators import annotate, batches, chatml, content_groups, dealt_pairs, encode, growing_split, judge_loop, long_ratings, pairs, prompts, sampling, split
 from ..sources import fixtures as fx
 from ..session import scratch_path
 from ..sources import jsonl, preferences, schemas
@@ -42,6 +42,28 @@ def q_build_pairs_join(spark: SparkSession, d: str) -> DataFrame:
     return pairs.build_pairs_join(_stored(spark, fx.fline_completions(spark, d), "completions"))
 
 
+def _long_layout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """F-LINE as two stored tables: completions without ratings, and ratings as rows."""
+    flat = fx.fline_completions(spark, d)
+    ratings = _stored(spark, long_ratings.to_long_ratings(flat), "ratings")
+    return _stored(spark, flat.drop("annotations"), "completions"), ratings
+
+
+def q_completion_scores_long(spark: SparkSession, d: str) -> DataFrame:
+    return long_ratings.completion_scores_long(*_long_layout(spark, d))
+
+
+def q_build_pairs_long(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.build_pairs_join(long_ratings.scored_completions_long(*_long_layout(spark, d)), score="score")
+
+
+DEALT_ROWS = 3  # F-LINE's prompts have up to 17 completions: blocks so small that they are dealt
+
+
+def q_build_pairs_dealt(spark: SparkSession, d: str) -> DataFrame:
+    return dealt_pairs.build_pairs_dealt(_stored(spark, fx.fline_completions(spark, d), "completions"), block_rows=DEALT_ROWS)
+
+
 def q_build_pairs_text(spark: SparkSession, d: str) -> DataFrame:
     return pairs.build_pairs(fx.ftext_prompts(spark, d))
 
@@ -115,6 +137,28 @@ def q_split_exact(spark: SparkSession, d: str) -> DataFrame:
     return split.split_exact(p, tuple(KEYS))
 
 
+def q_split_growing(spark: SparkSession, d: str) -> DataFrame:
+    """F-LINE's pairs appended in three parts; the split of the whole from the stored counts."""
+    p = _stored(spark, pairs.build_pairs(fx.fline_prompts(spark, d)).select(*KEYS), "pair-keys")
+    state = growing_split.GrowingSplit(spark, scratch_path(spark, "split-state"), tuple(KEYS))
+    for k in range(3):
+        state.append(p.where(F.pmod("prompt_id", F.lit(3)) == k), f"p{k}")
+    return state.label(p)
+
+
+CONTENT_TEST_SIZE = 0.2
+
+
+def q_split_by_content(spark: SparkSession, d: str) -> DataFrame:
+    """F-TEXT's pairs, where every fifth prompt text stands under several ids and three ids share an image."""
+    p = fx.ftext_prompts(spark, d)
+    k = F.col("prompt_id")
+    own = F.concat(F.col("prompt"), F.lit(" #"), k.cast("string"))
+    shared = p.select(k, F.when(k % 5 == 0, F.col("prompt")).otherwise(own).alias("prompt"), F.expr("prompt_id div 3").cast("string").alias("img_path"))
+    keys = pairs.build_pairs(p).select(*KEYS)
+    return content_groups.split_by_content(keys, _stored(spark, shared, "prompts"), test_size=CONTENT_TEST_SIZE)
+
+
 def q_split_by_prompt(spark: SparkSession, d: str) -> DataFrame:
     p = pairs.build_pairs(fx.fline_prompts(spark, d)).select(*KEYS)
     return split.split_by_prompt(p)
@@ -348,6 +392,23 @@ def q_parse_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return annotate.parse_answers(a.withColumn("answer", damaged)).select("prompt_id", "group_idx", "text_idx", "aspect", "status")
 
 
+def q_judge_loop_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """F-LINE's ratings written as judge answers, parsed, put back into their completions and paired."""
+    p = _stored(spark, fx.fline_prompts(spark, d), "prompts")
+    answers = _stored(spark, annotate.render_answers(p, absent="omit"), "answers")
+    return pairs.build_pairs(judge_loop.rejoin_answers(p, answers))
+
+
+def q_judge_loop_report(spark: SparkSession, d: str) -> DataFrame:
+    """The accounts of F-LINE's answers, damaged by prompt id."""
+    p = _stored(spark, fx.fline_prompts(spark, d), "prompts")
+    k = F.col("prompt_id") % 5
+    a = annotate.render_answers(p, absent="omit").where(k != 0)
+    text = F.when(k == 2, F.regexp_replace("answer", "#### Helpfulness", "#### Foo")).when(k != 1, F.col("answer"))
+    a = a.select(F.when(k == 3, -F.col("prompt_id")).otherwise(F.col("prompt_id")).alias("prompt_id"), "group_idx", "n_texts", text.alias("answer"))
+    return judge_loop.judge_loop_report(p, _stored(spark, a, "answers"))
+
+
 def q_annotation_prompts_line(spark: SparkSession, d: str) -> DataFrame:
     """F-LINE prompts hold up to 17 responses: each of them reaches a judge prompt."""
     p = annotate.annotation_prompts(fx.fline_prompts(spark, d))
@@ -380,6 +441,9 @@ def q_stream_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "build_pairs": q_build_pairs,
     "build_pairs_join": q_build_pairs_join,
+    "build_pairs_dealt": q_build_pairs_dealt,
+    "build_pairs_long": q_build_pairs_long,
+    "completion_scores_long": q_completion_scores_long,
     "build_pairs_text": q_build_pairs_text,
     "pair_outcomes": q_pair_outcomes,
     "completion_scores": q_completion_scores,
@@ -390,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "make_conversations": q_make_conversations,
     "full_texts": q_full_texts,
     "split_exact": q_split_exact,
+    "split_growing": q_split_growing,
+    "split_by_content": q_split_by_content,
     "split_by_prompt": q_split_by_prompt,
     "jsonl_roundtrip": q_jsonl_roundtrip,
     "jsonl_quarantine": q_jsonl_quarantine,
@@ -410,6 +476,8 @@ QUERIES: dict[str, Query] = {
     "annotation_prompts_line": q_annotation_prompts_line,
     "parse_annotations": q_parse_annotations,
     "parse_quarantine": q_parse_quarantine,
+    "judge_loop_pairs": q_judge_loop_pairs,
+    "judge_loop_report": q_judge_loop_report,
     "sample_models": q_sample_models,
     "sample_by_domain": q_sample_by_domain,
     "stream_pairs": q_stream_pairs,

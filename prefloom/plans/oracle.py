@@ -183,6 +183,32 @@ FROM ranked"""
     )
 
 
+def split_by_content_sql() -> str:
+    t = split.threshold_hex(catalog.CONTENT_TEST_SIZE)
+    return f"""WITH RECURSIVE {FTEXT},
+{scored('ftext')},
+{pairs_cte('ftext')},
+p AS (SELECT DISTINCT prompt_id, prompt_id // 3 AS img, CASE WHEN prompt_id % 5 = 0 THEN prompt ELSE prompt || ' #' || {s('prompt_id')} END AS t FROM ftext),
+edge AS (
+  SELECT a.prompt_id AS a, b.prompt_id AS b FROM p a JOIN p b ON a.t = b.t
+  UNION SELECT a.prompt_id, b.prompt_id FROM p a JOIN p b ON a.img = b.img),
+reach AS (SELECT prompt_id, prompt_id AS r FROM p UNION SELECT reach.prompt_id, edge.b FROM reach JOIN edge ON reach.r = edge.a),
+grp AS (SELECT prompt_id, min(r) AS g FROM reach GROUP BY prompt_id)
+SELECT prompt_id, comp_i, comp_j, CASE WHEN substr(md5('42:' || {s('g')}), 1, 8) < '{t}' THEN 'test' ELSE 'train' END AS split
+FROM pairs JOIN grp USING (prompt_id)"""
+
+
+def judge_loop_report_sql() -> str:
+    """Enumerates the expected ratings and what each damage does to them."""
+    return f"""WITH {FLINE},
+e AS (SELECT prompt_id % 5 AS k, aspect, aspect <> 'Ethical Considerations' OR r_eth IS NOT NULL AS has
+  FROM (SELECT prompt_id, r_eth, unnest([{', '.join(q(a) for a in annotate.ASPECT_HEADINGS)}]) AS aspect FROM fline)),
+own AS (SELECT CASE WHEN k IN (0, 3) THEN 'no_answer' WHEN k = 1 THEN 'null_answer'
+    WHEN k = 2 AND aspect = 'Helpfulness' THEN 'missing_section' WHEN has THEN 'ok' ELSE 'missing_block' END AS outcome FROM e),
+more AS (SELECT CASE WHEN k = 3 THEN 'unknown_group' ELSE 'unknown_aspect' END AS outcome FROM e WHERE has AND (k = 3 OR k = 2 AND aspect = 'Helpfulness'))
+SELECT outcome, count(*) AS n FROM (SELECT * FROM own UNION ALL SELECT * FROM more) GROUP BY outcome"""
+
+
 def split_by_prompt_sql() -> str:
     t = split.threshold_hex(0.005)
     return (
@@ -539,6 +565,13 @@ ORACLE_SQL: dict[str, str] = {
     "make_conversations": make_conversations_sql(),
     "full_texts": full_texts_sql(),
     "split_exact": split_exact_sql(),
+    "split_growing": split_exact_sql(),
+    "split_by_content": split_by_content_sql(),
+    "build_pairs_dealt": FLINE_PAIRS + PAIR_SELECT,
+    "build_pairs_long": FLINE_PAIRS + PAIR_SELECT,
+    "completion_scores_long": completion_scores_sql(),
+    "judge_loop_pairs": FLINE_PAIRS + PAIR_SELECT,
+    "judge_loop_report": judge_loop_report_sql(),
     "split_by_prompt": split_by_prompt_sql(),
     "jsonl_roundtrip": jsonl_roundtrip_sql(),
     "drop_leading_nonuser": drop_leading_sql(),

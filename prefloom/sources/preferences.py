@@ -36,6 +36,18 @@ def derive_ids(df: DataFrame, key: str = "prompt_id") -> DataFrame:
     return df.select(F.concat_ws("-", F.substring("_h", 1, 32), nth.cast("string")).alias(key), *cols)
 
 
+def table_schema(layout: str = "nested", ids: str = "long") -> T.StructType:
+    """The schema that a table of this layout and kind of id is read with."""
+    if ids not in IDS:
+        raise ValueError(f"ids must be one of {IDS}")
+    schema = LAYOUTS[layout]
+    if ids == "derive":
+        return T.StructType([f for f in schema.fields if f.name != "prompt_id"])
+    if ids == "string":
+        return T.StructType([T.StructField(f.name, T.StringType()) if f.name == "prompt_id" else f for f in schema.fields])
+    return schema
+
+
 def read_preference_table(
     spark: SparkSession, path: str, *, layout: str = "nested", fmt: str = "parquet", on_bad: str = "error", ids: str = "long"
 ) -> DataFrame:
@@ -45,19 +57,16 @@ def read_preference_table(
     and one is derived ("derive").  A parquet table that lacks the column
     fails unless it is derived, instead of reading as all null.
     """
-    if ids not in IDS:
-        raise ValueError(f"ids must be one of {IDS}")
-    schema = LAYOUTS[layout]
-    if ids == "derive":
-        schema = T.StructType([f for f in schema.fields if f.name != "prompt_id"])
-    elif ids == "string":
-        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "prompt_id" else f for f in schema.fields])
+    schema = table_schema(layout, ids)
     if fmt == "parquet":
         if ids != "derive" and "prompt_id" not in spark.read.parquet(path).columns:
             raise ValueError(f"{path} has no prompt_id column; pass ids='derive'")
         df = spark.read.schema(schema).parquet(path)
     elif fmt in ("json", "jsonl"):
         df = read_jsonl(spark, path, schema, on_bad=on_bad)
+        if ids != "derive":
+            missing = F.raise_error(F.lit(f"a line of {path} has no prompt_id; pass ids='derive'")).cast(df.schema["prompt_id"].dataType)
+            df = df.withColumn("prompt_id", F.coalesce(F.col("prompt_id"), missing))
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     df = schemas.from_parallel_lists(df) if layout == "parallel" else df
