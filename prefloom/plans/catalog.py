@@ -231,6 +231,20 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return chatml.encode_turns(conv)
 
 
+def _own_system_turns(spark: SparkSession, d: str) -> DataFrame:
+    """All turns: a leading system turn is its conversation's system message."""
+    conv = chatml.drop_leading_nonuser(fx.conversations(spark, d), unknown_role="drop_turn", own_system=True)
+    return chatml.encode_turns(conv)
+
+
+def q_chatml_render_system(spark: SparkSession, d: str) -> DataFrame:
+    return _render_report(chatml.chatml_render(_own_system_turns(spark, d)))
+
+
+def q_turn_prompts_system(spark: SparkSession, d: str) -> DataFrame:
+    return _prompt_report(chatml.turn_prompts(_own_system_turns(spark, d)))
+
+
 def q_drop_leading_nonuser(spark: SparkSession, d: str) -> DataFrame:
     return chatml.drop_leading_nonuser(fx.conversations(spark, d), unknown_role="drop_turn")
 
@@ -239,8 +253,7 @@ def q_conversation_report(spark: SparkSession, d: str) -> DataFrame:
     return chatml.conversation_report(fx.conversations(spark, d))
 
 
-def q_chatml_render(spark: SparkSession, d: str) -> DataFrame:
-    r = chatml.chatml_render(_turns(spark, d))
+def _render_report(r: DataFrame) -> DataFrame:
     return r.select(
         "conv_id",
         "n_turns",
@@ -251,8 +264,11 @@ def q_chatml_render(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def q_turn_prompts(spark: SparkSession, d: str) -> DataFrame:
-    t = chatml.turn_prompts(_turns(spark, d))
+def q_chatml_render(spark: SparkSession, d: str) -> DataFrame:
+    return _render_report(chatml.chatml_render(_turns(spark, d)))
+
+
+def _prompt_report(t: DataFrame) -> DataFrame:
     return t.select(
         "conv_id",
         "turn",
@@ -264,6 +280,10 @@ def q_turn_prompts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_turn_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _prompt_report(chatml.turn_prompts(_turns(spark, d)))
+
+
 def q_turn_answers(spark: SparkSession, d: str) -> DataFrame:
     t = chatml.turn_answers(_turns(spark, d))
     return t.select(
@@ -464,7 +484,9 @@ QUERIES: dict[str, Query] = {
     "conversation_report": q_conversation_report,
     "drop_leading_nonuser": q_drop_leading_nonuser,
     "chatml_render": q_chatml_render,
+    "chatml_render_system": q_chatml_render_system,
     "turn_prompts": q_turn_prompts,
+    "turn_prompts_system": q_turn_prompts_system,
     "turn_answers": q_turn_answers,
     "encode_labels": q_encode_labels,
     "encode_pairs": q_encode_pairs,

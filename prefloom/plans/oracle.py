@@ -276,6 +276,42 @@ turns AS (
 
 SYS_TEXT = q(chatml.system_text())
 
+# a leading system turn is the conversation's own system segment, else the default one
+OWN_SYSTEM = f"""own AS (
+  SELECT conv_id, text AS sys FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM conversations) t
+  WHERE turn = first_turn AND role = 'system'),
+sysseg AS (
+  SELECT conv_id, CASE WHEN sys IS NULL THEN {SYS_TEXT} ELSE '<|im_start|>system' || chr(10) || sys || '<|im_end|>' || chr(10) END AS sys_text,
+    CASE WHEN sys IS NULL THEN {arr(SYS_IDS)} ELSE list_concat({arr([CP_IM_START] + TOK.encode_const('system') + NL)}, {cp_sql('sys')}, {arr(TAIL)}) END AS sys_ids,
+    CASE WHEN sys IS NULL THEN {arr(SYS_LAB)}
+      ELSE list_concat({arr([CP_IM_START])}, {rep_sql(IGNORE_INDEX, f'length(sys) + {len(TOK.encode_const("system")) + 1 + len(NL) + len(TAIL) - 3}')}, {arr(TAIL)}) END AS sys_lab
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN own USING (conv_id))"""
+
+
+def chatml_render_system_sql() -> str:
+    return f"""WITH {TURNS},
+{OWN_SYSTEM},
+r AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  any_value(sys_text) || string_agg(seg_text, '' ORDER BY turn) AS text,
+  list_concat(any_value(sys_ids), flatten(list(ids ORDER BY turn))) AS ids,
+  list_concat(any_value(sys_lab), flatten(list(labels ORDER BY turn))) AS labels
+  FROM turns JOIN sysseg USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, n_turns, text, CAST(len(ids) AS BIGINT) AS n_ids, {digest_sql('ids')} AS ids_md5, {digest_sql('labels')} AS labels_md5 FROM r"""
+
+
+def turn_prompts_system_sql() -> str:
+    w = "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""WITH {TURNS},
+{OWN_SYSTEM},
+r AS (SELECT conv_id, turn, role,
+  sys_text || string_agg(seg_text, '') {w} AS prompt_text,
+  list_concat(sys_ids, flatten(list(ids) {w})) AS ids,
+  list_concat(sys_lab, flatten(list(labels) {w})) AS labels
+  FROM turns JOIN sysseg USING (conv_id))
+SELECT conv_id, turn, prompt_text, CAST(len(ids) AS BIGINT) AS n_ids, {digest_sql('ids')} AS ids_md5, {digest_sql('labels')} AS labels_md5,
+  {digest_sql(_mask_sql('ids'))} AS mask_md5
+FROM r WHERE role = 'user'"""
+
 
 def chatml_render_sql() -> str:
     return f"""WITH {TURNS},
@@ -577,6 +613,8 @@ ORACLE_SQL: dict[str, str] = {
     "drop_leading_nonuser": drop_leading_sql(),
     "chatml_render": chatml_render_sql(),
     "turn_prompts": turn_prompts_sql(),
+    "chatml_render_system": chatml_render_system_sql(),
+    "turn_prompts_system": turn_prompts_system_sql(),
     "turn_answers": turn_answers_sql(),
     "encode_labels": encode_labels_sql(),
     "encode_pairs": encode_pairs_sql(),

@@ -105,3 +105,39 @@ def test_random_conversations_against_model(spark, convs):
         want_a.update({(cid, t + offset): v for t, v in a.items()})
     assert got_p == want_p
     assert got_a == want_a
+
+
+def test_own_system_turn(spark):
+    rows = [
+        (1, 0, "system", "Sei knapp. é😀"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", "r"),
+        (2, 0, "user", "q"), (2, 1, "assistant", "a"),
+        (3, 0, "system", ""), (3, 1, "assistant", "dropped"), (3, 2, "user", "q"),
+        (4, 0, "system", "alone"),
+        (5, 0, "user", "q"), (5, 1, "system", "late"), (5, 2, "user", "r"),
+    ]
+    conv = chatml.drop_leading_nonuser(conv_df(spark, rows), "drop_turn", own_system=True)
+    turns = chatml.encode_turns(conv)
+    messages = {1: "Sei knapp. é😀", 2: chatml.SYSTEM_MESSAGE, 3: "", 5: chatml.SYSTEM_MESSAGE}
+    got = {r.conv_id: r for r in chatml.chatml_render(turns).collect()}
+    assert set(got) == set(messages)
+    for c, message in messages.items():
+        own = [(r, t) for i, _, r, t in rows if i == c and r in ("user", "assistant") and t != "dropped"]
+        ids, labels = chatml.system_segment(system_message=message)
+        for role, text in own:
+            a, b = segment(role, text)
+            ids, labels = ids + a, labels + b
+        assert list(got[c].input_ids) == ids and list(got[c].labels) == labels
+        assert got[c].text.startswith(f"<|im_start|>system\n{message}<|im_end|>\n")
+    prompts = {(r.conv_id, r.turn): r for r in chatml.turn_prompts(turns).collect()}
+    assert set(prompts) == {(1, 1), (1, 3), (2, 0), (3, 2), (5, 0), (5, 2)}
+    for (c, _), r in prompts.items():
+        assert got[c].text.startswith(r.prompt_text) and list(got[c].input_ids)[: len(r.input_ids)] == list(r.input_ids)
+    assert prompts[1, 3].prompt_text == got[1].text
+    dropped = chatml.drop_leading_nonuser(conv_df(spark, rows), "drop_conversation", own_system=True)
+    assert {r.conv_id for r in dropped.collect()} == {1, 2, 3}
+
+
+def test_prompts_are_slices_of_one_array(spark):
+    turns = chatml.encode_turns(chatml.drop_leading_nonuser(fx.conversations(spark, SF001)))
+    plan = chatml.turn_prompts(turns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list(") <= 4 and "slice(input_ids" in plan  # one list a conversation (partial, final), no window of lists
