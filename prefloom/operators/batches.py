@@ -42,6 +42,11 @@ def assign_batches(
     return ranked.select(*keys, "batch").join(widths, "batch")
 
 
+def with_lengths(encoded: DataFrame) -> DataFrame:
+    """Encoded pairs with the length of each side, so that a stored table is ranked without reading its arrays."""
+    return encoded.withColumns({f"{s}_len": F.size(f"{s}_input_ids") for s in SIDES})
+
+
 def pad_batches(
     encoded: DataFrame,
     *,
@@ -53,10 +58,18 @@ def pad_batches(
     mask_padding_value: int = 0,
     prefix_digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """Padded rows with `batch` and the batch's widths.  Keys must be unique and not null."""
-    lengths = encoded.select(*keys, *[F.size(f"{s}_input_ids").alias(f"{s}_len") for s in SIDES])
+    """Padded rows with `batch` and the batch's widths.  Keys must be unique and not null.
+
+    The arrays are shuffled at most once, to meet their batch numbers, and never
+    sorted: the narrow side is the one that is hashed.  Lengths stored by
+    `with_lengths` are used where they are there, and left out of the result.
+    """
+    stored = {f"{s}_len" for s in SIDES} <= set(encoded.columns)
+    lengths = encoded.select(*keys, *[f"{s}_len" for s in SIDES]) if stored else with_lengths(encoded).select(*keys, *[f"{s}_len" for s in SIDES])
     require_unique_keys(lengths, keys)
-    x = encoded.join(assign_batches(lengths, batch_size=batch_size, keys=keys, seed=seed, prefix_digits=prefix_digits), list(keys))
+    encoded = encoded.drop(*[f"{s}_len" for s in SIDES]) if stored else encoded
+    assigned = assign_batches(lengths, batch_size=batch_size, keys=keys, seed=seed, prefix_digits=prefix_digits)
+    x = encoded.join(assigned.hint("shuffle_hash"), list(keys))
     cols = []
     for side in SIDES:
         width = F.col(f"{side}_width")

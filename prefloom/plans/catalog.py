@@ -369,7 +369,7 @@ PAD_BATCH_SIZE = 8
 
 def padded_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Batches of the encoded pairs as the job stores them: ranking reads the table, not the encoder, again."""
-    return batches.pad_batches(_stored(spark, _encoded(spark, d), "encoded"), batch_size=PAD_BATCH_SIZE)
+    return batches.pad_batches(_stored(spark, batches.with_lengths(_encoded(spark, d)), "encoded"), batch_size=PAD_BATCH_SIZE)
 
 
 def q_pad_batches(spark: SparkSession, d: str) -> DataFrame:
