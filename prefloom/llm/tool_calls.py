@@ -9,6 +9,8 @@ canonical JSON (sorted keys, no blanks, shortest numbers).
 from __future__ import annotations
 
 import json
+import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,29 +38,52 @@ def _no_constant(name: str):
 
 
 def parse_json(text: str):
-    """The value, or ValueError: NaN, infinities and repeated keys are errors."""
+    """The value, or ValueError: NaN, infinities and repeated keys are errors, and so is nesting that the parser cannot follow."""
+    sys.set_int_max_str_digits(0)  # integers of any length
     try:
         return json.loads(text, object_pairs_hook=_unique, parse_constant=_no_constant)
     except RecursionError as e:
         raise ValueError("nested too deeply") from e
 
 
-def canonical(value) -> str:
-    """JSON with keys sorted by code point, no blanks and integral floats written as integers."""
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def encodable(text: str) -> str:
+    """Lone surrogates, which JSON can name but UTF-8 cannot hold, as their escapes."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
-    def plain(x):
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        if isinstance(x, list):
-            return [plain(v) for v in x]
-        if isinstance(x, float):
-            if x != x or x in (float("inf"), float("-inf")):
-                raise ValueError("number out of range")
-            if x == int(x) and abs(x) < 1e15:
-                return int(x)
-        return x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+class _Text(str):
+    """Text that is written as it is."""
+
+
+def canonical(value) -> str:
+    """JSON with keys sorted by code point, no blanks, integral floats as integers and lone surrogates escaped."""
+    sys.set_int_max_str_digits(0)
+    out, stack = [], [value]  # a stack of its own: nesting may be deep
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _Text):
+            out.append(x)
+        elif isinstance(x, dict):
+            parts = [_Text("{")]
+            for i, k in enumerate(sorted(x)):
+                parts += [_Text("," * (i > 0) + json.dumps(k, ensure_ascii=False) + ":"), x[k]]
+            stack += reversed([*parts, _Text("}")])
+        elif isinstance(x, list):
+            parts = [_Text("[")]
+            for i, v in enumerate(x):
+                parts += [_Text(",")] * (i > 0) + [v]
+            stack += reversed([*parts, _Text("]")])
+        else:
+            if isinstance(x, float):
+                if x != x or x in (float("inf"), float("-inf")):
+                    raise ValueError("number out of range")
+                if x == int(x) and abs(x) < 1e15:
+                    x = int(x)
+            out.append(json.dumps(x, ensure_ascii=False))
+    return encodable("".join(out))
 
 
 TYPES = {
@@ -77,25 +102,33 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
 
     A reference {"$ref": id} stands for another call's result and fits any type.
     """
+    out, stack = [], [(value, schema, path)]
+    while stack:
+        value, schema, path = stack.pop()
+        found, parts = _breaks(value, schema, path)
+        out += found
+        stack += reversed(parts)
+    return out
+
+
+def _breaks(value, schema: dict, path: str) -> tuple[list[str], list[tuple]]:
+    """What a value itself breaks, and its parts with their schemas and paths."""
     if isinstance(value, dict) and set(value) == {REFERENCE} and isinstance(value[REFERENCE], str):
-        return []
+        return [], []
     kind = schema.get("type")
     if kind and not any(TYPES[k](value) for k in ([kind] if isinstance(kind, str) else kind)):
-        return [f"{path}: not {kind if isinstance(kind, str) else ' or '.join(kind)}"]
-    out = []
+        return [f"{path}: not {kind if isinstance(kind, str) else ' or '.join(kind)}"], []
+    out, parts = [], []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{path}: not in enum")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
         if schema.get("additionalProperties") is False:
-            out += [f"{path}.{k}: unknown" for k in sorted(value) if k not in known]
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{path}.{k}")
+            out += [f"{path}.{encodable(k)}: unknown" for k in sorted(value) if k not in known]
+        parts = [(value[k], known[k], f"{path}.{k}") for k in sorted(value) if k in known]
     elif isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{path}[{i}]")
+        parts = [(v, schema["items"], f"{path}[{i}]") for i, v in enumerate(value)]
     elif isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
             out.append(f"{path}: too short")
@@ -106,7 +139,7 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
             out.append(f"{path}: below minimum")
         if value > schema.get("maximum", value):
             out.append(f"{path}: above maximum")
-    return out
+    return out, parts
 
 
 def references(value) -> list[str]:
@@ -117,7 +150,7 @@ def references(value) -> list[str]:
         x = stack.pop()
         if isinstance(x, dict):
             if set(x) == {REFERENCE} and isinstance(x[REFERENCE], str):
-                out[x[REFERENCE]] = None
+                out[encodable(x[REFERENCE])] = None
             else:
                 stack.extend(reversed(list(x.values())))
         elif isinstance(x, list):

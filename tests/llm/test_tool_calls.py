@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from prefloom.llm import tool_calls as tc
@@ -110,3 +111,21 @@ def test_schema_size_is_checked(spark):
     c, r = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
     with pytest.raises(ValueError, match="larger"):
         tc.link_calls(c, r, {"t": {"enum": ["x" * (17 << 20)]}})
+
+
+def test_deep_surrogate_and_long_arguments_do_not_fail(spark):
+    deep = '{"query":' + "[" * 1500 + "]" * 1500 + ',"limit":1}'
+    rows = [(1, 0, "a", "search", deep), (1, 1, "b", "search", '{"query":"\\ud800","limit":1,"\\udfff":2}'), (1, 2, "c", "search", '{"query":"x","limit":' + "7" * 5000 + "}")]
+    schemas = {"search": {"type": "object", "properties": {"query": {"type": ["string", "array"]}, "limit": {"type": "integer"}}, "additionalProperties": False}}
+    names, args = pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows])
+    out = [b.to_pydict() for b in tc._checker(schemas)(iter([pa.RecordBatch.from_arrays([names, args], ["name", "arguments"])]))]
+    text = str(out)
+    assert "[" * 1500 + "]" * 1500 in text and "7" * 5000 in text and "ud800" in text and "unknown" in text
+    assert "not JSON" not in text
+    assert tc.parse_json(tc.canonical(tc.parse_json(rows[1][4]))) == tc.parse_json(rows[1][4])
+
+
+def test_canonical_equals_the_library_on_flat_values():
+    for v in ({"b": [1, 2.0, {"a": None}], "a": "é\n"}, [], {}, [[], {}], "x", 1.5, True):
+        want = json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).replace("2.0", "2")
+        assert tc.canonical(v) == want
