@@ -1,18 +1,21 @@
 """Fuzzy line dedup by MinHash over character shingles, with DataFrame functions only.
 
 1. Each distinct line's shingles are exploded and hashed (generated code, no
-   lambda).  A hash's low part names one of `rows * bands` bins, and a partial
-   aggregation keeps the least value per bin and line: one-permutation
-   MinHash.  The same aggregation collapses equal lines and finds the first
-   document of each.
-2. Bands of bins meet in a shuffle on the band hash.  Each bucket's hub is
-   its most frequent line; every member is verified against it by the exact
-   Jaccard similarity of the shingle sets.
-3. Members that fail against their hub are compared with every member of a
-   small bucket.  A larger one is regrouped by the rarest shingles of its
-   members (an exact prefix filter: similar lines share one of them), and
-   every pair of a group whose ends are not linked yet is verified.
-4. Connected components of the verified links; the line of the least document
+   lambda).  A hash's low part names a bin, and a partial aggregation keeps
+   the least value per bin and line: one-permutation MinHash.  The same
+   aggregation collapses equal lines and finds the first document of each.
+2. A band takes five of the 21 bins, by a perfect difference set: any two
+   bands share one bin, so 21 bins serve 16 bands.  Five rows keep lines apart
+   that share some common shingles only, whatever their number.
+3. Bands meet in a shuffle on the band hash.  Each bucket's hub is its most
+   frequent line; every member is verified against it by the exact Jaccard
+   similarity of the shingle sets.
+4. The members of buckets where some fail against their hub are grouped by
+   their prefixes, the shingles that are rarest among all of them: similar
+   lines share a shingle of their prefixes.  A pair is formed only where its
+   ends are not linked yet, and the sizes and the places of the shared shingle
+   leave room for the threshold.
+5. Connected components of the verified links; the line of the least document
    id stays, all others go.
 """
 
@@ -26,10 +29,12 @@ from prefloom.llm.common import connected_components, remove, settle, written
 
 SHINGLE = 8
 THRESHOLD = 0.8
-ROWS, BANDS = 3, 6  # a pair at 0.8 meets with probability 0.987, at 0.85 with 0.997
+ROWS, BANDS = 5, 16  # a pair at 0.8 meets with probability 0.975, at 0.85 with 0.994, at 0.4 with 0.14, at 0.1 with 0.0002
+# perfect difference sets: fixed values, a set of r numbers for r * (r - 1) + 1 bins
+DIFFERENCES = {3: (0, 1, 3), 4: (0, 1, 3, 9), 5: (0, 1, 4, 14, 16), 6: (1, 5, 11, 24, 25, 27)}
 PER_BIN = 5  # hashes kept per bin and line; an empty bin (1 in 150) borrows from the next
 ALWAYS = 16  # first shingles of a line kept whatever their hash, for long lines of few different ones
-SMALL_BUCKET = 32  # up to this size all pairs with a failed member are compared
+SMALL_BUCKET = 32  # members of a larger group are first compared with its least one
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -44,9 +49,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
-def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """h1, h2, first_doc, last_doc, id, bands array<long>: a row for each different line."""
-    bins = rows * bands
+def bins_of(rows: int, bands: int) -> list[list[int]]:
+    """The bins of each band: the difference set moved on by the band's number."""
+    bins = rows * (rows - 1) + 1
+    if rows not in DIFFERENCES or not 0 < bands <= bins:
+        raise ValueError(f"{rows} rows allow 1 to {bins} bands, for rows of {sorted(DIFFERENCES)}")
+    return [[(d + j) % bins for d in DIFFERENCES[rows]] for j in range(bands)]
+
+
+def minima(lines: DataFrame, shingle: int, rows: int) -> DataFrame:
+    """h1, h2, first_doc, last_doc, id, m array<int>: a row for each different line, with the least value of each bin."""
+    bins = rows * (rows - 1) + 1
     wide = lines.select("doc", "h1", "h2", F.encode("line", "UTF-16BE").alias("b"))
     wide = wide.withColumn("n", F.expr(f"greatest(length(b) div 2 - {shingle - 1}, 1)"))
     one = wide.select("doc", "h1", "h2", "n", "b", F.expr("explode(sequence(0, n - 1))").alias("i"))
@@ -62,11 +75,20 @@ def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFra
     rare = F.lit(15) - F.least(F.floor(F.log2("times")), F.lit(15))
     line_id = F.shiftleft(rare.cast("long"), 59).bitwiseOR(F.shiftrightunsigned("h1", 5))
     sig = sig.select("h1", "h2", "first_doc", "last_doc", line_id.alias("id"), a.alias("m"))
-    # an empty bin borrows from the bins after it, in a circle
-    bands_of = [
-        F.expr(f"xxhash64({j}, slice(array_remove(concat(slice(m, {j * rows + 1}, {bins}), m), -1), 1, {rows}))") for j in range(bands)
-    ]
-    return sig.select("h1", "h2", "first_doc", "last_doc", "id", F.array(*bands_of).alias("bands"))
+    # an empty bin borrows from the next that is not, in a circle (short lines only)
+    borrowed = f"transform(sequence(1, {bins}), k -> array_remove(slice(concat(m, m), k, {bins}), -1)[0])"
+    return sig.withColumn("m", F.expr(f"if(array_contains(m, -1), {borrowed}, m)"))
+
+
+def bands_of(m: str, rows: int, bands: int) -> Column:
+    """The band hashes of a column of minima."""
+    each = [f"xxhash64({j}, {', '.join(f'{m}[{k}]' for k in places)})" for j, places in enumerate(bins_of(rows, bands))]
+    return F.expr(f"array({', '.join(each)})")
+
+
+def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
+    """h1, h2, first_doc, last_doc, id, bands array<long>: a row for each different line."""
+    return minima(lines, shingle, rows).withColumn("m", bands_of("m", rows, bands)).withColumnRenamed("m", "bands")
 
 
 def grams(c: str, shingle: int) -> Column:
@@ -92,47 +114,60 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float
 
 
 def _prefixes(members: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(band, id, similar) -> the same with n, s: each member's prefix, the rarest of its n shingles in the bucket.
+    """(id, failed) -> the same with n, s, place: each line's prefix, the rarest of its n shingles among all members.
 
     Sets of n shingles that reach the threshold share at least threshold * n,
     so in any one order of the shingles they share one of the first
     n - ceil(threshold * n) + 1.  Shingles of one member only join nothing.
     """
-    sets = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", F.array_distinct(grams("line", shingle)).alias("x"))
-    one = sets.select("id", F.size("x").alias("n"), F.explode("x").alias("x")).select("id", "n", F.xxhash64("x").alias("s"))
-    placed = members.join(one, "id")
-    often = placed.groupBy("band", "s").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("band", "id").orderBy("df", "s")
-    ranked = placed.join(often, ["band", "s"]).withColumn("place", F.row_number().over(order))
+    sets = texts.join(members, "id").select("id", "failed", F.array_distinct(grams("line", shingle)).alias("x"))
+    one = sets.select("id", "failed", F.size("x").alias("n"), F.explode("x").alias("x")).select("id", "failed", "n", F.xxhash64("x").alias("s"))
+    one = written(one, "line-shingles")
+    often = one.groupBy("s").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "s")
+    ranked = one.join(often, "s").withColumn("place", F.row_number().over(order))
     first = ranked.filter((F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-6) + 1) & (F.col("df") > 1))
-    return first.select("band", "s", "id", "n", "similar")
+    out = written(first.select("s", "id", "n", "place", "failed"), "line-prefixes")
+    remove(texts.sparkSession, one)
+    settle(texts.sparkSession)
+    return out
+
+
+def _room(a: str, b: str, threshold: float) -> Column:
+    """Whether two sets with a shingle in common at these places can reach the threshold.
+
+    In one order of all shingles, what follows the first common one is all
+    they can share; later common ones leave less room, so a similar pair
+    passes at its first.
+    """
+    rest = F.least(F.col(f"n{a}") - F.col(f"place{a}"), F.col(f"n{b}") - F.col(f"place{b}")) + 1
+    return rest >= (F.col(f"n{a}") + F.col(f"n{b}")) * (threshold / (1 + threshold)) - 1e-6
 
 
 def _regrouped_links(members: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """a, b: links that join, with `links`, all similar members of the buckets whose hub some fail against.
+    """a, b: links that join, with `links`, every failed member with all members similar to it.
 
     A group of more than SMALL_BUCKET members is first compared with its least
-    one, so that its near copies are linked; then all pairs of a group with a
-    failed member and two unlinked ends are verified.
+    one, so that its near copies are linked; then the pairs of a group with a
+    failed member, two unlinked ends and room for the threshold are verified.
     """
     spark = texts.sparkSession
-    prefix = written(_prefixes(members, texts, shingle, threshold), "line-prefixes")
-    settle(spark)
-    groups = prefix.groupBy("band", "s").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.min("similar").alias("all_similar"))
-    groups = groups.filter("m > 1 and not all_similar")
-    large = prefix.join(groups.filter(F.col("m") > SMALL_BUCKET), ["band", "s"]).filter("id <> least")
-    star = large.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    prefix = _prefixes(members, texts, shingle, threshold)
+    groups = prefix.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "place")).alias("least")).filter(F.col("m") > SMALL_BUCKET)
+    groups = groups.select("s", F.col("least.id").alias("b"), F.col("least.n").alias("nb"), F.col("least.place").alias("placeb"))
+    star = prefix.select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("placea")).join(groups, "s")
+    star = star.filter((F.col("a") != F.col("b")) & _room("a", "b", threshold)).select("a", "b").distinct()
     near = written(_verified(star, texts, shingle, threshold).filter("similar").select("a", "b"), "line-group-links")
-    known = links.unionByName(near)
-    comps = connected_components(known, "line-known").withColumnRenamed("node", "id")
-    side = prefix.join(groups.select("band", "s"), ["band", "s"], "left_semi").join(comps, "id", "left")
-    side = written(side.select("band", "s", "id", "n", "similar", F.coalesce("root", "id").alias("root")), "line-group-members")
+    comps = connected_components(links.unionByName(near), "line-known").withColumnRenamed("node", "id")
+    side = prefix.join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    side = written(side, "line-group-members")
     settle(spark)
-    left = side.filter("not similar").select("band", "s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = side.select("band", "s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    size = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
-    pairs = left.join(right, ["band", "s"]).filter("ra <> rb").filter(size)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    open_groups = side.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("failed").alias("any")).filter("r1 <> r2 and any")
+    side = side.join(open_groups.select("s"), "s", "left_semi")
+    left = side.filter("failed").select("s", *[F.col(c).alias(c + "a") for c in ("id", "n", "place", "root")])
+    right = side.select("s", *[F.col(c).alias(c + "b") for c in ("id", "n", "place", "root", "failed")])
+    pairs = left.join(right, "s").filter(F.expr("roota <> rootb and (not failedb or ida > idb)") & _room("a", "b", threshold))
+    pairs = pairs.select(F.greatest("ida", "idb").alias("a"), F.least("ida", "idb").alias("b")).distinct()
     found = _verified(pairs, texts, shingle, threshold).filter("similar").select("a", "b")
     out = written(near.unionByName(found), "line-regrouped")
     for t in (prefix, near, side):
@@ -158,31 +193,31 @@ def line_verdicts(
     """
     spark = docs.sparkSession
     lines = line_table(docs, id_col, text_col)
-    sig = written(signatures(lines, shingle, rows, bands), "line-signatures")
+    sig = written(minima(lines, shingle, rows), "line-signatures")
     settle(spark)
-    member = sig.select("id", F.explode("bands").alias("band"))
+    member = sig.select("id", F.explode(bands_of("m", rows, bands)).alias("band"))
     hubs = member.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("m")).filter("hub <> other")
-    buckets = written(member.join(hubs.drop("other"), "band").filter("id <> hub"), "line-buckets")
+    hubs = written(hubs, "line-hubs")
+    settle(spark)
+    buckets = written(member.join(hubs.filter("m > 2").select("band", "hub"), "band").filter("id <> hub"), "line-buckets")
     settle(spark)
-    star = written(buckets.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line-star")
+    two = hubs.filter("m = 2").select(F.col("other").alias("a"), F.col("hub").alias("b"))
+    star = written(two.unionByName(buckets.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct(), "line-star")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     # equal lines stand in many documents: the first one's copy is enough
     first = sig.join(wanted, "id", "left_semi").select("h1", "h2", F.col("first_doc").alias("doc"), "id")
     texts = written(lines.join(first, ["doc", "h1", "h2"]).select("id", "line"), "line-texts")
     settle(spark)
     checked = written(_verified(star, texts, shingle, threshold), "line-checked")
+    links = checked.filter("similar").select("a", "b")
+    # the two of a bucket have met; in a larger one the members that fail may resemble each other
     failed = checked.filter("not similar").select(F.col("a").alias("id"), F.col("b").alias("hub"))
-    failed = written(buckets.join(failed, ["id", "hub"]).select("band", "id", "m"), "line-failed")
-    few = failed.filter(F.col("m") <= SMALL_BUCKET).select("band", F.col("id").alias("a"))
-    rest = few.join(buckets.select("band", F.col("id").alias("b")), "band").filter("a <> b")
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = checked.unionByName(_verified(rest, texts, shingle, threshold)).filter("similar").select("a", "b")
-    links = written(links, "line-links")
-    settle(spark)
-    hot = failed.filter(F.col("m") > SMALL_BUCKET).select("band").distinct()
-    tested = checked.select(F.col("a").alias("id"), F.col("b").alias("hub"), "similar")
-    members = buckets.filter(F.col("m") > SMALL_BUCKET).join(hot, "band", "left_semi").join(tested, ["id", "hub"]).select("band", "id", "similar")
+    seen = buckets.join(failed.withColumn("failed", F.lit(True)), ["id", "hub"], "left").select("band", "id", F.coalesce("failed", F.lit(False)).alias("failed"))
+    seen = written(seen, "line-seen")
+    hot = seen.filter("failed").groupBy("band").agg(F.count("*").alias("m"))
+    members = seen.join(hot.select("band"), "band", "left_semi").groupBy("id").agg(F.max("failed").alias("failed"))
     members = written(members, "line-hot-members")
+    settle(spark)
     regrouped = _regrouped_links(members, texts, links, shingle, threshold)
     comps = connected_components(links.unionByName(regrouped), "line-components").withColumnRenamed("node", "id")
     comps = sig.select("h1", "h2", "first_doc", "id").join(comps, "id")
@@ -192,7 +227,7 @@ def line_verdicts(
     repeated = sig.filter("first_doc <> last_doc").select("h1", "h2", F.col("first_doc").alias("keep_doc"))
     similar = written(similar, "line-similar")
     out = written(similar.unionByName(repeated.join(similar.select("h1", "h2"), ["h1", "h2"], "left_anti")), "line-verdicts")
-    for t in (buckets, star, texts, checked, failed, links, members, regrouped, similar):
+    for t in (hubs, buckets, star, seen, texts, checked, members, regrouped, similar):
         remove(spark, t)
     settle(spark)
     return out
