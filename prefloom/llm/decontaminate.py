@@ -1,27 +1,31 @@
 """Benchmark decontamination: hash set of test n-grams, token-window scan, exact verification.
 
 The benchmark's windows (10 consecutive words; all words of a shorter item)
-are the broadcast side.  Their total size is checked: windows beyond
-`max_broadcast_bytes` are split into blocks of items, each block is scanned
-for separately and the hits of a document are merged by its id.  Every
-document is read whole, once per block.
+are the broadcast side.  The size of what is broadcast, the serialised index,
+is checked: a benchmark whose index would be larger is split into blocks of
+items, one block is indexed, broadcast, scanned for and dropped at a time, and
+the hits are merged by a number given to every document row.  The result is
+the same with one block or many.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.llm.common import written
 from prefloom.llm.words import Words, blocks, mix
 
 WINDOW = 10
 MAX_BROADCAST_BYTES = 64 << 20
+INDEX_GROWTH = 16  # bytes of serialised index for a byte of text, about: the first guess of the number of blocks
 _BITS = 20
 HITS = "n_words long, n_hit long, spans array<struct<start:int,stop:int>>, items array<string>"
 
@@ -71,9 +75,9 @@ def _gram(hashes: np.ndarray) -> int:
     return int(mix(g)[0])
 
 
-def _scanner(index_bytes, id_col: str, text_col: str, schema: pa.Schema):
+def _scanner(shared, id_col: str, text_col: str, schema: pa.Schema):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pickle.loads(index_bytes.value)
+        index = shared.value  # a Python worker reads it once
         for batch in batches:
             ids, texts = batch.column(id_col), batch.column(text_col)
             for lo, hi, data, offs in blocks(texts):
@@ -103,18 +107,75 @@ def _scanner(index_bytes, id_col: str, text_col: str, schema: pa.Schema):
     return scan
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks of whole items, each below `max_bytes` of text.
-
-    The sizes are summed on Spark first; a benchmark within the bound is
-    fetched at once, a larger one block by block.
+def _halves(items: list[tuple[str, str]], window: int) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """The items in two parts; a single item is cut so that each window is whole in one of them."""
+    if len(items) > 1:
+        return items[: len(items) // 2], items[len(items) // 2 :]
+    raw = items[0][1].encode()
+    w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    if len(w) <= window:
+        return items, []
+    cut = (len(w) + window) // 2  # the words before it, and the last window - 1 of them with the rest
+    return [(items[0][0], raw[: w.end[cut - 1]].decode())], [(items[0][0], raw[w.start[cut - window + 1] :].decode())]
+
+
+def _indexed(items: list[tuple[str, str]], window: int, max_bytes: int) -> Iterator[WindowIndex]:
+    index = WindowIndex(items, window)
+    if len(pickle.dumps(index)) > max_bytes:
+        left, right = _halves(items, window)
+        if right:
+            del index
+            yield from _indexed(left, window, max_bytes)
+            yield from _indexed(right, window, max_bytes)
+            return
+    yield index
+
+
+def benchmark_indexes(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int) -> Iterator[WindowIndex]:
+    """Indexes of the benchmark's items, each below `max_bytes` when serialised.
+
+    The texts' size is summed on Spark first and gives the number of blocks; a
+    block is fetched when its index is asked for, and halved while that is
+    too large (a single window is the least there is).
     """
     b = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("i is not null")
     total = b.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
-    n = int(total // max_bytes) + 1
-    if n == 1:
-        return [[(r.i, r.t) for r in b.toLocalIterator()]]
-    return [[(r.i, r.t) for r in b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()] for k in range(n)]
+    n = int(total * INDEX_GROWTH // max_bytes) + 1
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    for k in [0] if n == 1 else sorted(r.k for r in b.select(block.alias("k")).distinct().toLocalIterator()):
+        items = [(r.i, r.t) for r in b.filter(block == k).toLocalIterator()]
+        yield from _indexed(items, window, max_bytes)
+
+
+def _one_or_more(indexes: Iterator[WindowIndex]) -> tuple[WindowIndex | None, Iterator[WindowIndex]]:
+    """The only index, or None and all of them."""
+    first = next(indexes, None) or WindowIndex([])
+    second = next(indexes, None)
+    return (first, iter(())) if second is None else (None, chain([first, second], indexes))
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _hits_of_blocks(keyed: DataFrame, indexes: Iterator[WindowIndex]) -> DataFrame:
+    """(key, t) -> key, n_words, n_hit, spans, items: a row for each row, the hits of all blocks merged.
+
+    `keyed` must be a written table.  One index at a time is in the driver and broadcast.
+    """
+    spark = keyed.sparkSession
+    schema = f"key long, {HITS}"
+    parts: list[DataFrame] = []
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
+        part = keyed.select("key", "t").mapInArrow(_scanner(shared, "key", "t", _arrow(schema)), schema)
+        parts.append(written(part.filter("n_hit > 0") if parts else part, "block-hits"))
+        shared.destroy()
+        del index, shared
+    return _merge(reduce(DataFrame.unionByName, parts))
 
 
 def find_contamination(
@@ -132,45 +193,36 @@ def find_contamination(
     A null text or item text has no words; an item without words has no
     window; a null item id is skipped; equal windows of several items count
     for each; an empty benchmark hits nothing.  Repeated document rows each
-    give a row (rows of one id share their merged hits if the benchmark needs
-    several blocks).  Further columns of either table are ignored.
+    give a row.  Further columns of either table are ignored.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    kind = d.schema["id"].dataType
-    schema = f"id {kind.simpleString()}, {HITS}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    parts = []
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, max_broadcast_bytes):
-        shared = spark.sparkContext.broadcast(pickle.dumps(WindowIndex(items, window)))
-        parts.append(d.mapInArrow(_scanner(shared, "id", "t", arrow), schema))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _merge(out).withColumnRenamed("id", id_col)
+    only, indexes = _one_or_more(benchmark_indexes(benchmark, item_col, item_text_col, window, max_broadcast_bytes))
+    if only is not None:
+        schema = f"id {d.schema['id'].dataType.simpleString()}, {HITS}"
+        shared = spark.sparkContext.broadcast(only)
+        return d.mapInArrow(_scanner(shared, "id", "t", _arrow(schema)), schema).withColumnRenamed("id", id_col)
+    keyed = written(d.withColumn("key", F.monotonically_increasing_id()), "documents-with-key")
+    hits = _hits_of_blocks(keyed, indexes)
+    return keyed.select("key", F.col("id").alias(id_col)).join(hits, "key").drop("key")
 
 
 def _merge(hits: DataFrame) -> DataFrame:
-    """Union of the word ranges and items that several blocks found for a document."""
-    g = hits.groupBy("id", "n_words").agg(
+    """Union of the word ranges and items that several blocks found for a row."""
+    g = hits.groupBy("key").agg(
+        F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     joined = F.expr(
-        "aggregate(s, array(), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).stop >= x.start,"
+        "aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (acc, x) ->"
+        " if(size(acc) > 0 and element_at(acc, -1).stop >= x.start,"
         " concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start,"
-        " greatest(element_at(acc, -1).stop, x.stop) as stop))), concat(acc, array(x))))".replace(
-            "array(), ", "cast(array() as array<struct<start:int,stop:int>>), "
-        )
+        " greatest(element_at(acc, -1).stop, x.stop) as stop))), concat(acc, array(x))))"
     )
     g = g.withColumn("spans", joined)
     n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + (x.stop - x.start))")
-    return g.select("id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return g.select("key", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -220,26 +272,26 @@ def remove_contamination(
     `max_share` of its words are hit.  Columns stay as they are.
 
     One narrow pass when the benchmark fits one block; otherwise the merged
-    spans are joined back by id.  A document without words is kept.
+    spans are joined back by a row number.  A document without words is kept.
     """
     cols = docs.columns
-    index = benchmark_blocks(benchmark, "item_id", "text", max_broadcast_bytes)
-    if len(index) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(WindowIndex(index[0])))
-        ids = docs.mapInArrow(_cleaner(shared, text_col, max_share), docs.schema)
-        return ids.select(*cols)
-    found = find_contamination(docs, benchmark, id_col, text_col, max_broadcast_bytes=max_broadcast_bytes)
-    bad = found.filter("n_hit > 0").groupBy(F.col(id_col).alias("id")).agg(F.first("n_words").alias("n"), F.first("n_hit").alias("hit"), F.first("spans").alias("spans"))
+    spark = docs.sparkSession
+    only, indexes = _one_or_more(benchmark_indexes(benchmark, "item_id", "text", WINDOW, max_broadcast_bytes))
+    if only is not None:
+        shared = spark.sparkContext.broadcast(only)
+        return docs.mapInArrow(_cleaner(shared, text_col, max_share), docs.schema).select(*cols)
     row = F.col("row")
-    out = docs.select(F.struct(*cols).alias("row")).join(bad, row.getField(id_col) == F.col("id"), "left")
-    out = out.filter(F.col("hit").isNull() | (F.col("hit") <= F.col("n") * max_share))
-    text = _word_cutter()(row.getField(text_col), "spans")
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*cols).alias("row"), F.col(text_col).alias("t"))
+    keyed = written(keyed, "documents-with-key")
+    found = _hits_of_blocks(keyed, indexes).select("key", F.col("n_words").alias("n"), F.col("n_hit").alias("hit"), "spans")
+    out = keyed.select("key", "row").join(found, "key").filter(F.col("hit") <= F.col("n") * max_share)
+    text = F.when(F.col("hit") > 0, _word_cutter()(row.getField(text_col), "spans")).otherwise(row.getField(text_col))
     return out.select(*[text.alias(c) if c == text_col else row.getField(c).alias(c) for c in cols])
 
 
-def _cleaner(index_bytes, text_col: str, max_share: float):
+def _cleaner(shared, text_col: str, max_share: float):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pickle.loads(index_bytes.value)
+        index = shared.value  # a Python worker reads it once
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for lo, hi, data, offs in blocks(batch.column(at)):

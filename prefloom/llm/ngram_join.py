@@ -37,6 +37,17 @@ _MUL = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=U) * U(2) + U(1)
 _ADD = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=U)
 
 
+def class_keys(w: Words) -> np.ndarray:
+    """Two hashes of each text's word sequence, with each word's place; 0 for a text without words."""
+    has = np.flatnonzero(w.count() > 0)
+    keys = np.zeros((2, w.n_texts), np.int64)
+    if len(has):
+        place = (np.arange(len(w)) - w.first[:-1][w.doc]).astype(U)
+        for s in range(2):
+            keys[s, has] = mix(np.add.reduceat(mix(w.hash ^ mix(place + U(s + 1))), w.first[:-1][has])).view(np.int64)
+    return keys
+
+
 def _signer(n: int, rows: int, bands: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,13 +57,9 @@ def _signer(n: int, rows: int, bands: int):
                 g, doc = shingles(w, n)
                 has = np.flatnonzero(count > 0)
                 first = np.searchsorted(doc, has)
-                # the class key: a hash of the word sequence, with each word's place
-                place = (np.arange(len(w)) - w.first[:-1][w.doc]).astype(U) if len(w) else np.zeros(0, U)
-                keys = np.zeros((2, hi - lo), np.int64)
+                keys = class_keys(w)
                 sig = np.zeros((rows * bands, len(has)), U)
                 if len(has):
-                    for s in range(2):
-                        keys[s, has] = mix(np.add.reduceat(mix(w.hash ^ mix(place + U(s + 1))), w.first[:-1][has])).view(np.int64)
                     for k in range(rows * bands):
                         sig[k] = np.minimum.reduceat(g * _MUL[k] + _ADD[k], first)
                 band = np.zeros((len(has), bands), np.int64)
@@ -78,14 +85,27 @@ def _signer(n: int, rows: int, bands: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(comp, blocks, rep, weight, t) -> the same with the sorted n-gram set as binary."""
+    """(comp, n_blocks, k, weight, c1, c2, t) -> comp, n_blocks, k, weight and the sorted n-gram set as binary.
+
+    Rows that only share the elected row's id have another class key and go;
+    of repeated rows, which the join leaves side by side, the first counts.
+    """
+    last = None
     for batch in batches:
         for lo, hi, data, offs in blocks(batch.column("t")):
-            g, doc = shingles(Words(data, offs), n)
+            w = Words(data, offs)
+            part = batch.slice(lo, hi - lo)
+            same = (class_keys(w) == np.stack([part.column(c).to_numpy() for c in ("c1", "c2")])).all(axis=0)
+            chosen = []
+            for i, k in enumerate(part.column("k").to_pylist()):
+                if same[i] and k != last:
+                    chosen.append(i)
+                    last = k
+            g, doc = shingles(w, n)
             first = np.searchsorted(doc, np.arange(hi - lo + 1))
-            sets = [np.unique(g[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            cols = [batch.column(c).slice(lo, hi - lo) for c in ("comp", "n_blocks", "rep", "weight")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["comp", "n_blocks", "rep", "weight", "grams"])
+            sets = [np.unique(g[first[i] : first[i + 1]]).tobytes() for i in chosen]
+            cols = [part.column(c).take(pa.array(chosen, pa.int64())) for c in ("comp", "n_blocks", "k", "weight")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["comp", "n_blocks", "k", "weight", "grams"])
 
 
 class _Forest:
@@ -153,7 +173,7 @@ def links_within(sets: list[np.ndarray], left: np.ndarray | None, threshold: flo
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, weights, sets, side = None, [], [], [], []
+        key, ids, weights, sets, side, seen = None, [], [], [], [], set()
 
         def done() -> pa.RecordBatch | None:
             if len(ids) < 2:
@@ -175,14 +195,17 @@ def _verify(threshold: float):
             )
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("comp", "x", "y", "block", "rep", "weight")]
+            cols = [batch.column(c).to_pylist() for c in ("comp", "x", "y", "block", "k", "weight")]
             grams = batch.column("grams")
-            for r, (comp, x, y, block, rep, weight) in enumerate(zip(*cols, strict=True)):
+            for r, (comp, x, y, block, k, weight) in enumerate(zip(*cols, strict=True)):
                 if (comp, x, y) != key:
                     if (out := done()) is not None:
                         yield out
-                    key, ids, weights, sets, side = (comp, x, y), [], [], [], []
-                ids.append(rep)
+                    key, ids, weights, sets, side, seen = (comp, x, y), [], [], [], [], set()
+                if k in seen:
+                    continue
+                seen.add(k)
+                ids.append(k)
                 weights.append(weight)
                 sets.append(np.frombuffer(grams[r].as_buffer(), U).copy())
                 side.append(block == x)
@@ -212,28 +235,29 @@ def ngram_join(
     `n_links` counts the other rows whose n-gram sets reach the threshold,
     equal texts included.  A text of fewer than n words has one n-gram, all
     its words; a text without words (null, empty) links to none and is a class
-    of its own.  Ids should be unique integers; rows that share an id share
-    its class and count as copies.  A null id gets class null.  Further
-    columns are ignored.
+    of its own.  Ids should be unique integers.  Repeated rows count as rows
+    each; rows that share an id but not the text are rows like any others,
+    each with its own links, and their id may then name several classes.  A
+    null id gets class null and counts for no other.  Further columns are
+    ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     spark = docs.sparkSession
     signed = written(d.mapInArrow(_signer(n, rows, bands), "id long, c1 long, c2 long, n_words long, bands array<long>"), "signed")
-    classes = written(
-        signed.filter("n_words > 0 and id is not null").groupBy("c1", "c2").agg(
-            F.min("id").alias("rep"), F.count("*").alias("size"), F.max("n_words").alias("n_words"), F.first("bands").alias("bands")
-        ),
-        "classes",
+    classes = signed.filter("n_words > 0 and id is not null").groupBy("c1", "c2").agg(
+        F.min("id").alias("rep"), F.count("*").alias("size"), F.max("n_words").alias("n_words"), F.first("bands").alias("bands")
     )
+    # k numbers the classes; it is written once, so every later step sees the same numbers
+    classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
     settle(spark)
     links = _verified_links(d, classes, n, threshold, block_shingles)
-    roots = connected_components(links.select("a", "b"), "classes-of-links")
-    total = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("others"))
-    result = (
-        classes.select("c1", "c2", "rep", "size")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(total, "rep", "left")
-        .select("c1", "c2", F.coalesce("root", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    roots = connected_components(links.select("a", "b"), "classes-of-links").withColumnRenamed("node", "k")
+    total = links.groupBy(F.col("a").alias("k")).agg(F.sum("n_links").alias("others"))
+    placed = classes.select("c1", "c2", "k", "rep", "size").join(roots, "k", "left").join(total, "k", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "k"))
+    names = roots.join(classes.select("k", "rep"), "k").groupBy("root").agg(F.min("rep").alias("least"))
+    result = placed.join(names, "root", "left").select(
+        "c1", "c2", F.coalesce("least", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
     )
     result = written(result, "class-table")
     for t in (classes, links):
@@ -247,21 +271,20 @@ def ngram_join(
 def _verified_links(d: DataFrame, classes: DataFrame, n: int, threshold: float, block_shingles: int) -> DataFrame:
     """a, b, n_links: each class with links in a group, the least class it reaches there, and the rows it links to."""
     spark = d.sparkSession
-    member = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = member.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("band", "hub")
+    member = classes.select("k", F.explode("bands").alias("band"))
+    hubs = member.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("band", "hub")
     # both sides of this join and the next grow with the documents: the same plan at every size
-    star = member.join(hubs.hint("merge"), "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    comps = connected_components(star, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("root", "comp")
+    star = member.join(hubs.hint("merge"), "band").filter("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b"))
+    comps = connected_components(star, "candidates").withColumnRenamed("node", "k").withColumnRenamed("root", "comp")
     settle(spark)
-    comps = written(comps.join(classes.select("rep", "size", "n_words"), "rep"), "candidates")
+    comps = written(comps.join(classes.select("k", "c1", "c2", "rep", "size", "n_words"), "k"), "candidates")
     sizes = comps.groupBy("comp").agg(block_count(block_shingles).alias("n_blocks"))
-    wanted = written(comps.join(sizes, "comp").select("comp", "n_blocks", "rep", F.col("size").alias("weight")), "wanted")
-    # rows that share an id: the first of them stands for it
-    texts = d.join(wanted.hint("merge"), d.id == wanted.rep).select("comp", "n_blocks", "rep", "weight", "t")
-    sets = texts.mapInArrow(lambda b: _sets(b, n), "comp long, n_blocks int, rep long, weight long, grams binary")
-    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
+    wanted = written(comps.join(sizes, "comp").select("comp", "n_blocks", "k", "c1", "c2", "rep", F.col("size").alias("weight")), "wanted")
+    texts = d.join(wanted.hint("merge"), d.id == wanted.rep).select("comp", "n_blocks", "k", "weight", "c1", "c2", "t")
+    sets = texts.mapInArrow(lambda b: _sets(b, n), "comp long, n_blocks int, k long, weight long, grams binary")
+    block = F.pmod(F.xxhash64("k"), F.col("n_blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "weight", "grams")
+    dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "k", "weight", "grams")
     grouped = dealt.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
     links = written(grouped.mapInArrow(_verify(threshold), "a long, b long, n_links long"), "links")
     for t in (comps, wanted):
