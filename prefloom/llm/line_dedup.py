@@ -199,7 +199,9 @@ def line_verdicts(
     hubs = member.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("m")).filter("hub <> other")
     hubs = written(hubs, "line-hubs")
     settle(spark)
-    buckets = written(member.join(hubs.filter("m > 2").select("band", "hub"), "band").filter("id <> hub"), "line-buckets")
+    # a table of their own shows Spark how small they are: it broadcasts them below its threshold, or shuffles both sides
+    larger = written(hubs.filter("m > 2").select("band", "hub"), "line-larger-hubs")
+    buckets = written(member.join(larger, "band").filter("id <> hub"), "line-buckets")
     settle(spark)
     two = hubs.filter("m = 2").select(F.col("other").alias("a"), F.col("hub").alias("b"))
     star = written(two.unionByName(buckets.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct(), "line-star")
@@ -227,7 +229,7 @@ def line_verdicts(
     repeated = sig.filter("first_doc <> last_doc").select("h1", "h2", F.col("first_doc").alias("keep_doc"))
     similar = written(similar, "line-similar")
     out = written(similar.unionByName(repeated.join(similar.select("h1", "h2"), ["h1", "h2"], "left_anti")), "line-verdicts")
-    for t in (hubs, buckets, star, seen, texts, checked, members, regrouped, similar):
+    for t in (hubs, larger, buckets, star, seen, texts, checked, members, regrouped, similar):
         remove(spark, t)
     settle(spark)
     return out
