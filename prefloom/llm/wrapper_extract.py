@@ -1,19 +1,19 @@
 """HTML extraction by wrapper induction: pages of a host aligned by simple tree matching.
 
-1. Each host's exemplar is its page of the least id.  Pages of a host with the
-   same texts in the same order are copies and count once.  Every different
-   page of the host is parsed and its tree is aligned with the exemplar's by
-   simple tree matching; partial sums count, per exemplar node, the pages that
-   match it and those that have its very text there.
+1. Pages of a host with about the same class attributes share a layout, whose
+   exemplar is its page of the least id.  Pages of a layout with the same texts
+   in the same order are copies and count once.  Every different page is parsed
+   and its tree is aligned with the exemplar's by simple tree matching; partial
+   sums count, per exemplar node, the pages that have its very text there.
 2. A node that most pages share with equal text is template; nodes whose text
    varies are slots.
 3. A second pass aligns each page again, drops the template and what is
    boilerplate by its element or class (menus, adverts, forms ...), and joins
    the remaining blocks.
 
-Pages are shuffled once, to find the different ones.  Exemplars and templates,
-one small row per host, are written tables that Spark broadcasts below its size
-threshold and joins by a skew-aware sort-merge join beyond it.
+Only keys of pages are grouped, written and joined back (narrow tables, as are
+exemplars and templates, one small row per layout): Spark broadcasts those
+below its size threshold and joins them by a skew-aware sort-merge join beyond it.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import hashlib
 import html as html_lib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from prefloom.llm.common import remove, written
 
 TEMPLATE_SHARE = 0.5  # of a host's different pages with equal text at a node
 TEMPLATE_PAGES = 3  # at the least
+MATCH_CELLS = 1 << 20  # of the dynamic programme's table held at once
+HELD_SHAPES = 1 << 20  # shapes and their children a task keeps before it starts anew
 
 # fixed values: element names and class words
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,12 +67,12 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element or, with tag "#", a run of text."""
 
-    __slots__ = ("tag", "label", "kids", "text", "dropped", "size", "id")
+    __slots__ = ("tag", "label", "kids", "text", "dropped", "size", "id", "shape", "content")
 
     def __init__(self, tag: str, label: str = "", text: str = "", dropped: bool = False):
         self.tag, self.label, self.text, self.dropped = tag, label or tag, text, dropped
         self.kids: list[Node] = []
-        self.size, self.id = 1, -1
+        self.size, self.id, self.shape, self.content = 1, -1, -1, 0
 
 
 def _element(tag: str, attributes: str) -> Node:
@@ -188,59 +191,166 @@ def from_skeleton(s: list) -> Node:
 
 
 def own_text(x: Node) -> str:
-    """A short key of a text run (empty for elements)."""
+    """A short key of a text run (empty for elements; an exemplar's nodes hold it as their text)."""
     if x.tag != "#":
-        return ""
+        return "" if x.tag else x.text
     t = SPACE.sub(" ", x.text).strip()
     return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if t else ""
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+class Shapes:
+    """Interned tree shapes and the sizes of their largest matches.
+
+    Equal subtrees (labels and order, not texts) are one shape, so a match is
+    computed once for two shapes, however many nodes have them.
+    """
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+        self.held = 0
+
+    def add(self, root: Node) -> None:
+        """Give every node its shape and a key of its subtree's shape and texts."""
+        order, stack = [], [root]
+        while stack:
+            x = stack.pop()
+            order.append(x)
+            stack.extend(x.kids)
+        for x in reversed(order):
+            kids = tuple([k.shape for k in x.kids])
+            i = self.ids.get((x.label, kids))
+            if i is None:
+                i = self.ids[x.label, kids] = len(self.label)
+                self.label.append(x.label)
+                self.kids.append(kids)
+                self.size.append(1 + sum(self.size[k] for k in kids))
+                self.held += 1 + len(kids)
+            x.shape = i
+            x.content = hash((i, own_text(x), *[k.content for k in x.kids]))
+
+    def score(self, s: int, t: int) -> int:
+        """The size of a largest match of two shapes whose roots are matched; 0 where the labels differ."""
+        if s == t:
+            return self.size[s]
+        if self.label[s] != self.label[t]:
+            return 0
+        stack = [(s, t)]
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in self.scores:
+                stack.pop()
+                continue
+            lo, i, j = _ends(self.kids[x], self.kids[y])
+            p, q = self.kids[x][lo:i], self.kids[y][lo:j]
+            todo = [(u, v) for u in set(p) for v in set(q) if u != v and self.label[u] == self.label[v] and (u, v) not in self.scores] if p and q else []
+            if todo:
+                stack.extend(todo)
+                continue
+            n = 1 + sum(self.size[k] for k in self.kids[x][:lo]) + sum(self.size[k] for k in self.kids[x][i:])
+            if len(p) == 1 == len(q):
+                n += self._known(p[0], q[0])
+            elif p and q:
+                n += int(_sweep(*self.weights(p, q))[-1])
+            self.scores[x, y] = n
+            stack.pop()
+        return self.scores[s, t]
+
+    def _known(self, u: int, v: int) -> int:
+        return self.size[u] if u == v else self.scores[u, v] if self.label[u] == self.label[v] else 0
+
+    def weights(self, p: Sequence[int], q: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both lists as indexes of their different shapes, and the scores between those."""
+        u, v = list(dict.fromkeys(p)), list(dict.fromkeys(q))
+        at_u, at_v = {x: i for i, x in enumerate(u)}, {x: i for i, x in enumerate(v)}
+        w = np.array([[self._known(x, y) for y in v] for x in u], dtype=np.int64)
+        return np.array([at_u[x] for x in p]), np.array([at_v[x] for x in q]), w
+
+
+def _ends(p: Sequence[int], q: Sequence[int], lo: int = 0, i: int | None = None, j: int | None = None) -> tuple[int, int, int]:
+    """Equal first and last items: p[:lo] = q[:lo], p[i:] = q[j:].
+
+    A subtree that equals its counterpart scores its whole size, the most that either can
+    have, so some largest match pairs the two.
+    """
+    i, j = len(p) if i is None else i, len(q) if j is None else j
+    while lo < i and lo < j and p[lo] == q[lo]:
+        lo += 1
+    while i > lo and j > lo and p[i - 1] == q[j - 1]:
+        i, j = i - 1, j - 1
+    return lo, i, j
+
+
+def _sweep(p: np.ndarray, q: np.ndarray, w: np.ndarray, rows: list[np.ndarray] | None = None) -> np.ndarray:
+    """The best order-keeping matches of all of p with each beginning of q, row by row of the dynamic programme."""
+    f = np.zeros(len(q) + 1, dtype=np.int64)
+    for i in p:
+        g = f.copy()
+        np.maximum(f[1:], f[:-1] + w[i][q], out=g[1:])
+        f = np.maximum.accumulate(g)
+        if rows is not None:
+            rows.append(f)
+    return f
+
+
+def _matched(p: np.ndarray, q: np.ndarray, w: np.ndarray) -> list[tuple[int, int]]:
+    """The places that a best match of two lists pairs; long lists are halved, so memory stays bounded."""
+    m, n = len(p), len(q)
+    if not m or not n:
+        return []
+    if m > 1 and m * n > MATCH_CELLS:
+        half = m // 2
+        k = int(np.argmax(_sweep(p[:half], q, w) + _sweep(p[half:][::-1], q[::-1], w)[::-1]))
+        return _matched(p[:half], q[:k], w) + [(half + i, k + j) for i, j in _matched(p[half:], q[k:], w)]
+    rows = [np.zeros(n + 1, dtype=np.int64)]
+    _sweep(p, q, w, rows)
+    out, i, j = [], m, n
+    while i and j:
+        here = rows[i][j]
+        if here == rows[i - 1][j]:
+            i -= 1
+        elif here == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
     """Simple tree matching: the pairs of a largest top-down, order-keeping match of two trees.
 
-    Equal labels at the ends of two child lists are paired first; only the
-    middle is left to the dynamic programme, whose cells are the sizes of
-    what two children can share at most (all of the smaller subtree).
+    Scores come from the children upwards; the pairs are then read off from the root down.
+    Of equally large matches one that pairs equal texts at the ends of child lists is taken.
     """
+    if shapes is None:
+        shapes = Shapes()
+        shapes.add(a), shapes.add(b)
     pairs, stack = [], [(a, b)] if a.label == b.label else []
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
-        p, q = x.kids, y.kids
-        lo, i, j = 0, len(p), len(q)
-        while lo < i and lo < j and p[lo].label == q[lo].label:
-            stack.append((p[lo], q[lo]))
-            lo += 1
-        while i > lo and j > lo and p[i - 1].label == q[j - 1].label:
-            i, j = i - 1, j - 1
-            stack.append((p[i], q[j]))
-        if lo < i and lo < j:
-            stack.extend(_middle(p[lo:i], q[lo:j]))
+        if x.content == y.content or not x.kids or not y.kids:
+            stack.extend(zip(x.kids, y.kids, strict=False))
+            continue
+        lo, i, j = _ends([k.content for k in x.kids], [k.content for k in y.kids])
+        p, q = [k.shape for k in x.kids], [k.shape for k in y.kids]
+        lo, i, j = _ends(p, q, lo, i, j)
+        stack.extend(zip(x.kids[:lo], y.kids[:lo], strict=True))
+        stack.extend(zip(x.kids[i:], y.kids[j:], strict=True))
+        p, q = p[lo:i], q[lo:j]
+        if not p or not q:
+            continue
+        for u in set(p):
+            for v in set(q):
+                shapes.score(u, v)
+        stack.extend((x.kids[lo + u], y.kids[lo + v]) for u, v in _matched(*shapes.weights(p, q)))
     return pairs
 
 
-def _middle(p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
-    m, n = len(p), len(q)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(n - 1, -1, -1):
-            w = max(below[j], row[j + 1])
-            if p[i].label == q[j].label:
-                w = max(w, below[j + 1] + min(p[i].size, q[j].size))
-            row[j] = w
-    out, i, j = [], 0, 0
-    while i < m and j < n:
-        if p[i].label == q[j].label and best[i][j] == best[i + 1][j + 1] + min(p[i].size, q[j].size):
-            out.append((p[i], q[j]))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks in page order joined by two newlines.
 
@@ -305,29 +415,48 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+def layout_of(html: Column) -> Column:
+    """A key of the page's layout: the two least hashes of its class attributes (0 without any).
+
+    Two pages share it with about the squared Jaccard similarity of their classes, so pages
+    that differ by an optional part mostly share one, pages of another kind mostly do not.
+    """
+    classes = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\sclass\s*=\s*["']?([^"'>]*)"""), 1))
+    least = F.slice(F.array_sort(F.transform(classes, lambda c: F.xxhash64(c))), 1, 2)
+    return F.when(F.size(least) > 0, F.xxhash64(least)).otherwise(F.lit(0).cast("long"))
+
+
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees = []
-        for t in batch.column("html").to_pylist():
+        keep, trees = [], []
+        for i, (t, key) in enumerate(zip(batch.column("html").to_pylist(), batch.column("key").to_pylist(), strict=True)):
             root = parse(t or "")
+            if text_key(root) != key:
+                continue  # another row of the same id
             number(root)
+            keep.append(i)
             trees.append(json.dumps(skeleton(root), separators=(",", ":")))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], names=["host", "tree"])
+        rows = pa.array(keep, pa.int64())
+        cols = [batch.column(c).take(rows) for c in ("host", "layout")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(trees, pa.string())], names=["host", "layout", "tree"])
 
 
-class _Hosts:
-    """Exemplar trees of the hosts that a task has just met."""
+class _Exemplars:
+    """Exemplar trees of the layouts that a task has just met, and the shapes it has seen."""
 
     def __init__(self, most: int = 256):
-        self.most, self.trees = most, {}
+        self.most, self.trees, self.shapes = most, {}, Shapes()
 
-    def get(self, host: str, tree: str) -> Node:
-        x = self.trees.get(host)
+    def align(self, layout: tuple[str, int], tree: str, page: Node) -> list[tuple[Node, Node]]:
+        if len(self.trees) >= self.most or self.shapes.held + len(self.shapes.scores) > HELD_SHAPES:
+            self.trees.clear()
+            self.shapes = Shapes()
+        x = self.trees.get(layout)
         if x is None:
-            if len(self.trees) >= self.most:
-                self.trees.clear()
-            x = self.trees[host] = from_skeleton(json.loads(tree))
-        return x
+            x = self.trees[layout] = from_skeleton(json.loads(tree))
+            self.shapes.add(x)
+        self.shapes.add(page)
+        return align(x, page, self.shapes)
 
 
 def text_key(root: Node) -> bytes:
@@ -344,69 +473,67 @@ def text_key(root: Node) -> bytes:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [text_key(parse(t or "")) for t in batch.column("html").to_pylist()]
-        cols = [batch.column(c) for c in ("host", "page_id", "html")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary())], names=["host", "page_id", "html", "key"])
+        cols = [batch.column(c) for c in ("host", "layout", "page_id")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary())], names=["host", "layout", "page_id", "key"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, node, n_match, n_equal: sums over each batch of pages."""
-    hosts = _Hosts()
+    """host, layout, times, node, n_equal: sums over each batch of pages."""
+    exemplars = _Exemplars()
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        for host, tree, page in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "html")), strict=True):
+        sums: dict[tuple[str, int, int, int], int] = {}
+        names = ("host", "layout", "times", "tree", "key", "html")
+        for host, layout, times, tree, key, page in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             root = parse(page or "")
-            number(root)
-            sums.setdefault((host, 0), [0, 0])
-            for x, y in align(hosts.get(host, tree), root):
-                if y.tag == "#" and x.text or x.id == 0:
-                    s = sums.setdefault((host, x.id), [0, 0])
-                    s[0] += 1
-                    s[1] += x.id > 0 and x.text == own_text(y)
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([sums[k][0] for k in keys], pa.int64()),
-                pa.array([sums[k][1] for k in keys], pa.int64()),
-            ],
-            names=["host", "node", "n_match", "n_equal"],
-        )
+            if text_key(root) != key:
+                continue  # another row of the same id
+            for x, y in exemplars.align((host, layout), tree, root):
+                if y.tag == "#" and x.text and x.text == own_text(y):
+                    sums[host, layout, times, x.id] = sums.get((host, layout, times, x.id), 0) + 1
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+        cols = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(sums.values()), pa.int64())], names=["host", "layout", "times", "node", "n_equal"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hosts = _Hosts()
+    exemplars = _Exemplars()
+    names = ("host", "layout", "tree", "nodes", "html")
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part, texts = batch.slice(lo, 256), []
-            for host, tree, nodes, page in zip(*(part.column(c).to_pylist() for c in ("host", "tree", "nodes", "html")), strict=True):
+            for host, layout, tree, nodes, page in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                 root = parse(page or "")
                 number(root)
                 template: set[int] = set()
                 if nodes:
                     fixed = set(nodes)
-                    template = {y.id for x, y in align(hosts.get(host, tree), root) if x.id in fixed and x.text == own_text(y)}
+                    template = {y.id for x, y in exemplars.align((host, layout), tree, root) if x.id in fixed and x.text == own_text(y)}
                 texts.append(main_text(root, template))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def host_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
-    """host, tree (the exemplar's skeleton as JSON), nodes (ids of its template text)."""
+def layout_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
+    """host, layout, tree (the exemplar's skeleton as JSON), nodes (ids of its template text)."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    keyed = pages.select("host", "page_id", "html").mapInArrow(_keyed, f"host string, page_id {kind}, html string, key binary")
-    one = keyed.groupBy("host", "key").agg(F.min(F.struct("page_id", "html")).alias("page"))
-    pages = different = written(one.select("host", "page.page_id", "page.html"), "different-pages")
-    first = written(pages.groupBy("host").agg(F.min("page_id").alias("page_id")), "first-pages")
-    exemplars = pages.join(first, ["host", "page_id"], "left_semi").select("host", "html").dropDuplicates(["host"])
-    trees = written(exemplars.mapInArrow(_skeletons, "host string, tree string"), "exemplars")
-    counted = pages.join(trees, "host").select("host", "tree", "html").mapInArrow(_count, "host string, node int, n_match long, n_equal long")
-    sums = counted.groupBy("host", "node").agg(F.sum("n_match").alias("n_match"), F.sum("n_equal").alias("n_equal"))
-    sums = written(sums, "node-counts")
-    totals = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    fixed = sums.filter("node > 0").join(totals, "host").filter((F.col("n_equal") >= least) & (F.col("n_equal") >= share * F.col("n_pages")))
-    nodes = fixed.groupBy("host").agg(F.collect_list("node").alias("nodes"))
-    out = written(trees.join(nodes, "host", "left"), "templates")
-    remove(pages.sparkSession, different)
+    keyed = pages.select("host", "layout", "page_id", "html").mapInArrow(_keyed, f"host string, layout long, page_id {kind}, key binary")
+    rows = keyed.groupBy("host", "layout", "key", "page_id").agg(F.count("*").alias("times"))
+    one = rows.groupBy("host", "layout", "key").agg(F.min(F.struct("page_id", "times")).alias("page"))
+    different = written(one.select("host", "layout", "key", "page.*"), "different-pages")
+    # equal rows of the page that stands for its copies each count, so sums are divided by `times`
+    first = different.groupBy("host", "layout").agg(F.min(F.struct("page_id", "key")).alias("page")).select("host", "layout", "page.*")
+    exemplars = pages.join(first, ["host", "layout", "page_id"]).select("host", "layout", "key", "html")
+    trees = exemplars.mapInArrow(_skeletons, "host string, layout long, tree string").dropDuplicates(["host", "layout"])
+    trees = written(trees, "exemplars")
+    joined = pages.join(different, ["host", "layout", "page_id"]).join(trees, ["host", "layout"])
+    counted = joined.select("host", "layout", "times", "tree", "key", "html").mapInArrow(_count, "host string, layout long, times long, node int, n_equal long")
+    sums = counted.groupBy("host", "layout", "times", "node").agg((F.sum("n_equal") / F.col("times")).cast("long").alias("n_equal"))
+    sums = written(sums.groupBy("host", "layout", "node").agg(F.sum("n_equal").alias("n_equal")), "node-counts")
+    totals = different.groupBy("host", "layout").agg(F.count("*").alias("n_pages"))
+    fixed = sums.join(totals, ["host", "layout"]).filter((F.col("n_equal") >= least) & (F.col("n_equal") >= share * F.col("n_pages")))
+    nodes = fixed.groupBy("host", "layout").agg(F.collect_list("node").alias("nodes"))
+    out = written(trees.join(nodes, ["host", "layout"]), "templates")
+    for table in (different, trees, sums):
+        remove(pages.sparkSession, table)
     return out
 
 
@@ -417,9 +544,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host, belongs to the host "".  Equal rows each give a row; further
     columns are ignored.
     """
-    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    templates = host_templates(p.filter("page_id is not null"))
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    p = p.select("*", host_of(F.col("url")).alias("host"), layout_of(F.col("html")).alias("layout"))
+    templates = layout_templates(p.filter("page_id is not null"))
     kind = p.schema["page_id"].dataType.simpleString()
-    joined = p.join(templates, "host", "left").select("page_id", "url", "host", "tree", "nodes", "html")
+    joined = p.join(templates, ["host", "layout"], "left").select("page_id", "url", "host", "layout", "tree", "nodes", "html")
     out = joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

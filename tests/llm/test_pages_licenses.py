@@ -85,6 +85,80 @@ def test_alignment_is_a_largest_match():
     assert pairs.count(("p", "p")) == 2 and ("div", "div") in pairs and all(x == y for x, y in pairs)
 
 
+def largest(a, b):
+    """The size of a largest match by the plain recursion, all pairs of children."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + largest(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_alignment_against_plain_recursion(monkeypatch):
+    two, one = "<div><p>a</p><p>b</p><p>c</p></div>", "<div><ul><li>x</ul></div>"
+    a, b = we.parse(f"<div>{one}{two}</div>"), we.parse(f"<div>{two}</div>")
+    assert len(we.align(a, b)) == largest(a, b) == 9  # not the two nodes that pairing the first children gives
+    r = np.random.default_rng(5)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return f"t{r.integers(3)}" if r.random() < 0.5 else ""
+        tag = ["div", "section", "b"][r.integers(3)]
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.integers(0, 5))) + f"</{tag}>"
+
+    shapes = we.Shapes()
+    for cells in (1 << 20, 4):  # whole tables, and halves
+        monkeypatch.setattr(we, "MATCH_CELLS", cells)
+        for _ in range(120):
+            a, b = (we.parse("".join(tree(4) for _ in range(4))) for _ in range(2))
+            we.number(a), we.number(b), shapes.add(a), shapes.add(b)
+            pairs = we.align(a, b, shapes)
+            assert len(pairs) == largest(a, b) == shapes.score(a.shape, b.shape)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+            assert sorted(pairs, key=lambda z: z[0].id) == sorted(pairs, key=lambda z: z[1].id)
+            assert all(x.label == y.label for x, y in pairs)
+
+
+def test_long_lists_are_aligned():
+    a = we.parse("<p>x</p>" * 3000 + "<div>end</div>")
+    b = we.parse("".join("<p>y</p>" if i % 3 else "<p><b>z</b></p>" for i in range(3000)) + "<div>end</div>")
+    assert len(we.align(a, b)) == 1 + 3000 + 2000 + 2
+
+
+def test_template_without_names_or_equal_lengths(spark):
+    """No classes, no telling elements: what is constant goes, wherever a page's own paragraphs push it."""
+
+    def page(i):
+        own = "".join(f"<p>Page {i} paragraph {k}</p>" for k in range(1 + i % 4))
+        extra = "<div><b>Now and then</b></div>" if i % 3 == 0 else ""
+        return f"<body><div><p>Motto of the site</p>{extra}</div><div>{own}<p>Write to the editor</p></div></body>"
+
+    rows = [(i, f"http://plain.org/{i}", page(i)) for i in range(12)] + [(3, "http://plain.org/3", page(3))]
+    got = {r.page_id: r.text.split("\n\n") for r in we.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        own = [f"Page {i} paragraph {k}" for k in range(1 + i % 4)]
+        assert [x for x in got[i] if x != "Now and then"] == own
+
+
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    """Two kinds of pages on one host, the smaller a quarter: each learns its own constant text."""
+
+    def story(i):
+        return f'<body><div class="s1"><p class="s2">Our stories</p><div class="s3"><p>Story {i}</p></div></div></body>'
+
+    def shop(i):
+        return f'<body><table class="t1"><tr><td class="t2">All prices are final</td><td class="t3">Item {i}</td></tr></table></body>'
+
+    rows = [(i, "http://two.org/", story(i)) for i in range(15)] + [(100 + i, "http://two.org/", shop(i)) for i in range(5)]
+    rows += [(7, "http://two.org/", story(7)), (7, "http://two.org/", shop(70))]  # a repeated row, an id with two texts
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in we.extract_pages(df).collect())
+    want = [(i, f"Story {i}") for i in range(15)] + [(100 + i, f"Item {i}") for i in range(5)] + [(7, "Story 7"), (7, "Item 70")]
+    assert got == sorted(want)
+
+
 def test_license_held_out():
     r = np.random.default_rng(11)
     filler = [f"word{i}" for i in range(300)] + ["the", "of", "and", "version", "license", "public", "rights"]
