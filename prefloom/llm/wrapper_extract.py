@@ -23,6 +23,7 @@ import html as html_lib
 import json
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,21 +62,22 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SPACE = re.compile(r"\s+")
 
 
 class Node:
     """An element or, with tag "#", a run of text."""
 
-    __slots__ = ("tag", "label", "kids", "text", "dropped", "size", "id", "shape", "content")
+    __slots__ = ("tag", "label", "kids", "text", "dropped", "size", "id", "shape", "content", "key")
 
     def __init__(self, tag: str, label: str = "", text: str = "", dropped: bool = False):
         self.tag, self.label, self.text, self.dropped = tag, label or tag, text, dropped
         self.kids: list[Node] = []
         self.size, self.id, self.shape, self.content = 1, -1, -1, 0
+        self.key: str | None = None
 
 
-def _element(tag: str, attributes: str) -> Node:
+def _traits(tag: str, attributes: str) -> tuple[str, bool]:
+    """An element's label (name and class or id) and whether it is boilerplate by its name, class or role."""
     label, dropped = tag, tag in DROPPED
     if attributes and "=" in attributes:
         a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -86,6 +88,14 @@ def _element(tag: str, attributes: str) -> Node:
         dropped |= a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "hidden" in a
     elif attributes and "hidden" in attributes.split():
         dropped = True
+    return label, dropped
+
+
+_short_traits = lru_cache(maxsize=4096)(_traits)
+
+
+def _element(tag: str, attributes: str) -> Node:
+    label, dropped = (_short_traits if len(attributes) <= 200 else _traits)(tag, attributes)
     return Node(tag, label, dropped=dropped)
 
 
@@ -192,10 +202,13 @@ def from_skeleton(s: list) -> Node:
 
 def own_text(x: Node) -> str:
     """A short key of a text run (empty for elements; an exemplar's nodes hold it as their text)."""
-    if x.tag != "#":
-        return "" if x.tag else x.text
-    t = SPACE.sub(" ", x.text).strip()
-    return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if t else ""
+    if x.key is None:
+        if x.tag != "#":
+            x.key = "" if x.tag else x.text
+        else:
+            t = " ".join(x.text.split())
+            x.key = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if t else ""
+    return x.key
 
 
 class Shapes:
@@ -211,6 +224,7 @@ class Shapes:
         self.kids: list[tuple[int, ...]] = []
         self.size: list[int] = []
         self.scores: dict[tuple[int, int], int] = {}
+        self.traces: dict[tuple[int, int, int, int], list[tuple[int, int]]] = {}
         self.held = 0
 
     def add(self, root: Node) -> None:
@@ -269,6 +283,25 @@ class Shapes:
         w = np.array([[self._known(x, y) for y in v] for x in u], dtype=np.int64)
         return np.array([at_u[x] for x in p]), np.array([at_v[x] for x in q]), w
 
+    def trace(self, s: int, t: int, first: int, last: int) -> list[tuple[int, int]]:
+        """The places of children that a largest match pairs, between `first` and `last` of them paired already."""
+        key = (s, t, first, last)
+        out = self.traces.get(key)
+        if out is None:
+            p, q = self.kids[s], self.kids[t]
+            top, bottom = len(p) - last, len(q) - last
+            lo, i, j = _ends(p, q, first, top, bottom)
+            out = [(k, k) for k in range(first, lo)] + list(zip(range(i, top), range(j, bottom), strict=True))
+            p, q = p[lo:i], q[lo:j]
+            if p and q:
+                for u in set(p):
+                    for v in set(q):
+                        self.score(u, v)
+                out += [(lo + u, lo + v) for u, v in _matched(*self.weights(p, q))]
+            self.traces[key] = out
+            self.held += 1 + len(out)
+        return out
+
 
 def _ends(p: Sequence[int], q: Sequence[int], lo: int = 0, i: int | None = None, j: int | None = None) -> tuple[int, int, int]:
     """Equal first and last items: p[:lo] = q[:lo], p[i:] = q[j:].
@@ -333,21 +366,21 @@ def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, No
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
-        if x.content == y.content or not x.kids or not y.kids:
-            stack.extend(zip(x.kids, y.kids, strict=False))
+        p, q = x.kids, y.kids
+        if x.shape == y.shape:
+            stack.extend(zip(p, q, strict=True))
             continue
-        lo, i, j = _ends([k.content for k in x.kids], [k.content for k in y.kids])
-        p, q = [k.shape for k in x.kids], [k.shape for k in y.kids]
-        lo, i, j = _ends(p, q, lo, i, j)
-        stack.extend(zip(x.kids[:lo], y.kids[:lo], strict=True))
-        stack.extend(zip(x.kids[i:], y.kids[j:], strict=True))
-        p, q = p[lo:i], q[lo:j]
-        if not p or not q:
+        lo, i, j = 0, len(p), len(q)
+        if not i or not j:
             continue
-        for u in set(p):
-            for v in set(q):
-                shapes.score(u, v)
-        stack.extend((x.kids[lo + u], y.kids[lo + v]) for u, v in _matched(*shapes.weights(p, q)))
+        while lo < i and lo < j and p[lo].content == q[lo].content:
+            lo += 1
+        while i > lo and j > lo and p[i - 1].content == q[j - 1].content:
+            i, j = i - 1, j - 1
+        stack.extend(zip(p[:lo], q[:lo], strict=True))
+        stack.extend(zip(p[i:], q[j:], strict=True))
+        if lo < i and lo < j:
+            stack.extend((p[u], q[v]) for u, v in shapes.trace(x.shape, y.shape, lo, len(p) - i))
     return pairs
 
 
@@ -368,7 +401,7 @@ def main_text(root: Node, template: set[int]) -> str:
     run: list[str] = []
 
     def flush() -> None:
-        t = SPACE.sub(" ", "".join(run)).strip()
+        t = " ".join("".join(run).split())
         if t:
             blocks.append(t)
         run.clear()
@@ -428,17 +461,8 @@ def layout_of(html: Column) -> Column:
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, trees = [], []
-        for i, (t, key) in enumerate(zip(batch.column("html").to_pylist(), batch.column("key").to_pylist(), strict=True)):
-            root = parse(t or "")
-            if text_key(root) != key:
-                continue  # another row of the same id
-            number(root)
-            keep.append(i)
-            trees.append(json.dumps(skeleton(root), separators=(",", ":")))
-        rows = pa.array(keep, pa.int64())
-        cols = [batch.column(c).take(rows) for c in ("host", "layout")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(trees, pa.string())], names=["host", "layout", "tree"])
+        trees = [json.dumps(skeleton(parse(t or "")), separators=(",", ":")) for t in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(trees, pa.string())], names=["host", "layout", "tree"])
 
 
 class _Exemplars:
@@ -464,8 +488,8 @@ def text_key(root: Node) -> bytes:
     key, stack = hashlib.blake2b(digest_size=16), [root]
     while stack:
         x = stack.pop()
-        if x.tag == "#" and (t := SPACE.sub(" ", x.text).strip()):
-            key.update(t.encode("utf-8", "surrogatepass") + b"\n")
+        if x.tag == "#" and (t := own_text(x)):
+            key.update(t.encode())
         stack.extend(reversed(x.kids))
     return key.digest()
 
@@ -473,8 +497,8 @@ def text_key(root: Node) -> bytes:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [text_key(parse(t or "")) for t in batch.column("html").to_pylist()]
-        cols = [batch.column(c) for c in ("host", "layout", "page_id")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary())], names=["host", "layout", "page_id", "key"])
+        names = ["host", "layout", "page_id", "raw"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keys, pa.binary())], names=[*names, "key"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,12 +506,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     exemplars = _Exemplars()
     for batch in batches:
         sums: dict[tuple[str, int, int, int], int] = {}
-        names = ("host", "layout", "times", "tree", "key", "html")
-        for host, layout, times, tree, key, page in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            root = parse(page or "")
-            if text_key(root) != key:
-                continue  # another row of the same id
-            for x, y in exemplars.align((host, layout), tree, root):
+        names = ("host", "layout", "times", "tree", "html")
+        for host, layout, times, tree, page in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for x, y in exemplars.align((host, layout), tree, parse(page or "")):
                 if y.tag == "#" and x.text and x.text == own_text(y):
                     sums[host, layout, times, x.id] = sums.get((host, layout, times, x.id), 0) + 1
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
@@ -515,17 +536,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def layout_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """host, layout, tree (the exemplar's skeleton as JSON), nodes (ids of its template text)."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    keyed = pages.select("host", "layout", "page_id", "html").mapInArrow(_keyed, f"host string, layout long, page_id {kind}, key binary")
-    rows = keyed.groupBy("host", "layout", "key", "page_id").agg(F.count("*").alias("times"))
-    one = rows.groupBy("host", "layout", "key").agg(F.min(F.struct("page_id", "times")).alias("page"))
-    different = written(one.select("host", "layout", "key", "page.*"), "different-pages")
-    # equal rows of the page that stands for its copies each count, so sums are divided by `times`
-    first = different.groupBy("host", "layout").agg(F.min(F.struct("page_id", "key")).alias("page")).select("host", "layout", "page.*")
-    exemplars = pages.join(first, ["host", "layout", "page_id"]).select("host", "layout", "key", "html")
+    row = ["host", "layout", "page_id", "raw"]  # tells the rows of a repeated id apart
+    pages = pages.withColumn("raw", F.xxhash64("html"))
+    keyed = pages.select(*row, "html").mapInArrow(_keyed, f"host string, layout long, page_id {kind}, raw long, key binary")
+    rows = keyed.groupBy(*row, "key").agg(F.count("*").alias("times"))
+    one = rows.groupBy("host", "layout", "key").agg(F.min(F.struct("page_id", "raw", "times")).alias("page"))
+    different = written(one.select("host", "layout", "page.*"), "different-pages")
+    first = different.groupBy("host", "layout").agg(F.min(F.struct("page_id", "raw")).alias("page")).select("host", "layout", "page.*")
+    exemplars = pages.join(first, row, "left_semi").select("host", "layout", "html")
     trees = exemplars.mapInArrow(_skeletons, "host string, layout long, tree string").dropDuplicates(["host", "layout"])
     trees = written(trees, "exemplars")
-    joined = pages.join(different, ["host", "layout", "page_id"]).join(trees, ["host", "layout"])
-    counted = joined.select("host", "layout", "times", "tree", "key", "html").mapInArrow(_count, "host string, layout long, times long, node int, n_equal long")
+    joined = pages.join(different, row).join(trees, ["host", "layout"])
+    counted = joined.select("host", "layout", "times", "tree", "html").mapInArrow(_count, "host string, layout long, times long, node int, n_equal long")
+    # equal rows of the page that stands for its copies each count, so sums are divided by their number
     sums = counted.groupBy("host", "layout", "times", "node").agg((F.sum("n_equal") / F.col("times")).cast("long").alias("n_equal"))
     sums = written(sums.groupBy("host", "layout", "node").agg(F.sum("n_equal").alias("n_equal")), "node-counts")
     totals = different.groupBy("host", "layout").agg(F.count("*").alias("n_pages"))
