@@ -546,7 +546,7 @@ def layout_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int
     exemplars = pages.join(first, row, "left_semi").select("host", "layout", "html")
     trees = exemplars.mapInArrow(_skeletons, "host string, layout long, tree string").dropDuplicates(["host", "layout"])
     trees = written(trees, "exemplars")
-    joined = pages.join(different, row).join(trees, ["host", "layout"])
+    joined = pages.join(different.hint("merge"), row).join(trees, ["host", "layout"])  # one plan at every size
     counted = joined.select("host", "layout", "times", "tree", "html").mapInArrow(_count, "host string, layout long, times long, node int, n_equal long")
     # equal rows of the page that stands for its copies each count, so sums are divided by their number
     sums = counted.groupBy("host", "layout", "times", "node").agg((F.sum("n_equal") / F.col("times")).cast("long").alias("n_equal"))
