@@ -18,7 +18,7 @@ from ..operators import annotate, batches, chatml, content_groups, dealt_pairs,
 from ..sources import fixtures as fx
 from ..session import scratch_path
 from ..sources import jsonl, preferences, schemas
-from ..streaming import pairs_stream
+from ..streaming import flat_pairs, pairs_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ["prompt_id", "comp_i", "comp_j"]
@@ -346,6 +346,18 @@ def q_stream_encode_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+STREAM_SLICES = 5  # hours of F-LINE's arrival
+
+
+def q_stream_pairs_flat(spark: SparkSession, d: str) -> DataFrame:
+    """F-LINE's completions as a stream: every second one of a prompt comes an hour after its partners."""
+    hour = F.pmod(F.xxhash64("prompt_id"), F.lit(STREAM_SLICES - 1)) + F.col("comp_idx") % 2
+    flat = fx.fline_completions(spark, d).withColumn("event_time", F.timestamp_seconds(3600 * (1 + hour) + F.col("comp_idx")))
+    flat = _stored(spark, flat, "completions")
+    slice_of = F.floor(F.unix_timestamp("event_time") / 3600) - 1
+    return flat_pairs.flat_pairs_via_stream(spark, flat, STREAM_SLICES, slice_of, within="2 hours", delay="1 hour")
+
+
 def q_encode_masks(spark: SparkSession, d: str) -> DataFrame:
     e = _encoded(spark, d)
     masks = [c for c in SEQS if c.endswith("attention_mask")]
@@ -504,4 +516,5 @@ QUERIES: dict[str, Query] = {
     "sample_by_domain": q_sample_by_domain,
     "stream_pairs": q_stream_pairs,
     "stream_encode_pairs": q_stream_encode_pairs,
+    "stream_pairs_flat": q_stream_pairs_flat,
 }

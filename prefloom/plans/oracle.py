@@ -592,6 +592,7 @@ ORACLE_SQL: dict[str, str] = {
     "build_pairs_join": FLINE_PAIRS + PAIR_SELECT,
     "build_pairs_text": FTEXT_PAIRS + PAIR_SELECT,
     "stream_pairs": FLINE_PAIRS + PAIR_SELECT,
+    "stream_pairs_flat": FLINE_PAIRS + PAIR_SELECT,
     "pair_outcomes": pair_outcomes_sql(),
     "completion_scores": completion_scores_sql(),
     "unnest_completions": f"WITH {FLINE}\n" + flat_annotations_sql("fline"),
