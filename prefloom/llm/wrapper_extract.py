@@ -542,7 +542,8 @@ def layout_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int
     rows = keyed.groupBy(*row, "key").agg(F.count("*").alias("times"))
     one = rows.groupBy("host", "layout", "key").agg(F.min(F.struct("page_id", "raw", "times")).alias("page"))
     different = written(one.select("host", "layout", "page.*"), "different-pages")
-    first = different.groupBy("host", "layout").agg(F.min(F.struct("page_id", "raw")).alias("page")).select("host", "layout", "page.*")
+    first = different.groupBy("host", "layout").agg(F.min(F.struct("page_id", "raw")).alias("page"))
+    first = written(first.select("host", "layout", "page.*"), "first-pages")
     exemplars = pages.join(first, row, "left_semi").select("host", "layout", "html")
     trees = exemplars.mapInArrow(_skeletons, "host string, layout long, tree string").dropDuplicates(["host", "layout"])
     trees = written(trees, "exemplars")
@@ -555,7 +556,7 @@ def layout_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int
     fixed = sums.join(totals, ["host", "layout"]).filter((F.col("n_equal") >= least) & (F.col("n_equal") >= share * F.col("n_pages")))
     nodes = fixed.groupBy("host", "layout").agg(F.collect_list("node").alias("nodes"))
     out = written(trees.join(nodes, ["host", "layout"]), "templates")
-    for table in (different, trees, sums):
+    for table in (different, first, trees, sums):
         remove(pages.sparkSession, table)
     return out
 
