@@ -83,3 +83,23 @@ def test_far_apart_and_unusable_rows_do_not_pair(spark):
 def test_rows_without_keys_fail(spark, row):
     with pytest.raises(Exception, match="without a prompt id"):
         flat_pairs.pair_stream(table(spark, [row])).collect()
+
+
+def test_slices_land_in_many_files_and_are_one_batch_each(spark, monkeypatch):
+    started, provider = [], "spark.sql.streaming.stateStore.providerClass"
+    start, before = flat_pairs.start_flat_stream, spark.conf.get(provider, None)
+
+    def record(spark, src, *args, **kwargs):
+        q = start(spark, src, *args, **kwargs)
+        started.append((q, len(spark.read.parquet(src).inputFiles()), kwargs["max_files_per_trigger"], spark.conf.get(provider)))
+        return q
+
+    monkeypatch.setattr(flat_pairs, "start_flat_stream", record)
+    first = [completion(p, i, 0) for p in range(40) for i in (0, 1)]
+    t = table(spark, first).repartition(4).unionByName(table(spark, [completion(7, 2, 1)]).coalesce(1))
+    got = flat_pairs.flat_pairs_via_stream(spark, t, 3, F.when(F.col("comp_idx") < 2, 0).otherwise(1), within="2 hours")
+    assert ids(got) == sorted([(p, 0, 1) for p in range(40)] + [(7, 0, 2), (7, 1, 2)])
+    (q, files, per_batch, store), = started
+    assert per_batch > 1 and files == 3 * per_batch  # one row, or none, still makes a batch of its own
+    assert [p["numInputRows"] for p in q.recentProgress][:2] == [160, 2]  # both sides read a slice
+    assert "RocksDB" in store and spark.conf.get(provider, None) == before
