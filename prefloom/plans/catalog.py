@@ -209,12 +209,13 @@ def q_split_without_ids(spark: SparkSession, d: str) -> DataFrame:
     twice = src.unionByName(src.where("prompt_id % 3 = 0")).select("prompt", "img_path", "completions")
     path = scratch_path(spark, "no-ids")
     preferences.write_table(twice, path)
-    prompts_ = preferences.read_preference_table(spark, path, ids="derive")
+    # the derived ids shuffle whole rows: stored once, not derived again by every pass of the splits
+    prompts_ = _stored(spark, preferences.read_preference_table(spark, path, ids="derive"), "with-ids")
     nested = pairs.build_pairs(prompts_)
     flat = pairs.build_pairs_join(pairs.unnest_completions(prompts_))
     parts = []
     for form, df in (("nested", nested), ("flat", flat)):  # the ids are hashes, so SQL checks the counts and lengths
-        s = split.split_exact(df, tuple(KEYS), materialize=False)
+        s = split.split_exact(df, tuple(KEYS))
         chars = F.sum(F.length("prompt") + F.length("chosen") + 2 * F.length("rejected"))
         parts.append(s.groupBy("split").agg(F.count("*").alias("n_pairs"), chars.alias("n_chars")).withColumn("form", F.lit(form)))
     both = parts[0].unionByName(parts[1])
