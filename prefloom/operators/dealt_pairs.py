@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratings import mean_rating, usable
 from ..functions.rows import computed_once
+from ..session import scratch_path
 from .pairs import formatted_prompt
 
 BLOCK_ROWS = 2000
@@ -67,7 +68,10 @@ def build_pairs_dealt(
             formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
         ),
     ).where(usable(F.col("score")) & F.col("response").isNotNull())
-    left, right = dealt_groups(v, block_rows)
+    # counted, and read by both sides: the scored rows are written once, so that ratings are not parsed three times
+    path = scratch_path(v.sparkSession, "scored")
+    v.write.parquet(path)
+    left, right = dealt_groups(v.sparkSession.read.schema(v.schema).parquet(path), block_rows)
     l, r = left.alias("l").hint("merge"), right.alias("r")
     j = l.join(
         r,

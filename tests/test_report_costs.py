@@ -52,3 +52,9 @@ def test_ids_are_derived_once(spark):
     df = QUERIES["split_without_ids"](spark, SF001)
     assert "row_number" not in plan_of(df)
     assert df.count() == 2
+
+
+def test_dealt_pairs_score_their_rows_once(spark):
+    df = QUERIES["build_pairs_dealt"](spark, SF001)
+    assert "map_values" not in plan_of(df)  # the join reads scored rows, not annotation maps
+    assert df.count() == 7810
