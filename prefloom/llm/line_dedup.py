@@ -45,8 +45,9 @@ def word_lines(text: Column) -> Column:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, line, h1, h2: a row for each distinct line of each document."""
-    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.explode(word_lines(F.col(text_col))).alias("line"))
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    # outer: from a plain explode Spark infers a filter on the size of the array, and computes the array for it a second time
+    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.explode_outer(word_lines(F.col(text_col))).alias("line"))
+    return lines.filter("line is not null").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
 def bins_of(rows: int, bands: int) -> list[list[int]]:
@@ -121,12 +122,16 @@ def _prefixes(members: DataFrame, texts: DataFrame, shingle: int, threshold: flo
     n - ceil(threshold * n) + 1.  Shingles of one member only join nothing.
     """
     sets = texts.join(members, "id").select("id", "failed", F.array_distinct(grams("line", shingle)).alias("x"))
-    one = sets.select("id", "failed", F.size("x").alias("n"), F.explode("x").alias("x")).select("id", "failed", "n", F.xxhash64("x").alias("s"))
+    # outer, as in line_table: a filter on the size would take the shingles of all texts, not of the members only
+    one = sets.select("id", "failed", F.size("x").alias("n"), F.explode_outer("x").alias("x")).select("id", "failed", "n", F.xxhash64("x").alias("s"))
     one = written(one, "line-shingles")
     often = one.groupBy("s").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "s")
-    ranked = one.join(often, "s").withColumn("place", F.row_number().over(order))
-    first = ranked.filter((F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-6) + 1) & (F.col("df") > 1))
+    # those of one member only come first in its order: they are counted (n less the others), not sorted
+    each = Window.partitionBy("id")
+    rank = F.row_number().over(each.orderBy("df", "s"))
+    ranked = one.join(often.filter("df > 1"), "s").withColumn("rank", rank).withColumn("shared", F.count("*").over(each))
+    ranked = ranked.withColumn("place", (F.col("n") - F.col("shared") + F.col("rank")).cast("int"))
+    first = ranked.filter(F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-6) + 1)
     out = written(first.select("s", "id", "n", "place", "failed"), "line-prefixes")
     remove(texts.sparkSession, one)
     settle(texts.sparkSession)

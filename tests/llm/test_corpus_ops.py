@@ -7,10 +7,11 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefloom.llm import decontaminate, host_rules, line_dedup, ngram_join, passage_dedup
-from prefloom.llm.common import connected_components
+from prefloom.llm.common import connected_components, written
 from prefloom.llm.oracle import ORACLE_SQL
 from prefloom.llm.queries import QUERIES
 from prefloom.llm.words import Words, shingles
@@ -351,3 +352,41 @@ def test_close_passages_keep_one_copy_each(spark):
             left[x.doc_id][x.start : x.stop] = [None] * (x.stop - x.start)
     left = {d: " ".join(w for w in t if w) for d, t in left.items()}
     assert left == {1: texts[1], 5: f"only five has this {q}", 9: "nine end9", 12: ""}
+
+
+def _plans(monkeypatch, module):
+    """Name -> executed plan of each table that the module writes."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(module, "written", noted)
+    return plans
+
+
+def test_lines_and_prefixes_take_each_array_once(spark, monkeypatch):
+    """No filter that Spark infers computes the lines or the shingles a second time, and places are those of the whole order."""
+    plans = _plans(monkeypatch, line_dedup)
+    df = table(spark, [(1, "one line\n\none line\ntwo"), (2, None), (3, "")])
+    lines = line_dedup.line_table(df, "doc_id", "text")
+    assert lines._jdf.queryExecution().executedPlan().toString().count("array_distinct") == 1
+    assert sorted((r.doc, r.line) for r in lines.collect()) == [(1, "one line"), (1, "two")]
+    r, s = np.random.default_rng(2), line_dedup.SHINGLE
+    base = ["".join(r.choice(list("abc"), 60)) for _ in range(4)]
+    texts = {i: base[i % 4][: 30 + i] + "".join(r.choice(list("xyz"), 3 * (i % 5))) for i in range(40)}
+    rows = spark.createDataFrame(list(texts.items()), "id long, line string")
+    members = spark.createDataFrame([(i, i % 3 == 0) for i in range(0, 40, 2)], "id long, failed boolean")
+    got = line_dedup._prefixes(members, rows, s, 0.8).collect()
+    assert plans["line-shingles"].count("array_distinct") == 1
+    key = {}
+    for i, x in texts.items():
+        for g in {x[k : k + s] for k in range(len(x) - s + 1)}:
+            key.setdefault(g, set()).update([i] if i % 2 == 0 else [])
+    hashed = {r.g: r.h for r in spark.createDataFrame([(g,) for g in key], "g string").selectExpr("g", "xxhash64(g) h").collect()}
+    want = set()
+    for i in range(0, 40, 2):
+        own = sorted({texts[i][k : k + s] for k in range(len(texts[i]) - s + 1)}, key=lambda g: (len(key[g]), hashed[g]))
+        want |= {(i, hashed[g], len(own), p) for p, g in enumerate(own, 1) if len(key[g]) > 1 and p <= int(len(own) * 0.2 + 1e-6) + 1}
+    assert {(x.id, x.s, x.n, x.place) for x in got} == want and len(got) == len(want) > 20
