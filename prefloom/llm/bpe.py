@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +36,28 @@ LEAF_IDS = 1 << 12
 LOOK = 3  # characters from a match's start that a contraction can reach
 CACHE_ENTRIES = 200_000
 MAX_RANK_FILE = 64 << 20
+NO_RANK = 1 << 32  # above every rank: ids are 32-bit
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
 class _PieceIds(dict):
-    """Match -> its ids as little-endian unsigned 32-bit integers; filled on demand."""
+    """Match -> its ids as little-endian unsigned 32-bit integers; filled on demand.
+
+    A full cache becomes the older one; what is met again there is taken over.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = struct.pack(f"<{len(found := self.codec.encode_piece(piece.encode()))}I", *found)
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
@@ -68,17 +77,18 @@ class Codec:
     # --- tokens of one match -------------------------------------------------
     def _merge(self, raw: bytes) -> list[int]:
         """Tokens by repeated merging of the lowest-ranked adjacent pair."""
-        ranks = self.ranks
+        ranks, rank = self.ranks, self.ranks.get
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            low, at = None, 0
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (low is None or r < low):
-                    low, at = r, i
-            if low is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        # the rank of each part with the next; a merge changes those of its two neighbours only
+        pairs = [rank(raw[i : i + 2], NO_RANK) for i in range(len(raw) - 1)]
+        while pairs and (low := min(pairs)) != NO_RANK:
+            at = pairs.index(low)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], NO_RANK)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], NO_RANK)
         return [ranks[p] for p in parts]
 
     def _agree(self, a: int, b: int) -> bool:

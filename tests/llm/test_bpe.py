@@ -91,3 +91,29 @@ def test_query_digests(spark):
         assert x.n_tokens == len(ids)
         assert x.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
+
+
+def test_a_merge_looks_up_a_few_pairs_per_byte():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+    own = bpe.Codec(Counted(RANKS), P.PATTERN)
+    for word in (" thonherestinatandedoner", " ereatholyouwhingreth", "inthesreonwh"):
+        own.ranks.n = 0
+        assert own._merge(word.encode()) == LIB.encode_ordinary(word)
+        assert own.ranks.n <= 3 * len(word)
+
+
+def test_a_frequent_match_outlives_a_full_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    own, done = bpe.Codec(RANKS, P.PATTERN), []
+    encode = own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda raw: done.append(raw) or encode(raw))
+    for i in range(30):
+        word = f" rareword{chr(97 + i % 26)}{i // 26 * 'x'}"
+        assert np.frombuffer(own.encode(f" hotword{word}"), "<u4").tolist() == LIB.encode_ordinary(f" hotword{word}")
+    assert done.count(b" hotword") == 1 and len(own.cache) + len(own.cache.older) <= 10
