@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefloom.functions.rows import computed_once
 from prefloom.llm.common import connected_components, remove, settle, written
 from prefloom.llm.ngram_join import ngram_join
 from prefloom.llm.words import Words, blocks, mix
@@ -83,32 +85,34 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each hit of a document with the SPAN - 1 words before and after it, fewer at the ends of the text."""
+    names = ["pos", "g1", "g2", "first"]
     for batch in batches:
-        ids, hits = batch.column("id").to_pylist(), batch.column("hits")
+        ids, hits = batch.column("id").to_numpy(zero_copy_only=False), batch.column("hits")
         for lo, hi, data, offs in blocks(batch.column("t")):
             w = Words(data, offs)
             g = w.grams(GRAM)[0].view(np.int64)
-            out: list[tuple] = []
-            for r, found in enumerate(hits.slice(lo, hi - lo).to_pylist()):
-                begin, end = int(w.first[r]), int(w.first[r + 1])
-                for h in found:
-                    at = begin + h["pos"]
-                    # rows that share an id: the hit may be in another one
-                    if at + GRAM <= end and g[at] == h["g1"]:
-                        before = w.text(max(begin, at - SPAN + 1), at)
-                        after = w.text(at + GRAM, min(end, at + GRAM + SPAN - 1))
-                        out.append((ids[lo + r], h["pos"], h["g1"], h["g2"], h["first"], before, after))
-            cols = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "pos", "g1", "g2", "first", "before", "after"]
-            )
-
-
-def _same(x: list[bytes], y: list[bytes]) -> int:
-    """How many words two lists have in common from their start."""
+            part = hits.slice(lo, hi - lo)
+            row = np.repeat(np.arange(hi - lo), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+            found = part.flatten()
+            pos, g1, g2, first = (pc.struct_field(found, c).to_numpy(zero_copy_only=False) for c in names)
+            at, begin, end = w.first[row] + pos, w.first[row], w.first[row + 1]
+            # rows that share an id: the hit may be in another one
+            here = np.flatnonzero(at + GRAM <= end)
+            here = here[g[at[here]] == g1[here]]
+            at, begin, end = at[here], begin[here], end[here]
+            before = w.texts(np.maximum(begin, at - SPAN + 1), at)
+            after = w.texts(at + GRAM, np.minimum(end, at + GRAM + SPAN - 1))
+            cols = [pa.array(x[here]) for x in (ids[lo:][row], pos, g1, g2, first)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["doc", *names, "before", "after"])
+
+
+def _same(x: bytes, y: bytes, back: bool = False) -> int:
+    """How many words two texts have in common from their start (or back from their end)."""
+    if x == y:
+        return x.count(b" ") + 1 if x else 0
     n = 0
-    for a, b in zip(x, y, strict=False):
+    step = -1 if back else 1
+    for a, b in zip(x.split()[::step], y.split()[::step], strict=False):
         if a != b:
             break
         n += 1
@@ -119,8 +123,8 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hits with their home's words -> how many words more are equal on each side."""
     for batch in batches:
         before, home_before, after, home_after = (batch.column(c).to_pylist() for c in ("before", "home_before", "after", "home_after"))
-        left = [_same(x.split()[::-1], y.split()[::-1]) for x, y in zip(before, home_before, strict=True)]
-        right = [_same(x.split(), y.split()) for x, y in zip(after, home_after, strict=True)]
+        left = [_same(x, y, True) for x, y in zip(before, home_before, strict=True)]
+        right = [_same(x, y) for x, y in zip(after, home_after, strict=True)]
         names = ["doc", "pos", "g1", "g2", "first", "home_pos"]
         cols = [*(batch.column(c) for c in names), pa.array(left, pa.int32()), pa.array(right, pa.int32())]
         yield pa.RecordBatch.from_arrays(cols, names=[*names, "left", "right"])
@@ -194,7 +198,10 @@ def similar_paragraphs(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line", "t"))
-    lines = lines.withColumn("n_words", F.regexp_count("t", F.lit("[0-9A-Za-z\\u0080-\\x{10FFFF}]+"))).filter(F.col("n_words") >= min_words)
+    # counted once: a filter on a projected column would count again below it; a shorter line has not the bytes for its words
+    lines = lines.filter(F.octet_length("t") >= 2 * min_words - 1)
+    counted = computed_once(F.regexp_count("t", F.lit("[0-9A-Za-z\\u0080-\\x{10FFFF}]+")).alias("n_words"))
+    lines = lines.select("doc", "line", "t", counted).filter(F.col("n_words") >= min_words)
     lines = written(lines.withColumn("id", F.monotonically_increasing_id()), "paragraphs")
     classes = ngram_join(lines.select("id", "t"), "id", "t", threshold=threshold, rows=ROWS, bands=BANDS)
     classes = written(classes.filter("n_links > 0").select("id", F.col("class_id").alias("cluster")), "paragraph-classes")

@@ -8,6 +8,7 @@ and hashing are array operations over a block of texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,22 @@ class Words:
         """Words i..j-1, lower-cased, joined by single spaces."""
         return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True))
 
+    @cached_property
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, lower-cased, each with a space after it, and where each begins (and the last ends)."""
+        size = self.end - self.start
+        at = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size + 1, out=at[1:])
+        out = np.full(at[-1], 0x20, np.uint8)
+        # the words' bytes in a row, each word moved on by the spaces before it
+        out[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = self.low[self.low != 0]
+        return out.tobytes(), at
+
+    def texts(self, i: np.ndarray, j: np.ndarray) -> list[bytes]:
+        """text(i, j) of each of many ranges."""
+        raw, at = self.joined
+        return [raw[a:b] for a, b in zip(at[i].tolist(), (at[j] - (j > i)).tolist(), strict=True)]
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether they are of one text."""
         m = len(self.hash) - n + 1

@@ -366,6 +366,39 @@ def _plans(monkeypatch, module):
     return plans
 
 
+def test_ranges_of_words_are_cut_from_one_text():
+    raw = "One, twö  three".encode()
+    data = raw + b"four" + b"" + b"  five-SIX "
+    w = Words(np.frombuffer(data, np.uint8), np.array([0, len(raw), len(raw) + 4, len(raw) + 4, len(data)]))
+    i, j = (np.array(x) for x in zip(*[(i, j) for i in range(len(w) + 1) for j in range(i, len(w) + 1)], strict=True))
+    assert w.texts(i, j) == [w.text(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)] and len(w) == 6
+
+
+def test_contexts_of_hits():
+    """Many hits of many rows at once; a hit that its row does not have is of another row of that id."""
+    words_of = lambda c, n: [f"{c}{i}" for i in range(n)]
+    texts = [words_of("a", 70), [], words_of("b", 20), words_of("a", 30)]
+    grams = Words(np.frombuffer(" ".join(texts[0]).encode(), np.uint8), np.array([0, len(" ".join(texts[0]))])).grams(16)[0].view(np.int64)
+    hit = lambda p: {"pos": p, "g1": int(grams[p]), "g2": p, "first": 1}
+    hits = [[hit(0), hit(30), hit(54)], [], [hit(3)], [hit(30), hit(2)]]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("g1", pa.int64()), ("g2", pa.int64()), ("first", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 1]), pa.array([" ".join(t).upper() or None for t in texts]), pa.array(hits, kind)], names=["id", "t", "hits"])
+    got = [tuple(r.values()) for part in passage_dedup._contexts(iter([batch])) for r in part.to_pylist()]
+    cut = lambda row, p: (texts[row][max(0, p - 23) : p], texts[row][p + 16 : p + 39])
+    want = [(doc, p, int(grams[p]), p, 1, *[" ".join(x).encode() for x in cut(row, p)]) for doc, row, p in ((1, 0, 0), (1, 0, 30), (1, 0, 54), (1, 3, 2))]
+    assert got == want
+    assert passage_dedup._same(b"x y z", b"q y z", True) == 2 and passage_dedup._same(b"x y z", b"x y q") == 2
+    assert passage_dedup._same(b"x y z", b"x y z", True) == 3 and passage_dedup._same(b"", b"") == 0
+
+
+def test_words_of_paragraphs_are_counted_once(spark, monkeypatch):
+    plans = _plans(monkeypatch, passage_dedup)
+    line = " ".join("abcdefghijklmnopqrst")
+    df = table(spark, [(1, line), (2, f"x\n{line}"), (3, line[:-2]), (4, None)])
+    got = sorted((r.doc, r.line, r.n_words) for r in passage_dedup.similar_paragraphs(df).collect())
+    assert got == [(1, 0, 20), (2, 1, 20)] and plans["paragraphs"].count("regexp_extract_all") == 1
+
+
 def test_lines_and_prefixes_take_each_array_once(spark, monkeypatch):
     """No filter that Spark infers computes the lines or the shingles a second time, and places are those of the whole order."""
     plans = _plans(monkeypatch, line_dedup)
