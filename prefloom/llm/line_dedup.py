@@ -36,11 +36,17 @@ PER_BIN = 5  # hashes kept per bin and line; an empty bin (1 in 150) borrows fro
 ALWAYS = 16  # first shingles of a line kept whatever their hash, for long lines of few different ones
 SMALL_BUCKET = 32  # members of a larger group are first compared with its least one
 HAS_WORD = r"[^\x20\x09-\x0D]"
+EMPTY = 2147483647  # the least value of a bin without a hash
+
+
+def has_word(line: Column) -> Column:
+    # most lines show it by their first character and need no regular expression
+    return (F.ascii(line) > 32) | line.rlike(HAS_WORD)
 
 
 def word_lines(text: Column) -> Column:
     """The distinct lines that have a word, in order."""
-    return F.filter(F.array_distinct(F.split(F.coalesce(text, F.lit("")), "\n", -1)), lambda x: x.rlike(HAS_WORD))
+    return F.filter(F.array_distinct(F.split(F.coalesce(text, F.lit("")), "\n", -1)), has_word)
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,22 +69,24 @@ def minima(lines: DataFrame, shingle: int, rows: int) -> DataFrame:
     bins = rows * (rows - 1) + 1
     wide = lines.select("doc", "h1", "h2", F.encode("line", "UTF-16BE").alias("b"))
     wide = wide.withColumn("n", F.expr(f"greatest(length(b) div 2 - {shingle - 1}, 1)"))
-    one = wide.select("doc", "h1", "h2", "n", "b", F.expr("explode(sequence(0, n - 1))").alias("i"))
-    one = one.select("doc", "h1", "h2", "n", "i", F.expr(f"xxhash64(substring(b, i * 2 + 1, {2 * shingle}))").alias("h"))
-    value = "cast(shiftrightunsigned(h, 33) as int)"
-    one = one.select("doc", "h1", "h2", "n", "i", F.expr(value).alias("v"), F.expr(f"cast(pmod(h & 2147483647, {bins}) as int)").alias("bin"))
     # only a line's least hashes can be the least of a bin
-    one = one.filter(f"n <= {PER_BIN * bins} or i < {ALWAYS} or v < 2147483647D * {PER_BIN * bins} / n")
-    least = [F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"m{k}") for k in range(bins)]
+    wide = wide.withColumn("below", F.expr(f"if(n <= {PER_BIN * bins}, 2147483648D, 2147483647D * {PER_BIN * bins} / n)"))
+    one = wide.select("doc", "h1", "h2", "below", "b", F.expr("explode(sequence(0, n - 1))").alias("i"))
+    one = one.select("doc", "h1", "h2", "below", "i", F.expr(f"xxhash64(substring(b, i * 2 + 1, {2 * shingle}))").alias("h"))
+    value = "cast(shiftrightunsigned(h, 33) as int)"
+    one = one.select("doc", "h1", "h2", "below", "i", F.expr(value).alias("v"), F.expr(f"cast(pmod(h & 2147483647, {bins}) as int)").alias("bin"))
+    one = one.filter(f"i < {ALWAYS} or v < below")
+    least = [F.min(F.when(F.col("bin") == k, F.col("v")).otherwise(EMPTY)).alias(f"m{k}") for k in range(bins)]
     sig = one.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("times"), *least)
-    a = F.array(*[F.coalesce(F.col(f"m{k}"), F.lit(-1)) for k in range(bins)])
+    a = F.array(*[F.col(f"m{k}") for k in range(bins)])
     # a line's id sorts before those of rarer lines (by powers of two), then by hash
     rare = F.lit(15) - F.least(F.floor(F.log2("times")), F.lit(15))
     line_id = F.shiftleft(rare.cast("long"), 59).bitwiseOR(F.shiftrightunsigned("h1", 5))
-    sig = sig.select("h1", "h2", "first_doc", "last_doc", line_id.alias("id"), a.alias("m"))
     # an empty bin borrows from the next that is not, in a circle (short lines only)
-    borrowed = f"transform(sequence(1, {bins}), k -> array_remove(slice(concat(m, m), k, {bins}), -1)[0])"
-    return sig.withColumn("m", F.expr(f"if(array_contains(m, -1), {borrowed}, m)"))
+    borrowed = f"transform(array(concat(a, a)), c -> transform(sequence(1, {bins}), k -> array_remove(slice(c, k, {bins}), {EMPTY})[0]))[0]"
+    # the outer lambda computes the array once
+    filled = F.expr(f"transform(array(m), a -> if(array_contains(a, {EMPTY}), {borrowed}, a))[0]")
+    return sig.select("h1", "h2", "first_doc", "last_doc", line_id.alias("id"), a.alias("m")).withColumn("m", filled)
 
 
 def bands_of(m: str, rows: int, bands: int) -> Column:
@@ -87,6 +95,19 @@ def bands_of(m: str, rows: int, bands: int) -> Column:
     return F.expr(f"array({', '.join(each)})")
 
 
+def members_of(sig: DataFrame, rows: int, bands: int) -> DataFrame:
+    """id, band: a row for each line and band, dealt out by the band.
+
+    The band is computed from its number, after the explode: an array of all
+    bands makes a method too long for the JVM to compile.
+    """
+    at = DIFFERENCES[rows], rows * (rows - 1) + 1
+    one = sig.select("id", "m", F.explode(F.sequence(F.lit(0), F.lit(len(bins_of(rows, bands)) - 1))).alias("j"))
+    band = f"xxhash64(j, {', '.join(f'm[(j + {d}) % {at[1]}]' for d in at[0])})"
+    # not null: Spark would infer it on one side of the join only, and shuffle both
+    return one.select("id", F.expr(band).alias("band")).filter("id is not null").repartition("band")
+
+
 def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
     """h1, h2, first_doc, last_doc, id, bands array<long>: a row for each different line."""
     return minima(lines, shingle, rows).withColumn("m", bands_of("m", rows, bands)).withColumnRenamed("m", "bands")
@@ -94,9 +115,9 @@ def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFra
 
 def grams(c: str, shingle: int) -> Column:
     """The shingles of a text column, repeats included."""
-    # the matches that follow each other, from each of the first `shingle` places on
-    each = [F.regexp_extract_all(F.expr(f"substr({c}, {k})"), F.lit(f"(?s).{{{shingle}}}"), F.lit(0)) for k in range(1, shingle + 1)]
-    return F.when(F.length(c) <= shingle, F.array(F.col(c))).otherwise(F.flatten(F.array(*each)))
+    # one pass: each match takes a character and looks ahead
+    each = F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=({'.' * shingle}))."), F.lit(1))
+    return F.when(F.length(c) <= shingle, F.array(F.col(c))).otherwise(each)
 
 
 def shingle_pair(a: str, b: str, shingle: int) -> Column:
@@ -124,16 +145,17 @@ def _prefixes(members: DataFrame, texts: DataFrame, shingle: int, threshold: flo
     sets = texts.join(members, "id").select("id", "failed", F.array_distinct(grams("line", shingle)).alias("x"))
     # outer, as in line_table: a filter on the size would take the shingles of all texts, not of the members only
     one = sets.select("id", "failed", F.size("x").alias("n"), F.explode_outer("x").alias("x")).select("id", "failed", "n", F.xxhash64("x").alias("s"))
-    one = written(one, "line-shingles")
+    table = written(one, "line-shingles")
+    one = table.repartition("s")  # one shuffle serves the counts and the join; a member has a row of each s, so none is large
     often = one.groupBy("s").agg(F.count("*").alias("df"))
     # those of one member only come first in its order: they are counted (n less the others), not sorted
     each = Window.partitionBy("id")
     rank = F.row_number().over(each.orderBy("df", "s"))
-    ranked = one.join(often.filter("df > 1"), "s").withColumn("rank", rank).withColumn("shared", F.count("*").over(each))
+    ranked = one.join(often.filter("df > 1").hint("shuffle_hash"), "s").withColumn("rank", rank).withColumn("shared", F.count("*").over(each))
     ranked = ranked.withColumn("place", (F.col("n") - F.col("shared") + F.col("rank")).cast("int"))
     first = ranked.filter(F.col("place") <= F.floor(F.col("n") * (1 - threshold) + 1e-6) + 1)
     out = written(first.select("s", "id", "n", "place", "failed"), "line-prefixes")
-    remove(texts.sparkSession, one)
+    remove(texts.sparkSession, table)
     settle(texts.sparkSession)
     return out
 
@@ -200,20 +222,19 @@ def line_verdicts(
     lines = line_table(docs, id_col, text_col)
     sig = written(minima(lines, shingle, rows), "line-signatures")
     settle(spark)
-    member = sig.select("id", F.explode(bands_of("m", rows, bands)).alias("band"))
+    # one shuffle of all members serves the hubs and the join with them
+    member = members_of(sig, rows, bands)
     hubs = member.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("m")).filter("hub <> other")
-    hubs = written(hubs, "line-hubs")
-    settle(spark)
-    # a table of their own shows Spark how small they are: it broadcasts them below its threshold, or shuffles both sides
-    larger = written(hubs.filter("m > 2").select("band", "hub"), "line-larger-hubs")
-    buckets = written(member.join(larger, "band").filter("id <> hub"), "line-buckets")
+    both = member.join(hubs.select("band", "hub", "m").hint("shuffle_hash"), "band").filter("id <> hub")
+    buckets = written(both.select("band", "id", "hub", "m"), "line-buckets")
+    del member, hubs, both
     settle(spark)
-    two = hubs.filter("m = 2").select(F.col("other").alias("a"), F.col("hub").alias("b"))
-    star = written(two.unionByName(buckets.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct(), "line-star")
+    star = written(buckets.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line-star")
+    buckets = buckets.filter("m > 2")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     # equal lines stand in many documents: the first one's copy is enough
     first = sig.join(wanted, "id", "left_semi").select("h1", "h2", F.col("first_doc").alias("doc"), "id")
-    texts = written(lines.join(first, ["doc", "h1", "h2"]).select("id", "line"), "line-texts")
+    texts = written(lines.join(first.hint("shuffle_hash"), ["doc", "h1", "h2"]).select("id", "line"), "line-texts")
     settle(spark)
     checked = written(_verified(star, texts, shingle, threshold), "line-checked")
     links = checked.filter("similar").select("a", "b")
@@ -234,7 +255,7 @@ def line_verdicts(
     repeated = sig.filter("first_doc <> last_doc").select("h1", "h2", F.col("first_doc").alias("keep_doc"))
     similar = written(similar, "line-similar")
     out = written(similar.unionByName(repeated.join(similar.select("h1", "h2"), ["h1", "h2"], "left_anti")), "line-verdicts")
-    for t in (hubs, larger, buckets, star, seen, texts, checked, members, regrouped, similar):
+    for t in (buckets, star, seen, texts, checked, members, regrouped, similar):
         remove(spark, t)
     settle(spark)
     return out
@@ -266,7 +287,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, doc = row.getField(text_col), row.getField(id_col)
     d = docs.select(F.struct(*docs.columns).alias("row"))
     d = d.join(gone, doc.cast("long") == F.col("doc"), "left")
-    with_word = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(HAS_WORD))
+    with_word = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), has_word)
     d = d.select("row", computed_once(F.size(with_word).alias("n"), word_lines(text).alias("different"), F.coalesce("gone", none).alias("gone")))
     kept = F.filter("different", lambda x: ~F.array_contains("gone", F.xxhash64(x)))
     d = d.select("row", "n", computed_once(F.when(F.col("gone").isNull(), F.col("different")).otherwise(kept).alias("kept")))

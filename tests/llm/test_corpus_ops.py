@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from prefloom.llm import decontaminate, host_rules, line_dedup, ngram_join, passage_dedup
 from prefloom.llm.common import connected_components, written
@@ -423,3 +424,35 @@ def test_lines_and_prefixes_take_each_array_once(spark, monkeypatch):
         own = sorted({texts[i][k : k + s] for k in range(len(texts[i]) - s + 1)}, key=lambda g: (len(key[g]), hashed[g]))
         want |= {(i, hashed[g], len(own), p) for p, g in enumerate(own, 1) if len(key[g]) > 1 and p <= int(len(own) * 0.2 + 1e-6) + 1}
     assert {(x.id, x.s, x.n, x.place) for x in got} == want and len(got) == len(want) > 20
+
+
+def test_line_shingles_take_one_pass(spark, monkeypatch):
+    """A text's shingles are found in one pass, by code points, and a pair's two texts are matched once each."""
+    plans = _plans(monkeypatch, line_dedup)
+    s = line_dedup.SHINGLE
+    texts = ["", "short", "12345678", "\U0001f600a\U0001f600b\U0001f600cdefgh\U0001f600", "a\r\u2028b\u0085 \tcdefg", "aaaaaaaaaaaa", "日本語" * 6]
+    df = spark.createDataFrame([(x,) for x in texts], "line string")
+    got = {r.line: r.g for r in df.select("line", line_dedup.grams("line", s).alias("g")).collect()}
+    assert all(sorted(got[x]) == sorted([x[i : i + s] for i in range(max(1, len(x) - s + 1))]) for x in texts)
+    base = "the quick brown fox jumps over the lazy dog near the old river bank while seven grey geese look on from afar"
+    docs = table(spark, [(1, base), (2, base.replace("lazy", "hazy")), (3, base + "!")])
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs, counts=True).filter("n_removed > 0").collect()} == {2, 3}
+    assert plans["line-checked"].count("regexp_extract_all") == 2
+
+
+def test_line_members_are_shuffled_once_by_compiled_code(spark):
+    """A member's bands are those of its signature, in a method that the JVM compiles (up to 8,000 bytes)."""
+    r = np.random.default_rng(3)
+    lines = ["".join(r.choice(list("abcdefgh "), int(n))) + "x" for n in r.integers(1, 300, 60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    table_, args = line_dedup.line_table(docs, "doc_id", "text"), (line_dedup.ROWS, line_dedup.BANDS)
+    want = {(x.id, b) for x in line_dedup.signatures(table_, line_dedup.SHINGLE, *args).collect() for b in x.bands}
+    sig = written(line_dedup.minima(table_, line_dedup.SHINGLE, line_dedup.ROWS), "signatures")
+    members = line_dedup.members_of(sig, *args)
+    assert {(x.id, x.band) for x in members.collect()} == want and members.count() == line_dedup.BANDS * len(set(lines))
+    hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("m")).filter("hub <> other")
+    both = members.join(hubs.hint("shuffle_hash"), "band").filter("id <> hub")
+    both.collect()
+    stages = both._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
