@@ -65,7 +65,7 @@ def bins_of(rows: int, bands: int) -> list[list[int]]:
 
 
 def minima(lines: DataFrame, shingle: int, rows: int) -> DataFrame:
-    """h1, h2, first_doc, last_doc, id, m array<int>: a row for each different line, with the least value of each bin."""
+    """h1, h2, first_doc, last_doc, id, m array<int>: a row for each different line, with the least value of each bin (EMPTY, if none)."""
     bins = rows * (rows - 1) + 1
     wide = lines.select("doc", "h1", "h2", F.encode("line", "UTF-16BE").alias("b"))
     wide = wide.withColumn("n", F.expr(f"greatest(length(b) div 2 - {shingle - 1}, 1)"))
@@ -82,11 +82,18 @@ def minima(lines: DataFrame, shingle: int, rows: int) -> DataFrame:
     # a line's id sorts before those of rarer lines (by powers of two), then by hash
     rare = F.lit(15) - F.least(F.floor(F.log2("times")), F.lit(15))
     line_id = F.shiftleft(rare.cast("long"), 59).bitwiseOR(F.shiftrightunsigned("h1", 5))
-    # an empty bin borrows from the next that is not, in a circle (short lines only)
+    return sig.select("h1", "h2", "first_doc", "last_doc", line_id.alias("id"), a.alias("m"))
+
+
+def filled(sig: DataFrame, rows: int) -> DataFrame:
+    """The same with each empty bin filled from the next that is not, in a circle (short lines only).
+
+    Apart from `minima`: lambdas among its results would take the whole aggregation out of generated code.
+    """
+    bins = rows * (rows - 1) + 1
     borrowed = f"transform(array(concat(a, a)), c -> transform(sequence(1, {bins}), k -> array_remove(slice(c, k, {bins}), {EMPTY})[0]))[0]"
     # the outer lambda computes the array once
-    filled = F.expr(f"transform(array(m), a -> if(array_contains(a, {EMPTY}), {borrowed}, a))[0]")
-    return sig.select("h1", "h2", "first_doc", "last_doc", line_id.alias("id"), a.alias("m")).withColumn("m", filled)
+    return sig.withColumn("m", F.expr(f"transform(array(m), a -> if(array_contains(a, {EMPTY}), {borrowed}, a))[0]"))
 
 
 def bands_of(m: str, rows: int, bands: int) -> Column:
@@ -101,16 +108,16 @@ def members_of(sig: DataFrame, rows: int, bands: int) -> DataFrame:
     The band is computed from its number, after the explode: an array of all
     bands makes a method too long for the JVM to compile.
     """
-    at = DIFFERENCES[rows], rows * (rows - 1) + 1
-    one = sig.select("id", "m", F.explode(F.sequence(F.lit(0), F.lit(len(bins_of(rows, bands)) - 1))).alias("j"))
-    band = f"xxhash64(j, {', '.join(f'm[(j + {d}) % {at[1]}]' for d in at[0])})"
+    last = len(bins_of(rows, bands)) - 1
+    one = filled(sig, rows).select("id", "m", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("j"))
+    band = f"xxhash64(j, {', '.join(f'm[(j + {d}) % {rows * (rows - 1) + 1}]' for d in DIFFERENCES[rows])})"
     # not null: Spark would infer it on one side of the join only, and shuffle both
     return one.select("id", F.expr(band).alias("band")).filter("id is not null").repartition("band")
 
 
 def signatures(lines: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
     """h1, h2, first_doc, last_doc, id, bands array<long>: a row for each different line."""
-    return minima(lines, shingle, rows).withColumn("m", bands_of("m", rows, bands)).withColumnRenamed("m", "bands")
+    return filled(minima(lines, shingle, rows), rows).withColumn("m", bands_of("m", rows, bands)).withColumnRenamed("m", "bands")
 
 
 def grams(c: str, shingle: int) -> Column:
