@@ -245,9 +245,8 @@ def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS, absen
     slots = _slots(F.col("_f"))
 
     def section(aspect: str) -> Column:
-        blocks = F.transform(
-            slots,
-            lambda c, i: F.concat(
+        def block(c: Column, i: Column) -> Column:
+            text = F.concat(
                 F.lit("##### Output for Text "),
                 (i + 1).cast("string"),
                 F.lit("\nRating: "),
@@ -255,20 +254,104 @@ def render_answers(prompts: DataFrame, aspects: tuple[str, ...] = ASPECTS, absen
                 F.lit("\nRationale: "),
                 F.coalesce(c[aspect]["Rationale"], F.lit("")),
                 F.lit("\n"),
-            ),
-        )
-        if absent == "omit":
-            has = F.transform(slots, lambda c: F.coalesce(F.map_contains_key(c, F.lit(aspect)), F.lit(False)))
-            blocks = F.transform(F.filter(F.arrays_zip(blocks.alias("b"), has.alias("h")), lambda x: x["h"]), lambda x: x["b"])
+            )
+            return F.when(F.map_contains_key(c, F.lit(aspect)), text) if absent == "omit" else text
+
+        blocks = F.transform(slots, block)  # a block left out is null, which array_join skips
         return F.concat(F.lit(ASPECT_HEADINGS[aspect] + "\n"), F.array_join(blocks, ""))
 
     answer = F.concat_ws("\n", *[section(a) for a in aspects])
     return g.select("prompt_id", F.col("group_idx").cast("bigint").alias("group_idx"), F.size(slots).cast("bigint").alias("n_texts"), answer.alias("answer"))
 
 
-_SECTION_HEAD = r"(?m)^#### (.+?) Assessment[ \t]*$"
-_BLOCK_HEAD = r"(?m)^##### Output for Text (\d+)[ \t]*$"
-_BLOCK_BODY = r"(?s)^\r?\nRating:[ \t]*([^\r\n]*?)[ \t]*\r?\nRationale:[ \t]?(.*)$"
+# An answer is cut where a section begins, a section where a block begins: each piece starts with its heading.
+_SECTION_CUT = r"(?m)^(?=#### .+? Assessment[ \t]*$)"
+_SECTION_HEAD = r"\A#### (.+?) Assessment[ \t]*(?m:$)"
+_BLOCK_CUT = r"(?m)^(?=##### Output for Text \d+[ \t]*$)"
+_BLOCK_HEAD = r"\A##### Output for Text (\d+)"
+_ANY_HEAD = r"(?m)^(#### .+? Assessment|##### Output for Text \d+)[ \t]*$"
+_ANY_CUT = r"(?m)^(?=(?:#### .+? Assessment|##### Output for Text \d+)[ \t]*$)"
+_BLOCK = r"(?s)\A##### Output for Text \d+[ \t]*\r?\nRating:[ \t]*([^\r\n]*?)[ \t]*\r?\nRationale:[ \t]?(.*)$"
+
+
+def _by_size(n: Column, of) -> Column:
+    """`of(k)`, an array literal, for the group size k of a row; null for other sizes."""
+    cases = [(n == k, of(k)) for k in range(1, N_SLOTS + 1)]
+    out = F.when(*cases[0])
+    for c in cases[1:]:
+        out = out.when(*c)
+    return out
+
+
+def _blocks(answers: DataFrame, keys: list[str], aspects: tuple[str, ...]) -> DataFrame:
+    """Keys and, one row each, the blocks of every answer and what it lacks.
+
+    `status` is null where the block is expected and the first one of its text and
+    aspect.  An answer that holds every expected heading, in order and nothing
+    else, is cut in one go: a piece's place tells its text and aspect.  Lambdas run
+    for the others only (they are interpreted, and an expression that occurs twice
+    in one is evaluated twice; so each array is a column before the next is made).
+    """
+    n = F.coalesce(F.col("n_texts"), F.lit(N_SLOTS)).cast("int") if "n_texts" in answers.columns else F.lit(N_SLOTS)
+    text = F.coalesce("_t", F.lit(""))
+    a = answers.select(*keys, F.col("answer").alias("_t"), n.alias("_n"))
+    a = a.select("*", computed_once(F.regexp_extract_all(text, F.lit(_ANY_HEAD), 1).alias("_found_heads")))
+
+    def literal(values: list, kind: str) -> Column:
+        return F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")
+
+    def asked_heads(k: int) -> Column:
+        return literal([h for x in aspects for h in (f"#### {x} Assessment", *[f"##### Output for Text {i}" for i in range(1, k + 1)])], "string")
+
+    in_order = F.coalesce(F.col("_found_heads") == _by_size(F.col("_n"), asked_heads), F.lit(False)) if len(set(aspects)) == len(aspects) else F.lit(False)
+    a = a.select("*", computed_once(F.when(in_order, F.split(text, _ANY_CUT)).alias("_pieces")))
+    whole = F.coalesce(F.size("_pieces") == F.size("_found_heads"), F.lit(False))  # no text before the first heading
+    a = a.select(*keys, "_t", "_n", "_pieces", whole.alias("_whole"))
+    pieces = F.arrays_zip(
+        _by_size(F.col("_n"), lambda k: literal([i or None for _ in aspects for i in range(k + 1)], "bigint")).alias("text_idx"),
+        _by_size(F.col("_n"), lambda k: literal([x if i else None for x in aspects for i in range(k + 1)], "string")).alias("aspect"),
+        F.col("_pieces").alias("block"),
+        literal([], "string").alias("status"),
+    )
+
+    def section(s: Column) -> Column:
+        return F.struct(F.regexp_extract(s, _SECTION_HEAD, 1).alias("aspect"), F.slice(F.split(s, _BLOCK_CUT), 2, 1_000_000_000).alias("blocks"))
+
+    def numbered(s: Column) -> Column:
+        return F.transform(
+            s["blocks"],
+            lambda b: F.struct(s["aspect"].alias("aspect"), F.regexp_extract(b, _BLOCK_HEAD, 1).try_cast("bigint").alias("text_idx"), b.alias("block")),
+        )
+
+    # text before the first section has no heading
+    sections = F.filter(F.transform(F.split(text, _SECTION_CUT), section), lambda s: s["aspect"] != "")
+    a = a.select("*", computed_once(F.when(~F.col("_whole"), sections).alias("_s")))
+    a = a.select("*", computed_once(F.flatten(F.transform("_s", numbered)).alias("_b")))
+    names = F.transform("_b", lambda b: F.concat_ws("|", b["aspect"], b["text_idx"].cast("string")))
+    a = a.select("*", computed_once(names.alias("_names")))
+
+    def found(b: Column, place: Column) -> Column:
+        status = (
+            F.when(~b["aspect"].isin(*aspects), F.lit("unknown_aspect"))
+            .when(b["text_idx"].isNull() | ~b["text_idx"].between(F.lit(1), F.col("_n")), F.lit("unknown_text"))
+            .when(F.array_position("_names", F.get("_names", place)) <= place, F.lit("duplicate"))
+        )
+        return F.struct(b["text_idx"].alias("text_idx"), b["aspect"].alias("aspect"), b["block"].alias("block"), status.alias("status"))
+
+    def lacking(aspect: str) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.col("_n")), lambda i: i > 0)
+        unseen = F.filter(numbers, lambda i: ~F.array_contains("_names", F.concat(F.lit(aspect + "|"), i.cast("string"))))
+        status = (
+            F.when(F.col("_t").isNull(), F.lit("null_answer"))
+            .when(F.array_contains(F.col("_s.aspect"), F.lit(aspect)), F.lit("missing_block"))
+            .otherwise(F.lit("missing_section"))
+        )
+        fields = (F.lit(aspect).alias("aspect"), F.lit(None).cast("string").alias("block"), status.alias("status"))
+        return F.transform(unseen, lambda i: F.struct(i.cast("bigint").alias("text_idx"), *fields))
+
+    every = F.when(F.col("_whole"), pieces).otherwise(F.concat(F.transform("_b", found), *[lacking(x) for x in aspects]))
+    # the pieces that are headings of sections have no aspect
+    return a.select(*keys, computed_once(every.alias("_every"))).select(*keys, F.inline("_every")).where(F.col("aspect").isNotNull())
 
 
 def parse_answers(answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
@@ -287,55 +370,20 @@ def parse_answers(answers: DataFrame, *, key: str = "prompt_id", aspects: tuple[
     `key` may come with `group_idx`.  All columns are from one row: no shuffle.
     """
     keys = [key] + [c for c in ("group_idx",) if c in answers.columns]
-    n = F.coalesce(F.col("n_texts"), F.lit(N_SLOTS)).cast("int") if "n_texts" in answers.columns else F.lit(N_SLOTS)
-    answer_col = F.coalesce("answer", F.lit(""))
-
-    def parts(text: Column, pattern: str) -> Column:
-        cut = F.split(text, pattern)
-        return F.slice(cut, 2, F.size(cut))
-
-    sections = F.arrays_zip(
-        F.regexp_extract_all(answer_col, F.lit(_SECTION_HEAD), 1).alias("aspect"),
-        parts(answer_col, _SECTION_HEAD.replace("(.+?)", ".+?")).alias("body"),
-    )
-
-    def blocks(s: Column) -> Column:
-        heads = F.regexp_extract_all(s["body"], F.lit(_BLOCK_HEAD), 1)
-        cut = parts(s["body"], _BLOCK_HEAD.replace(r"(\d+)", r"\d+"))
-        return F.zip_with(heads, cut, lambda slot, block: F.struct(s["aspect"].alias("aspect"), slot.try_cast("bigint").alias("text_idx"), block.alias("block")))
-
-    a = answers.select(*keys, computed_once(F.col("answer").alias("_t"), n.alias("_n"), F.flatten(F.transform(sections, blocks)).alias("_b")))
-    quoted = ", ".join("'" + x.replace("'", "\\'") + "'" for x in aspects)
-    wanted = ", ".join(f"transform(filter(sequence(0, _n), i -> i > 0), i -> struct({x} as aspect, cast(i as bigint) as text_idx))" for x in quoted.split(", "))
-    a = a.select(
-        "*",
-        computed_once(
-            F.expr("transform(_b, b -> concat_ws('|', b.aspect, cast(b.text_idx as string)))").alias("_names"),
-            F.regexp_extract_all(F.coalesce(F.col("_t"), F.lit("")), F.lit(_SECTION_HEAD), 1).alias("_heads"),
-        ),
-    )
-    found = "transform(_b, (b, p) -> struct(b.text_idx as text_idx, b.aspect as aspect, b.block as block, p as place))"
-    lacking = (
-        f"transform(filter(flatten(array({wanted})), e -> not array_contains(_names, concat_ws('|', e.aspect, cast(e.text_idx as string)))),"
-        " e -> struct(e.text_idx as text_idx, e.aspect as aspect, cast(null as string) as block, -1 as place))"
-    )
-    b = a.select(*keys, "_t", "_n", "_names", "_heads", F.expr(f"inline(concat({found}, {lacking}))"))
-    first = F.expr("array_position(_names, concat_ws('|', aspect, cast(text_idx as string)))") - 1
-    matched = F.col("block").rlike(_BLOCK_BODY)
-    status = (
-        F.when((F.col("place") < 0) & F.col("_t").isNull(), F.lit("null_answer"))
-        .when((F.col("place") < 0) & F.array_contains("_heads", F.col("aspect")), F.lit("missing_block"))
-        .when(F.col("place") < 0, F.lit("missing_section"))
-        .when(~F.col("aspect").isin(*aspects), F.lit("unknown_aspect"))
-        .when(F.col("text_idx").isNull() | ~F.col("text_idx").between(1, F.col("_n")), F.lit("unknown_text"))
-        .when(first < F.col("place"), F.lit("duplicate"))
-        .when(matched, F.lit("ok"))
-        .otherwise(F.lit("no_rating_line"))
-    )
-    rating = F.regexp_extract("block", _BLOCK_BODY, 1)
-    rationale = F.regexp_replace(F.regexp_extract("block", _BLOCK_BODY, 2), r"(\r?\n)+$", "")
+    # one match: a block with a rating line becomes its rating, a line break and its rationale; another one stays as it is
+    b = _blocks(answers, keys, aspects).select("*", computed_once(F.regexp_replace("block", _BLOCK, "$1\n$2").alias("_z")))
+    block, z = F.col("block"), F.col("_z")
+    matched, at = z != block, F.instr(z, "\n")
+    # line breaks at the end are removed; the usual single one needs no match
+    one_break = block.endswith("\n") & ~block.endswith("\n\n") & ~block.endswith("\r\n")
+    rationale = F.when(one_break, F.substring(z, at + 1, F.length(z) - at - 1)).otherwise(F.regexp_replace(F.substring(z, at + 1, F.length(z)), r"(\r?\n)+$", ""))
     return b.select(
-        *keys, "text_idx", "aspect", computed_once(F.when(matched, rating).alias("rating"), F.when(matched, rationale).alias("rationale"), status.alias("status"))
+        *keys,
+        "text_idx",
+        "aspect",
+        F.when(matched, F.substring_index(z, "\n", 1)).alias("rating"),
+        F.when(matched, rationale).alias("rationale"),
+        F.coalesce("status", F.when(matched, F.lit("ok")).otherwise(F.lit("no_rating_line"))).alias("status"),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .annotate import ASPECTS, N_SLOTS, parse_answers
+from .pairs import fields_of
 from ..sources.schemas import ANNOTATIONS
 
 
@@ -45,16 +46,18 @@ def rejoin_answers(prompts: DataFrame, answers: DataFrame, *, aspects: tuple[str
     order = F.create_map(*[x for i, a in enumerate(aspects) for x in (F.lit(a), F.lit(i))])
     value = F.struct(F.col("rating").alias("Rating"), F.col("rationale").alias("Rationale"))
     row = F.struct(F.col("comp_idx").alias("pos"), order[F.col("aspect")].alias("place"), F.struct("aspect", value.alias("value")).alias("entry"))
-    rows = rating_rows(answers, aspects=aspects).groupBy("prompt_id").agg(F.array_sort(F.collect_list(row)).alias("_ratings"))
-    # array_sort orders by position, then by place: each completion's entries are one run
-    joined = prompts.join(rows, "prompt_id", "left")
+    rows = rating_rows(answers, aspects=aspects).groupBy("prompt_id").agg(F.sort_array(F.collect_list(row)).alias("_ratings"))
+    # sorted by position, then by place: each completion's entries are one run
+    # the ratings that a stored completion has already are not read
+    kept = [f.name for f in prompts.schema["completions"].dataType.elementType.fields]
+    read = [f for f in kept if f != "annotations"] or kept
+    unrated = prompts.select(*[fields_of(F.col(c), *read).alias(c) if c == "completions" else F.col(c) for c in prompts.columns])
+    joined = unrated.join(rows, "prompt_id", "left")
 
     def annotations(k: F.Column) -> F.Column:
         own = F.filter(F.coalesce(F.col("_ratings"), F.array()), lambda r: r["pos"] == k)
         return F.map_from_entries(F.transform(own, lambda r: r["entry"])).cast(ANNOTATIONS)
 
-    kept = [f.name for f in prompts.schema["completions"].dataType.elementType.fields]
-
     def rated(c: F.Column, k: F.Column) -> F.Column:
         return F.struct(*[annotations(k).alias(f) if f == "annotations" else c[f].alias(f) for f in kept])
 

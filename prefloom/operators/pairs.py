@@ -83,11 +83,12 @@ def build_pairs(
     in the array, so neither a null nor a repeated id mixes prompts.  A row is
     one record, so its size is bounded; huge prompts belong in the flat layout.
     """
+    # scored once: the explode's own filter on the array's size would score it again
     scored = prompts.select(
         F.col(key).alias("prompt_id"),
         formatted_prompt(prompt, img_path, format_prompt).alias("prompt"),
         *prompt_carry,
-        scored_completions(F.col(completions), carry, on_null).alias("s"),
+        computed_once(scored_completions(F.col(completions), carry, on_null).alias("s")),
     )
     return _pairs_in_row(scored, carry, prompt_carry)
 
