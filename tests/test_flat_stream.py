@@ -103,3 +103,29 @@ def test_slices_land_in_many_files_and_are_one_batch_each(spark, monkeypatch):
     assert per_batch > 1 and files == 3 * per_batch  # one row, or none, still makes a batch of its own
     assert [p["numInputRows"] for p in q.recentProgress][:2] == [160, 2]  # both sides read a slice
     assert "RocksDB" in store and spark.conf.get(provider, None) == before
+
+
+def test_rocksdb_state_without_lookups_of_its_own(spark):
+    src, out, ckpt = (scratch_path(spark, n) for n in ("t-src", "t-out", "t-ckpt"))
+    slices = [completion(4, 0, 20)], [completion(4, 1, 20), completion(3, 0, 20)], [completion(3, 1, 3), completion(4, 2, 20), completion(3, 2, 21)]
+    for s in slices:
+        table(spark, s).coalesce(1).write.mode("append").parquet(src)
+    changed = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = [spark.conf.get(c, None) for c in changed]
+    with flat_pairs.rocksdb_state(spark):
+        assert [spark.conf.get(c) for c in changed] == ["false", "false"]
+        q = flat_pairs.start_flat_stream(spark, src, spark.read.parquet(src).schema, out, ckpt, within="2 hours", delay="1 hour")
+    q.awaitTermination()
+    assert [spark.conf.get(c, None) for c in changed] == before
+    progress = list(q.recentProgress)
+    assert [p["numInputRows"] for p in progress] == [2, 4, 6]  # no further batch only to clean the state
+    assert flat_pairs.late_rows(progress) == 1
+    assert ids(spark.read.parquet(out)) == [(3, 0, 2), (4, 0, 1), (4, 0, 2), (4, 1, 2)]
+
+
+def test_one_block_keeps_no_block_numbers(spark):
+    t = table(spark, [completion(1, 0, 0), completion(1, 1, 0)])
+    for blocks, numbered in ((1, False), (2, True)):
+        plan = flat_pairs.pair_stream(t, blocks=blocks)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("l_x#" in plan) == numbered
+        assert ids(flat_pairs.pair_stream(t, blocks=blocks)) == [(1, 0, 1)]
